@@ -158,5 +158,212 @@ def _product_mix_qtd(r: Review) -> DataFrame:
     return funnel.product_mix_qtd(r.enriched)
 
 
+# ---- Booking review: open pipeline scoring (S2, S4, S5, J1, J2, F5-F20) ---------------
+
+from dealflow.operators import forecast, pods, scoring, wins  # noqa: E402
+from dealflow.functions.text import money_or_dash, signed  # noqa: E402
+
+
+@query("open_deals")
+def _open_deals(r: Review) -> DataFrame:
+    """S2 + P1 + P3 + F20."""
+    from dealflow.sources.readers import open_deals_scan
+    return scoring.with_stage(open_deals_scan(r.deals, r.cfg), r.cfg)
+
+
+@query("owner_dim")
+def _owner_dim(r: Review) -> DataFrame:
+    """S4."""
+    return r.owner_dim
+
+
+@query("deal_sentiment")
+def _deal_sentiment(r: Review) -> DataFrame:
+    """S5 + A10."""
+    return r.deal_sentiment.select("deal_id", F.round("gong_sentiment", 6).alias("gong_sentiment"),
+                                   F.round("gong_trend", 6).alias("gong_trend"), "gong_calls")
+
+
+@query("deals_with_owner")
+def _deals_with_owner(r: Review) -> DataFrame:
+    """J1."""
+    return r.open_scored.select("deal_id", "owner_id", "owner_name", "pod")
+
+
+@query("deals_with_sentiment")
+def _deals_with_sentiment(r: Review) -> DataFrame:
+    """J2."""
+    return r.open_scored.select("deal_id", F.round("gong_sentiment", 6).alias("gong_sentiment"),
+                                F.round("gong_trend", 6).alias("gong_trend"), "gong_calls")
+
+
+@query("forecast_fields")
+def _forecast_fields(r: Review) -> DataFrame:
+    """F5-F8."""
+    return r.open_scored.select("deal_id", "forecast_cat", "is_forecasted", "fcat_disp", "prob",
+                                "weighted_acv", "market", "product", "gtm")
+
+
+@query("deal_scoring")
+def _deal_scoring(r: Review) -> DataFrame:
+    """F9-F15."""
+    return r.open_scored.select("deal_id", "days_since_contact", "has_M", "has_E", "has_D", "has_I",
+                                "has_C", "has_Champ", "meddpicc",
+                                scoring.flags_text(F.col("risk_flags")).alias("risk_flags"),
+                                "risk_count", "rag", "confidence")
+
+
+@query("deal_recommendations")
+def _deal_recommendations(r: Review) -> DataFrame:
+    """F16-F19."""
+    return r.open_scored.select("deal_id", "rec_category", "rec_reason", "action",
+                                "partner_disp", "partner_flag")
+
+
+@query("open_pipeline_full")
+def _open_pipeline_full(r: Review) -> DataFrame:
+    """The full open pipeline with the 15 review columns."""
+    return r.open_scored.select("deal_id", "dealname", "stage", "forecast_cat", "rec_category", "market",
+                                "product", "gtm", "acv", "owner_name", "pod", "meddpicc", "rag",
+                                "confidence", "days_since_contact", "action")
+
+
+def _top_deals(scored: DataFrame, n: int) -> DataFrame:
+    """Global top-n by ACV (NULL ACV last; ties -> lowest deal id): TakeOrderedAndProject."""
+    return scored.orderBy(F.col("acv").desc_nulls_last(), F.col("deal_id")).limit(n)
+
+
+@query("watchlist")
+def _watchlist(r: Review) -> DataFrame:
+    """T3 + F29: top 12 Red/Yellow deals by ACV with the 16 display columns."""
+    top = _top_deals(r.open_scored.where(F.col("rag").isin("Red", "Yellow")), r.cfg.watchlist_n)
+    url = F.replace(F.lit(r.cfg.deal_url_template), F.lit("{deal_id}"), F.col("deal_id").cast("string"))
+    return top.select(
+        "deal_id", F.col("dealname").alias("deal"), F.col("owner_name").alias("owner"), "acv",
+        money_or_dash(F.col("acv")).alias("acv_text"), "stage",
+        F.date_format("close_d", "MMM dd").alias("close"),
+        F.col("forecast_cat").alias("rep_category"), F.col("rec_category").alias("recommended"),
+        F.col("rec_reason").alias("why"), F.col("confidence").cast("string").alias("conf"), "rag",
+        F.concat(F.col("meddpicc").cast("string"), F.lit("/5")).alias("meddpicc"),
+        F.when(F.col("gong_sentiment").isNull(), F.lit(C.DASH))
+         .otherwise(signed(F.col("gong_sentiment"), 2)).alias("gong"),
+        scoring.flags_text(F.col("risk_flags")).alias("risk_flags"),
+        F.col("partner_disp").alias("partner"), "action", url.alias("deal_url"))
+
+
+@query("top_red")
+def _top_red(r: Review) -> DataFrame:
+    """T5: the five largest Red deals."""
+    return _top_deals(r.open_scored.where(F.col("rag") == "Red"), r.cfg.top_red_n) \
+        .select("deal_id", "dealname", "stage", "acv", "owner_name", "risk_count", "meddpicc")
+
+
+# ---- Forecast views (A6, A7, A12, A14-A19, A27, A28) ----------------------------------
+
+@query("forecast_rollup")
+def _forecast_rollup(r: Review) -> DataFrame:
+    return forecast.forecast_rollup(r.open_scored)
+
+
+@query("forecast_windows")
+def _forecast_windows(r: Review) -> DataFrame:
+    return forecast.forecast_windows(r.open_scored, r.cfg)
+
+
+@query("forecast_hygiene")
+def _forecast_hygiene(r: Review) -> DataFrame:
+    return forecast.forecast_hygiene(r.open_scored, r.cfg)
+
+
+@query("market_forecast")
+def _market_forecast(r: Review) -> DataFrame:
+    return forecast.category_by(r.open_scored, "market")
+
+
+@query("product_forecast")
+def _product_forecast(r: Review) -> DataFrame:
+    return forecast.category_by(r.open_scored, "product")
+
+
+@query("open_by_market")
+def _open_by_market(r: Review) -> DataFrame:
+    return forecast.open_by_market(r.open_scored)
+
+
+@query("open_by_gtm")
+def _open_by_gtm(r: Review) -> DataFrame:
+    return forecast.open_by_gtm(r.open_scored)
+
+
+@query("open_mix_product")
+def _open_mix_product(r: Review) -> DataFrame:
+    return forecast.open_mix_product(r.open_scored)
+
+
+@query("open_matrix")
+def _open_matrix(r: Review) -> DataFrame:
+    return forecast.open_matrix(r.open_scored)
+
+
+@query("market_commit_vs_risk")
+def _market_commit_vs_risk(r: Review) -> DataFrame:
+    return forecast.market_commit_vs_risk(r.open_scored)
+
+
+@query("rag_distribution")
+def _rag_distribution(r: Review) -> DataFrame:
+    return forecast.rag_distribution(r.open_scored)
+
+
+@query("open_quality_stats")
+def _open_quality_stats(r: Review) -> DataFrame:
+    return forecast.open_quality_stats(r.open_scored)
+
+
+# ---- Pods (A8, A9, K8) ---------------------------------------------------------------
+
+@query("pod_summary")
+def _pod_summary(r: Review) -> DataFrame:
+    return pods.pod_summary(r.open_scored)
+
+
+@query("pod_detail")
+def _pod_detail(r: Review) -> DataFrame:
+    return pods.pod_detail(r.open_scored)
+
+
+@query("pod_reviews")
+def _pod_reviews(r: Review) -> DataFrame:
+    return pods.pod_reviews(r.open_scored, r.cfg)
+
+
+# ---- Wins (S3, A20-A23) --------------------------------------------------------------
+
+@query("closed_won")
+def _closed_won(r: Review) -> DataFrame:
+    return r.won.select("deal_id", "dealname", "owner_name", "market", "product", "arr", "acv",
+                        "days_to_close", "partner_disp", "close_d")
+
+
+@query("wins_kpis")
+def _wins_kpis(r: Review) -> DataFrame:
+    return wins.wins_kpis(r.won)
+
+
+@query("wins_by_market")
+def _wins_by_market(r: Review) -> DataFrame:
+    return wins.wins_by(r.won, "market")
+
+
+@query("wins_by_product")
+def _wins_by_product(r: Review) -> DataFrame:
+    return wins.wins_by_product(r.won)
+
+
+@query("wins_by_partner")
+def _wins_by_partner(r: Review) -> DataFrame:
+    return wins.wins_by_partner(r.won, r.cfg)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)

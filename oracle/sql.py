@@ -289,3 +289,367 @@ SELECT product, CAST(coalesce(pacv, 0) AS DOUBLE) AS pipeline_acv,
          AS pipeline_acv_share,
        CAST(coalesce(bacv, 0) AS DOUBLE) AS bookings_acv
 FROM p"""
+
+
+# ---------------------------------------------------------------------------------------
+# Booking review: owners, sentiment, open pipeline scoring
+# ---------------------------------------------------------------------------------------
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _has(x: str) -> str:
+    return f"coalesce({_strip(x)} NOT IN ('', 'None', 'nan', 'No', 'false', 'FALSE'), false)"
+
+
+def _yes(x: str) -> str:
+    return f"coalesce(lower({_strip(x)}) IN ('true', 'yes', '1', 'won', 'identified'), false)"
+
+
+def _title(x: str) -> str:
+    chars = f"string_split(lower({x}), '')"
+    return (f"array_to_string(list_transform({chars}, lambda ch, i: CASE WHEN i = 1 OR NOT "
+            f"regexp_matches({chars}[i - 1], '^[[:alpha:]]$') THEN upper(ch) ELSE ch END), '')")
+
+
+def _money(x: str) -> str:
+    v = f"coalesce(CAST({x} AS DOUBLE), 0.0)"
+    return (f"CASE WHEN abs({v}) >= 1e6 THEN '$' || printf('%.2f', {v} / 1e6) || 'M' "
+            f"ELSE '$' || printf('%.0f', {v} / 1e3) || 'K' END")
+
+
+SCORED = f"""
+, owners_raw AS (
+  SELECT CAST(s_suppkey % 23 AS VARCHAR) AS owner_id,
+         CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_name END AS full_name,
+         CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 5 = 1 THEN ''
+              ELSE 'Pod ' || CAST(s_nationkey % 4 AS VARCHAR) END AS team,
+         s_suppkey AS seq
+  FROM supplier)
+, owner_last AS (
+  SELECT owner_id, full_name, team FROM (
+    SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY seq DESC) AS rn FROM owners_raw) WHERE rn = 1)
+, owner_named AS (
+  SELECT owner_id, team,
+         {_strip("CASE WHEN full_name IS NULL OR full_name = '' THEN 'Unknown' ELSE full_name END")} AS owner_name
+  FROM owner_last)
+, owner_dim AS (
+  SELECT owner_id, owner_name, CASE WHEN team IS NULL OR team = '' THEN owner_name ELSE team END AS pod
+  FROM owner_named)
+, sent AS (
+  SELECT CAST(event_id - event_id % 3 AS VARCHAR) AS deal_id, value / 100 AS sentiment,
+         (value - 50) / 100 AS trend, CAST(user_id % 20 AS BIGINT) AS call_count
+  FROM events)
+, deal_sent AS (
+  SELECT deal_id, avg(sentiment) AS gong_sentiment, avg(trend) AS gong_trend, max(call_count) AS gong_calls
+  FROM sent GROUP BY deal_id)
+, open_scan AS (
+  SELECT deal_id, dealname, owner_id, gtm_raw, use_case, erp_raw, market, gtm, product,
+         TRY_CAST(arr_raw AS DECIMAL(18,2)) AS arr, TRY_CAST(acv_raw AS DECIMAL(18,2)) AS acv,
+         stage_id,
+         CASE stage_id WHEN 's_sql' THEN 'SQL' WHEN 's_sal' THEN 'SAL – Discovery/Demo'
+              WHEN 's_prop' THEN 'OPP – Proposal/ROI' WHEN 's_neg' THEN 'OPP – Negotiation' END AS stage,
+         create_d, close_d, fcat, prob_raw, n_contacts, next_step, last_contact_d, partner,
+         m_metrics, e_buyer, d_process, i_pain, c_compet, champion
+  FROM clean
+  WHERE is_closed = false AND stage_id IN ('s_sal', 's_prop', 's_neg'))
+, sc1 AS (
+  SELECT o.*,
+    CASE fcat WHEN 'COMMIT' THEN 'Commit' WHEN 'BEST_CASE' THEN 'Best Case' WHEN 'PIPELINE' THEN 'Pipeline'
+         ELSE 'Not Forecasted' END AS forecast_cat,
+    coalesce(fcat IN ('COMMIT', 'BEST_CASE', 'PIPELINE'), false) AS is_forecasted,
+    CASE WHEN fcat IS NULL OR {_strip("fcat")} = '' THEN 'Uncategorized'
+         WHEN fcat = 'COMMIT' THEN 'Commit' WHEN fcat = 'BEST_CASE' THEN 'Best Case'
+         WHEN fcat = 'PIPELINE' THEN 'Pipeline' WHEN fcat = 'OMIT' THEN 'Not Forecasted'
+         ELSE {_title("fcat")} END AS fcat_disp,
+    coalesce(TRY_CAST(prob_raw AS DECIMAL(12,6)), 0) AS prob0,
+    date_diff('day', last_contact_d, {TODAY}) AS days_since_contact,
+    {_has("m_metrics")} AS has_M, {_yes("e_buyer")} AS has_E, {_has("d_process")} AS has_D,
+    {_has("i_pain")} AS has_I, {_has("c_compet")} AS has_C, {_yes("champion")} AS has_Champ
+  FROM open_scan o)
+, sc2 AS (
+  SELECT *,
+    CAST(CASE WHEN prob0 <= 1 THEN prob0 ELSE prob0 / 100 END AS DECIMAL(12,6)) AS prob,
+    CAST(has_M AS INTEGER) + CAST(has_E AS INTEGER) + CAST(has_D AS INTEGER) + CAST(has_I AS INTEGER)
+      + CAST(has_C AS INTEGER) AS meddpicc
+  FROM sc1)
+, sc3 AS (
+  SELECT *, acv * prob AS weighted_acv,
+    list_filter([
+      CASE WHEN days_since_contact IS NULL OR days_since_contact > 14 THEN 'No activity 14d+' END,
+      CASE WHEN n_contacts IS NULL OR n_contacts <= 1 THEN 'Single-threaded' END,
+      CASE WHEN NOT {_has("next_step")} THEN 'No next step' END,
+      CASE WHEN NOT {_yes("e_buyer")} THEN 'No economic buyer' END,
+      CASE WHEN stage IN ('OPP – Proposal/ROI', 'OPP – Negotiation') AND meddpicc < 3
+           THEN 'Late stage, weak MEDDPICC' END], lambda f: f IS NOT NULL) AS flags
+  FROM sc2)
+, sc4 AS (
+  SELECT *, CAST(len(flags) AS INTEGER) AS risk_count,
+    list_contains(flags, 'No activity 14d+') AS f_stale,
+    list_contains(flags, 'Single-threaded') AS f_single,
+    list_contains(flags, 'No next step') AS f_next,
+    list_contains(flags, 'No economic buyer') AS f_eb,
+    list_contains(flags, 'Late stage, weak MEDDPICC') AS f_late
+  FROM sc3)
+, sc5 AS (
+  SELECT *,
+    CASE WHEN risk_count >= 3 OR f_stale THEN 'Red' WHEN risk_count = 2 OR meddpicc < 3 THEN 'Yellow'
+         ELSE 'Green' END AS rag,
+    greatest(5, least(100, 100 - 15 * risk_count - 5 * greatest(0, 5 - meddpicc)
+             - CASE WHEN days_since_contact > 30 THEN 10 ELSE 0 END)) AS confidence
+  FROM sc4)
+, scored AS (
+  SELECT s.*,
+    coalesce(od.owner_name, 'Unassigned') AS owner_name, coalesce(od.pod, 'Unassigned') AS pod,
+    ds.gong_sentiment, ds.gong_trend, coalesce(ds.gong_calls, 0) AS gong_calls,
+    {_has("partner")} AS partner_flag,
+    CASE WHEN {_has("partner")} THEN partner ELSE '—' END AS partner_disp,
+    CASE WHEN f_stale THEN 'Re-engage — book next touch this week'
+         WHEN f_eb THEN 'Confirm + meet the economic buyer'
+         WHEN f_late THEN 'Close MEDDPICC gaps before forecasting'
+         WHEN f_single THEN 'Multi-thread — add a 2nd+ stakeholder'
+         WHEN f_next THEN 'Set a concrete next step + date'
+         ELSE 'On track — maintain cadence' END AS action,
+    CASE WHEN forecast_cat = 'Commit' AND (rag = 'Red' OR meddpicc < 3 OR f_stale) THEN 'Downgrade → Best Case'
+         WHEN forecast_cat = 'Best Case' AND rag = 'Red' THEN 'Downgrade → Pipeline'
+         WHEN forecast_cat IN ('Pipeline', 'Not Forecasted') AND rag = 'Green' AND meddpicc >= 4 THEN 'Upgrade'
+         WHEN forecast_cat IN ('Pipeline', 'Best Case', 'Commit') AND rag = 'Red' AND meddpicc <= 1
+              THEN 'Remove from forecast'
+         WHEN risk_count >= 3 THEN 'Escalate for manager review'
+         ELSE 'Keep current category' END AS rec_category,
+    coalesce(nullif(concat_ws(', ',
+         CASE WHEN meddpicc < 3 THEN 'MEDDPICC ' || CAST(meddpicc AS VARCHAR) || '/5' END,
+         CASE WHEN f_stale THEN 'stale 14d+' END, CASE WHEN f_eb THEN 'no EB' END,
+         CASE WHEN f_single THEN 'single-threaded' END, CASE WHEN f_next THEN 'no next step' END), ''),
+       CASE WHEN rag = 'Green' THEN 'clean evidence' ELSE '—' END) AS rec_reason,
+    CASE WHEN len(flags) > 0 THEN array_to_string(flags, ', ') ELSE '—' END AS risk_flags
+  FROM sc5 s
+  LEFT JOIN owner_dim od ON od.owner_id = s.owner_id
+  LEFT JOIN deal_sent ds ON ds.deal_id = CAST(s.deal_id AS VARCHAR))"""
+
+BOOKING = PRELUDE + SCORED
+
+ORACLE_SQL["open_deals"] = f"""{BOOKING}
+SELECT deal_id, dealname, owner_id, gtm_raw, use_case, erp_raw, CAST(arr AS DOUBLE) AS arr,
+       CAST(acv AS DOUBLE) AS acv, stage_id, create_d, close_d, fcat, prob_raw, n_contacts, next_step,
+       last_contact_d, partner, m_metrics, e_buyer, d_process, i_pain, c_compet, champion, stage
+FROM open_scan"""
+
+ORACLE_SQL["owner_dim"] = f"""{BOOKING}
+SELECT owner_id, owner_name, pod FROM owner_dim"""
+
+ORACLE_SQL["deal_sentiment"] = f"""{BOOKING}
+SELECT deal_id, round(gong_sentiment, 6) AS gong_sentiment, round(gong_trend, 6) AS gong_trend, gong_calls
+FROM deal_sent"""
+
+ORACLE_SQL["deals_with_owner"] = f"""{BOOKING}
+SELECT deal_id, owner_id, owner_name, pod FROM scored"""
+
+ORACLE_SQL["deals_with_sentiment"] = f"""{BOOKING}
+SELECT deal_id, round(gong_sentiment, 6) AS gong_sentiment, round(gong_trend, 6) AS gong_trend, gong_calls
+FROM scored"""
+
+ORACLE_SQL["forecast_fields"] = f"""{BOOKING}
+SELECT deal_id, forecast_cat, is_forecasted, fcat_disp, CAST(prob AS DOUBLE) AS prob,
+       CAST(weighted_acv AS DOUBLE) AS weighted_acv, market, product, gtm
+FROM scored"""
+
+ORACLE_SQL["deal_scoring"] = f"""{BOOKING}
+SELECT deal_id, CAST(days_since_contact AS INTEGER) AS days_since_contact, has_M, has_E, has_D, has_I, has_C,
+       has_Champ, meddpicc, risk_flags, risk_count, rag, confidence
+FROM scored"""
+
+ORACLE_SQL["deal_recommendations"] = f"""{BOOKING}
+SELECT deal_id, rec_category, rec_reason, action, partner_disp, partner_flag FROM scored"""
+
+ORACLE_SQL["open_pipeline_full"] = f"""{BOOKING}
+SELECT deal_id, dealname, stage, forecast_cat, rec_category, market, product, gtm, CAST(acv AS DOUBLE) AS acv,
+       owner_name, pod, meddpicc, rag, confidence, CAST(days_since_contact AS INTEGER) AS days_since_contact, action
+FROM scored"""
+
+ORACLE_SQL["watchlist"] = f"""{BOOKING}
+, top AS (SELECT * FROM scored WHERE rag IN ('Red', 'Yellow') ORDER BY acv DESC NULLS LAST, deal_id LIMIT 12)
+SELECT deal_id, dealname AS deal, owner_name AS owner, CAST(acv AS DOUBLE) AS acv,
+       CASE WHEN acv IS NULL THEN '—' ELSE {_money("acv")} END AS acv_text, stage,
+       strftime(close_d, '%b %d') AS close, forecast_cat AS rep_category, rec_category AS recommended,
+       rec_reason AS why, CAST(confidence AS VARCHAR) AS conf, rag, CAST(meddpicc AS VARCHAR) || '/5' AS meddpicc,
+       CASE WHEN gong_sentiment IS NULL THEN '—' ELSE printf('%+.2f', gong_sentiment) END AS gong,
+       risk_flags, partner_disp AS partner, action,
+       'https://crm.example.com/deal/' || CAST(deal_id AS VARCHAR) AS deal_url
+FROM top"""
+
+ORACLE_SQL["top_red"] = f"""{BOOKING}
+SELECT deal_id, dealname, stage, CAST(acv AS DOUBLE) AS acv, owner_name, risk_count, meddpicc
+FROM scored WHERE rag = 'Red' ORDER BY acv DESC NULLS LAST, deal_id LIMIT 5"""
+
+ORACLE_SQL["forecast_rollup"] = f"""{BOOKING}
+, g AS (SELECT forecast_cat, count(deal_id) AS deals, coalesce(sum(acv), 0) AS acv,
+               coalesce(sum(weighted_acv), 0) AS w FROM scored GROUP BY forecast_cat)
+SELECT g.forecast_cat, CAST(s.ord AS INTEGER) AS ord, deals, CAST(acv AS DOUBLE) AS acv,
+       CAST(round(w, 2) AS DOUBLE) AS weighted_acv
+FROM g JOIN (VALUES ('Commit', 0), ('Best Case', 1), ('Pipeline', 2), ('Not Forecasted', 3)) AS s(cat, ord)
+  ON s.cat = g.forecast_cat"""
+
+ORACLE_SQL["forecast_windows"] = f"""{BOOKING}
+, h AS (SELECT * FROM (VALUES ('Week', 0, DATE '1998-08-23'), ('Month', 1, DATE '1998-08-31'),
+                              ('Quarter', 2, DATE '1998-09-30')) AS t(horizon, ord, end_date))
+SELECT h.horizon, CAST(h.ord AS INTEGER) AS ord, h.end_date,
+       count(s.deal_id) AS deals,
+       CAST(coalesce(sum(s.acv), 0) AS DOUBLE) AS total,
+       CAST(coalesce(sum(s.acv) FILTER (WHERE s.forecast_cat = 'Commit'), 0) AS DOUBLE) AS commit,
+       CAST(coalesce(sum(s.acv) FILTER (WHERE s.forecast_cat = 'Best Case'), 0) AS DOUBLE) AS best,
+       CAST(round(coalesce(sum(s.weighted_acv), 0), 2) AS DOUBLE) AS weighted
+FROM h LEFT JOIN scored s ON s.close_d <= h.end_date
+GROUP BY h.horizon, h.ord, h.end_date"""
+
+ORACLE_SQL["forecast_hygiene"] = f"""{BOOKING}
+, t AS (SELECT count(*) AS open_deals, count(*) FILTER (WHERE is_forecasted) AS categorized,
+               count(*) FILTER (WHERE forecast_cat IN ('Commit', 'Best Case')) AS commit_best_deals,
+               CAST(coalesce(sum(acv) FILTER (WHERE NOT is_forecasted), 0) AS DOUBLE) AS uncategorized_acv
+        FROM scored)
+, p AS (SELECT *, round(CASE WHEN open_deals > 0 THEN 100 * categorized / open_deals ELSE 0.0 END, 6)
+                  AS discipline_pct FROM t)
+SELECT *, CASE WHEN discipline_pct >= 70 THEN 'Green' WHEN discipline_pct >= 40 THEN 'Yellow' ELSE 'Red' END
+          AS discipline_status
+FROM p"""
+
+for _dim in ("market", "product"):
+    ORACLE_SQL[f"{_dim}_forecast"] = f"""{BOOKING}
+, g AS (SELECT {_dim}, coalesce(sum(acv) FILTER (WHERE forecast_cat = 'Commit'), 0) AS c0,
+               coalesce(sum(acv) FILTER (WHERE forecast_cat = 'Best Case'), 0) AS c1,
+               coalesce(sum(acv) FILTER (WHERE forecast_cat = 'Pipeline'), 0) AS c2
+        FROM scored GROUP BY {_dim})
+SELECT {_dim}, 'Commit' AS category, CAST(c0 AS DOUBLE) AS acv FROM g
+UNION ALL SELECT {_dim}, 'Best Case', CAST(c1 AS DOUBLE) FROM g
+UNION ALL SELECT {_dim}, 'Pipeline', CAST(c2 AS DOUBLE) FROM g"""
+
+ORACLE_SQL["open_by_market"] = f"""{BOOKING}
+SELECT s.market, CAST(s.ord AS INTEGER) AS ord, CAST(coalesce(sum(acv), 0) AS DOUBLE) AS acv, count(deal_id) AS deals
+FROM scored JOIN {MARKETS_VALUES} AS s(market, ord) ON s.market = scored.market
+GROUP BY s.market, s.ord"""
+
+ORACLE_SQL["open_by_gtm"] = f"""{BOOKING}
+SELECT gtm, CAST(coalesce(sum(acv), 0) AS DOUBLE) AS acv, count(deal_id) AS deals FROM scored GROUP BY gtm"""
+
+ORACLE_SQL["open_mix_product"] = f"""{BOOKING}
+, g AS (SELECT product, coalesce(sum(acv), 0) AS acv FROM scored GROUP BY product)
+SELECT product, CAST(acv AS DOUBLE) AS acv,
+       round(CAST(acv AS DOUBLE) / nullif(CAST(sum(acv) OVER () AS DOUBLE), 0), 6) AS share
+FROM g"""
+
+ORACLE_SQL["open_matrix"] = f"""{BOOKING}
+SELECT product, """ + ",\n  ".join(
+    f"CAST(coalesce(sum(acv) FILTER (WHERE market = '{m}'), 0) AS DOUBLE) AS \"{m}\""
+    for m in ("NetSuite", "Sage", "Dynamics", "Other")) + """
+FROM scored GROUP BY product"""
+
+ORACLE_SQL["market_commit_vs_risk"] = f"""{BOOKING}
+, g AS (
+  SELECT 'commit' AS measure, market, coalesce(sum(acv), 0) AS acv FROM scored WHERE forecast_cat = 'Commit' GROUP BY market
+  UNION ALL
+  SELECT 'red', market, coalesce(sum(acv), 0) FROM scored WHERE rag = 'Red' GROUP BY market)
+SELECT measure, market, CAST(acv AS DOUBLE) AS acv,
+       row_number() OVER (PARTITION BY measure ORDER BY acv DESC, market) = 1 AS is_top
+FROM g"""
+
+ORACLE_SQL["rag_distribution"] = f"""{BOOKING}
+SELECT rag, count(*) AS deals FROM scored GROUP BY rag"""
+
+ORACLE_SQL["open_quality_stats"] = f"""{BOOKING}
+SELECT count(*) AS open_deals, round(avg(meddpicc), 6) AS avg_meddpicc,
+       count(gong_sentiment) AS sentiment_coverage
+FROM scored"""
+
+_POD_BASE = f"""{BOOKING}
+, pod_rows AS (
+  SELECT pod, count(deal_id) AS deals, coalesce(sum(acv), 0) AS acv,
+         count(*) FILTER (WHERE rag = 'Red') AS red, count(*) FILTER (WHERE rag = 'Yellow') AS yellow,
+         count(*) FILTER (WHERE rag = 'Green') AS green
+  FROM scored GROUP BY pod)
+, ranked AS (
+  SELECT pod, dealname, acv, flags, rag, forecast_cat,
+         row_number() OVER (PARTITION BY pod ORDER BY acv DESC NULLS LAST, deal_id) AS rn_all,
+         row_number() OVER (PARTITION BY pod, (forecast_cat = 'Commit' OR rag = 'Green')
+                            ORDER BY acv DESC NULLS LAST, deal_id) AS rn_win,
+         row_number() OVER (PARTITION BY pod, rag = 'Red' ORDER BY acv DESC NULLS LAST, deal_id) AS rn_red
+  FROM scored)
+, win_w AS (SELECT pod, dealname, acv FROM ranked WHERE rn_win = 1 AND (forecast_cat = 'Commit' OR rag = 'Green'))
+, win_a AS (SELECT pod, dealname, acv FROM ranked WHERE rn_all = 1)
+, risk AS (SELECT pod, dealname, acv, flags FROM ranked WHERE rn_red = 1 AND rag = 'Red')
+, detail AS (
+  SELECT p.pod, p.deals, CAST(p.acv AS DOUBLE) AS acv,
+    CASE WHEN p.red > p.green THEN 'Red' WHEN p.yellow >= p.green THEN 'Yellow' ELSE 'Green' END AS status,
+    p.red, p.yellow, p.green,
+    coalesce(substr(coalesce(ww.dealname, wa.dealname), 1, 34), '') || ' ('
+      || CASE WHEN ww.pod IS NOT NULL THEN (CASE WHEN ww.acv IS NULL THEN '—' ELSE {_money("ww.acv")} END)
+              ELSE (CASE WHEN wa.acv IS NULL THEN '—' ELSE {_money("wa.acv")} END) END || ')' AS biggest_win,
+    CASE WHEN rk.pod IS NULL THEN '—'
+         ELSE coalesce(substr(rk.dealname, 1, 34), '') || ' ('
+              || CASE WHEN rk.acv IS NULL THEN '—' ELSE {_money("rk.acv")} END || ')' END AS biggest_risk,
+    CASE WHEN rk.pod IS NULL OR len(rk.flags) = 0 THEN 'None this week'
+         WHEN rk.flags[1] = 'No economic buyer' THEN 'Help access the economic buyer'
+         WHEN rk.flags[1] = 'No activity 14d+' THEN 'Unblock stalled engagement'
+         WHEN rk.flags[1] = 'Late stage, weak MEDDPICC' THEN 'Deal inspection / qualification help'
+         WHEN rk.flags[1] = 'Single-threaded' THEN 'Exec intro to multi-thread'
+         WHEN rk.flags[1] = 'No next step' THEN 'Hold rep accountable for next step'
+         ELSE 'Deal inspection' END AS exec_support
+  FROM pod_rows p
+  LEFT JOIN win_w ww ON ww.pod = p.pod
+  LEFT JOIN win_a wa ON wa.pod = p.pod
+  LEFT JOIN risk rk ON rk.pod = p.pod)"""
+
+ORACLE_SQL["pod_detail"] = f"""{_POD_BASE}
+SELECT * FROM detail"""
+
+ORACLE_SQL["pod_reviews"] = f"""{_POD_BASE}
+, kept AS (SELECT * FROM detail
+           WHERE deals >= 3 OR NOT EXISTS (SELECT 1 FROM detail d2 WHERE d2.deals >= 3))
+SELECT * FROM kept ORDER BY acv DESC, pod LIMIT 8"""
+
+ORACLE_SQL["pod_summary"] = f"""{BOOKING}
+, g AS (
+  SELECT pod, count(deal_id) AS deals, CAST(coalesce(sum(acv), 0) AS DOUBLE) AS acv,
+         count(*) FILTER (WHERE rag = 'Red') AS red, count(*) FILTER (WHERE rag = 'Yellow') AS yellow,
+         count(*) FILTER (WHERE rag = 'Green') AS green, round(avg(confidence), 6) AS avg_conf
+  FROM scored GROUP BY pod)
+SELECT *, CASE WHEN red > green THEN 'Red' WHEN yellow >= green THEN 'Yellow' ELSE 'Green' END AS status FROM g"""
+
+# ---------------------------------------------------------------------------------------
+# Wins
+# ---------------------------------------------------------------------------------------
+
+WON = f"""{BOOKING}
+, won AS (
+  SELECT c.deal_id, c.dealname, coalesce(od.owner_name, 'Unassigned') AS owner_name, c.market, c.product,
+         coalesce(TRY_CAST(c.total_arr_raw AS DECIMAL(18,2)), 0) AS arr,
+         coalesce(TRY_CAST(c.acv_raw AS DECIMAL(18,2)), 0) AS acv,
+         TRY_CAST(c.days_to_close_raw AS DOUBLE) AS days_to_close,
+         CASE WHEN {_has("c.partner")} THEN c.partner ELSE 'Direct' END AS partner_disp,
+         c.close_d
+  FROM clean c LEFT JOIN owner_dim od ON od.owner_id = c.owner_id
+  WHERE c.is_won = true AND c.close_d BETWEEN {QS} AND {TODAY})"""
+
+ORACLE_SQL["closed_won"] = f"""{WON}
+SELECT deal_id, dealname, owner_name, market, product, CAST(arr AS DOUBLE) AS arr, CAST(acv AS DOUBLE) AS acv,
+       days_to_close, partner_disp, close_d FROM won"""
+
+ORACLE_SQL["wins_kpis"] = f"""{WON}
+SELECT count(*) AS wins, CAST(coalesce(sum(acv), 0) AS DOUBLE) AS total_acv,
+       CAST(coalesce(sum(arr), 0) AS DOUBLE) AS total_arr,
+       round(CAST(sum(acv) AS DOUBLE) / count(*), 6) AS avg_acv,
+       round(avg(nullif(days_to_close, 0)), 6) AS avg_cycle_days
+FROM won"""
+
+ORACLE_SQL["wins_by_market"] = f"""{WON}
+SELECT market, CAST(sum(acv) AS DOUBLE) AS acv FROM won GROUP BY market"""
+
+ORACLE_SQL["wins_by_product"] = f"""{WON}
+, g AS (SELECT product, sum(acv) AS acv FROM won GROUP BY product)
+SELECT product, CAST(acv AS DOUBLE) AS acv,
+       round(CAST(acv AS DOUBLE) / nullif(CAST(sum(acv) OVER () AS DOUBLE), 0), 6) AS share
+FROM g"""
+
+ORACLE_SQL["wins_by_partner"] = f"""{WON}
+SELECT partner_disp, CAST(sum(acv) AS DOUBLE) AS acv FROM won GROUP BY partner_disp
+ORDER BY acv DESC, partner_disp LIMIT 8"""
