@@ -72,6 +72,34 @@ class Review:
         return closed_won(readers.closed_won_scan(self.deals, self.cfg), self.owner_dim)
 
 
+    # ---- state tables (derived by rule from the deals; see sources/state_fixtures.py) -----
+    @cached_property
+    def goals(self) -> DataFrame:
+        from dealflow.sources.state_fixtures import derived_goals
+        return derived_goals(self.clean)
+
+    @cached_property
+    def hist(self) -> DataFrame:
+        from dealflow.operators.trends import historical_snapshots
+        return historical_snapshots(self.enriched, self.cfg).select(
+            "snapshot_date", "metric", F.col("value").cast("double").alias("value"))
+
+    @cached_property
+    def snapshot_seed(self) -> DataFrame:
+        from dealflow.sources.state_fixtures import snapshot_seed
+        return snapshot_seed(self.open_scored, self.cfg)
+
+    @cached_property
+    def snapshot_store(self) -> DataFrame:
+        from dealflow.operators.state import sync
+        return sync(self.snapshot_seed, self.hist)
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        from dealflow.sources.state_fixtures import derived_actions
+        return derived_actions(self.open_scored)
+
+
 def to_output(df: DataFrame) -> DataFrame:
     """Result boundary: exact decimal money becomes DOUBLE (2 dp after the final sum)."""
     cols = []

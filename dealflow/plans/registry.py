@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dealflow import config as C
 from dealflow.config import DEFAULT_CONFIG, ReviewConfig
@@ -365,5 +366,153 @@ def _wins_by_partner(r: Review) -> DataFrame:
     return wins.wins_by_partner(r.won, r.cfg)
 
 
+# ---- Time: as-of snapshots, pace, trend (J7/A11, W1, W2) ------------------------------
+
+from dealflow.operators import state, trends  # noqa: E402
+from dealflow.plans import reports  # noqa: E402
+from dealflow.sources.state_fixtures import derived_goals  # noqa: E402
+
+
+@query("historical_snapshots")
+def _historical_snapshots(r: Review) -> DataFrame:
+    """J7 + A11: QTD metrics as of every Friday of the quarter to date."""
+    return r.hist
+
+
+@query("pace_cumulative_arr")
+def _pace_cumulative_arr(r: Review) -> DataFrame:
+    """Cumulative Bookings ARR by close date vs the linear plan target."""
+    return trends.pace_cumulative(r.enriched, state.goal_total(r.goals, r.pacing.quarter_key, "bookings_arr"),
+                                  "bookings_arr", r.cfg)
+
+
+@query("pace_cumulative_sql")
+def _pace_cumulative_sql(r: Review) -> DataFrame:
+    """Cumulative SQL-Booked by create date vs the linear plan target."""
+    return trends.pace_cumulative(r.enriched, state.goal_total(r.goals, r.pacing.quarter_key, "sql_booked"),
+                                  "sql_booked", r.cfg)
+
+
+@query("trend_weekly")
+def _trend_weekly(r: Review) -> DataFrame:
+    """W2 + R4 + P7."""
+    return reports.trend(r)
+
+
+# ---- State: goals, snapshots, actions (S7-S9, U1-U9, J8) -------------------------------
+
+@query("goals_for_quarter")
+def _goals_for_quarter(r: Review) -> DataFrame:
+    """S7."""
+    return state.goals_for_quarter(r.goals, r.pacing.quarter_key)
+
+
+def _qtd_goal_rows(r: Review, metrics, factor: int) -> DataFrame:
+    """Goal rows for the current quarter set to ``factor`` x the QTD actual per market."""
+    m = funnel.market_spine_funnel(r.enriched)
+    long = m.unpivot(["market"], list(metrics), "metric", "actual")
+    return long.select(F.lit(r.pacing.quarter_key).alias("quarter"), "market", "metric",
+                       F.round(F.col("actual").cast("double") * factor, 0).alias("value"))
+
+
+@query("goals_upsert")
+def _goals_upsert(r: Review) -> DataFrame:
+    """Set the SQL-Held goal of every market (one was missing) to 2x its QTD actual."""
+    return state.set_goals(r.goals, _qtd_goal_rows(r, ["sql_held"], 2))
+
+
+@query("goals_replace_quarter")
+def _goals_replace_quarter(r: Review) -> DataFrame:
+    """Replace all goals of the current quarter by 2x the QTD actuals."""
+    return state.replace_quarter_goals(r.goals, r.pacing.quarter_key, _qtd_goal_rows(r, C.GOAL_METRICS, 2))
+
+
+@query("goal_totals")
+def _goal_totals(r: Review) -> DataFrame:
+    """A29."""
+    return reports.goal_totals(r)
+
+
+@query("market_attainment")
+def _market_attainment(r: Review) -> DataFrame:
+    """J3 + F22 + F23."""
+    return reports.market_attainment(r)
+
+
+@query("snapshot_history")
+def _snapshot_history(r: Review) -> DataFrame:
+    """S9 over the synced store."""
+    return state.history(r.snapshot_store)
+
+
+@query("snapshot_capture")
+def _snapshot_capture(r: Review) -> DataFrame:
+    """Capture today's TOF totals into the store."""
+    return state.capture(r.snapshot_store, reports.tof_snapshot(r))
+
+
+@query("snapshot_backfill")
+def _snapshot_backfill(r: Review) -> DataFrame:
+    """U4: merge the reconstructed Friday history into the seed store."""
+    return state.backfill(r.snapshot_seed, r.hist)
+
+
+@query("snapshot_missing_dates")
+def _snapshot_missing_dates(r: Review) -> DataFrame:
+    """U5."""
+    return state.missing_dates(r.snapshot_seed, r.hist)
+
+
+@query("snapshot_sync")
+def _snapshot_sync(r: Review) -> DataFrame:
+    """Gate + backfill."""
+    return state.sync(r.snapshot_seed, r.hist)
+
+
+@query("snapshot_latest_before")
+def _snapshot_latest_before(r: Review) -> DataFrame:
+    """J8."""
+    return state.latest_before(r.snapshot_store, r.cfg.today)
+
+
+@query("actions_list")
+def _actions_list(r: Review) -> DataFrame:
+    """The Booking list of the current quarter."""
+    return state.actions_list(r.actions, r.pacing.quarter_key, "Booking")
+
+
+@query("actions_add")
+def _actions_add(r: Review) -> DataFrame:
+    """Add a follow-up for the largest Red deal to the current quarter's Booking list."""
+    top = r.open_scored.where(F.col("rag") == "Red") \
+                       .orderBy(F.col("acv").desc_nulls_last(), F.col("deal_id")).limit(1)
+    items = top.select(F.lit(r.pacing.quarter_key).alias("quarter"), F.lit("Booking").alias("meeting"),
+                       F.concat(F.lit("Review "), F.col("dealname")).alias("text"),
+                       F.col("owner_name").alias("owner"))
+    return state.actions_add(r.actions, items, r.cfg.today)
+
+
+@query("actions_replace")
+def _actions_replace(r: Review) -> DataFrame:
+    """U8 + U9: replace the current quarter's Booking list by one item per pod review card
+    (a pod with nothing to ask gives a blank item, which the save rule drops)."""
+    from dealflow.operators.pods import pod_detail
+    pd_ = pod_detail(r.open_scored)
+    items = pd_.select(
+        F.dense_rank().over(Window.orderBy("pod")).cast("bigint").alias("pos"),
+        F.when(F.col("exec_support") == C.SUPPORT_NONE, F.lit(""))
+         .otherwise(F.concat(F.col("pod"), F.lit(": "), F.col("exec_support"))).alias("text"),
+        F.col("pod").alias("owner"), F.lit("Open").alias("status"), F.lit(r.cfg.today).alias("added"))
+    return state.actions_replace(r.actions, r.pacing.quarter_key, "Booking", items)
+
+
+# ---- Composite reports (A13, F26, K1-K9) -----------------------------------------------
+
+for _name in ("exec_summary_tof", "run_rate", "quarter_health", "market_scorecard", "strategic_priorities",
+              "pipeline_coverage", "exec_forecast", "booking_snapshot", "tof_snapshot", "forecast_movement",
+              "decisions"):
+    query(_name)(getattr(reports, _name))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)

@@ -653,3 +653,350 @@ FROM g"""
 ORACLE_SQL["wins_by_partner"] = f"""{WON}
 SELECT partner_disp, CAST(sum(acv) AS DOUBLE) AS acv FROM won GROUP BY partner_disp
 ORDER BY acv DESC, partner_disp LIMIT 8"""
+
+
+# ---------------------------------------------------------------------------------------
+# State: derived goals, reconstructed Friday history, snapshot store, actions; reports
+# ---------------------------------------------------------------------------------------
+
+FRIDAYS = ("1998-07-03", "1998-07-10", "1998-07-17", "1998-07-24", "1998-07-31", "1998-08-07", "1998-08-14")
+_FRI_VALUES = ", ".join(f"(DATE '{f}')" for f in FRIDAYS)
+_TOF = ("sql_booked", "sql_held", "sal", "pipeline_arr", "pipeline_acv", "bookings_arr", "bookings_acv")
+_GOAL_METRICS = ("sql_booked", "sql_held", "sal", "pipeline_arr", "bookings_arr")
+_HAPPENED = f"coalesce(lower({_strip('meeting_happened')}) = 'yes', false)"
+
+STATE = f"""{BOOKING}
+, gev AS (
+  SELECT market, 'sql_booked' AS metric, create_d AS d, CAST(1 AS DECIMAL(18,2)) AS v FROM clean
+  UNION ALL SELECT market, 'sql_held', CASE WHEN {_HAPPENED} THEN disco_d END, CAST(1 AS DECIMAL(18,2)) FROM clean
+  UNION ALL SELECT market, 'sal', sal_d, CAST(1 AS DECIMAL(18,2)) FROM clean
+  UNION ALL SELECT market, 'pipeline_arr', create_d, TRY_CAST(arr_raw AS DECIMAL(18,2)) FROM clean
+  UNION ALL SELECT market, 'bookings_arr', CASE WHEN is_won THEN close_d END, TRY_CAST(arr_raw AS DECIMAL(18,2)) FROM clean)
+, gagg AS (
+  SELECT CAST(year(d) + 1 AS VARCHAR) || 'Q' || CAST(quarter(d) AS VARCHAR) AS quarter, market, metric,
+         coalesce(sum(v), 0) AS actual
+  FROM gev WHERE d IS NOT NULL GROUP BY 1, 2, 3)
+, goals AS (
+  SELECT quarter, market, metric,
+         CASE WHEN market = 'Other' AND metric = 'sal' THEN 0.0 ELSE CAST(round(actual * 1.1, 0) AS DOUBLE) END AS value
+  FROM gagg WHERE NOT (market = 'Dynamics' AND metric = 'sql_held'))
+, gq AS (SELECT * FROM goals WHERE quarter = '1998Q3')
+, gtot AS (
+  SELECT m.metric, CAST(m.ord AS INTEGER) AS ord, coalesce(sum(gq.value), 0.0) AS goal_total
+  FROM (VALUES ('sql_booked', 0), ('sql_held', 1), ('sal', 2), ('pipeline_arr', 3), ('bookings_arr', 4)) AS m(metric, ord)
+  LEFT JOIN gq ON gq.metric = m.metric AND gq.market IN ('NetSuite', 'Sage', 'Dynamics', 'Other')
+  GROUP BY m.metric, m.ord)
+, fr AS (SELECT f AS snapshot_date FROM (VALUES {_FRI_VALUES}) AS t(f))
+, qb AS (
+  SELECT create_d, disco_d, sal_d, close_d, coalesce(arr, 0) AS arr0, coalesce(acv, 0) AS acv0,
+         {_HAPPENED} AS hap, coalesce(won, false) AS w
+  FROM qtd)
+, hagg AS (
+  SELECT fr.snapshot_date,
+    count(qb.create_d) FILTER (WHERE qb.create_d BETWEEN {QS} AND fr.snapshot_date) AS sql_booked,
+    count(qb.disco_d) FILTER (WHERE qb.hap AND qb.disco_d BETWEEN {QS} AND fr.snapshot_date) AS sql_held,
+    count(qb.sal_d) FILTER (WHERE qb.sal_d BETWEEN {QS} AND fr.snapshot_date) AS sal,
+    coalesce(sum(qb.arr0) FILTER (WHERE qb.create_d BETWEEN {QS} AND fr.snapshot_date), 0) AS pipeline_arr,
+    coalesce(sum(qb.acv0) FILTER (WHERE qb.create_d BETWEEN {QS} AND fr.snapshot_date), 0) AS pipeline_acv,
+    coalesce(sum(qb.arr0) FILTER (WHERE qb.w AND qb.close_d BETWEEN {QS} AND fr.snapshot_date), 0) AS bookings_arr,
+    coalesce(sum(qb.acv0) FILTER (WHERE qb.w AND qb.close_d BETWEEN {QS} AND fr.snapshot_date), 0) AS bookings_acv
+  FROM fr, qb GROUP BY fr.snapshot_date)
+, hist AS (
+  {" UNION ALL ".join(f"SELECT snapshot_date, 'tof_{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM hagg" for m in _TOF)})
+, bk AS (
+  SELECT CAST(coalesce(sum(acv), 0) AS DOUBLE) AS bk_open_acv,
+         CAST(coalesce(sum(acv) FILTER (WHERE forecast_cat = 'Commit'), 0) AS DOUBLE) AS bk_commit,
+         CAST(coalesce(sum(acv) FILTER (WHERE forecast_cat = 'Best Case'), 0) AS DOUBLE) AS bk_best,
+         CAST(round(coalesce(sum(weighted_acv), 0), 2) AS DOUBLE) AS bk_weighted,
+         CAST(coalesce(sum(acv) FILTER (WHERE close_d <= {QE}), 0) AS DOUBLE) AS bk_q_total
+  FROM scored)
+, bk_long AS (
+  SELECT 'bk_open_acv' AS metric, bk_open_acv AS value FROM bk UNION ALL SELECT 'bk_commit', bk_commit FROM bk
+  UNION ALL SELECT 'bk_best', bk_best FROM bk UNION ALL SELECT 'bk_weighted', bk_weighted FROM bk
+  UNION ALL SELECT 'bk_q_total', bk_q_total FROM bk)
+, seed AS (
+  SELECT DATE '1998-08-14' AS snapshot_date, metric, value FROM bk_long
+  UNION ALL SELECT DATE '1998-06-30', metric, value FROM bk_long)
+, missing AS (SELECT DISTINCT snapshot_date FROM hist WHERE snapshot_date NOT IN (SELECT snapshot_date FROM seed))
+, store AS (
+  SELECT * FROM seed s WHERE NOT EXISTS (SELECT 1 FROM missing) OR NOT EXISTS (
+      SELECT 1 FROM hist h WHERE h.snapshot_date = s.snapshot_date AND h.metric = s.metric)
+  UNION ALL SELECT * FROM hist WHERE EXISTS (SELECT 1 FROM missing))
+, prior AS (SELECT * FROM store WHERE snapshot_date = (SELECT max(snapshot_date) FROM store WHERE snapshot_date < {TODAY}))
+, totals AS (SELECT {FUNNEL_COLS} FROM enriched)
+, tot_long AS (
+  {" UNION ALL ".join(f"SELECT '{m}' AS metric, {i} AS ord, CAST({m} AS DOUBLE) AS value FROM totals" for i, m in enumerate(_TOF))})
+, wow_m AS (
+  SELECT market,
+    count(*) FILTER (WHERE create_d BETWEEN DATE '1998-08-17' AND {TODAY}) AS this_week,
+    count(*) FILTER (WHERE create_d BETWEEN DATE '1998-08-10' AND DATE '1998-08-16') AS last_week
+  FROM clean GROUP BY market)
+, actions AS (
+  SELECT CAST(year(create_d) AS VARCHAR) || 'Q' || CAST(quarter(create_d) AS VARCHAR) AS quarter,
+         CASE WHEN stage IN ('OPP – Proposal/ROI', 'OPP – Negotiation') THEN 'Booking' ELSE 'TOF' END AS meeting,
+         CAST(deal_id AS BIGINT) AS pos,
+         CASE WHEN next_step IS NULL THEN '  ' ELSE action || ': ' || dealname END AS text,
+         owner_name AS owner,
+         CASE deal_id % 4 WHEN 0 THEN 'Open' WHEN 1 THEN 'In progress' WHEN 2 THEN 'Done' ELSE 'Blocked' END AS status,
+         create_d AS added
+  FROM scored WHERE rag = 'Red')"""
+
+ORACLE_SQL["historical_snapshots"] = f"""{STATE}
+SELECT * FROM hist"""
+
+
+def _pace(metric_sql: str, day_col: str, flag: str, goal_metric: str) -> str:
+    return f"""{STATE}
+, days AS (SELECT CAST(generate_series AS DATE) AS day FROM generate_series({QS}, {QE}, INTERVAL 1 DAY))
+, daily AS (SELECT {day_col} AS day, {metric_sql} AS v FROM enriched WHERE {flag} GROUP BY {day_col})
+, cum AS (SELECT days.day, sum(coalesce(daily.v, 0)) OVER (ORDER BY days.day ROWS UNBOUNDED PRECEDING) AS c
+          FROM days LEFT JOIN daily ON daily.day = days.day)
+, g AS (SELECT goal_total AS goal FROM gtot WHERE metric = '{goal_metric}')
+SELECT day, CASE WHEN day <= {TODAY} THEN CAST(c AS DOUBLE) END AS actual_cum,
+       CASE WHEN g.goal <> 0 THEN round(g.goal * date_diff('day', {QS}, day) / 91, 6) END AS target
+FROM cum, g"""
+
+
+ORACLE_SQL["pace_cumulative_arr"] = _pace("sum(arr)", "close_d", "is_book", "bookings_arr")
+ORACLE_SQL["pace_cumulative_sql"] = _pace("count(*)", "create_d", "is_sql", "sql_booked")
+
+ORACLE_SQL["trend_weekly"] = f"""{STATE}
+, wide AS (
+  SELECT snapshot_date,
+         max(value) FILTER (WHERE metric = 'tof_sql_booked') AS sql_booked,
+         max(value) FILTER (WHERE metric = 'tof_sql_held') AS sql_held,
+         max(value) FILTER (WHERE metric = 'tof_sal') AS sal,
+         max(value) FILTER (WHERE metric = 'tof_bookings_arr') AS bookings_arr
+  FROM store GROUP BY snapshot_date)
+SELECT *, lag(sql_booked) OVER (ORDER BY snapshot_date) AS prev_sql_booked
+FROM wide WHERE sql_booked IS NOT NULL"""
+
+ORACLE_SQL["goals_for_quarter"] = f"""{STATE}
+SELECT * FROM gq"""
+
+_MS = STATE + SPINE_MARKET.replace("\n, mf AS", "\n, mf AS", 1)
+
+ORACLE_SQL["goals_upsert"] = f"""{_MS}
+, upd AS (SELECT '1998Q3' AS quarter, market, 'sql_held' AS metric, round(CAST(sql_held AS DOUBLE) * 2, 0) AS value
+          FROM mspine)
+SELECT * FROM goals g WHERE NOT EXISTS (
+  SELECT 1 FROM upd u WHERE u.quarter = g.quarter AND u.market = g.market AND u.metric = g.metric)
+UNION ALL SELECT * FROM upd"""
+
+ORACLE_SQL["goals_replace_quarter"] = f"""{_MS}
+, upd AS ({" UNION ALL ".join(f"SELECT '1998Q3' AS quarter, market, '{m}' AS metric, round(CAST({m} AS DOUBLE) * 2, 0) AS value FROM mspine" for m in _GOAL_METRICS)})
+SELECT * FROM goals WHERE quarter <> '1998Q3'
+UNION ALL SELECT * FROM upd"""
+
+ORACLE_SQL["goal_totals"] = f"""{STATE}
+SELECT metric, ord, goal_total FROM gtot"""
+
+_ATT = f"""{_MS}
+, ma AS (
+  SELECT l.market, l.ord, l.metric, l.actual, gq.value AS goal,
+         round(100 * l.actual / nullif(gq.value, 0.0), 6) AS attainment_pct
+  FROM ({" UNION ALL ".join(f"SELECT market, ord, '{m}' AS metric, CAST({m} AS DOUBLE) AS actual FROM mspine" for m in _GOAL_METRICS)}) l
+  LEFT JOIN gq ON gq.market = l.market AND gq.metric = l.metric)
+, ma2 AS (
+  SELECT *, CASE WHEN attainment_pct IS NULL THEN NULL WHEN attainment_pct >= 53.3 THEN 'Green'
+                 WHEN attainment_pct >= 33.3 THEN 'Yellow' ELSE 'Red' END AS status
+  FROM ma)"""
+
+ORACLE_SQL["market_attainment"] = f"""{_ATT}
+SELECT * FROM ma2"""
+
+ORACLE_SQL["snapshot_history"] = f"""{STATE}
+SELECT * FROM store"""
+
+ORACLE_SQL["snapshot_capture"] = f"""{STATE}
+, cap AS (SELECT {TODAY} AS snapshot_date, 'tof_' || metric AS metric, value FROM tot_long)
+SELECT * FROM store s WHERE NOT EXISTS (
+  SELECT 1 FROM cap c WHERE c.snapshot_date = s.snapshot_date AND c.metric = s.metric)
+UNION ALL SELECT * FROM cap"""
+
+ORACLE_SQL["snapshot_backfill"] = f"""{STATE}
+SELECT * FROM seed s WHERE NOT EXISTS (
+  SELECT 1 FROM hist h WHERE h.snapshot_date = s.snapshot_date AND h.metric = s.metric)
+UNION ALL SELECT * FROM hist"""
+
+ORACLE_SQL["snapshot_missing_dates"] = f"""{STATE}
+SELECT snapshot_date FROM missing"""
+
+ORACLE_SQL["snapshot_sync"] = f"""{STATE}
+SELECT * FROM store"""
+
+ORACLE_SQL["snapshot_latest_before"] = f"""{STATE}
+SELECT * FROM prior"""
+
+ORACLE_SQL["actions_list"] = f"""{STATE}
+SELECT * FROM actions WHERE quarter = '1998Q3' AND meeting = 'Booking'"""
+
+ORACLE_SQL["actions_add"] = f"""{STATE}
+, top AS (SELECT dealname, owner_name FROM scored WHERE rag = 'Red' ORDER BY acv DESC NULLS LAST, deal_id LIMIT 1)
+SELECT * FROM actions
+UNION ALL
+SELECT '1998Q3', 'Booking',
+       CAST(coalesce((SELECT max(pos) FROM actions WHERE quarter = '1998Q3' AND meeting = 'Booking'), 0) + 1 AS BIGINT),
+       'Review ' || dealname, owner_name, 'Open', {TODAY}
+FROM top"""
+
+ORACLE_SQL["actions_replace"] = f"""{_POD_BASE.replace(PRELUDE + SCORED, STATE, 1)}
+, items AS (
+  SELECT CAST(dense_rank() OVER (ORDER BY pod) AS BIGINT) AS pos,
+         CASE WHEN exec_support = 'None this week' THEN '' ELSE pod || ': ' || exec_support END AS text,
+         pod AS owner, 'Open' AS status, {TODAY} AS added
+  FROM detail)
+SELECT * FROM actions WHERE NOT (quarter = '1998Q3' AND meeting = 'Booking')
+UNION ALL
+SELECT '1998Q3', 'Booking', pos, text, owner, status, added FROM items
+WHERE {_strip("coalesce(text, '')")} <> '' AND status IN ('Open', 'In progress', 'Done', 'Blocked')"""
+
+
+def _grouped(x: str) -> str:
+    return f"printf('%,.0f', CAST({x} AS DOUBLE))"
+
+
+def _fixed0(x: str) -> str:
+    return f"printf('%.0f', CAST({x} AS DOUBLE))"
+
+
+ORACLE_SQL["exec_summary_tof"] = f"""{STATE}
+, wt AS (SELECT round(100 * (sum(this_week) - sum(last_week)) / CAST(nullif(sum(last_week), 0) AS DOUBLE), 6) AS w
+         FROM wow_m)
+, j AS (
+  SELECT t.metric, CAST(t.ord AS INTEGER) AS ord, t.value, p.value AS prior, coalesce(g.goal_total, 0.0) AS plan
+  FROM tot_long t
+  LEFT JOIN prior p ON p.metric = 'tof_' || t.metric
+  LEFT JOIN gtot g ON g.metric = t.metric)
+SELECT metric, ord, value,
+       CASE WHEN metric = 'sql_booked' THEN (SELECT w FROM wt)
+            ELSE round(100 * (value - prior) / nullif(prior, 0.0), 6) END AS delta_pct,
+       plan, round(100 * value / nullif(plan, 0.0), 6) AS attainment_pct,
+       CASE WHEN metric IN ('pipeline_arr', 'pipeline_acv', 'bookings_arr', 'bookings_acv') THEN {_money("value")}
+            ELSE {_grouped("value")} END AS value_text
+FROM j"""
+
+ORACLE_SQL["run_rate"] = f"""{STATE}
+, j AS (SELECT t.metric, t.value AS qtd, t.value / (53.3 / 100) AS proj, coalesce(g.goal_total, 0.0) AS plan
+        FROM tot_long t LEFT JOIN gtot g ON g.metric = t.metric
+        WHERE t.metric IN ('sql_booked', 'bookings_arr'))
+SELECT metric, qtd, round(proj, 6) AS projection, plan,
+       CASE WHEN metric = 'bookings_arr' THEN {_money("proj")} ELSE {_grouped("proj")} END AS projection_text
+FROM j"""
+
+ORACLE_SQL["quarter_health"] = f"""{STATE}
+, v AS (
+  SELECT CAST(t.bookings_arr AS DOUBLE) AS bookings_arr,
+         (SELECT goal_total FROM gtot WHERE metric = 'bookings_arr') AS plan_bookings_arr,
+         t.sql_booked, t.sql_booked / (53.3 / 100) AS proj,
+         (SELECT goal_total FROM gtot WHERE metric = 'sql_booked') AS plan_sql_booked
+  FROM totals t)
+, a AS (SELECT *, round(100 * bookings_arr / nullif(plan_bookings_arr, 0.0), 6) AS attainment_pct FROM v)
+SELECT bookings_arr, plan_bookings_arr, attainment_pct, CAST(53.3 AS DOUBLE) AS pace_pct,
+       CASE WHEN attainment_pct IS NULL THEN 'Yellow' WHEN attainment_pct >= 53.3 THEN 'Green'
+            WHEN attainment_pct >= 33.3 THEN 'Yellow' ELSE 'Red' END AS status,
+       sql_booked, round(proj, 6) AS sql_projection, plan_sql_booked,
+       (plan_sql_booked <> 0 AND proj < plan_sql_booked) AS behind_pace
+FROM a"""
+
+
+def _triple(v: str, wow: str, att: str, money: bool) -> str:
+    cur = _money(v) if money else _grouped(v)
+    return (f"CASE WHEN {wow} IS NULL AND {att} IS NULL THEN {cur} ELSE {cur} || ' (' || "
+            f"coalesce(printf('%+.0f', {wow}) || '%', '–') || ', ' || coalesce(printf('%.0f', {att}) || '%', '–') || ')' END")
+
+
+def _att(m: str) -> str:
+    return f"round(100 * CAST(s.{m} AS DOUBLE) / nullif(gp.g_{m}, 0.0), 6)"
+
+
+ORACLE_SQL["market_scorecard"] = f"""{_MS}
+, gp AS (SELECT market, {", ".join(f"max(value) FILTER (WHERE metric = '{m}') AS g_{m}" for m in _GOAL_METRICS)}
+         FROM gq GROUP BY market)
+, w AS (SELECT market, round(100 * (this_week - last_week) / CAST(nullif(last_week, 0) AS DOUBLE), 6) AS wow_pct
+        FROM wow_m)
+SELECT s.market, s.ord,
+       {_triple("s.sql_booked", "w.wow_pct", _att("sql_booked"), False)} AS sql_booked,
+       {_triple("s.sql_held", "NULL", _att("sql_held"), False)} AS sql_held,
+       {_triple("s.sal", "NULL", _att("sal"), False)} AS sal,
+       {_triple("s.pipeline_arr", "NULL", _att("pipeline_arr"), True)} AS pipeline_arr,
+       {_triple("s.bookings_arr", "NULL", _att("bookings_arr"), True)} AS bookings_arr,
+       {_money("s.bookings_acv")} AS bookings_acv
+FROM mspine s LEFT JOIN w ON w.market = s.market LEFT JOIN gp ON gp.market = s.market"""
+
+ORACLE_SQL["strategic_priorities"] = f"""{_ATT}{SPINE_GTM}
+, mk AS (
+  SELECT CASE a.market WHEN 'NetSuite' THEN 0 WHEN 'Sage' THEN 1 ELSE 2 END AS ord,
+         CASE a.market WHEN 'NetSuite' THEN 'Are we winning the NetSuite install base?'
+                     WHEN 'Sage' THEN 'Is Sage continuing to scale?' ELSE 'Is Dynamics improving?' END AS question,
+         'Bookings ' || {_money("a.actual")}
+           || CASE WHEN a.attainment_pct IS NULL THEN ' · no goal set'
+                   ELSE ' · ' || {_fixed0("a.attainment_pct")} || '% to plan (pace 53%)' END
+           || ' · pipeline ' || {_money("s.pipeline_arr")} AS detail,
+         a.status
+  FROM ma2 a JOIN mspine s ON s.market = a.market
+  WHERE a.metric = 'bookings_arr' AND a.market IN ('NetSuite', 'Sage', 'Dynamics'))
+, pf AS (SELECT coalesce(sum(acv) FILTER (WHERE is_sql AND product = 'AP'), 0) AS pa,
+                coalesce(sum(acv) FILTER (WHERE is_book AND product = 'AP'), 0) AS ba FROM enriched)
+SELECT * FROM mk
+UNION ALL
+SELECT 3, 'Is Outbound recovering?',
+       'BDR: ' || CAST(sql_booked AS VARCHAR) || ' SQL-Booked · ' || {_money("pipeline_arr")}
+         || ' pipeline (QTD). Trend needs snapshot history.', NULL
+FROM gspine WHERE gtm = 'BDR'
+UNION ALL
+SELECT 4, 'Is AP becoming a repeatable growth engine?',
+       'AP: ' || {_money("pa")} || ' pipeline · ' || {_money("ba")} || ' bookings (QTD).', NULL FROM pf
+UNION ALL
+SELECT 5, 'Is Global FX proving the motion?', 'No FX field in the CRM yet — needs a definition (RevOps).', NULL"""
+
+_COV = f"""{STATE}
+, cv AS (
+  SELECT (SELECT goal_total FROM gtot WHERE metric = 'bookings_arr') AS plan,
+         (SELECT CAST(bookings_arr AS DOUBLE) FROM totals) AS bookings_arr_qtd,
+         CAST(coalesce(sum(arr), 0) AS DOUBLE) AS open_arr,
+         CAST(coalesce(sum(acv) FILTER (WHERE forecast_cat = 'Commit'), 0) AS DOUBLE) AS commit_acv
+  FROM scored)
+, cv2 AS (SELECT *, greatest(plan - bookings_arr_qtd, 0.0) AS gap FROM cv)
+, cov AS (
+  SELECT plan, bookings_arr_qtd, open_arr, gap, round(open_arr / nullif(gap, 0.0), 6) AS coverage,
+         CASE WHEN plan = 0 THEN 'no_goal' WHEN gap = 0 THEN 'plan_met'
+              WHEN open_arr / nullif(gap, 0.0) >= 3 THEN 'healthy' ELSE 'thin' END AS coverage_state,
+         commit_acv, round(100 * commit_acv / nullif(plan, 0.0), 6) AS commit_acv_pct_of_arr_plan
+  FROM cv2)"""
+
+ORACLE_SQL["pipeline_coverage"] = f"""{_COV}
+SELECT * FROM cov"""
+
+ORACLE_SQL["exec_forecast"] = f"""{STATE}
+, p AS (SELECT goal_total AS plan FROM gtot WHERE metric = 'bookings_arr')
+, v AS (
+  SELECT 'Commit (Q)' AS gauge, 0 AS ord, bk_commit AS value, 1.5 AS mult FROM bk
+  UNION ALL SELECT 'Commit + Best', 1, bk_commit + bk_best, 1.3 FROM bk
+  UNION ALL SELECT 'Weighted (illustrative)', 2, bk_weighted, 1.3 FROM bk
+  UNION ALL SELECT 'Total open (Q)', 3, bk_q_total, 1.0 FROM bk)
+SELECT gauge, CAST(ord AS INTEGER) AS ord, value,
+       CASE WHEN p.plan <> 0 THEN p.plan ELSE round(value * mult, 6) END AS reference
+FROM v, p"""
+
+ORACLE_SQL["booking_snapshot"] = f"""{STATE}
+SELECT {TODAY} AS snapshot_date, metric, value FROM bk_long"""
+
+ORACLE_SQL["tof_snapshot"] = f"""{STATE}
+SELECT {TODAY} AS snapshot_date, 'tof_' || metric AS metric, value FROM tot_long"""
+
+ORACLE_SQL["forecast_movement"] = f"""{STATE}
+, now AS (
+  SELECT 'tof_bookings_arr' AS metric, 'Bookings ARR (QTD)' AS label, 0 AS ord, CAST(bookings_arr AS DOUBLE) AS now
+  FROM totals
+  UNION ALL SELECT 'bk_commit', 'Commit', 1, bk_commit FROM bk
+  UNION ALL SELECT 'bk_best', 'Best Case', 2, bk_best FROM bk
+  UNION ALL SELECT 'bk_weighted', 'Weighted', 3, bk_weighted FROM bk
+  UNION ALL SELECT 'bk_q_total', 'Total open (Q)', 4, bk_q_total FROM bk)
+, j AS (SELECT n.*, p.value AS last_week, n.now - p.value AS d FROM now n LEFT JOIN prior p ON p.metric = n.metric
+        WHERE n.metric <> 'tof_bookings_arr' OR p.value IS NOT NULL)
+SELECT label, CAST(ord AS INTEGER) AS ord, last_week, now, round(d, 2) AS delta,
+       CASE WHEN last_week IS NULL THEN '— (accrues fwd)' ELSE {_money("last_week")} END AS last_week_text,
+       {_money("now")} AS now_text,
+       CASE WHEN d IS NULL THEN '—' ELSE (CASE WHEN d >= 0 THEN '+' ELSE '' END) || {_money("d")} END AS delta_text
+FROM j"""
