@@ -64,84 +64,106 @@ def qualification_score(m: Column, e: Column, d: Column, i: Column, c: Column) -
             + has(i).cast("int") + has(c).cast("int"))
 
 
-def risk_flags(days: Column, n_contacts: Column, next_step: Column, e_buyer: Column,
-               stage: Column, score: Column, cfg: C.ReviewConfig) -> Column:
-    """ordered array of flag texts."""
+# Flag columns in flag order: (column name, flag text).
+FLAG_COLUMNS = (("f_stale", C.FLAG_STALE), ("f_single", C.FLAG_SINGLE), ("f_no_next", C.FLAG_NO_NEXT),
+                ("f_no_eb", C.FLAG_NO_EB), ("f_late", C.FLAG_LATE_WEAK))
+_FLAG_COL = {text: name for name, text in FLAG_COLUMNS}
+_SEP = "\u0001"
+
+
+def risk_flag_columns(days: Column, n_contacts: Column, next_step: Column, has_e: Column,
+                      stage: Column, score: Column, cfg: C.ReviewConfig) -> dict[str, Column]:
+    """F13 as five boolean columns (plain predicates, no arrays in the hot path);
+    ``has_e`` is the already-computed economic-buyer test (F10 of e_buyer)."""
     stale = (days > cfg.stale_days)
     if cfg.null_contact_is_stale:
         stale = days.isNull() | stale
-    stale = F.coalesce(stale, F.lit(False))
-    single = n_contacts.isNull() | (n_contacts <= 1)
-    late = F.coalesce(stage.isin(*C.LATE_STAGES) & (score < cfg.min_score), F.lit(False))
-    return F.filter(F.array(
-        F.when(stale, C.FLAG_STALE),
-        F.when(single, C.FLAG_SINGLE),
-        F.when(~has(next_step), C.FLAG_NO_NEXT),
-        F.when(~yes(e_buyer), C.FLAG_NO_EB),
-        F.when(late, C.FLAG_LATE_WEAK)), lambda x: x.isNotNull())
+    return {
+        "f_stale": F.coalesce(stale, F.lit(False)),
+        "f_single": n_contacts.isNull() | (n_contacts <= 1),
+        "f_no_next": ~has(next_step),
+        "f_no_eb": ~has_e,
+        "f_late": F.coalesce(stage.isin(*C.LATE_STAGES) & (score < cfg.min_score), F.lit(False)),
+    }
+
+
+def flag(text: str) -> Column:
+    return F.col(_FLAG_COL[text])
+
+
+def risk_count() -> Column:
+    return sum(F.col(name).cast("int") for name, _ in FLAG_COLUMNS)
+
+
+def risk_flags() -> Column:
+    """F13 as the ordered array of flag texts (built only where a query reads it)."""
+    joined = F.concat_ws(_SEP, *[F.when(F.col(n), F.lit(t)) for n, t in FLAG_COLUMNS])
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, _SEP))
+
+
+def flags_text() -> Column:
+    """Flags joined by ', ' ('—' when none), for reports."""
+    joined = F.concat_ws(", ", *[F.when(F.col(n), F.lit(t)) for n, t in FLAG_COLUMNS])
+    return F.when(joined == "", F.lit(C.DASH)).otherwise(joined)
 
 
-def flagged(flags: Column, flag: str) -> Column:
-    return F.array_contains(flags, flag)
+def first_flag() -> Column:
+    """Text of the first raised flag in flag order (NULL when none)."""
+    return _chain([(F.col(n), F.lit(t)) for n, t in FLAG_COLUMNS], F.lit(None).cast("string"))
 
 
-def rag(flags: Column, score: Column, cfg: C.ReviewConfig) -> Column:
+def rag(count: Column, score: Column, cfg: C.ReviewConfig) -> Column:
     """F14."""
-    n = F.size(flags)
-    return (F.when((n >= 3) | flagged(flags, C.FLAG_STALE), "Red")
-            .when((n == 2) | (score < cfg.min_score), "Yellow")
+    return (F.when((count >= 3) | flag(C.FLAG_STALE), "Red")
+            .when((count == 2) | (score < cfg.min_score), "Yellow")
             .otherwise("Green"))
 
 
-def confidence(flags: Column, score: Column, days: Column, cfg: C.ReviewConfig) -> Column:
+def confidence(count: Column, score: Column, days: Column, cfg: C.ReviewConfig) -> Column:
     """100 - 15/flag - 5/missing score point - 10 if silent > 30 days, in 5..100."""
-    s = (F.lit(100) - F.size(flags) * 15 - F.greatest(F.lit(0), 5 - score) * 5
+    s = (F.lit(100) - count * 15 - F.greatest(F.lit(0), 5 - score) * 5
          - F.when(F.coalesce(days > cfg.long_silence_days, F.lit(False)), 10).otherwise(0))
     return F.greatest(F.lit(5), F.least(F.lit(100), s))
 
 
-def recommended_category(cat: Column, rag_c: Column, score: Column, flags: Column,
+def recommended_category(cat: Column, rag_c: Column, score: Column, count: Column,
                          cfg: C.ReviewConfig) -> Column:
     """F16: first matching rule wins."""
     red = rag_c == "Red"
-    return (F.when((cat == "Commit") & (red | (score < cfg.min_score) | flagged(flags, C.FLAG_STALE)),
+    return (F.when((cat == "Commit") & (red | (score < cfg.min_score) | flag(C.FLAG_STALE)),
                    C.REC_DOWN_TO_BEST)
             .when((cat == "Best Case") & red, C.REC_DOWN_TO_PIPELINE)
             .when(cat.isin("Pipeline", C.NOT_FORECASTED) & (rag_c == "Green")
                   & (score >= cfg.upgrade_score), C.REC_UPGRADE)
             .when(cat.isin("Pipeline", "Best Case", "Commit") & red & (score <= cfg.remove_score),
                   C.REC_REMOVE)
-            .when(F.size(flags) >= 3, C.REC_ESCALATE)
+            .when(count >= 3, C.REC_ESCALATE)
             .otherwise(C.REC_KEEP))
 
 
-def recommended_reason(rag_c: Column, score: Column, flags: Column, cfg: C.ReviewConfig) -> Column:
+def recommended_reason(rag_c: Column, score: Column, cfg: C.ReviewConfig) -> Column:
     """comma list of evidence; 'clean evidence' for a clean Green; else an em dash."""
     bits = F.concat_ws(
         ", ",
         F.when(score < cfg.min_score, F.concat(F.lit("MEDDPICC "), score.cast("string"), F.lit("/5"))),
-        F.when(flagged(flags, C.FLAG_STALE), C.REASON_STALE),
-        F.when(flagged(flags, C.FLAG_NO_EB), C.REASON_NO_EB),
-        F.when(flagged(flags, C.FLAG_SINGLE), C.REASON_SINGLE),
-        F.when(flagged(flags, C.FLAG_NO_NEXT), C.REASON_NO_NEXT))
+        F.when(flag(C.FLAG_STALE), C.REASON_STALE),
+        F.when(flag(C.FLAG_NO_EB), C.REASON_NO_EB),
+        F.when(flag(C.FLAG_SINGLE), C.REASON_SINGLE),
+        F.when(flag(C.FLAG_NO_NEXT), C.REASON_NO_NEXT))
     return (F.when(bits != "", bits)
             .when(rag_c == "Green", C.REASON_CLEAN)
             .otherwise(C.DASH))
 
 
-def recommended_action(flags: Column) -> Column:
+def recommended_action() -> Column:
     """action of the highest-priority flag present (priority differs from flag order)."""
-    return _chain([(flagged(flags, f), C.ACTION_TEXT[f]) for f in C.ACTION_PRIORITY],
-                  C.ACTION_ON_TRACK)
+    return _chain([(flag(f), C.ACTION_TEXT[f]) for f in C.ACTION_PRIORITY], C.ACTION_ON_TRACK)
 
 
-def support_ask(flags: Column) -> Column:
-    """Executive-support ask: text of the first flag (in flag order) of a pod's biggest risk."""
-    first = F.element_at(flags, 1)
-    out = F.when(flags.isNull() | (F.size(flags) == 0), C.SUPPORT_NONE)
-    for f, text in C.SUPPORT_TEXT.items():
-        out = out.when(first == f, text)
-    return out.otherwise("Deal inspection")
+def support_ask(first: Column) -> Column:
+    """Executive-support ask named by the first flag of a pod's biggest risk."""
+    return _chain([(first.isNull(), F.lit(C.SUPPORT_NONE))]
+                  + [(first == f, F.lit(text)) for f, text in C.SUPPORT_TEXT.items()], F.lit("Deal inspection"))
 
 
 def partner_display(partner: Column, fallback: str) -> Column:

@@ -30,10 +30,7 @@ def happened(meeting: Column) -> Column:
 def enrich_qtd(base: DataFrame, cfg: ReviewConfig) -> DataFrame:
     """Market / GTM / product buckets and the four funnel event flags."""
     qs, td = pacing(cfg.today).quarter_start, cfg.today
-    return base.withColumns({
-        "market": dims.market_of_eco(F.col("erp")),
-        "gtm": dims.gtm(F.col("gtm_raw")),
-        "product": dims.product(F.col("use_case")),
+    return dims.with_buckets(base, erp=None, eco="erp").withColumns({
         "arr": F.coalesce(F.col("arr"), zero()),
         "acv": F.coalesce(F.col("acv"), zero()),
         "is_sql": in_range(F.col("create_d"), qs, td),

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from dealflow import config as C
 from dealflow.config import ReviewConfig
-from dealflow.functions.rules import support_ask
+from dealflow.functions.rules import first_flag, support_ask
 from dealflow.functions.text import money_or_dash
 
 
@@ -51,7 +51,7 @@ def pod_detail(scored: DataFrame) -> DataFrame:
     among all), biggest risk (largest ACV among Red) and the exec-support ask named by the
     first risk flag of that deal."""
     winner = (F.col("forecast_cat") == "Commit") | (F.col("rag") == "Green")
-    deal = F.struct("dealname", "acv", "risk_flags")
+    deal = F.struct("dealname", "acv", first_flag().alias("first_flag"))
     g = scored.groupBy("pod").agg(
         F.count("deal_id").alias("deals"), F.coalesce(F.sum("acv"), F.lit(0)).alias("acv"),
         *_rag_counts(),
@@ -65,7 +65,7 @@ def pod_detail(scored: DataFrame) -> DataFrame:
         _deal_label(win).alias("biggest_win"),
         _deal_label(F.col("risk")).alias("biggest_risk"),
         F.when(F.col("risk").isNull(), F.lit(C.SUPPORT_NONE))
-         .otherwise(support_ask(F.col("risk.risk_flags"))).alias("exec_support"))
+         .otherwise(support_ask(F.col("risk.first_flag"))).alias("exec_support"))
 
 
 def pod_reviews(scored: DataFrame, cfg: ReviewConfig) -> DataFrame:

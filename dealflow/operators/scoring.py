@@ -65,13 +65,14 @@ def qualification(df: DataFrame, cfg: ReviewConfig) -> DataFrame:
         "has_Champ": rules.yes(F.col("champion")),
     })
     d = d.withColumn("meddpicc", sum(F.col(c).cast("int") for c in ("has_M", "has_E", "has_D", "has_I", "has_C")))
-    d = d.withColumn("risk_flags", rules.risk_flags(
-        F.col("days_since_contact"), F.col("n_contacts"), F.col("next_step"), F.col("e_buyer"),
+    d = d.withColumns(rules.risk_flag_columns(
+        F.col("days_since_contact"), F.col("n_contacts"), F.col("next_step"), F.col("has_E"),
         F.col("stage"), F.col("meddpicc"), cfg))
+    d = d.withColumn("risk_count", rules.risk_count())
     d = d.withColumns({
-        "risk_count": F.size("risk_flags"),
-        "rag": rules.rag(F.col("risk_flags"), F.col("meddpicc"), cfg),
-        "confidence": rules.confidence(F.col("risk_flags"), F.col("meddpicc"),
+        "risk_flags": rules.risk_flags(),
+        "rag": rules.rag(F.col("risk_count"), F.col("meddpicc"), cfg),
+        "confidence": rules.confidence(F.col("risk_count"), F.col("meddpicc"),
                                        F.col("days_since_contact"), cfg),
     })
     return d
@@ -81,10 +82,10 @@ def recommendations(df: DataFrame, cfg: ReviewConfig) -> DataFrame:
     """F16-F19."""
     return df.withColumns({
         "partner_flag": rules.has(F.col("partner")),
-        "action": rules.recommended_action(F.col("risk_flags")),
+        "action": rules.recommended_action(),
         "rec_category": rules.recommended_category(F.col("forecast_cat"), F.col("rag"),
-                                                   F.col("meddpicc"), F.col("risk_flags"), cfg),
-        "rec_reason": rules.recommended_reason(F.col("rag"), F.col("meddpicc"), F.col("risk_flags"), cfg),
+                                                   F.col("meddpicc"), F.col("risk_count"), cfg),
+        "rec_reason": rules.recommended_reason(F.col("rag"), F.col("meddpicc"), cfg),
         "partner_disp": rules.partner_display(F.col("partner"), C.DASH),
     })
 
@@ -93,11 +94,7 @@ def score_open_deals(open_scan: DataFrame, owner_dim: DataFrame, deal_sentiment:
                      cfg: ReviewConfig) -> DataFrame:
     """The enriched open pipeline: buckets, forecast fields, owner, score, RAG, sentiment
     and the recommendation columns, one row per open deal."""
-    d = with_stage(open_scan, cfg).withColumns({
-        "market": dims.market(F.col("erp_raw")),
-        "product": dims.product(F.col("use_case")),
-        "gtm": dims.gtm(F.col("gtm_raw")),
-    })
+    d = dims.with_buckets(with_stage(open_scan, cfg))
     d = forecast_fields(d)
     d = with_owner(d, owner_dim)
     d = qualification(d, cfg)
@@ -105,6 +102,6 @@ def score_open_deals(open_scan: DataFrame, owner_dim: DataFrame, deal_sentiment:
     return recommendations(d, cfg)
 
 
-def flags_text(flags) -> F.Column:
+def flags_text() -> F.Column:
     """Risk flags as one comma-separated text ('—' when none), for reports and the oracle."""
-    return F.when(F.size(flags) > 0, F.array_join(flags, ", ")).otherwise(C.DASH)
+    return rules.flags_text()

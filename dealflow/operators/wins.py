@@ -13,9 +13,7 @@ def closed_won(won_scan: DataFrame, owner_dim: DataFrame) -> DataFrame:
     """Wins with market, product, owner name ('Unassigned' when unknown), partner or
     'Direct', and money filled with 0."""
     j = won_scan.join(owner_dim.select("owner_id", "owner_name"), "owner_id", "left")
-    return j.withColumns({
-        "market": dims.market(F.col("erp_raw")),
-        "product": dims.product(F.col("use_case")),
+    return dims.with_buckets(j, gtm_src=None).withColumns({
         "owner_name": F.coalesce(F.col("owner_name"), F.lit("Unassigned")),
         "partner_disp": rules.partner_display(F.col("partner"), "Direct"),
         "arr": F.coalesce(F.col("arr"), F.lit(0).cast("decimal(18,2)")),

@@ -16,6 +16,9 @@ from dealflow.functions.pacing import Pacing, pacing
 from dealflow.sources import fixtures, readers
 
 
+_REVIEWS: dict = {}
+
+
 class Review:
     """Sources and derived frames of one review, keyed by an as-of date in ``cfg``."""
 
@@ -30,8 +33,17 @@ class Review:
     @classmethod
     def from_test_tables(cls, spark: SparkSession, sf_dir: str,
                          cfg: ReviewConfig = DEFAULT_CONFIG) -> "Review":
-        return cls(spark, fixtures.deals(spark, sf_dir), fixtures.owners(spark, sf_dir),
-                   fixtures.sentiment(spark, sf_dir), cfg)
+        """The review over the test tables under ``sf_dir``. Memoised per session, folder
+        and config: the shared logical plans (deal derivation, scoring chain) are built once
+        and reused by every query of the session; they stay lazy, so each query still runs
+        its own job over the full tables."""
+        key = (id(spark), sf_dir, cfg)
+        r = _REVIEWS.get(key)
+        if r is None or r.spark is not spark:
+            r = cls(spark, fixtures.deals(spark, sf_dir), fixtures.owners(spark, sf_dir),
+                    fixtures.sentiment(spark, sf_dir), cfg)
+            _REVIEWS[key] = r
+        return r
 
     @property
     def pacing(self) -> Pacing:

@@ -58,10 +58,8 @@ def _enrich_qtd(r: Review) -> DataFrame:
 @query("dim_buckets")
 def _dim_buckets(r: Review) -> DataFrame:
     """F1-F4 over every deal (no hygiene)."""
-    eco = dims.eco_label(F.col("erp_raw"))
-    return r.deals.select("deal_id", eco.alias("eco"), dims.market_of_eco(eco).alias("market"),
-                          dims.gtm(F.col("gtm_raw")).alias("gtm"),
-                          dims.product(F.col("use_case")).alias("product"))
+    d = r.deals.select("deal_id", dims.eco_label(F.col("erp_raw")).alias("eco"), "gtm_raw", "use_case")
+    return dims.with_buckets(d, erp=None, eco="eco").select("deal_id", "eco", "market", "gtm", "product")
 
 
 @query("pacing")
@@ -210,7 +208,7 @@ def _deal_scoring(r: Review) -> DataFrame:
     """F9-F15."""
     return r.open_scored.select("deal_id", "days_since_contact", "has_M", "has_E", "has_D", "has_I",
                                 "has_C", "has_Champ", "meddpicc",
-                                scoring.flags_text(F.col("risk_flags")).alias("risk_flags"),
+                                scoring.flags_text().alias("risk_flags"),
                                 "risk_count", "rag", "confidence")
 
 
@@ -248,7 +246,7 @@ def _watchlist(r: Review) -> DataFrame:
         F.concat(F.col("meddpicc").cast("string"), F.lit("/5")).alias("meddpicc"),
         F.when(F.col("gong_sentiment").isNull(), F.lit(C.DASH))
          .otherwise(signed(F.col("gong_sentiment"), 2)).alias("gong"),
-        scoring.flags_text(F.col("risk_flags")).alias("risk_flags"),
+        scoring.flags_text().alias("risk_flags"),
         F.col("partner_disp").alias("partner"), "action", url.alias("deal_url"))
 
 

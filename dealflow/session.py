@@ -15,6 +15,9 @@ from pyspark.sql import SparkSession
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # Generated methods above 8000 bytes are never JIT-compiled by HotSpot and run
+    # interpreted; at this limit Spark splits such stages instead (documented advice).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # Scale settings: AQE re-plans joins from runtime sizes (an owner or spine side becomes a
@@ -34,7 +37,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", os.environ.get("DEALFLOW_DRIVER_MEMORY", "8g")))
+               .config("spark.driver.memory", os.environ.get("DEALFLOW_DRIVER_MEMORY", "8g"))
+               .config("spark.driver.extraJavaOptions",
+                       os.environ.get("DEALFLOW_JAVA_OPTS", "-XX:-DontCompileHugeMethods")))
     for k, v in {**REQUIRED_CONF, **SCALE_CONF}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
