@@ -90,18 +90,21 @@ def recommendations(df: DataFrame, cfg: ReviewConfig) -> DataFrame:
     })
 
 
-def score_open_deals(open_scan: DataFrame, owner_dim: DataFrame, deal_sentiment: DataFrame,
-                     cfg: ReviewConfig) -> DataFrame:
-    """The enriched open pipeline: buckets, forecast fields, owner, score, RAG, sentiment
-    and the recommendation columns, one row per open deal."""
+def score_open_deals(open_scan: DataFrame, owner_dim: DataFrame, cfg: ReviewConfig) -> DataFrame:
+    """The enriched open pipeline without call sentiment: buckets, forecast fields, owner,
+    score, flags, RAG, confidence and the recommendation columns, one row per open deal."""
     d = dims.with_buckets(with_stage(open_scan, cfg))
     d = forecast_fields(d)
     d = with_owner(d, owner_dim)
     d = qualification(d, cfg)
-    d = with_sentiment(d, deal_sentiment)
     return recommendations(d, cfg)
 
 
+def finish_scoring(core: DataFrame, deal_sentiment: DataFrame, cfg: ReviewConfig) -> DataFrame:
+    """J2 on the scored deals."""
+    return with_sentiment(core, deal_sentiment)
+
+
 def flags_text() -> F.Column:
     """Risk flags as one comma-separated text ('—' when none), for reports and the oracle."""
     return rules.flags_text()

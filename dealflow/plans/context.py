@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from dealflow.config import DEFAULT_CONFIG, ReviewConfig
 from dealflow.functions.pacing import Pacing, pacing
+from dealflow.session import materialize
 from dealflow.sources import fixtures, readers
 
 
@@ -73,10 +74,24 @@ class Review:
         return readers.deal_sentiment(self.sentiment, self.spark)
 
     @cached_property
-    def open_scored(self) -> DataFrame:
+    def open_core(self) -> DataFrame:
+        """Scored open deals without the call-sentiment columns."""
         from dealflow.operators.scoring import score_open_deals
-        return score_open_deals(readers.open_deals_scan(self.deals, self.cfg), self.owner_dim,
-                                self.deal_sentiment, self.cfg)
+        return score_open_deals(readers.open_deals_scan(self.deals, self.cfg), self.owner_dim, self.cfg)
+
+    @cached_property
+    def open_scored(self) -> DataFrame:
+        """Scored open deals with call sentiment (J2); queries that read no sentiment column
+        lose the join in optimisation (left join on a unique key, nothing referenced)."""
+        from dealflow.operators.scoring import finish_scoring
+        return finish_scoring(self.open_core, self.deal_sentiment, self.cfg)
+
+    def sentiment_for(self, deals: DataFrame) -> DataFrame:
+        """A10 restricted to a bounded set of deals (e.g. a top-N): the deal ids are
+        broadcast into a semi-join before the aggregation, so only their calls are read."""
+        from pyspark.sql import functions as F
+        ids = F.broadcast(deals.select(F.col("deal_id").cast("string").alias("deal_id")))
+        return readers.deal_sentiment(self.sentiment.join(ids, "deal_id", "left_semi"), self.spark)
 
     @cached_property
     def won(self) -> DataFrame:
@@ -87,8 +102,9 @@ class Review:
     # ---- state tables (derived by rule from the deals; see sources/state_fixtures.py) -----
     @cached_property
     def goals(self) -> DataFrame:
+        """Stored goals (a state table): derived once, then read from the checkpoint folder."""
         from dealflow.sources.state_fixtures import derived_goals
-        return derived_goals(self.clean)
+        return materialize(derived_goals(self.clean))
 
     @cached_property
     def hist(self) -> DataFrame:
@@ -99,17 +115,19 @@ class Review:
     @cached_property
     def snapshot_seed(self) -> DataFrame:
         from dealflow.sources.state_fixtures import snapshot_seed
-        return snapshot_seed(self.open_scored, self.cfg)
+        return snapshot_seed(self.open_core, self.cfg)
 
     @cached_property
     def snapshot_store(self) -> DataFrame:
+        """The stored weekly snapshots (a state table) after this run's sync."""
         from dealflow.operators.state import sync
-        return sync(self.snapshot_seed, self.hist)
+        return materialize(sync(self.snapshot_seed, self.hist))
 
     @cached_property
     def actions(self) -> DataFrame:
+        """The stored actions log (a state table)."""
         from dealflow.sources.state_fixtures import derived_actions
-        return derived_actions(self.open_scored)
+        return materialize(derived_actions(self.open_core))
 
 
 def to_output(df: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from dealflow.functions.quarters import pacing_columns
 from dealflow.operators import funnel
 from dealflow.operators.hygiene import hygiene
 from dealflow.plans.context import Review, to_output
+from dealflow.session import materialize
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -186,7 +187,7 @@ def _deal_sentiment(r: Review) -> DataFrame:
 @query("deals_with_owner")
 def _deals_with_owner(r: Review) -> DataFrame:
     """J1."""
-    return r.open_scored.select("deal_id", "owner_id", "owner_name", "pod")
+    return r.open_core.select("deal_id", "owner_id", "owner_name", "pod")
 
 
 @query("deals_with_sentiment")
@@ -199,14 +200,14 @@ def _deals_with_sentiment(r: Review) -> DataFrame:
 @query("forecast_fields")
 def _forecast_fields(r: Review) -> DataFrame:
     """F5-F8."""
-    return r.open_scored.select("deal_id", "forecast_cat", "is_forecasted", "fcat_disp", "prob",
+    return r.open_core.select("deal_id", "forecast_cat", "is_forecasted", "fcat_disp", "prob",
                                 "weighted_acv", "market", "product", "gtm")
 
 
 @query("deal_scoring")
 def _deal_scoring(r: Review) -> DataFrame:
     """F9-F15."""
-    return r.open_scored.select("deal_id", "days_since_contact", "has_M", "has_E", "has_D", "has_I",
+    return r.open_core.select("deal_id", "days_since_contact", "has_M", "has_E", "has_D", "has_I",
                                 "has_C", "has_Champ", "meddpicc",
                                 scoring.flags_text().alias("risk_flags"),
                                 "risk_count", "rag", "confidence")
@@ -215,14 +216,14 @@ def _deal_scoring(r: Review) -> DataFrame:
 @query("deal_recommendations")
 def _deal_recommendations(r: Review) -> DataFrame:
     """F16-F19."""
-    return r.open_scored.select("deal_id", "rec_category", "rec_reason", "action",
+    return r.open_core.select("deal_id", "rec_category", "rec_reason", "action",
                                 "partner_disp", "partner_flag")
 
 
 @query("open_pipeline_full")
 def _open_pipeline_full(r: Review) -> DataFrame:
     """The full open pipeline with the 15 review columns."""
-    return r.open_scored.select("deal_id", "dealname", "stage", "forecast_cat", "rec_category", "market",
+    return r.open_core.select("deal_id", "dealname", "stage", "forecast_cat", "rec_category", "market",
                                 "product", "gtm", "acv", "owner_name", "pod", "meddpicc", "rag",
                                 "confidence", "days_since_contact", "action")
 
@@ -235,7 +236,10 @@ def _top_deals(scored: DataFrame, n: int) -> DataFrame:
 @query("watchlist")
 def _watchlist(r: Review) -> DataFrame:
     """T3 + F29: top 12 Red/Yellow deals by ACV with the 16 display columns."""
-    top = _top_deals(r.open_scored.where(F.col("rag").isin("Red", "Yellow")), r.cfg.watchlist_n)
+    # top-N first (the order needs no sentiment), written once (<= 40 rows), then sentiment
+    # aggregated for those N deals only instead of for every deal
+    top = materialize(_top_deals(r.open_core.where(F.col("rag").isin("Red", "Yellow")), r.cfg.watchlist_n))
+    top = scoring.with_sentiment(top, r.sentiment_for(top))
     url = F.replace(F.lit(r.cfg.deal_url_template), F.lit("{deal_id}"), F.col("deal_id").cast("string"))
     return top.select(
         "deal_id", F.col("dealname").alias("deal"), F.col("owner_name").alias("owner"), "acv",
@@ -253,7 +257,7 @@ def _watchlist(r: Review) -> DataFrame:
 @query("top_red")
 def _top_red(r: Review) -> DataFrame:
     """T5: the five largest Red deals."""
-    return _top_deals(r.open_scored.where(F.col("rag") == "Red"), r.cfg.top_red_n) \
+    return _top_deals(r.open_core.where(F.col("rag") == "Red"), r.cfg.top_red_n) \
         .select("deal_id", "dealname", "stage", "acv", "owner_name", "risk_count", "meddpicc")
 
 
@@ -261,57 +265,57 @@ def _top_red(r: Review) -> DataFrame:
 
 @query("forecast_rollup")
 def _forecast_rollup(r: Review) -> DataFrame:
-    return forecast.forecast_rollup(r.open_scored)
+    return forecast.forecast_rollup(r.open_core)
 
 
 @query("forecast_windows")
 def _forecast_windows(r: Review) -> DataFrame:
-    return forecast.forecast_windows(r.open_scored, r.cfg)
+    return forecast.forecast_windows(r.open_core, r.cfg)
 
 
 @query("forecast_hygiene")
 def _forecast_hygiene(r: Review) -> DataFrame:
-    return forecast.forecast_hygiene(r.open_scored, r.cfg)
+    return forecast.forecast_hygiene(r.open_core, r.cfg)
 
 
 @query("market_forecast")
 def _market_forecast(r: Review) -> DataFrame:
-    return forecast.category_by(r.open_scored, "market")
+    return forecast.category_by(r.open_core, "market")
 
 
 @query("product_forecast")
 def _product_forecast(r: Review) -> DataFrame:
-    return forecast.category_by(r.open_scored, "product")
+    return forecast.category_by(r.open_core, "product")
 
 
 @query("open_by_market")
 def _open_by_market(r: Review) -> DataFrame:
-    return forecast.open_by_market(r.open_scored)
+    return forecast.open_by_market(r.open_core)
 
 
 @query("open_by_gtm")
 def _open_by_gtm(r: Review) -> DataFrame:
-    return forecast.open_by_gtm(r.open_scored)
+    return forecast.open_by_gtm(r.open_core)
 
 
 @query("open_mix_product")
 def _open_mix_product(r: Review) -> DataFrame:
-    return forecast.open_mix_product(r.open_scored)
+    return forecast.open_mix_product(r.open_core)
 
 
 @query("open_matrix")
 def _open_matrix(r: Review) -> DataFrame:
-    return forecast.open_matrix(r.open_scored)
+    return forecast.open_matrix(r.open_core)
 
 
 @query("market_commit_vs_risk")
 def _market_commit_vs_risk(r: Review) -> DataFrame:
-    return forecast.market_commit_vs_risk(r.open_scored)
+    return forecast.market_commit_vs_risk(r.open_core)
 
 
 @query("rag_distribution")
 def _rag_distribution(r: Review) -> DataFrame:
-    return forecast.rag_distribution(r.open_scored)
+    return forecast.rag_distribution(r.open_core)
 
 
 @query("open_quality_stats")
@@ -323,17 +327,17 @@ def _open_quality_stats(r: Review) -> DataFrame:
 
 @query("pod_summary")
 def _pod_summary(r: Review) -> DataFrame:
-    return pods.pod_summary(r.open_scored)
+    return pods.pod_summary(r.open_core)
 
 
 @query("pod_detail")
 def _pod_detail(r: Review) -> DataFrame:
-    return pods.pod_detail(r.open_scored)
+    return pods.pod_detail(r.open_core)
 
 
 @query("pod_reviews")
 def _pod_reviews(r: Review) -> DataFrame:
-    return pods.pod_reviews(r.open_scored, r.cfg)
+    return pods.pod_reviews(r.open_core, r.cfg)
 
 
 # ---- Wins (S3, A20-A23) --------------------------------------------------------------
@@ -482,7 +486,7 @@ def _actions_list(r: Review) -> DataFrame:
 @query("actions_add")
 def _actions_add(r: Review) -> DataFrame:
     """Add a follow-up for the largest Red deal to the current quarter's Booking list."""
-    top = r.open_scored.where(F.col("rag") == "Red") \
+    top = r.open_core.where(F.col("rag") == "Red") \
                        .orderBy(F.col("acv").desc_nulls_last(), F.col("deal_id")).limit(1)
     items = top.select(F.lit(r.pacing.quarter_key).alias("quarter"), F.lit("Booking").alias("meeting"),
                        F.concat(F.lit("Review "), F.col("dealname")).alias("text"),
@@ -495,7 +499,7 @@ def _actions_replace(r: Review) -> DataFrame:
     """U8 + U9: replace the current quarter's Booking list by one item per pod review card
     (a pod with nothing to ask gives a blank item, which the save rule drops)."""
     from dealflow.operators.pods import pod_detail
-    pd_ = pod_detail(r.open_scored)
+    pd_ = pod_detail(r.open_core)
     items = pd_.select(
         F.dense_rank().over(Window.orderBy("pod")).cast("bigint").alias("pos"),
         F.when(F.col("exec_support") == C.SUPPORT_NONE, F.lit(""))

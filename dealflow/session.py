@@ -54,11 +54,22 @@ def apply_required_conf(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared ``spark.checkpoint.dir`` if set; otherwise (local runs and tests
-    only) a fresh scratch folder."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    """The checkpoint folder: the one already set on the context, else the cluster's shared
+    ``spark.checkpoint.dir``; only when neither is set (local runs and tests) a fresh
+    scratch folder."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    current = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="dealflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    sc.setCheckpointDir(current)
     return current
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` once to the shared checkpoint folder and read it back
+    (a reliable checkpoint survives executor loss; never a node-local cache)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
