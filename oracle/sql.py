@@ -1000,3 +1000,67 @@ SELECT label, CAST(ord AS INTEGER) AS ord, last_week, now, round(d, 2) AS delta,
        {_money("now")} AS now_text,
        CASE WHEN d IS NULL THEN '—' ELSE (CASE WHEN d >= 0 THEN '+' ELSE '' END) || {_money("d")} END AS delta_text
 FROM j"""
+
+ORACLE_SQL["decisions"] = f"""{_COV.replace(STATE, _MS + SPINE_GTM, 1)}
+, hy AS (SELECT count(*) AS n_open, count(*) FILTER (WHERE is_forecasted) AS categorized FROM scored)
+, tof AS (
+  SELECT t.sql_booked, CAST(t.sql_booked AS DOUBLE) / (53.3 / 100) AS proj, CAST(t.bookings_arr AS DOUBLE) AS bk,
+         (SELECT goal_total FROM gtot WHERE metric = 'sql_booked') AS plan_s,
+         (SELECT goal_total FROM gtot WHERE metric = 'bookings_arr') AS plan_b
+  FROM totals t)
+, tof2 AS (SELECT *, round(100 * bk / nullif(plan_b, 0.0), 6) AS bk_att FROM tof)
+, lead AS (SELECT market, bookings_arr FROM mspine ORDER BY bookings_arr DESC, ord LIMIT 1)
+, lag AS (SELECT market, bookings_arr FROM mspine WHERE market <> 'Other' ORDER BY bookings_arr, ord LIMIT 1)
+, top_e AS (SELECT gtm FROM gspine ORDER BY sql_booked DESC, ord LIMIT 1)
+, cm AS (SELECT market, sum(acv) AS acv FROM scored WHERE forecast_cat = 'Commit' GROUP BY market
+         ORDER BY coalesce(sum(acv), 0) DESC, market LIMIT 1)
+, rm AS (SELECT market, sum(acv) AS acv FROM scored WHERE rag = 'Red' GROUP BY market
+         ORDER BY coalesce(sum(acv), 0) DESC, market LIMIT 1)
+, bf AS (
+  SELECT c.*, bk.bk_commit, bk.bk_best, round(100 * bk.bk_commit / nullif(c.plan, 0.0), 6) AS q_att,
+         hy.n_open, hy.categorized
+  FROM cov c, bk, hy)
+SELECT 'tof_summary' AS section, 0 AS ord, 'Will we create enough future revenue?' AS question,
+       'SQL-Booked ' || {_grouped("sql_booked")} || ', projecting ' || {_grouped("proj")} || ' by quarter-end'
+         || CASE WHEN plan_s <> 0 THEN ' vs ' || {_grouped("plan_s")} || ' plan' ELSE '' END
+         || '; Bookings ' || {_money("bk")}
+         || CASE WHEN bk_att IS NOT NULL THEN ' = ' || {_fixed0("bk_att")} || '% of plan at 53% elapsed' ELSE '' END
+         || '.' AS read,
+       CASE WHEN plan_s <> 0 AND proj < plan_s
+            THEN 'Pipeline creation is behind pace — increase BDR/Channel investment or intervene.'
+            ELSE 'Top-of-funnel is on/above pace — hold investment and protect conversion.' END AS decision
+FROM tof2
+UNION ALL
+SELECT 'market', 1, 'Where is growth coming from, and where is it slowing?',
+       lead.market || ' leads bookings (' || {_money("lead.bookings_arr")} || '); ' || lag.market
+         || ' is the softest strategic market (' || {_money("lag.bookings_arr")} || ').',
+       'Direct review time to ' || lag.market || '; confirm whether it''s a pipeline-creation or conversion problem.'
+FROM lead, lag
+UNION ALL
+SELECT 'gtm', 2, 'Which acquisition engine is producing repeatable pipeline?',
+       top_e.gtm || ' creates the most SQL-Booked; Channel contributes '
+         || CAST((SELECT sql_booked FROM gspine WHERE gtm = 'Channels') AS VARCHAR)
+         || ' (our highest-priority growth lever).',
+       'If Channel is under-indexing, prioritize partner enablement; otherwise double down on the leading engine.'
+FROM top_e
+UNION ALL
+SELECT 'booking_forecast', 3, 'Will we hit the number?',
+       'Commit ' || {_money("bk_commit")}
+         || CASE WHEN q_att IS NOT NULL THEN ' = ' || {_fixed0("q_att")} || '% of plan' ELSE '' END
+         || '; Commit+Best ' || {_money("bk_commit + bk_best")} || '; coverage '
+         || CASE WHEN coverage IS NULL THEN '—' ELSE printf('%.1f', coverage) || '×' END
+         || ' of the ' || {_money("gap")} || ' gap; ' || CAST(categorized AS VARCHAR) || '/' || CAST(n_open AS VARCHAR)
+         || ' open deals carry a rep forecast category.',
+       CASE WHEN q_att IS NULL OR q_att < 53.3
+            THEN 'Pressure-test Commit deals flagged for downgrade and pull Best Case upside forward.'
+            ELSE 'On pace — protect Commit and convert Best Case.' END
+         || CASE WHEN coverage IS NULL OR coverage >= 3 THEN '' ELSE ' Coverage is thin — accelerate pipeline creation / channel.' END
+FROM bf
+UNION ALL
+SELECT 'market_forecast', 4, 'Which markets carry the forecast — and the risk?',
+       coalesce((SELECT market FROM cm), '—') || ' holds the most Commit ACV'
+         || coalesce(' (' || (SELECT {_money("acv")} FROM cm) || ')', '')
+         || '; ' || coalesce((SELECT market FROM rm), '—') || ' carries the most at-risk (Red) open ACV'
+         || coalesce(' (' || (SELECT {_money("acv")} FROM rm) || ')', '') || '.',
+       'Inspect Red-heavy ' || coalesce((SELECT market FROM rm), '—') || ' deals this week; confirm '
+         || coalesce((SELECT market FROM cm), '—') || ' Commit isn''t single-deal dependent.'"""
