@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dealflow import config as C
+from dealflow.functions.text import strip
 
 GOAL_KEY = ["quarter", "market", "metric"]
 SNAPSHOT_KEY = ["snapshot_date", "metric"]
@@ -120,23 +121,23 @@ def actions_list(actions: DataFrame, quarter: str, meeting: str) -> DataFrame:
     return actions.where((F.col("quarter") == quarter) & (F.col("meeting") == meeting)).orderBy("pos")
 
 
-def actions_add(actions: DataFrame, items: DataFrame, added: dt.date) -> DataFrame:
-    """Append items (quarter, meeting, text, owner[, status]) after the current last
-    position of their list; status defaults to Open; stamped with ``added`` (a parameter,
-    not the wall clock). Positions come from an equi-join on the list key."""
+def actions_add(actions: DataFrame, quarter: str, meeting: str, items: DataFrame, added: dt.date) -> DataFrame:
+    """Append items (text, owner[, status]) to the list of (quarter, meeting) after its
+    current last position; status defaults to Open; stamped with ``added`` (a parameter,
+    not the wall clock). The last position is a scalar subquery (one aggregate)."""
     if "status" not in items.columns:
         items = items.withColumn("status", F.lit("Open"))
-    last = actions.groupBy(*ACTION_KEY).agg(F.max("pos").alias("last_pos"))
-    w = Window.partitionBy(*ACTION_KEY).orderBy("text", "owner")
-    new = (items.join(last, ACTION_KEY, "left")
-           .withColumn("pos", (F.coalesce(F.col("last_pos"), F.lit(0)) + F.row_number().over(w)).cast("bigint"))
-           .withColumn("added", F.lit(added)))
+    last = actions.where((F.col("quarter") == quarter) & (F.col("meeting") == meeting)) \
+                  .agg(F.coalesce(F.max("pos"), F.lit(0)).alias("p")).scalar()
+    # the batch of new items is small (a user's additions); its order decides positions
+    new = items.withColumn("pos", (last + F.row_number().over(Window.orderBy("text", "owner"))).cast("bigint")) \
+               .withColumns({"quarter": F.lit(quarter), "meeting": F.lit(meeting), "added": F.lit(added)})
     return actions.unionByName(new.select(*actions.columns))
 
 
 def save_rule(items: DataFrame) -> DataFrame:
     """Rows with blank text are not saved; status must be one of the four values."""
-    return items.where((F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"^\s+|\s+$", "") != "")
+    return items.where((strip(F.coalesce(F.col("text"), F.lit(""))) != "")
                        & F.col("status").isin(*C.ACTION_STATUSES))
 
 

@@ -488,10 +488,9 @@ def _actions_add(r: Review) -> DataFrame:
     """Add a follow-up for the largest Red deal to the current quarter's Booking list."""
     top = r.open_core.where(F.col("rag") == "Red") \
                        .orderBy(F.col("acv").desc_nulls_last(), F.col("deal_id")).limit(1)
-    items = top.select(F.lit(r.pacing.quarter_key).alias("quarter"), F.lit("Booking").alias("meeting"),
-                       F.concat(F.lit("Review "), F.col("dealname")).alias("text"),
+    items = top.select(F.concat(F.lit("Review "), F.col("dealname")).alias("text"),
                        F.col("owner_name").alias("owner"))
-    return state.actions_add(r.actions, items, r.cfg.today)
+    return state.actions_add(r.actions, r.pacing.quarter_key, "Booking", items, r.cfg.today)
 
 
 @query("actions_replace")
