@@ -128,4 +128,4 @@ def open_quality_stats(scored: DataFrame) -> DataFrame:
     """Open deals, mean MEDDPICC score, deals with call sentiment."""
     return scored.agg(F.count(F.lit(1)).alias("open_deals"),
                       F.round(F.avg("meddpicc"), 6).alias("avg_meddpicc"),
-                      F.count("gong_sentiment").alias("sentiment_coverage"))
+                      F.count("call_sentiment").alias("sentiment_coverage"))

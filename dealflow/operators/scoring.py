@@ -39,7 +39,7 @@ def with_sentiment(df: DataFrame, deal_sentiment: DataFrame) -> DataFrame:
     """Sentiment, trend and call count; a deal without calls gets (NULL, NULL, 0)."""
     s = deal_sentiment.withColumnRenamed("deal_id", "deal_key")
     j = df.join(s, F.col("deal_id").cast("string") == F.col("deal_key"), "left").drop("deal_key")
-    return j.withColumn("gong_calls", F.coalesce(F.col("gong_calls"), F.lit(0).cast("bigint")))
+    return j.withColumn("calls", F.coalesce(F.col("calls"), F.lit(0).cast("bigint")))
 
 
 def forecast_fields(df: DataFrame) -> DataFrame:

@@ -180,8 +180,8 @@ def _owner_dim(r: Review) -> DataFrame:
 @query("deal_sentiment")
 def _deal_sentiment(r: Review) -> DataFrame:
     """S5 + A10."""
-    return r.deal_sentiment.select("deal_id", F.round("gong_sentiment", 6).alias("gong_sentiment"),
-                                   F.round("gong_trend", 6).alias("gong_trend"), "gong_calls")
+    return r.deal_sentiment.select("deal_id", F.round("call_sentiment", 6).alias("call_sentiment"),
+                                   F.round("call_trend", 6).alias("call_trend"), "calls")
 
 
 @query("deals_with_owner")
@@ -193,8 +193,8 @@ def _deals_with_owner(r: Review) -> DataFrame:
 @query("deals_with_sentiment")
 def _deals_with_sentiment(r: Review) -> DataFrame:
     """J2."""
-    return r.open_scored.select("deal_id", F.round("gong_sentiment", 6).alias("gong_sentiment"),
-                                F.round("gong_trend", 6).alias("gong_trend"), "gong_calls")
+    return r.open_scored.select("deal_id", F.round("call_sentiment", 6).alias("call_sentiment"),
+                                F.round("call_trend", 6).alias("call_trend"), "calls")
 
 
 @query("forecast_fields")
@@ -248,8 +248,8 @@ def _watchlist(r: Review) -> DataFrame:
         F.col("forecast_cat").alias("rep_category"), F.col("rec_category").alias("recommended"),
         F.col("rec_reason").alias("why"), F.col("confidence").cast("string").alias("conf"), "rag",
         F.concat(F.col("meddpicc").cast("string"), F.lit("/5")).alias("meddpicc"),
-        F.when(F.col("gong_sentiment").isNull(), F.lit(C.DASH))
-         .otherwise(signed(F.col("gong_sentiment"), 2)).alias("gong"),
+        F.when(F.col("call_sentiment").isNull(), F.lit(C.DASH))
+         .otherwise(signed(F.col("call_sentiment"), 2)).alias("sentiment"),
         scoring.flags_text().alias("risk_flags"),
         F.col("partner_disp").alias("partner"), "action", url.alias("deal_url"))
 

@@ -11,9 +11,9 @@ OWNER_DIM = T.StructType([
 
 DEAL_SENTIMENT = T.StructType([
     T.StructField("deal_id", T.StringType()),
-    T.StructField("gong_sentiment", T.DoubleType()),
-    T.StructField("gong_trend", T.DoubleType()),
-    T.StructField("gong_calls", T.LongType()),
+    T.StructField("call_sentiment", T.DoubleType()),
+    T.StructField("call_trend", T.DoubleType()),
+    T.StructField("calls", T.LongType()),
 ])
 
 GOALS = T.StructType([

@@ -96,6 +96,6 @@ def deal_sentiment(sentiment: DataFrame | None, spark: SparkSession | None = Non
     if sentiment is None:
         return spark.createDataFrame([], schema.DEAL_SENTIMENT)
     return (sentiment.groupBy(F.col("deal_id").cast("string").alias("deal_id"))
-            .agg(F.avg("sentiment").alias("gong_sentiment"),
-                 F.avg("trend").alias("gong_trend"),
-                 F.max("call_count").alias("gong_calls")))
+            .agg(F.avg("sentiment").alias("call_sentiment"),
+                 F.avg("trend").alias("call_trend"),
+                 F.max("call_count").alias("calls")))

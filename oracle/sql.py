@@ -342,7 +342,7 @@ SCORED = f"""
          (value - 50) / 100 AS trend, CAST(user_id % 20 AS BIGINT) AS call_count
   FROM events)
 , deal_sent AS (
-  SELECT deal_id, avg(sentiment) AS gong_sentiment, avg(trend) AS gong_trend, max(call_count) AS gong_calls
+  SELECT deal_id, avg(sentiment) AS call_sentiment, avg(trend) AS call_trend, max(call_count) AS calls
   FROM sent GROUP BY deal_id)
 , open_scan AS (
   SELECT deal_id, dealname, owner_id, gtm_raw, use_case, erp_raw, market, gtm, product,
@@ -402,7 +402,7 @@ SCORED = f"""
 , scored AS (
   SELECT s.*,
     coalesce(od.owner_name, 'Unassigned') AS owner_name, coalesce(od.pod, 'Unassigned') AS pod,
-    ds.gong_sentiment, ds.gong_trend, coalesce(ds.gong_calls, 0) AS gong_calls,
+    ds.call_sentiment, ds.call_trend, coalesce(ds.calls, 0) AS calls,
     {_has("partner")} AS partner_flag,
     CASE WHEN {_has("partner")} THEN partner ELSE '—' END AS partner_disp,
     CASE WHEN f_stale THEN 'Re-engage — book next touch this week'
@@ -440,14 +440,14 @@ ORACLE_SQL["owner_dim"] = f"""{BOOKING}
 SELECT owner_id, owner_name, pod FROM owner_dim"""
 
 ORACLE_SQL["deal_sentiment"] = f"""{BOOKING}
-SELECT deal_id, round(gong_sentiment, 6) AS gong_sentiment, round(gong_trend, 6) AS gong_trend, gong_calls
+SELECT deal_id, round(call_sentiment, 6) AS call_sentiment, round(call_trend, 6) AS call_trend, calls
 FROM deal_sent"""
 
 ORACLE_SQL["deals_with_owner"] = f"""{BOOKING}
 SELECT deal_id, owner_id, owner_name, pod FROM scored"""
 
 ORACLE_SQL["deals_with_sentiment"] = f"""{BOOKING}
-SELECT deal_id, round(gong_sentiment, 6) AS gong_sentiment, round(gong_trend, 6) AS gong_trend, gong_calls
+SELECT deal_id, round(call_sentiment, 6) AS call_sentiment, round(call_trend, 6) AS call_trend, calls
 FROM scored"""
 
 ORACLE_SQL["forecast_fields"] = f"""{BOOKING}
@@ -474,7 +474,7 @@ SELECT deal_id, dealname AS deal, owner_name AS owner, CAST(acv AS DOUBLE) AS ac
        CASE WHEN acv IS NULL THEN '—' ELSE {_money("acv")} END AS acv_text, stage,
        strftime(close_d, '%b %d') AS close, forecast_cat AS rep_category, rec_category AS recommended,
        rec_reason AS why, CAST(confidence AS VARCHAR) AS conf, rag, CAST(meddpicc AS VARCHAR) || '/5' AS meddpicc,
-       CASE WHEN gong_sentiment IS NULL THEN '—' ELSE printf('%+.2f', gong_sentiment) END AS gong,
+       CASE WHEN call_sentiment IS NULL THEN '—' ELSE printf('%+.2f', call_sentiment) END AS sentiment,
        risk_flags, partner_disp AS partner, action,
        'https://crm.example.com/deal/' || CAST(deal_id AS VARCHAR) AS deal_url
 FROM top"""
@@ -558,7 +558,7 @@ SELECT rag, count(*) AS deals FROM scored GROUP BY rag"""
 
 ORACLE_SQL["open_quality_stats"] = f"""{BOOKING}
 SELECT count(*) AS open_deals, round(avg(meddpicc), 6) AS avg_meddpicc,
-       count(gong_sentiment) AS sentiment_coverage
+       count(call_sentiment) AS sentiment_coverage
 FROM scored"""
 
 _POD_BASE = f"""{BOOKING}
