@@ -337,7 +337,12 @@ def _pod_detail(r: Review) -> DataFrame:
 
 @query("pod_reviews")
 def _pod_reviews(r: Review) -> DataFrame:
-    return pods.pod_reviews(r.open_core, r.cfg)
+    """K8: the pod cards, with 'what changed' pointing at the movement table once a prior
+    weekly snapshot exists."""
+    from dealflow.operators.state import latest_before
+    has_prior = latest_before(r.snapshot_store, r.cfg.today).exists()
+    return pods.pod_reviews(r.open_core, r.cfg).withColumn(
+        "what_changed", F.when(has_prior, F.lit("see Movement")).otherwise(F.lit("WoW from snapshots (next week)")))
 
 
 # ---- Wins (S3, A20-A23) --------------------------------------------------------------
@@ -510,6 +515,7 @@ def _actions_replace(r: Review) -> DataFrame:
 # ---- Composite reports (A13, F26, K1-K9) -----------------------------------------------
 
 for _name in ("exec_summary_tof", "run_rate", "quarter_health", "market_scorecard", "strategic_priorities",
+              "strategic_priorities_booking",
               "pipeline_coverage", "exec_forecast", "booking_snapshot", "tof_snapshot", "forecast_movement",
               "decisions"):
     query(_name)(getattr(reports, _name))

@@ -26,8 +26,12 @@ def spread(df: DataFrame) -> DataFrame:
     (one small file, one row group) would run every per-row rule in a single task. Such a
     scan is round-robin repartitioned to the default parallelism; a scan of a large table
     already has at least that many splits and is returned unchanged (no extra shuffle)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # a session without a SparkContext handle (e.g. a remote client)
+        return df
+    return df.repartition(slots) if parts < slots else df
 
 
 def _pick(key: Column, values: list) -> Column:

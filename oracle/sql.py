@@ -1064,3 +1064,29 @@ SELECT 'market_forecast', 4, 'Which markets carry the forecast — and the risk?
          || coalesce(' (' || (SELECT {_money("acv")} FROM rm) || ')', '') || '.',
        'Inspect Red-heavy ' || coalesce((SELECT market FROM rm), '—') || ' deals this week; confirm '
          || coalesce((SELECT market FROM cm), '—') || ' Commit isn''t single-deal dependent.'"""
+
+_SP_BOOKING = ORACLE_SQL["strategic_priorities"] \
+    .replace("'Are we winning the NetSuite install base?'", "'Is the NetSuite install-base strategy producing bookings?'") \
+    .replace("'Is Sage continuing to scale?'", "'Is Sage growth translating into revenue?'") \
+    .replace("'Is Outbound recovering?'", "'Is Outbound contributing future pipeline?'") \
+    .replace("'Is AP becoming a repeatable growth engine?'", "'Is AP conversion improving?'")
+ORACLE_SQL["strategic_priorities_booking"] = _SP_BOOKING
+
+ORACLE_SQL["pod_reviews"] = ORACLE_SQL["pod_reviews"].replace(
+    "SELECT * FROM kept ORDER BY acv DESC, pod LIMIT 8",
+    "SELECT *, CASE WHEN EXISTS (SELECT 1 FROM prior) THEN 'see Movement' ELSE 'WoW from snapshots (next week)' END"
+    " AS what_changed FROM kept ORDER BY acv DESC, pod LIMIT 8").replace(BOOKING, STATE, 1)
+
+ORACLE_SQL["decisions"] = ORACLE_SQL["decisions"] + """
+UNION ALL
+SELECT 'trends', 5, 'Is the funnel accelerating or stalling week over week?',
+       CAST(weeks AS VARCHAR) || ' weeks of reconstructed history; latest SQL-Booked ' || """ + _grouped("latest") + """
+         || ' (was ' || """ + _grouped("prev") + """ || ' prior week).',
+       'If weekly creation is flattening below pace, intervene on top-of-funnel now — not at quarter-end.'
+FROM (
+  SELECT count(*) AS weeks, arg_max(sql_booked, snapshot_date) AS latest, arg_max(prev, snapshot_date) AS prev
+  FROM (SELECT snapshot_date, sql_booked, lag(sql_booked) OVER (ORDER BY snapshot_date) AS prev
+        FROM (SELECT snapshot_date, max(value) FILTER (WHERE metric = 'tof_sql_booked') AS sql_booked
+              FROM store GROUP BY snapshot_date) w
+        WHERE sql_booked IS NOT NULL) t) x
+WHERE weeks >= 2"""
