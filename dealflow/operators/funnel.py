@@ -84,7 +84,9 @@ def spine(spark: SparkSession, name: str, labels) -> DataFrame:
 def with_spine(agg: DataFrame, dim: str, labels, fill_cols) -> DataFrame:
     """Force every category in fixed order, filling absent ones with 0."""
     sp = spine(agg.sparkSession, dim, labels)
-    joined = F.broadcast(sp).join(agg, dim, "left")
+    # a left join can only broadcast its right side; the aggregate is bounded by the bucket
+    # rule (at most five categories), so it is the broadcast side
+    joined = sp.join(F.broadcast(agg), dim, "left")
     return joined.select(dim, "ord", *[F.coalesce(F.col(c), F.lit(0).cast(agg.schema[c].dataType)).alias(c)
                                        for c in fill_cols])
 

@@ -52,7 +52,7 @@ def goal_totals(goals: DataFrame, quarter: str) -> DataFrame:
     metrics = spark.createDataFrame([(m, i) for i, m in enumerate(C.GOAL_METRICS)], "metric string, ord int")
     q = goals.where((F.col("quarter") == quarter) & F.col("market").isin(*C.MARKET_ORDER))
     per = q.groupBy("metric").agg(F.sum("value").alias("goal"))
-    return F.broadcast(metrics).join(per, "metric", "left") \
+    return metrics.join(F.broadcast(per), "metric", "left") \
             .select("metric", "ord", F.coalesce(F.col("goal"), F.lit(0.0)).alias("goal_total"))
 
 

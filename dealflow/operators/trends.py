@@ -69,7 +69,8 @@ def historical_snapshots(enriched: DataFrame, cfg: ReviewConfig) -> DataFrame:
                                   "snapshot_date date, metric string")
     w = (Window.partitionBy("metric").orderBy("snapshot_date")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    j = F.broadcast(spine).join(buckets, ["snapshot_date", "metric"], "left")
+    # buckets are bounded by construction (<= 14 Fridays x 7 metrics): the broadcast side
+    j = spine.join(F.broadcast(buckets), ["snapshot_date", "metric"], "left")
     return j.select("snapshot_date", "metric",
                     F.sum(F.coalesce(F.col("v"), F.lit(0).cast(MONEY))).over(w).alias("value"))
 
@@ -99,7 +100,8 @@ def pace_cumulative(enriched: DataFrame, goal: Column, metric: str, cfg: ReviewC
     days = day_spine(spark, p.quarter_start, p.quarter_end)
     total_days = (p.quarter_end - p.quarter_start).days or 1
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = (F.broadcast(days).join(daily, "day", "left")
+    # daily totals are bounded by the days of the quarter (the flags restrict the dates)
+    j = (days.join(F.broadcast(daily), "day", "left")
          .withColumn("cum", F.sum(F.coalesce(F.col("v"), F.lit(0).cast(MONEY))).over(w)))
     idx = F.datediff(F.col("day"), F.lit(p.quarter_start))
     return j.select(
