@@ -377,7 +377,6 @@ def _wins_by_partner(r: Review) -> DataFrame:
 
 from dealflow.operators import state, trends  # noqa: E402
 from dealflow.plans import reports  # noqa: E402
-from dealflow.sources.state_fixtures import derived_goals  # noqa: E402
 
 
 @query("historical_snapshots")
