@@ -955,14 +955,17 @@ _COV = f"""{STATE}
   SELECT (SELECT goal_total FROM gtot WHERE metric = 'bookings_arr') AS plan,
          (SELECT CAST(bookings_arr AS DOUBLE) FROM totals) AS bookings_arr_qtd,
          CAST(coalesce(sum(arr), 0) AS DOUBLE) AS open_arr,
-         CAST(coalesce(sum(acv) FILTER (WHERE forecast_cat = 'Commit'), 0) AS DOUBLE) AS commit_acv
+         CAST(coalesce(sum(acv) FILTER (WHERE forecast_cat = 'Commit'), 0) AS DOUBLE) AS commit_acv,
+         CAST(coalesce(sum(acv) FILTER (WHERE forecast_cat = 'Commit' AND close_d <= {QE}), 0) AS DOUBLE) AS q_commit
   FROM scored)
 , cv2 AS (SELECT *, greatest(plan - bookings_arr_qtd, 0.0) AS gap FROM cv)
 , cov AS (
   SELECT plan, bookings_arr_qtd, open_arr, gap, round(open_arr / nullif(gap, 0.0), 6) AS coverage,
          CASE WHEN plan = 0 THEN 'no_goal' WHEN gap = 0 THEN 'plan_met'
               WHEN open_arr / nullif(gap, 0.0) >= 3 THEN 'healthy' ELSE 'thin' END AS coverage_state,
-         commit_acv, round(100 * commit_acv / nullif(plan, 0.0), 6) AS commit_acv_pct_of_arr_plan
+         commit_acv, round(100 * commit_acv / nullif(plan, 0.0), 6) AS commit_acv_pct_of_arr_plan,
+         round(100 * bookings_arr_qtd / nullif(plan, 0.0), 6) AS bookings_arr_pct_of_plan,
+         round(100 * q_commit / nullif(plan, 0.0), 6) AS quarter_commit_pct_of_arr_plan
   FROM cv2)"""
 
 ORACLE_SQL["pipeline_coverage"] = f"""{_COV}
