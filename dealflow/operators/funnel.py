@@ -207,10 +207,17 @@ def tof_funnel(clean: DataFrame, cfg: ReviewConfig) -> DataFrame:
             .agg(*[F.sum(m).alias(m) for m in C.FUNNEL_METRICS]))
 
 
-def wow_by_market(clean: DataFrame, cfg: ReviewConfig) -> DataFrame:
+def wow_by_market(clean: DataFrame, cfg: ReviewConfig, only_active: bool = False) -> DataFrame:
     """A2: SQL-Booked this week (Monday..today) vs last full week (Monday..Sunday) by market,
-    with WoW % (NULL when last week is 0). A partial week is compared with a full one."""
+    with WoW % (NULL when last week is 0). A partial week is compared with a full one.
+
+    Every market with a clean deal appears (zero counts included), which needs the whole
+    table. ``only_active`` first keeps deals created in the two weeks, a range predicate the
+    scan can push down: the counts and WoW of every market with activity are identical, and
+    callers that look markets up (absent = no WoW) get the same answer from a fraction of the data."""
     p = pacing(cfg.today)
+    if only_active:
+        clean = clean.where(F.col("create_d").between(F.lit(p.last_week_start), F.lit(cfg.today)))
     per_erp = clean.groupBy(dims.eco_label(F.col("erp_raw")).alias("erp")).agg(
         F.count_if(in_range(F.col("create_d"), p.week_start, cfg.today)).alias("this_week"),
         F.count_if(in_range(F.col("create_d"), p.last_week_start, p.last_week_end)).alias("last_week"))
