@@ -32,6 +32,26 @@ SCALE_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, executor_cores: int, executors: int) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of deal / event data.
+
+    * Scan splits of 256 MiB: a 100 TB input gives ~400k tasks (several waves per core).
+    * Shuffles start at one partition per 256 MiB of input (capped at 100k): the only large
+      shuffles are the per-deal call aggregate and its join, which scale with the deals;
+      AQE then coalesces the small ones toward 128 MiB and splits skewed ones, so no task
+      holds more than its share in memory and sorts spill instead of failing.
+    * Broadcasts stay bounded by the 32 MiB threshold (AQE decides from measured sizes)."""
+    split = 256 * 1024 * 1024
+    return {
+        **REQUIRED_CONF, **SCALE_CONF,
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(max(executor_cores * executors, min(100_000, input_bytes // split))),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "dealflow") -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.ui.enabled", "false")
