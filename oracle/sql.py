@@ -975,7 +975,7 @@ ORACLE_SQL["exec_forecast"] = f"""{STATE}
 , p AS (SELECT goal_total AS plan FROM gtot WHERE metric = 'bookings_arr')
 , v AS (
   SELECT 'Commit (Q)' AS gauge, 0 AS ord, bk_commit AS value, 1.5 AS mult FROM bk
-  UNION ALL SELECT 'Commit + Best', 1, bk_commit + bk_best, 1.3 FROM bk
+  UNION ALL SELECT 'Commit + Best', 1, round(bk_commit + bk_best, 2), 1.3 FROM bk
   UNION ALL SELECT 'Weighted (illustrative)', 2, bk_weighted, 1.3 FROM bk
   UNION ALL SELECT 'Total open (Q)', 3, bk_q_total, 1.0 FROM bk)
 SELECT gauge, CAST(ord AS INTEGER) AS ord, value,
