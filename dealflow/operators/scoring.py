@@ -19,7 +19,7 @@ from dealflow.functions import dims, rules
 def stage_label(stage_id, cfg: ReviewConfig):
     """stage id -> label (NULL for an unknown id)."""
     m = F.create_map(*[x for k, v in cfg.stage_labels for x in (F.lit(k), F.lit(v))])
-    return m[stage_id]
+    return F.try_element_at(m, stage_id)
 
 
 def with_stage(open_scan: DataFrame, cfg: ReviewConfig) -> DataFrame:

@@ -22,6 +22,7 @@ from dealflow.session import materialize
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
+OPERATORS: dict[str, Callable[[Review], DataFrame]] = {}
 
 
 def query(name: str):
@@ -31,10 +32,21 @@ def query(name: str):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         REGISTRY[name] = run
+        OPERATORS[name] = fn
         return fn
     return deco
 
 
+def run(name: str, review: Review) -> DataFrame:
+    """Run one named operator on any review (e.g. ``Review.from_tables(...)`` over stored
+    CRM tables); money is returned as DOUBLE."""
+    return to_output(OPERATORS[name](review))
+
+
+def operators() -> dict[str, Callable[[Review], DataFrame]]:
+    return dict(OPERATORS)
+
+
 # ---- Sources, hygiene, buckets (S1, P1, P2, P8, F1-F4, F21) -------------------------
 
 @query("hygiene_filter")

@@ -71,7 +71,7 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("c_mktsegment") == "BUILDING", "Sage Intacct")
          .when(F.col("c_mktsegment") == "AUTOMOBILE", "Microsoft Dynamics 365")
          .when(F.col("c_mktsegment") == "FURNITURE", "Acumatica").alias("erp_raw"),
-        _pick(F.substring("o_orderpriority", 1, 1).cast("int") - 1,
+        _pick(F.substring("o_orderpriority", 1, 1).try_cast("int") - 1,
               ["Channel Partner", "Inbound Web", "SDR Outbound", "Account Exec"]).alias("gtm_raw"),
         _pick(k % 9, ["AR", "AP", "AR;AP", "Expense Management", "Corporate Cards, ar", "FX",
                       "  ", "nan", None]).alias("use_case"),

@@ -30,3 +30,19 @@ def test_won_cohort_unassigned_and_direct(spark):
     w = r.won
     assert w.where(F.col("owner_name").isNull()).count() == 0
     assert set(x[0] for x in w.select("partner_disp").distinct().collect()) <= {"Partner A", "Partner B", "Direct"}
+
+
+def test_review_from_stored_tables(spark, tmp_path):
+    """A review over stored tables runs the same operators; stored goals are used as given."""
+    from dealflow import schema
+    from dealflow.plans.registry import run
+    deals_path = str(tmp_path / "deals")
+    fixtures.deals(spark, SF_SMALL).write.parquet(deals_path)
+    goals_path = str(tmp_path / "goals")
+    spark.createDataFrame([("1998Q3", "Sage", "bookings_arr", 1000.0)], schema.GOALS).write.parquet(goals_path)
+    r = Review.from_tables(spark, deals_path, goals=goals_path)
+    base = Review.from_test_tables(spark, SF_SMALL)
+    key = lambda df: sorted(tuple(x) for x in df.collect())
+    assert key(run("dim_funnel_market", r)) == key(run("dim_funnel_market", base))
+    assert {x.metric: x.goal_total for x in run("goal_totals", r).collect()}["bookings_arr"] == 1000.0
+    assert run("open_pipeline_full", r).where(F.col("owner_name") != "Unassigned").count() == 0
