@@ -33,10 +33,13 @@ def in_range(d: Column, start, end) -> Column:
 
 
 def touches_quarter(qs, today) -> Column:
-    """Created, discovered or SAL'd in [qs, today], or won with close in range."""
-    return (in_range(F.col("create_d"), qs, today) | in_range(F.col("disco_d"), qs, today)
-            | in_range(F.col("sal_d"), qs, today)
-            | (F.coalesce(F.col("is_won"), F.lit(False)) & in_range(F.col("close_d"), qs, today)))
+    """Created, discovered or SAL'd in [qs, today], or won with close in range.
+    Plain range predicates (a NULL drops the row in a filter just as FALSE does), so the
+    OR of ranges is pushed into the Parquet scan and prunes row groups by date statistics."""
+    def rng(c: str) -> Column:
+        return F.col(c).between(F.lit(qs), F.lit(today))
+    return (rng("create_d") | rng("disco_d") | rng("sal_d")
+            | ((F.col("is_won") == F.lit(True)) & rng("close_d")))
 
 
 def is_open(cfg: ReviewConfig) -> Column:

@@ -31,3 +31,28 @@ def test_scan_is_pruned(spark):
     assert "o_clerk" not in orders_scan and "o_comment" not in orders_scan
     cust_scan = [l for l in txt.splitlines() if "FileScan parquet" in l and "c_custkey" in l][0]
     assert "c_name" not in cust_scan and "c_acctbal" not in cust_scan
+
+
+def test_filters_reach_a_stored_deal_table(spark, tmp_path):
+    """On a stored deal table the quarter-touch ranges and the open-pipeline predicates are
+    pushed into the Parquet scan, and only the used columns are read."""
+    from dealflow.plans.context import Review
+    from dealflow.plans.registry import OPERATORS
+    from dealflow.sources import fixtures
+    path = str(tmp_path / "deals")
+    fixtures.deals(spark, SF_SMALL).write.parquet(path)
+    r = Review.from_tables(spark, path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        funnel_plan = plan_text(OPERATORS["dim_funnel_market"](r))
+        open_plan = plan_text(OPERATORS["open_pipeline_full"](r))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    scan = [l for l in funnel_plan.splitlines() if "FileScan parquet" in l][0]
+    assert "create_d" in scan.split("PushedFilters")[1] and "Or(" in scan
+    assert "dealname" in scan and "fcat" not in scan.split("ReadSchema")[1]
+    scan = [l for l in open_plan.splitlines() if "FileScan parquet" in l][0]
+    pushed = scan.split("PushedFilters")[1]
+    assert "is_closed" in pushed and "In(stage_id" in pushed
