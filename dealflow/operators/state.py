@@ -91,9 +91,21 @@ def missing_dates(store: DataFrame, batch: DataFrame) -> DataFrame:
 
 def sync(store: DataFrame, batch: DataFrame) -> DataFrame:
     """Backfill only when some batch date is missing; then the whole batch is written
-    (dates already stored are rewritten too). The gate is an EXISTS subquery, not a collect."""
-    gate = missing_dates(store, batch).exists()
-    return backfill(store, batch.where(gate))
+    (dates already stored are rewritten too).
+
+    One pass over the union of the store and the batch, so each input (the batch is built
+    from a scan of the deals) is evaluated once: a date is missing when it has batch rows
+    only; the gate is whether any date is missing; then per (date, metric) the batch value
+    wins under the gate, else the stored value stays and batch-only rows are dropped. The
+    windows run over snapshot rows (dates x metrics), a bounded state table."""
+    u = store.select(*SNAPSHOT_KEY, "value", F.lit(0).alias("src")) \
+             .unionByName(batch.select(*SNAPSHOT_KEY, "value", F.lit(1).alias("src")))
+    u = u.withColumn("_batch_only", (F.min("src").over(Window.partitionBy("snapshot_date")) == 1).cast("int"))
+    u = u.withColumn("_gate", F.max("_batch_only").over(Window.partitionBy()) == 1)
+    g = u.groupBy(*SNAPSHOT_KEY).agg(
+        F.max_by("value", F.when(F.col("_gate"), F.col("src")).otherwise(-F.col("src"))).alias("value"),
+        F.max("_gate").alias("_gate"), (F.min("src") == 0).alias("_stored"))
+    return g.where(F.col("_gate") | F.col("_stored")).select(*SNAPSHOT_KEY, "value")
 
 
 def latest_before(store: DataFrame, day: dt.date) -> DataFrame:
