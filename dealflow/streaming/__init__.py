@@ -1,0 +1,7 @@
+"""Streaming operators: none.
+
+The reviewed system has no streaming path: its report is recomputed on each page load and
+its weekly metrics are plain batch date logic (the Friday as-of snapshots are a bucketed
+running sum in ``operators/trends.py``). Snapshot capture is a keyed batch merge with a
+partition-overwrite writer (``operators/state.py``).
+"""
