@@ -15,8 +15,10 @@ from dealflow import config as C
 from dealflow.config import DEFAULT_CONFIG, ReviewConfig
 from dealflow.functions import dims
 from dealflow.functions.quarters import pacing_columns
-from dealflow.operators import funnel
+from dealflow.functions.text import money_or_dash, signed
+from dealflow.operators import forecast, funnel, pods, scoring, state, trends, wins
 from dealflow.operators.hygiene import hygiene
+from dealflow.plans import reports
 from dealflow.plans.context import Review, to_output
 from dealflow.session import materialize
 
@@ -172,9 +174,6 @@ def _product_mix_qtd(r: Review) -> DataFrame:
 
 # ---- Booking review: open pipeline scoring (S2, S4, S5, J1, J2, F5-F20) ---------------
 
-from dealflow.operators import forecast, pods, scoring, wins  # noqa: E402
-from dealflow.functions.text import money_or_dash, signed  # noqa: E402
-
 
 @query("open_deals")
 def _open_deals(r: Review) -> DataFrame:
@@ -387,9 +386,6 @@ def _wins_by_partner(r: Review) -> DataFrame:
 
 # ---- Time: as-of snapshots, pace, trend (J7/A11, W1, W2) ------------------------------
 
-from dealflow.operators import state, trends  # noqa: E402
-from dealflow.plans import reports  # noqa: E402
-
 
 @query("historical_snapshots")
 def _historical_snapshots(r: Review) -> DataFrame:
