@@ -65,12 +65,13 @@ def goal_total(goals: DataFrame, quarter: str, metric: str) -> Column:
 
 # ---- snapshots (S9, U3-U6, J8) -------------------------------------------------------
 
-def snapshot_rows(metrics: DataFrame, snapshot_date: dt.date) -> DataFrame:
-    """One-row metrics frame (one column per metric) -> long snapshot rows for a date."""
+def snapshot_rows(metrics: DataFrame, *snapshot_dates: dt.date) -> DataFrame:
+    """One-row metrics frame (one column per metric) -> long snapshot rows for each given
+    date, from the single aggregate (no re-scan per date)."""
     cols = metrics.columns
     return metrics.select(F.inline(F.array(*[
-        F.struct(F.lit(snapshot_date).alias("snapshot_date"), F.lit(c).alias("metric"),
-                 F.col(c).cast("double").alias("value")) for c in cols])))
+        F.struct(F.lit(d).alias("snapshot_date"), F.lit(c).alias("metric"),
+                 F.col(c).cast("double").alias("value")) for d in snapshot_dates for c in cols])))
 
 
 def capture(store: DataFrame, rows: DataFrame) -> DataFrame:

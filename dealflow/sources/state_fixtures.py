@@ -69,8 +69,7 @@ def last_friday_before(day: dt.date) -> dt.date:
 def snapshot_seed(scored: DataFrame, cfg: ReviewConfig) -> DataFrame:
     bk = booking_snapshot_metrics(scored, cfg)
     p = pacing(cfg.today)
-    return state.snapshot_rows(bk, last_friday_before(cfg.today)).unionByName(
-        state.snapshot_rows(bk, p.quarter_start - dt.timedelta(days=1)))
+    return state.snapshot_rows(bk, last_friday_before(cfg.today), p.quarter_start - dt.timedelta(days=1))
 
 
 def derived_actions(scored: DataFrame) -> DataFrame:
