@@ -226,6 +226,14 @@ def wow_by_market(clean: DataFrame, cfg: ReviewConfig, only_active: bool = False
     return m.withColumn("wow_pct", wow(F.col("this_week"), F.col("last_week")))
 
 
+def wow_aggs(cfg: ReviewConfig) -> list[Column]:
+    """SQL-Booked this week and last full week as conditional counts (to sit beside the
+    funnel aggregates in one pass)."""
+    p = pacing(cfg.today)
+    return [F.count_if(in_range(F.col("create_d"), p.week_start, cfg.today)).alias("this_week"),
+            F.count_if(in_range(F.col("create_d"), p.last_week_start, p.last_week_end)).alias("last_week")]
+
+
 def wow(this_week: Column, last_week: Column) -> Column:
     """100 * (this - last) / last, NULL when last is 0."""
     return F.round(100 * (this_week - last_week) / F.nullif(last_week, F.lit(0)).cast("double"), 6)

@@ -79,6 +79,13 @@ class Review:
         from dealflow.operators.funnel import enrich_qtd
         return enrich_qtd(self.qtd_base, self.cfg)
 
+    @cached_property
+    def enriched_wow(self) -> DataFrame:
+        """The enriched quarter base plus the deals created in the two WoW weeks (one scan
+        for reports that need both the funnel and the WoW counts)."""
+        from dealflow.operators.funnel import enrich_qtd
+        return enrich_qtd(readers.qtd_base(self.deals, self.cfg, with_wow_window=True), self.cfg)
+
     @cached_property
     def clean(self) -> DataFrame:
         return readers.clean_deals(self.deals, self.cfg)

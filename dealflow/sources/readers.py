@@ -23,10 +23,17 @@ def money_col(name: str):
     return F.col(name).try_cast(MONEY)
 
 
-def qtd_base(deals: DataFrame, cfg: ReviewConfig) -> DataFrame:
-    """S1 + P1 + P2: deals touching the quarter to date, with the funnel columns."""
+def qtd_base(deals: DataFrame, cfg: ReviewConfig, with_wow_window: bool = False) -> DataFrame:
+    """S1 + P1 + P2: deals touching the quarter to date, with the funnel columns.
+
+    ``with_wow_window`` also keeps deals created in the last two weeks (this week and the
+    previous full week), so one scan feeds both the funnel and the WoW counts; the funnel
+    flags are false on the extra rows, so funnel sums are unchanged."""
     p = pacing(cfg.today)
-    return (deals.where(hygiene(cfg) & touches_quarter(p.quarter_start, cfg.today))
+    keep = touches_quarter(p.quarter_start, cfg.today)
+    if with_wow_window:
+        keep = keep | F.col("create_d").between(F.lit(p.last_week_start), F.lit(cfg.today))
+    return (deals.where(hygiene(cfg) & keep)
             .select("deal_id",
                     dims.eco_label(F.col("erp_raw")).alias("erp"),
                     "gtm_raw", "use_case",
