@@ -16,7 +16,7 @@ from dealflow.session import local_session  # noqa: E402
 from dealflow.sources import fixtures  # noqa: E402
 
 KEYS = ["dim_funnel_market", "funnel_grouping_sets", "historical_snapshots", "open_pipeline_full",
-        "pod_detail", "forecast_windows", "top_red", "snapshot_sync"]
+        "pod_detail", "forecast_windows", "top_red", "snapshot_sync", "market_scorecard"]
 NODE = re.compile(r"^((?:[ :]*(?:\+-|:-) )?)([A-Z][A-Za-z]+)")
 
 
