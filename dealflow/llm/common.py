@@ -31,6 +31,14 @@ def same_doc(left: DataFrame, right: DataFrame) -> Column:
     return (left["_th"] == right["_th"]) & left["doc_id"].eqNullSafe(right["doc_id"])
 
 
+def restrict(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` with (``left_semi``) or without (``left_anti``) their key in ``keys``, as
+    they came, whatever their columns are called."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id",
+                       text_key(F.col("text")).alias("_th"))
+    return rows.join(keys, same_doc(rows, keys), how).select("_row.*")
+
+
 # ---- written intermediate tables -------------------------------------------------------
 
 def cut(df: DataFrame) -> DataFrame:

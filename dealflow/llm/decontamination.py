@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dealflow.llm.common import cut, same_doc, text_key, uncut
+from dealflow.llm.common import cut, restrict, same_doc, text_key, uncut
 
 WINDOW = 13
 #: Term tables of at most so many rows are broadcast; larger ones are shuffled.
@@ -150,5 +150,4 @@ def near(docs: DataFrame, benchmark: DataFrame, slop: int, window: int = WINDOW)
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = ONE_IN) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, as they came."""
     bad = cut(judged(docs, benchmark, window, one_in).where("contaminated").select("doc_id", "_th").distinct())
-    keyed = docs.withColumn("_th", text_key(F.col("text")))
-    return keyed.join(bad, same_doc(keyed, bad), "left_anti").drop("_th")
+    return restrict(docs, bad, "left_anti")

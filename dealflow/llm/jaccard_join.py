@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.llm.common import cut, same_doc, text_key, uncut
+from dealflow.llm.common import cut, restrict, same_doc, text_key, uncut
 from dealflow.llm.links import link
 from dealflow.llm.tokens import FIRST, LOWER, Grams, Words, mix, signed, slices
 
@@ -244,18 +244,13 @@ def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     best = cut(best)
     rows = spread.join(best.withColumnRenamed("doc_id", "_id").withColumnRenamed("_th", "_t"), "root") \
                  .where(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t")))
-    repeated = not is_unique(rows)
+    repeated = rows.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
     empty = spread.where("n_shingles = 0").select("doc_id", "_th").distinct()
-    keep = cut(best.select("doc_id", "_th").unionByName(empty))
-    keyed = docs.withColumn("_th", text_key(F.col("text")))
-    kept = keyed.join(keep, same_doc(keyed, keep), "left_semi")
-    if repeated:  # rows equal in id and text: one of them stays
-        filled = kept.where(F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) > 0)
-        bare = kept.where(F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) == 0)
-        kept = filled.dropDuplicates(["doc_id", "_th"]).unionByName(bare)
-    uncut(spread, best)
-    return kept.drop("_th")
-
-
-def is_unique(rows: DataFrame) -> bool:
-    return rows.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() == 0
+    stay = cut(best.select("doc_id", "_th"))
+    if not repeated:
+        return restrict(docs, stay.unionByName(empty), "left_semi")
+    # rows equal in id and text: one of them stays
+    filled = restrict(docs, stay, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    one = filled.select(row, "doc_id", text_key(F.col("text")).alias("_th")).dropDuplicates(["doc_id", "_th"]).select("_row.*")
+    return one.unionByName(restrict(docs, empty, "left_semi"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.llm.common import cut, same_doc, text_key, words
+from dealflow.llm.common import cut, restrict, text_key, words
 
 # The most frequent words of each reference language.
 COMMON = {
@@ -136,8 +136,8 @@ def verdicts(docs: DataFrame, languages: tuple[str, ...] = tuple(COMMON),
     chars = near([distance(F.col("chars"), F.col("_total"), c) for c, _ in refs])
     listed = near([distance(F.col("listed"), F.col("n_words"), w) for _, w in refs])
     df = df.withColumns({
-        "char_distance": F.when(F.col("_total") >= MIN_CHARS, chars),
-        "word_distance": F.when(F.col("n_words") >= MIN_LISTED, listed),
+        "char_distance": F.round(F.when(F.col("_total") >= MIN_CHARS, chars), 6),
+        "word_distance": F.round(F.when(F.col("n_words") >= MIN_LISTED, listed), 6),
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))})
     far = (F.coalesce(F.col("char_distance") > max_char_distance, F.lit(False))
            | F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False)))
@@ -147,5 +147,4 @@ def verdicts(docs: DataFrame, languages: tuple[str, ...] = tuple(COMMON),
 def passing(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that are kept, as they came."""
     rejected = cut(verdicts(docs, **settings).where(~F.col("kept")).select("doc_id", "_th").distinct())
-    keyed = docs.withColumn("_th", text_key(F.col("text")))
-    return keyed.join(rejected, same_doc(keyed, rejected), "left_anti").drop("_th")
+    return restrict(docs, rejected, "left_anti")

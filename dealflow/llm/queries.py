@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dealflow.llm import (decontamination, jaccard_join, line_dedup, mixing, pii, quality_classifier, quality_rules,
                           sharding, substring_dedup, token_counts)
 from dealflow.llm.common import read_table, ship
+from dealflow.llm.oracle import ORACLE_SQL  # noqa: F401  read by __spark_entry__
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -69,7 +70,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return jaccard_join.linked(docs).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard_join.linked(docs).select("doc_id", "n_shingles", "component_id")
 
 
 @_query
@@ -88,6 +89,3 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert")
-
-
-ORACLE_SQL: dict[str, str] = {}
