@@ -4,9 +4,10 @@ Texts become sets of hashed word n-grams; equal sets are one node (a 128-bit sig
 a threshold t, similar sets of size n share a gram among the first n - ceil(t n) + 1 in any one
 global order. The order is rare first: by level of a hashed document-frequency table that is
 counted over all sets and has a fixed size, then by hash. Candidates that share a prefix gram
-pass the length filter, the positional filter (grams still to come on both sides) and the suffix
-filter (a split of the rest by one probe value bounds the overlap) before their texts are
-compared, once per pair. ``links`` keeps groups of near copies from pairing all with all.
+pass the length filter, the positional filter (grams still to come on both sides) and, once per
+pair, the suffix filter: both sets are split into cells by hash, and the smaller count of each
+cell bounds the overlap. Only pairs that pass all three have their texts compared, once per
+pair. ``links`` keeps groups of near copies from pairing all with all.
 
 Null texts, and texts without words, have the empty set and are linked with nothing; with fewer
 words than n the whole sequence is the one gram. Null ids are allowed: a component's id is its
@@ -28,8 +29,8 @@ from dealflow.llm.tokens import FIRST, LOWER, Grams, Words, mix, signed, slices
 NGRAM, PERCENT = 3, 90
 #: The document-frequency table: counters, and blocks in which they are summed.
 DF_BITS, DF_BLOCKS = 20, 64
-#: Probe bits of the suffix filter: grams are counted by the top bits of their hash.
-SUFFIX_BITS = 3
+#: Cells of the suffix filter: grams are counted by the top bits of a mixed hash.
+CELL_BITS = 5
 
 
 def gram_sets(buf: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +75,13 @@ def _signatures(ngram: int):
         for rows, buf, offsets in slices(batches):
             doc, value = gram_sets(buf, offsets, ngram)
             sign = signatures(doc, value, rows.num_rows)
+            n, width = np.bincount(doc, minlength=rows.num_rows), 1 << CELL_BITS
+            cell = doc * width + (mix(value) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+            cells = np.bincount(cell, minlength=rows.num_rows * width).astype(np.int32)
+            ends = pa.array(np.arange(0, len(cells) + 1, width, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("_th"), _as_binary(sign), signed(sign[:, 0].copy()),
-                 pa.array(np.bincount(doc, minlength=rows.num_rows))], names=["doc_id", "_th", "node", "mark", "n"])
+                [rows.column("doc_id"), rows.column("_th"), _as_binary(sign), signed(sign[:, 0].copy()), pa.array(n),
+                 pa.ListArray.from_arrays(ends, pa.array(cells))], names=["doc_id", "_th", "node", "mark", "n", "cells"])
     return run
 
 
@@ -116,59 +121,34 @@ def rarity(docs: DataFrame, ngram: int = NGRAM) -> np.ndarray:
     return levels.reshape(-1)
 
 
-def _prefix(buf: np.ndarray, offsets: np.ndarray, ngram: int, percent: int, level: np.ndarray):
-    """Grams of each text rare first: (text, hash, place, size of the set, which are in the prefix)."""
-    doc, value = gram_sets(buf, offsets, ngram)
-    n = np.bincount(doc, minlength=len(offsets) - 1)
-    sign = signatures(doc, value, len(n))
-    rare = level[(value >> np.uint64(64 - DF_BITS)).astype(np.int64)]
-    order = np.lexsort((value, rare, doc))
-    value = value[order]
-    at, size = _within(n), n[doc]
-    return doc, value, at, size, at < size - (size * percent + 99) // 100 + 1, sign
-
-
-def _prefix_keys(ngram: int, percent: int, table):
+def _prefixes(ngram: int, percent: int, table):
+    """The prefix of each set: (gram, half a signature, place in the rare-first order, size of the set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, offsets in slices(batches):
-            doc, value, _, _, head, sign = _prefix(buf, offsets, ngram, percent, table.value)
-            yield pa.RecordBatch.from_arrays([signed(value[head]), signed(sign[doc[head], 0])], names=["key", "mark"])
+            doc, value = gram_sets(buf, offsets, ngram)
+            n = np.bincount(doc, minlength=len(offsets) - 1)
+            sign = signatures(doc, value, len(n))
+            rare = table.value[(value >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+            value = value[np.lexsort((value, rare, doc))]
+            at, size = _within(n), n[doc]
+            head = np.flatnonzero(at < size - (size * percent + 99) // 100 + 1)
+            yield pa.RecordBatch.from_arrays(
+                [signed(value[head]), signed(sign[doc[head], 0]), pa.array(at[head].astype(np.int32)),
+                 pa.array(size[head].astype(np.int32))], names=["key", "mark", "pos", "n"])
     return run
 
 
-def _prefixes(ngram: int, percent: int, table):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offsets in slices(batches):
-            doc, value, at, size, head, _ = _prefix(buf, offsets, ngram, percent, table.value)
-            take = np.flatnonzero(head)
-            # grams after the prefix position, counted by the top bits of a mixed hash
-            probe = (mix(value) >> np.uint64(64 - SUFFIX_BITS)).astype(np.int64)
-            cells = 1 << SUFFIX_BITS
-            sums = np.zeros((len(doc) + 1, cells), np.int32)
-            for c in range(cells):
-                np.cumsum(probe == c, out=sums[1:, c])
-            rest = sums[take + size[take] - at[take]] - sums[take + 1]
-            who = pa.array(doc[take])
-            yield pa.RecordBatch.from_arrays(
-                [signed(value[take]), rows.column("node").take(who), pa.array(at[take].astype(np.int32)),
-                 pa.array(size[take].astype(np.int32)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, rest.size + 1, cells, dtype=np.int32)),
-                                          pa.array(rest.reshape(-1)))],
-                names=["key", "node", "pos", "n", "rest"])
-    return run
+def needed(n1, n2, percent: int):
+    """Shared grams that sets of these sizes need: ceil(percent (n1 + n2) / (100 + percent))."""
+    return F.floor((percent * (n1 + n2) + 99 + percent) / (100 + percent))
 
 
 def _fits(percent: int):
     def fits(x: str, y: str):
-        c = lambda name: (F.col(f"{x}.{name}"), F.col(f"{y}.{name}"))
-        (n1, n2), (p1, p2), (r1, r2) = c("n"), c("pos"), c("rest")
-        # needed overlap: ceil(percent (n1 + n2) / (100 + percent))
-        need = F.floor((percent * (n1 + n2) + 99 + percent) / (100 + percent))
+        n1, n2, p1, p2 = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
         length = (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1)
-        # before this gram at most min(p1, p2) are shared
-        position = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= need
-        shared = F.aggregate(F.zip_with(r1, r2, lambda i, j: F.least(i, j)), F.lit(0), lambda s, i: s + i)
-        return length & position & (F.least(p1, p2) + 1 + shared >= need)
+        # before this gram at most min(p1, p2) are shared, after it what is left of either
+        return length & (F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= needed(n1, n2, percent))
     return fits
 
 
@@ -194,13 +174,37 @@ def _by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield rows
 
 
-def _verifier(texts: DataFrame, ngram: int, percent: int):
-    def verify(pairs: DataFrame) -> DataFrame:
+class Verifier:
+    """Exact check of candidate pairs; fetches the text of a set once, when a pair first needs it."""
+
+    def __init__(self, keyed: DataFrame, sets: DataFrame, ngram: int, percent: int):
+        self.keyed, self.sets, self.ngram, self.percent = keyed, sets, ngram, percent
+        self.texts: list[DataFrame] = []
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        one = self.sets.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("cells").alias("c1"))
+        two = self.sets.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("cells").alias("c2"))
+        shared = F.aggregate(F.zip_with("c1", "c2", lambda i, j: F.least(i, j)), F.lit(0), lambda s, i: s + i)
+        left = cut(pairs.join(one, "a").join(two, "b")
+                   .where(shared >= needed(F.col("n1"), F.col("n2"), self.percent)).select("a", "b"))
+        texts = self.fetch(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b") \
-                    .mapInArrow(_similar(ngram, percent), "a binary, b binary")
-    return verify
+        return left.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b") \
+                   .mapInArrow(_similar(self.ngram, self.percent), "a binary, b binary")
+
+    def fetch(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) of at least these sets."""
+        for have in self.texts:
+            nodes = nodes.join(have.select("node"), "node", "left_anti")
+        asked = cut(self.sets.join(nodes, "node").select("node", "doc_id", "_th"))
+        rows = self.keyed.join(asked, same_doc(self.keyed, asked)).select("node", "text")
+        self.texts.append(cut(rows))
+        uncut(asked)
+        out = self.texts[0]
+        for more in self.texts[1:]:
+            out = out.unionByName(more)
+        return out
 
 
 def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -209,22 +213,25 @@ def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataF
     (verified links of its set to other sets that the component was built from)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("_th"), "text")
-    slim = cut(keyed.mapInArrow(_signatures(ngram), f"doc_id {id_type}, _th long, node binary, mark long, n long"))
+    slim = cut(keyed.mapInArrow(_signatures(ngram), f"doc_id {id_type}, _th long, node binary, mark long, n long, cells array<int>"))
     # prefix grams that different sets share
     table = docs.sparkSession.sparkContext.broadcast(rarity(docs, ngram))  # 2^DF_BITS bytes, whatever the input
-    keys = cut(docs.select("text").mapInArrow(_prefix_keys(ngram, percent, table), "key long, mark long"))
+    keys = cut(docs.select("text").mapInArrow(_prefixes(ngram, percent, table), "key long, mark long, pos int, n int"))
     shared = cut(keys.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo != hi").select("key"))
-    asked = keys.join(shared, "key").select("mark").distinct()
-    # one text for each set that shares one
-    reps = slim.where("n > 0").join(asked, "mark").groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_th")).alias("r")).select("node", "r.doc_id", "r._th")
-    reps = cut(reps)
-    texts = cut(keyed.join(reps, same_doc(keyed, reps)).select("node", "text").dropDuplicates(["node"]))
-    prefixes = texts.mapInArrow(_prefixes(ngram, percent, table), "key long, node binary, pos int, n int, rest array<int>")
-    chosen = cut(prefixes.join(shared, "key"))
-    uncut(keys, shared, reps)
-    edges, roots = link(chosen, _fits(percent), _verifier(texts, ngram, percent))
-    uncut(chosen, texts)
+    met = cut(keys.join(shared, "key").distinct())
+    uncut(keys, shared)
+    # one row for each set that shares a gram, with a document to read it from
+    who = slim.where("n > 0").join(met.select("mark").distinct(), "mark")
+    sets = cut(who.groupBy("node", "mark", "n").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_th")).alias("r"), F.any_value("cells").alias("cells"))
+        .select("node", "mark", "n", "cells", "r.doc_id", "r._th"))
+    chosen = cut(met.drop("n").join(sets.select("mark", "node", "n"), "mark").select("key", "node", "pos", "n"))
+    uncut(met)
+    # rows equal in id and text hold one set: its text is read once
+    once = keyed.dropDuplicates(["doc_id", "_th"]) if repeated(slim) else keyed
+    verify = Verifier(once, sets, ngram, percent)
+    edges, roots = link(chosen, _fits(percent), verify)
+    uncut(chosen, sets, *verify.texts)
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
     roots = cut(roots.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links")), "node", "left"))
     rooted = slim.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -235,19 +242,22 @@ def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataF
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
+def repeated(slim: DataFrame) -> bool:
+    """Whether some rows agree in id and text."""
+    return slim.groupBy("doc_id", "_th").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
+
+
 def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` with one document left of each component: that with the least id (of
     equal ids the least text hash; of rows equal in both, one). Empty documents all stay."""
     spread = cut(linked(docs, ngram, percent).select("doc_id", "_th", "root", "n_shingles"))
     best = spread.where("n_shingles > 0").groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_th")).alias("r")).select("r.doc_id", "r._th", "root")
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_th")).alias("r")).select("r.doc_id", "r._th")
     best = cut(best)
-    rows = spread.join(best.withColumnRenamed("doc_id", "_id").withColumnRenamed("_th", "_t"), "root") \
-                 .where(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t")))
-    repeated = rows.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
+    twice = repeated(spread.where("n_shingles > 0"))
     empty = spread.where("n_shingles = 0").select("doc_id", "_th").distinct()
     stay = cut(best.select("doc_id", "_th"))
-    if not repeated:
+    if not twice:
         return restrict(docs, stay.unionByName(empty), "left_semi")
     # rows equal in id and text: one of them stays
     filled = restrict(docs, stay, "left_semi")

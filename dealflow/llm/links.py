@@ -50,44 +50,40 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def link(keys: DataFrame, fits: Callable[[DataFrame, DataFrame], Column],
+def link(keys: DataFrame, fits: Callable[[str, str], Column],
          verify: Callable[[DataFrame], DataFrame], star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Links among nodes that share a key.
 
-    ``keys``: (key, node, ...), written already; ``fits(a, b)``: condition on two rows of a key that
-    a similar pair always meets; ``verify(pairs)``: the rows (a, b) of similar pairs.
+    ``keys``: (key, node, ...), written already; ``fits(x, y)``: condition on two rows of a key, by
+    alias, that a similar pair always meets; ``verify(pairs)``: the rows (a, b) of similar pairs.
     Returns (edges (a, b), roots (node, root))."""
-    others = [c for c in keys.columns if c not in ("key", "node")]
     edges = roots = tested = None
     for turn in range(star_rounds + 1):
-        if roots is not None:
-            keyed = keys.join(roots, "node", "left").select("key", "node", *others, F.coalesce("root", "node").alias("comp"))
-        else:
-            keyed = keys.withColumn("comp", F.col("node"))
-        split = cut(keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                             F.min_by(F.struct("node", "comp", *others),
-                                                      F.xxhash64("node", F.lit(turn))).alias("centre"))
-                    .where("lo != hi").select("key", "centre"))
+        rows = keys.withColumn("comp", F.col("node")) if roots is None else \
+            keys.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        rows = rows.withColumns({"_c": F.xxhash64("comp"), "_p": F.xxhash64("node", F.lit(turn))})
+        # keys whose nodes lie in different components, and the centre of each
+        split = cut(rows.groupBy("key").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"), F.min("_p").alias("_least"))
+                    .where("lo != hi").select("key", "_least"))
         if is_empty(split):
             break
-        left = keyed.join(split.select("key"), "key") if turn == star_rounds else keyed
-        right = left if turn == star_rounds else split.select("key", "centre.*")
-        a, b = left.alias("x"), right.alias("y")
-        differ = F.col("x.comp") < F.col("y.comp") if turn == star_rounds else F.col("x.comp") != F.col("y.comp")
-        pairs = a.join(b, (F.col("x.key") == F.col("y.key")) & differ & fits("x", "y")).select(
+        open_rows = cut(rows.join(split, "key"))
+        other = open_rows if turn == star_rounds else cut(open_rows.where("_p = _least"))
+        differ = F.col("x._c") < F.col("y._c") if turn == star_rounds else F.col("x._c") != F.col("y._c")
+        pairs = open_rows.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & differ & fits("x", "y")).select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         found = cut(verify(pairs))
-        uncut(split)
+        uncut(split, open_rows, *([other] if other is not open_rows else []))
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
         if not is_empty(found):
             roots = components(edges)
     if edges is None:
-        node = keys.schema["node"].dataType
-        edges = keys.sparkSession.createDataFrame([], f"a {node.simpleString()}, b {node.simpleString()}")
+        node = keys.schema["node"].dataType.simpleString()
+        edges = keys.sparkSession.createDataFrame([], f"a {node}, b {node}")
     if roots is None:
         roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return edges, roots
