@@ -35,14 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: each node's larger neighbours move to the least node around it
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: each node's smaller neighbours and itself move to the least of them
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u")
-        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
-                     .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = cut(small)
-        uncut(edges, least, large, low)
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        uncut(edges, least, low)
         edges = new
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
