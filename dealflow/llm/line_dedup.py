@@ -4,8 +4,10 @@ Lines that hold a word are compared by their sets of character n-grams (bytes of
 line, gaps at both ends taken off). Equal lines are one node. A one-permutation MinHash signature (one
 hash per gram, the least of each bin, empty bins filled from a seeded other bin) is cut into
 bands; lines with an equal band are candidates. At similarity 0.8 the bands find a pair with
-probability 0.998. Candidates are verified by exact Jaccard similarity, linked lines are united
-by distributed union-find, and of every component the first line in (doc_id, line number) order stays.
+probability 0.995, at 0.1 with one in 50,000, so unrelated lines of one language hardly meet.
+Candidates whose gram counts by hash cell allow the similarity are verified by exact Jaccard
+similarity, linked lines are united by distributed union-find, and of every component the first
+line in (doc_id, line number) order stays.
 
 Null texts have no lines. Lines without a word always stay and are compared with nothing. A
 line shorter than a gram is one gram. Repeated rows (equal id and text) count as one document:
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.llm.common import cut, same_doc, text_key
+from dealflow.llm.common import cut, same_doc, text_key, uncut
 from dealflow.llm.links import link
 from dealflow.llm.tokens import SECOND, SPACES, Words, mix, signed, slices
 
 GRAM, PERCENT = 5, 80
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 18, 6
+#: Cells in which a line's grams are counted, by the top bits of their hash.
+CELL_BITS = 5
 
 
 def _bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,17 +141,23 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["node", "text"])
 
 
-def _node_bands(gram: int):
-    inner = _bands(gram)
-
+def _cells(gram: int):
+    """Distinct grams of each line (one per row): how many, and how many in each cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # one line per row
-            at = 0
-            for out in inner(iter([batch])):
-                n = out.num_rows // BANDS
-                who = pa.array(np.repeat(np.arange(at, at + n), BANDS))
-                yield pa.RecordBatch.from_arrays([out.column("key"), batch.column("node").take(who)], names=["key", "node"])
-                at += n
+        width = 1 << CELL_BITS
+        for rows, buf, offsets in slices(batches, "text", 500_000):
+            line, value = _grams(buf, offsets[:-1], offsets[1:], gram)
+            order = np.lexsort((value, line))
+            line, value = line[order], value[order]
+            new = np.ones(len(line), bool)
+            new[1:] = (line[1:] != line[:-1]) | (value[1:] != value[:-1])
+            line, value = line[new], value[new]
+            cell = line * width + (mix(value) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+            count = np.bincount(cell, minlength=rows.num_rows * width).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("node"), pa.array(np.bincount(line, minlength=rows.num_rows)),
+                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(count) + 1, width, dtype=np.int32)), pa.array(count))],
+                names=["node", "n", "cells"])
     return run
 
 
@@ -192,20 +202,27 @@ def dedup(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFram
     nodes = cut(lines.groupBy("node", "mark").agg(F.min(place).alias("first")))
     # candidate bands shared by different lines; the mark is half of a node
     bands = docs.select("text").mapInArrow(_bands(gram), "key long, mark long")
-    bands = cut(bands.distinct())
-    shared = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
-    marks = bands.join(shared, "key").select("mark").distinct()
-    asked = nodes.join(marks, "mark", "left_semi")
+    shared = cut(bands.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo != hi").select("key"))
+    met = cut(bands.join(shared, "key").distinct())
+    asked = nodes.join(met.select("mark").distinct(), "mark", "left_semi")
+    keys = cut(met.join(asked.select("mark", "node"), "mark").select("key", "node"))
+    # the lines themselves, each from its first place
     per_doc = cut(asked.groupBy("first.doc_id", "first._th").agg(F.collect_list("first.line").alias("lines")))
     texts = cut(keyed.join(per_doc, same_doc(keyed, per_doc)).select("text", "lines")
                 .mapInArrow(_line_texts, "node binary, text string").dropDuplicates(["node"]))
-    keys = cut(texts.mapInArrow(_node_bands(gram), "key long, node binary").join(shared, "key"))
+    sets = cut(texts.mapInArrow(_cells(gram), "node binary, n long, cells array<int>"))
+    uncut(shared, met, per_doc)
 
     def verify(pairs: DataFrame) -> DataFrame:
+        one = sets.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("cells").alias("c1"))
+        two = sets.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("cells").alias("c2"))
+        common = F.aggregate(F.zip_with("c1", "c2", lambda i, j: F.least(i, j)), F.lit(0), lambda s, i: s + i)
+        left = cut(pairs.join(one, "a").join(two, "b")
+                   .where((100 + percent) * common >= percent * (F.col("n1") + F.col("n2"))).select("a", "b"))
         one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b") \
-                    .mapInArrow(_similar(gram, percent), "a binary, b binary")
+        return left.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b") \
+                   .mapInArrow(_similar(gram, percent), "a binary, b binary")
 
     _, roots = link(keys, lambda x, y: F.lit(True), verify)
     rooted = nodes.join(cut(roots), "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "first")
