@@ -5,7 +5,7 @@ Every operator takes a ``ReviewConfig``; nothing reads the wall clock or globals
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # Fixed values. These must equal the reviewed business rules exactly (labels,
@@ -37,7 +37,6 @@ MISSING_WORDS = ("nan", "none", "<na>", "nat")
 
 PRODUCT_AR = "AR"
 PRODUCT_AP_PARTS = ("AP", "EXPENSE MANAGEMENT", "CORPORATE CARDS")
-PRODUCTS = ("Multi-Product", "AR", "AP", "Other", "Unknown")
 
 FORECAST_CATEGORY_MAP = {
     "COMMIT": "Commit", "BEST_CASE": "Best Case", "PIPELINE": "Pipeline", "OMIT": "Not Forecasted",
@@ -99,8 +98,6 @@ REASON_CLEAN = "clean evidence"
 DASH = "—"
 EN_DASH = "–"
 
-RAG_ORDER = ("Red", "Yellow", "Green")
-
 FUNNEL_METRICS = ("sql_booked", "sql_held", "sal", "pipeline_arr", "pipeline_acv",
                   "bookings_arr", "bookings_acv")
 COUNT_METRICS = ("sql_booked", "sql_held", "sal")
@@ -109,12 +106,30 @@ GOAL_METRICS = ("sql_booked", "sql_held", "sal", "pipeline_arr", "bookings_arr")
 METRIC_LABELS = {"sql_booked": "SQL-Booked", "sql_held": "SQL-Held", "sal": "SAL",
                  "pipeline_arr": "Pipeline ARR", "pipeline_acv": "Pipeline ACV",
                  "bookings_arr": "Bookings ARR", "bookings_acv": "Bookings ACV"}
-BOOKING_SNAPSHOT_METRICS = ("bk_open_acv", "bk_commit", "bk_best", "bk_weighted", "bk_q_total")
 
 ACTION_STATUSES = ("Open", "In progress", "Done", "Blocked")
-MEETINGS = ("TOF", "Booking")
 
-HORIZONS = ("Week", "Month", "Quarter")
+# Questions of the six strategic priorities, per meeting.
+PRIORITY_QUESTIONS = {
+    "TOF": (
+        "Are we winning the NetSuite install base?",
+        "Is Sage continuing to scale?",
+        "Is Dynamics improving?",
+        "Is Outbound recovering?",
+        "Is AP becoming a repeatable growth engine?",
+        "Is Global FX proving the motion?",
+    ),
+    "Booking": (
+        "Is the NetSuite install-base strategy producing bookings?",
+        "Is Sage growth translating into revenue?",
+        "Is Dynamics improving?",
+        "Is Outbound contributing future pipeline?",
+        "Is AP conversion improving?",
+        "Is Global FX proving the motion?",
+    ),
+}
+FX_DETAIL = "No FX field in the CRM yet — needs a definition (RevOps)."
+
 GAUGE_MULTIPLES = (("Commit (Q)", 1.5), ("Commit + Best", 1.3),
                    ("Weighted (illustrative)", 1.3), ("Total open (Q)", 1.0))
 
@@ -148,11 +163,6 @@ class ReviewConfig:
     pod_min_deals: int = 3
     top_partners: int = 8
     deal_url_template: str = "https://crm.example.com/deal/{deal_id}"
-    extra: dict = field(default_factory=dict, compare=False)
-
-    @property
-    def stage_map(self) -> dict[str, str]:
-        return dict(self.stage_labels)
 
 
 DEFAULT_CONFIG = ReviewConfig()

@@ -2,12 +2,17 @@
 
 These are driver-side scalars computed from ``cfg.today`` (a parameter, not data), so
 they become literals in the plan and Catalyst folds them into pushed-down predicates.
+
+Months are counted from year 0, so a quarter is three consecutive month numbers; weekdays come
+from the proleptic day number (day 1 is a Monday).
 """
 from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
 
+MONDAY, FRIDAY = 1, 5  # day number modulo 7
+
 
 @dataclass(frozen=True)
 class Pacing:
@@ -28,42 +33,30 @@ class Pacing:
     first_friday: dt.date         # first Friday on or after quarter start
 
 
-def quarter_start(d: dt.date) -> dt.date:
-    return dt.date(d.year, 3 * ((d.month - 1) // 3) + 1, 1)
-
-
-def next_quarter_start(d: dt.date) -> dt.date:
-    q = (d.month - 1) // 3
-    return dt.date(d.year + (q == 3), ((q + 1) % 4) * 3 + 1, 1)
+def first_of(month: int) -> int:
+    """Day number of the first day of a month."""
+    return dt.date(month // 12, month % 12 + 1, 1).toordinal()
 
 
-def month_end(d: dt.date) -> dt.date:
-    nxt = dt.date(d.year + (d.month == 12), d.month % 12 + 1, 1)
-    return nxt - dt.timedelta(days=1)
+def weekday_from(day: int, weekday: int) -> int:
+    """First day number from ``day`` on that falls on ``weekday``."""
+    return day + (weekday - day) % 7
 
 
 def pacing(today: dt.date) -> Pacing:
-    q = (today.month - 1) // 3
-    qs = quarter_start(today)
-    nqs = next_quarter_start(today)
-    days_in = (nqs - qs).days
-    into = (today - qs).days
-    week_start = today - dt.timedelta(days=today.weekday())
+    now, month = today.toordinal(), today.year * 12 + today.month - 1
+    quarter = month // 3  # quarters since year 0
+    start, after = first_of(3 * quarter), first_of(3 * quarter + 3)
+    monday = weekday_from(now - 6, MONDAY)
+    date = dt.date.fromordinal
+    year, number = quarter // 4, quarter % 4 + 1
     return Pacing(
-        quarter_key=f"{today.year}Q{q + 1}",
-        quarter_start=qs,
-        quarter_end=nqs - dt.timedelta(days=1),
-        quarter_label=f"Q{q + 1} {today.year}",
-        today=today,
-        days_in_quarter=days_in,
-        days_into_quarter=into,
-        days_remaining=days_in - into,
+        quarter_key=f"{year}Q{number}", quarter_label=f"Q{number} {year}",
+        quarter_start=date(start), quarter_end=date(after - 1), today=today,
+        days_in_quarter=after - start, days_into_quarter=now - start, days_remaining=after - now,
         # quarters have 90-92 days: no tie at one decimal can occur, so round() is safe
-        pct_elapsed=round(100 * into / days_in, 1),
-        week_start=week_start,
-        last_week_start=week_start - dt.timedelta(days=7),
-        last_week_end=week_start - dt.timedelta(days=1),
-        week_end=today + dt.timedelta(days=6 - today.weekday()),
-        month_end=month_end(today),
-        first_friday=qs + dt.timedelta(days=(4 - qs.weekday()) % 7),
+        pct_elapsed=round(100 * (now - start) / (after - start), 1),
+        week_start=date(monday), last_week_start=date(monday - 7), last_week_end=date(monday - 1),
+        week_end=date(monday + 6), month_end=date(first_of(month + 1) - 1),
+        first_friday=date(weekday_from(start, FRIDAY)),
     )

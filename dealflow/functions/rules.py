@@ -47,10 +47,20 @@ def fcat_display(fcat: Column) -> Column:
     return out.otherwise(title_case(fcat))
 
 
+def number(raw: Column, kind: str) -> Column:
+    """Lenient decimal: text that is no number is NULL; a number that ``kind`` cannot hold fails
+    the query instead of vanishing."""
+    value, any_number = raw.try_cast(kind), raw.try_cast("double")
+    lost = value.isNull() & any_number.isNotNull() & ~F.isnan(any_number)
+    return F.when(lost, F.raise_error(F.concat(F.lit(f"number outside {kind}: "), raw.cast("string"))).cast(kind)) \
+            .otherwise(value)
+
+
 def probability(prob_raw: Column) -> Column:
-    """F8: lenient number; bad/NULL -> 0; values above 1 are percentages. Exact decimal."""
-    p = F.coalesce(prob_raw.try_cast("decimal(12,6)"), F.lit(0).cast("decimal(12,6)"))
-    return F.when(p <= 1, p).otherwise(p / 100).cast("decimal(12,6)")
+    """F8: lenient number; bad/NULL -> 0; values above 1 are percentages. Exact decimal of 12
+    places, up to 10^14."""
+    p = F.coalesce(number(prob_raw, "decimal(26,12)"), F.lit(0).cast("decimal(26,12)"))
+    return F.when(p <= 1, p).otherwise((p / 100).cast("decimal(26,12)"))
 
 
 def days_since(last_contact_d: Column, today) -> Column:
@@ -58,12 +68,6 @@ def days_since(last_contact_d: Column, today) -> Column:
     return F.datediff(F.lit(today), last_contact_d)
 
 
-def qualification_score(m: Column, e: Column, d: Column, i: Column, c: Column) -> Column:
-    """M(has) + E(yes) + D(has) + I(has) + C(has), 0..5."""
-    return (has(m).cast("int") + yes(e).cast("int") + has(d).cast("int")
-            + has(i).cast("int") + has(c).cast("int"))
-
-
 # Flag columns in flag order: (column name, flag text).
 FLAG_COLUMNS = (("f_stale", C.FLAG_STALE), ("f_single", C.FLAG_SINGLE), ("f_no_next", C.FLAG_NO_NEXT),
                 ("f_no_eb", C.FLAG_NO_EB), ("f_late", C.FLAG_LATE_WEAK))

@@ -28,7 +28,8 @@ def forecast_rollup(scored: DataFrame) -> DataFrame:
         _zsum(F.col("weighted_acv")).alias("weighted_acv"))
     sp = spine(scored.sparkSession, "forecast_cat", C.FORECAST_ORDER)
     return g.join(F.broadcast(sp), "forecast_cat", "inner") \
-            .select("forecast_cat", "ord", "deals", "acv", F.round("weighted_acv", 2).alias("weighted_acv"))
+            .select("forecast_cat", "ord", "deals", "acv", F.round("weighted_acv", 2).alias("weighted_acv")) \
+            .orderBy("ord")
 
 
 def forecast_windows(scored: DataFrame, cfg: ReviewConfig) -> DataFrame:
@@ -82,12 +83,13 @@ def open_by_market(scored: DataFrame) -> DataFrame:
     """Open ACV and deals by market in fixed order; markets without deals are dropped."""
     g = scored.groupBy("market").agg(_zsum(F.col("acv")).alias("acv"), F.count("deal_id").alias("deals"))
     sp = spine(scored.sparkSession, "market", C.MARKET_ORDER)
-    return g.join(F.broadcast(sp), "market", "inner").select("market", "ord", "acv", "deals")
+    return g.join(F.broadcast(sp), "market", "inner").select("market", "ord", "acv", "deals").orderBy("ord")
 
 
 def open_by_gtm(scored: DataFrame) -> DataFrame:
-    """A17."""
-    return scored.groupBy("gtm").agg(_zsum(F.col("acv")).alias("acv"), F.count("deal_id").alias("deals"))
+    """Open ACV and deals by engine, largest ACV first (ties by name)."""
+    return scored.groupBy("gtm").agg(_zsum(F.col("acv")).alias("acv"), F.count("deal_id").alias("deals")) \
+                 .orderBy(F.col("acv").desc(), "gtm")
 
 
 def with_share(df: DataFrame, col: str, name: str = "share") -> DataFrame:

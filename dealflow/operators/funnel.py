@@ -15,6 +15,7 @@ from dealflow import config as C
 from dealflow.config import ReviewConfig
 from dealflow.functions import dims
 from dealflow.functions.pacing import pacing
+from dealflow.functions.rules import number
 from dealflow.functions.text import strip
 from dealflow.operators.hygiene import in_range
 
@@ -88,7 +89,7 @@ def with_spine(agg: DataFrame, dim: str, labels, fill_cols) -> DataFrame:
     # rule (at most five categories), so it is the broadcast side
     joined = sp.join(F.broadcast(agg), dim, "left")
     return joined.select(dim, "ord", *[F.coalesce(F.col(c), F.lit(0).cast(agg.schema[c].dataType)).alias(c)
-                                       for c in fill_cols])
+                                       for c in fill_cols]).orderBy("ord")
 
 
 def market_spine_funnel(enriched: DataFrame) -> DataFrame:
@@ -187,8 +188,8 @@ def tof_funnel(clean: DataFrame, cfg: ReviewConfig) -> DataFrame:
     but not stripped; zero-activity groups stay."""
     qs, td = pacing(cfg.today).quarter_start, cfg.today
     d = clean.select(dims.eco_label(F.col("erp_raw")).alias("erp"),
-                     F.col("arr_raw").try_cast("decimal(18,2)").alias("arr"),
-                     F.col("acv_raw").try_cast("decimal(18,2)").alias("acv"),
+                     number(F.col("arr_raw"), "decimal(18,2)").alias("arr"),
+                     number(F.col("acv_raw"), "decimal(18,2)").alias("acv"),
                      "create_d", "disco_d", "meeting_happened", "sal_d", "close_d",
                      F.col("is_won").alias("won"))
     sql = in_range(F.col("create_d"), qs, td)
@@ -207,17 +208,12 @@ def tof_funnel(clean: DataFrame, cfg: ReviewConfig) -> DataFrame:
             .agg(*[F.sum(m).alias(m) for m in C.FUNNEL_METRICS]))
 
 
-def wow_by_market(clean: DataFrame, cfg: ReviewConfig, only_active: bool = False) -> DataFrame:
+def wow_by_market(clean: DataFrame, cfg: ReviewConfig) -> DataFrame:
     """A2: SQL-Booked this week (Monday..today) vs last full week (Monday..Sunday) by market,
     with WoW % (NULL when last week is 0). A partial week is compared with a full one.
 
-    Every market with a clean deal appears (zero counts included), which needs the whole
-    table. ``only_active`` first keeps deals created in the two weeks, a range predicate the
-    scan can push down: the counts and WoW of every market with activity are identical, and
-    callers that look markets up (absent = no WoW) get the same answer from a fraction of the data."""
+    Every market with a clean deal appears (zero counts included), which needs the whole table."""
     p = pacing(cfg.today)
-    if only_active:
-        clean = clean.where(F.col("create_d").between(F.lit(p.last_week_start), F.lit(cfg.today)))
     per_erp = clean.groupBy(dims.eco_label(F.col("erp_raw")).alias("erp")).agg(
         F.count_if(in_range(F.col("create_d"), p.week_start, cfg.today)).alias("this_week"),
         F.count_if(in_range(F.col("create_d"), p.last_week_start, p.last_week_end)).alias("last_week"))

@@ -1,11 +1,14 @@
 """Pod summaries and review cards.
 
-One ``groupBy(pod)`` per view. The biggest win / biggest risk are ``max_by`` over an
-ordering struct (ACV present, ACV, then lowest deal id), so every task keeps one candidate
-per pod before the shuffle: a pod holding a third of all deals costs one row per task.
+One ``groupBy(pod)`` per view. The biggest win / biggest risk are the maximum of one fixed-width
+number that packs (ACV, lowest deal id first), so the aggregation is hashed, nothing is sorted,
+and every task keeps one row per pod before the shuffle: a pod holding a third of all deals
+costs one row per task. The names of the few winning deals are joined back by id.
 """
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,9 +37,19 @@ def pod_summary(scored: DataFrame) -> DataFrame:
     return g.withColumn("status", _status(F.col("red"), F.col("yellow"), F.col("green")))
 
 
+# A deal's rank in one number: cents of ACV above 19 digits that fall as the (positive) deal id grows.
+_IDS = Decimal(10**19)
+_NO_ACV = Decimal(-(10**18))  # below any amount
+
+
 def _largest_key() -> Column:
     """``nlargest(1, 'acv')`` order: ACV present first, larger ACV, then lowest deal id."""
-    return F.struct(F.col("acv").isNotNull(), F.col("acv"), -F.col("deal_id"))
+    cents = F.coalesce((F.col("acv") * 100).cast("decimal(18,0)"), F.lit(_NO_ACV))
+    return cents * F.lit(_IDS) + (F.lit(_IDS - 1) - F.col("deal_id").cast("decimal(19,0)"))
+
+
+def _key_deal(key: Column) -> Column:
+    return (F.lit(_IDS - 1) - F.pmod(key, F.lit(_IDS))).cast("bigint")
 
 
 def _deal_label(d: Column) -> Column:
@@ -51,14 +64,18 @@ def pod_detail(scored: DataFrame) -> DataFrame:
     among all), biggest risk (largest ACV among Red) and the exec-support ask named by the
     first risk flag of that deal."""
     winner = (F.col("forecast_cat") == "Commit") | (F.col("rag") == "Green")
-    deal = F.struct("dealname", "acv", first_flag().alias("first_flag"))
-    g = scored.groupBy("pod").agg(
+    g = scored.withColumn("_key", _largest_key()).groupBy("pod").agg(
         F.count("deal_id").alias("deals"), F.coalesce(F.sum("acv"), F.lit(0)).alias("acv"),
         *_rag_counts(),
-        F.max_by(deal, F.when(winner, _largest_key())).alias("win_w"),
-        F.max_by(deal, _largest_key()).alias("win_any"),
-        F.max_by(deal, F.when(F.col("rag") == "Red", _largest_key())).alias("risk"))
-    win = F.coalesce(F.col("win_w"), F.col("win_any"))
+        F.max(F.when(winner, F.col("_key"))).alias("win_w"), F.max("_key").alias("win_any"),
+        F.max(F.when(F.col("rag") == "Red", F.col("_key"))).alias("risk"))
+    g = g.withColumns({"win_id": _key_deal(F.coalesce("win_w", "win_any")), "risk_id": _key_deal(F.col("risk"))})
+    named = scored.select("deal_id", F.struct("dealname", "acv", first_flag().alias("first_flag")).alias("deal")) \
+                  .join(g.select(F.explode(F.array("win_id", "risk_id")).alias("deal_id")).distinct(), "deal_id", "left_semi")
+    g = g.drop("win_w", "win_any", "risk") \
+         .join(named.select(F.col("deal_id").alias("win_id"), F.col("deal").alias("win")), "win_id", "left") \
+         .join(named.select(F.col("deal_id").alias("risk_id"), F.col("deal").alias("risk")), "risk_id", "left")
+    win = F.col("win")
     return g.select(
         "pod", "deals", "acv", _status(F.col("red"), F.col("yellow"), F.col("green")).alias("status"),
         "red", "yellow", "green",
@@ -70,8 +87,10 @@ def pod_detail(scored: DataFrame) -> DataFrame:
 
 def pod_reviews(scored: DataFrame, cfg: ReviewConfig) -> DataFrame:
     """K8 (T2 + P6): keep pods with >= 3 deals when any pod has that many, else all; the
-    first 8 by ACV. The window runs over the per-pod aggregate (one row per pod)."""
-    d = pod_detail(scored)
-    big = F.max("deals").over(Window.partitionBy()) >= cfg.pod_min_deals
-    kept = d.withColumn("_big", big).where(~F.col("_big") | (F.col("deals") >= cfg.pod_min_deals)).drop("_big")
-    return kept.orderBy(F.col("acv").desc(), F.col("pod")).limit(cfg.pod_cards)
+    first 8 by ACV. Pods with enough deals come first in the top-k, so whether there is one shows
+    among the cards themselves; the window runs over these."""
+    d = pod_detail(scored).withColumn("_big", F.col("deals") >= cfg.pod_min_deals)
+    top = d.orderBy(F.col("_big").desc(), F.col("acv").desc(), F.col("pod")).limit(cfg.pod_cards)
+    some = F.max("_big").over(Window.partitionBy())
+    return top.withColumn("_some", some).where(F.col("_big") | ~F.col("_some")).drop("_big", "_some") \
+              .orderBy(F.col("acv").desc(), F.col("pod"))

@@ -1,30 +1,44 @@
 """Goals, weekly snapshots and the actions log as keyed DataFrame
-merges, plus partition-overwrite writers for the shared store.
+merges, plus sinks that rewrite only the touched partitions of a stored table.
 
 A merge is "existing rows whose key is not in the update" ∪ "the update": a left-anti
-join on the key plus ``unionByName`` (no per-row Python, no read-modify-write of a file).
-The writers overwrite only the partitions present in the update (dynamic partition
-overwrite), so a capture of one date rewrites one date.
+join on the key plus ``unionByName`` (no per-row Python). Inside one batch the row with the
+highest ``seq`` of a key wins; without ``seq`` a key that comes twice is an error.
 """
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from dealflow import config as C
+from dealflow import schema
 from dealflow.functions.text import strip
+from dealflow.session import materialize
 
 GOAL_KEY = ["quarter", "market", "metric"]
 SNAPSHOT_KEY = ["snapshot_date", "metric"]
 ACTION_KEY = ["quarter", "meeting"]
 
 
+def last_wins(updates: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key: that with the highest ``seq``; a batch without ``seq`` must not repeat a key."""
+    rest = [c for c in updates.columns if c not in (*key, "seq")]
+    if "seq" in updates.columns:
+        best = updates.groupBy(*key).agg(F.max_by(F.struct(*rest), "seq").alias("_r"))
+        return best.select(*key, "_r.*")
+    one = updates.groupBy(*key).agg(F.any_value(F.struct(*rest)).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    row = F.when(F.col("_n") > 1, F.raise_error("a key comes twice in one batch: give the rows a seq")) \
+           .otherwise(F.col("_r"))
+    return one.select(*key, row.alias("_r")).select(*key, "_r.*")
+
+
 def upsert(existing: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
-    """Keyed union where the update wins."""
-    return existing.join(updates.select(*key).distinct(), key, "left_anti") \
+    """Keyed union where the update wins (R5), and its last row inside a batch."""
+    updates = last_wins(updates, key)
+    return existing.join(updates.select(*key), key, "left_anti") \
                    .unionByName(updates.select(*existing.columns))
 
 
@@ -35,23 +49,32 @@ def goals_for_quarter(goals: DataFrame, quarter: str) -> DataFrame:
     return goals.where(F.col("quarter") == quarter)
 
 
+def goal_for(goals: DataFrame, quarter: str, market: str, metric: str) -> Column:
+    """One goal as a scalar (NULL when it is not set)."""
+    return goals.where((F.col("quarter") == quarter) & (F.col("market") == market) & (F.col("metric") == metric)) \
+                .agg(F.max("value").alias("g")).scalar()
+
+
 def set_goals(goals: DataFrame, updates: DataFrame) -> DataFrame:
     """Set individual goals (upsert on quarter, market, metric)."""
     return upsert(goals, updates, GOAL_KEY)
 
 
 def replace_quarter_goals(goals: DataFrame, quarter: str, new_goals: DataFrame) -> DataFrame:
-    """Replace every goal of one quarter by ``new_goals`` (rows of that quarter)."""
-    return goals.where(F.col("quarter") != quarter) \
-                .unionByName(new_goals.where(F.col("quarter") == quarter).select(*goals.columns))
+    """Replace every goal of one quarter by ``new_goals``; a row of another quarter is an error."""
+    same = F.when(F.col("quarter") == quarter, F.col("quarter")).otherwise(
+        F.raise_error(F.concat(F.lit(f"a goal outside {quarter}: "), F.coalesce(F.col("quarter"), F.lit("none")))))
+    new_goals = last_wins(new_goals.withColumn("quarter", same), GOAL_KEY)
+    return goals.where(F.col("quarter") != quarter).unionByName(new_goals.select(*goals.columns))
 
 
 def goal_totals(goals: DataFrame, quarter: str) -> DataFrame:
     """Per goal metric, the sum over the four markets; missing goals count 0."""
     spark = goals.sparkSession
     metrics = spark.createDataFrame([(m, i) for i, m in enumerate(C.GOAL_METRICS)], "metric string, ord int")
-    q = goals.where((F.col("quarter") == quarter) & F.col("market").isin(*C.MARKET_ORDER))
-    per = q.groupBy("metric").agg(F.sum("value").alias("goal"))
+    q = goals.where((F.col("quarter") == quarter) & F.col("market").isin(*C.MARKET_ORDER)
+                    & F.col("metric").isin(*C.GOAL_METRICS))
+    per = q.groupBy("metric").agg(F.sum("value").alias("goal"))  # at most a row per goal metric
     return metrics.join(F.broadcast(per), "metric", "left") \
             .select("metric", "ord", F.coalesce(F.col("goal"), F.lit(0.0)).alias("goal_total"))
 
@@ -92,21 +115,8 @@ def missing_dates(store: DataFrame, batch: DataFrame) -> DataFrame:
 
 def sync(store: DataFrame, batch: DataFrame) -> DataFrame:
     """Backfill only when some batch date is missing; then the whole batch is written
-    (dates already stored are rewritten too).
-
-    One pass over the union of the store and the batch, so each input (the batch is built
-    from a scan of the deals) is evaluated once: a date is missing when it has batch rows
-    only; the gate is whether any date is missing; then per (date, metric) the batch value
-    wins under the gate, else the stored value stays and batch-only rows are dropped. The
-    windows run over snapshot rows (dates x metrics), a bounded state table."""
-    u = store.select(*SNAPSHOT_KEY, "value", F.lit(0).alias("src")) \
-             .unionByName(batch.select(*SNAPSHOT_KEY, "value", F.lit(1).alias("src")))
-    u = u.withColumn("_batch_only", (F.min("src").over(Window.partitionBy("snapshot_date")) == 1).cast("int"))
-    u = u.withColumn("_gate", F.max("_batch_only").over(Window.partitionBy()) == 1)
-    g = u.groupBy(*SNAPSHOT_KEY).agg(
-        F.max_by("value", F.when(F.col("_gate"), F.col("src")).otherwise(-F.col("src"))).alias("value"),
-        F.max("_gate").alias("_gate"), (F.min("src") == 0).alias("_stored"))
-    return g.where(F.col("_gate") | F.col("_stored")).select(*SNAPSHOT_KEY, "value")
+    (dates already stored are rewritten too). The gate is a scalar subquery."""
+    return backfill(store, batch.where(missing_dates(store, batch).exists()))
 
 
 def latest_before(store: DataFrame, day: dt.date) -> DataFrame:
@@ -122,36 +132,50 @@ def history(store: DataFrame) -> DataFrame:
     return store.orderBy("snapshot_date", "metric")
 
 
-def prior_value(store: DataFrame, day: dt.date, metric: str) -> Column:
-    """Scalar: the metric in the newest snapshot before ``day`` (NULL if absent)."""
-    return latest_before(store, day).where(F.col("metric") == metric).agg(F.max("value")).scalar()
-
-
 # ---- actions (S8, U7-U9) -------------------------------------------------------------
 
-def actions_list(actions: DataFrame, quarter: str, meeting: str) -> DataFrame:
-    """The items of one (quarter, meeting), in list order."""
-    return actions.where((F.col("quarter") == quarter) & (F.col("meeting") == meeting)).orderBy("pos")
+def actions_list(actions: DataFrame, quarter: str, meeting: str, today: dt.date) -> DataFrame:
+    """The items of one (quarter, meeting), in list order; an empty list reads as one blank
+    Open item (U9)."""
+    rows = actions.where((F.col("quarter") == quarter) & (F.col("meeting") == meeting))
+    blank = {"quarter": F.lit(quarter), "meeting": F.lit(meeting), "pos": F.lit(1).cast("bigint"), "text": F.lit(""),
+             "owner": F.lit(""), "status": F.lit("Open"), "added": F.lit(today)}
+    seed = actions.sparkSession.range(1).select(*[blank[c].alias(c) for c in actions.columns]).where(~rows.exists())
+    return rows.unionByName(seed).orderBy("pos")
 
 
 def actions_add(actions: DataFrame, quarter: str, meeting: str, items: DataFrame, added: dt.date) -> DataFrame:
-    """Append items (text, owner[, status]) to the list of (quarter, meeting) after its
-    current last position; status defaults to Open; stamped with ``added`` (a parameter,
-    not the wall clock). The last position is a scalar subquery (one aggregate)."""
+    """Append items (seq, text, owner[, status]) to the list of (quarter, meeting) after its
+    current last position, in the order of ``seq`` (1, 2, ...); status defaults to Open; stamped with
+    ``added`` (a parameter, not the wall clock). The last position is a scalar subquery."""
+    if "seq" not in items.columns:
+        raise ValueError("items need a seq (1, 2, ...) that gives their order")
     if "status" not in items.columns:
         items = items.withColumn("status", F.lit("Open"))
     last = actions.where((F.col("quarter") == quarter) & (F.col("meeting") == meeting)) \
                   .agg(F.coalesce(F.max("pos"), F.lit(0)).alias("p")).scalar()
-    # the batch of new items is small (a user's additions); its order decides positions
-    new = items.withColumn("pos", (last + F.row_number().over(Window.orderBy("text", "owner"))).cast("bigint")) \
-               .withColumns({"quarter": F.lit(quarter), "meeting": F.lit(meeting), "added": F.lit(added)})
+    new = items.withColumns({"pos": (last + F.col("seq")).cast("bigint"), "quarter": F.lit(quarter),
+                             "meeting": F.lit(meeting), "added": F.lit(added)})
     return actions.unionByName(new.select(*actions.columns))
 
 
+def _blank_text() -> Column:
+    return strip(F.coalesce(F.col("text"), F.lit(""))) == ""
+
+
+def _known_status() -> Column:
+    return F.col("status").isNull() | F.col("status").isin(*C.ACTION_STATUSES)
+
+
 def save_rule(items: DataFrame) -> DataFrame:
-    """Rows with blank text are not saved; status must be one of the four values."""
-    return items.where((strip(F.coalesce(F.col("text"), F.lit(""))) != "")
-                       & F.col("status").isin(*C.ACTION_STATUSES))
+    """Rows with blank text are not saved; a missing status is Open. Rows with an unknown
+    status are not saved either: ``rejected_items`` returns them."""
+    return items.where(~_blank_text() & _known_status()).withColumn("status", F.coalesce("status", F.lit("Open")))
+
+
+def rejected_items(items: DataFrame) -> DataFrame:
+    """Rows that ``save_rule`` refuses although they have text: their status is none of the four."""
+    return items.where(~_blank_text() & ~_known_status())
 
 
 def actions_replace(actions: DataFrame, quarter: str, meeting: str, items: DataFrame) -> DataFrame:
@@ -161,9 +185,48 @@ def actions_replace(actions: DataFrame, quarter: str, meeting: str, items: DataF
     return keep.unionByName(new.select(*actions.columns))
 
 
-# ---- writers (shared store; dynamic partition overwrite) ------------------------------
+# ---- sinks (stored tables; only the touched partitions are rewritten) ------------------
+
+def stored(spark: SparkSession, path: str, kind: T.StructType) -> DataFrame:
+    """A stored state table; a path that does not exist yet is an empty table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).parquet(path).select(*kind.names)
+
 
 def write_partitioned(df: DataFrame, path: str, partition_col: str) -> None:
-    """Overwrite only the partitions present in ``df`` under ``path``."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Overwrite only the partitions present in ``df`` under ``path``. The rows are written to the
+    checkpoint folder first, since they may come from the table they replace."""
+    (materialize(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(partition_col).parquet(path))
+
+
+def save_goals(spark: SparkSession, path: str, updates: DataFrame) -> None:
+    """U1 on a stored table: only the quarters of ``updates`` are rewritten."""
+    goals = stored(spark, path, schema.GOALS)
+    touched = goals.join(updates.select("quarter").distinct(), "quarter", "left_semi").select(*goals.columns)
+    write_partitioned(set_goals(touched, updates), path, "quarter")
+
+
+def save_quarter_goals(spark: SparkSession, path: str, quarter: str, new_goals: DataFrame) -> None:
+    """U2 on a stored table: only this quarter is rewritten (``new_goals`` must not be empty)."""
+    write_partitioned(replace_quarter_goals(stored(spark, path, schema.GOALS).limit(0), quarter, new_goals), path, "quarter")
+
+
+def save_snapshots(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """U3/U4 on a stored table: only the dates of ``rows`` are rewritten."""
+    store = stored(spark, path, schema.SNAPSHOTS)
+    touched = store.join(rows.select("snapshot_date").distinct(), "snapshot_date", "left_semi").select(*store.columns)
+    write_partitioned(backfill(touched, rows), path, "snapshot_date")
+
+
+def sync_snapshots(spark: SparkSession, path: str, batch: DataFrame) -> None:
+    """U6 on a stored table: nothing is written when no date of ``batch`` is missing."""
+    save_snapshots(spark, path, batch.where(missing_dates(stored(spark, path, schema.SNAPSHOTS), batch).exists()))
+
+
+def save_actions(spark: SparkSession, path: str, quarter: str, merged: DataFrame) -> None:
+    """U7/U8 on a stored table: ``merged`` is the result of ``actions_add`` or ``actions_replace``; only
+    this quarter is rewritten."""
+    write_partitioned(merged.where(F.col("quarter") == quarter), path, "quarter")

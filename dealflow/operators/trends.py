@@ -24,12 +24,8 @@ MONEY = "decimal(18,2)"
 
 def fridays(cfg: ReviewConfig) -> list[dt.date]:
     """Every Friday from the first one on/after quarter start through today."""
-    p = pacing(cfg.today)
-    out, f = [], p.first_friday
-    while f <= cfg.today:
-        out.append(f)
-        f += dt.timedelta(days=7)
-    return out
+    first = pacing(cfg.today).first_friday.toordinal()
+    return [dt.date.fromordinal(day) for day in range(first, cfg.today.toordinal() + 1, 7)]
 
 
 def friday_on_or_after(d: Column) -> Column:

@@ -1,7 +1,9 @@
 """Per-run wiring: the sources of one review (deals, owners, sentiment and the state
 tables) and the shared intermediate frames built from them.
 
-Everything here is lazy: properties build logical plans only, nothing is collected.
+Everything here is lazy: properties build logical plans only, nothing runs until a result is
+read. Absent optional sources and state tables are empty frames; only a review over the test
+tables derives its state by rule.
 """
 from __future__ import annotations
 
@@ -11,29 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dealflow import schema
 from dealflow.config import DEFAULT_CONFIG, ReviewConfig
 from dealflow.functions.pacing import Pacing, pacing
-from dealflow.session import materialize
 from dealflow.sources import fixtures, readers
 
 
-_REVIEWS: dict = {}
-
-
 class Review:
     """Sources and derived frames of one review, keyed by an as-of date in ``cfg``."""
 
     def __init__(self, spark: SparkSession, deals: DataFrame, owners: DataFrame | None,
                  sentiment: DataFrame | None, cfg: ReviewConfig = DEFAULT_CONFIG,
                  goals: DataFrame | None = None, snapshots: DataFrame | None = None,
-                 actions: DataFrame | None = None):
+                 actions: DataFrame | None = None, state_by_rule: bool = False):
         self.spark = spark
         self.deals = deals
         self.owners = owners
         self.sentiment = sentiment
         self.cfg = cfg
-        # stored state tables; when absent they are derived by rule (test inputs)
         self._stored = {"goals": goals, "snapshots": snapshots, "actions": actions}
+        self._state_by_rule = state_by_rule
 
     @classmethod
     def from_tables(cls, spark: SparkSession, deals: str, owners: str | None = None,
@@ -41,8 +40,7 @@ class Review:
                     actions: str | None = None, cfg: ReviewConfig = DEFAULT_CONFIG,
                     fmt: str = "parquet") -> "Review":
         """A review over stored tables (paths or catalog names; FIXTURES.md §1-2 schemas).
-        An absent owner or sentiment source is an empty lookup (S6); absent state tables are
-        derived by rule from the deals."""
+        An absent owner or sentiment source is an empty lookup (S6); an absent state table is empty."""
         def read(t):
             if t is None:
                 return None
@@ -53,17 +51,10 @@ class Review:
     @classmethod
     def from_test_tables(cls, spark: SparkSession, sf_dir: str,
                          cfg: ReviewConfig = DEFAULT_CONFIG) -> "Review":
-        """The review over the test tables under ``sf_dir``. Memoised per session, folder
-        and config: the shared logical plans (deal derivation, scoring chain) are built once
-        and reused by every query of the session; they stay lazy, so each query still runs
-        its own job over the full tables."""
-        key = (id(spark), sf_dir, cfg)
-        r = _REVIEWS.get(key)
-        if r is None or r.spark is not spark:
-            r = cls(spark, fixtures.deals(spark, sf_dir), fixtures.owners(spark, sf_dir),
-                    fixtures.sentiment(spark, sf_dir), cfg)
-            _REVIEWS[key] = r
-        return r
+        """The review over the test tables under ``sf_dir``; its goals, snapshots and actions
+        follow from the deals by rule (sources/state_fixtures.py)."""
+        return cls(spark, fixtures.deals(spark, sf_dir), fixtures.owners(spark, sf_dir),
+                   fixtures.sentiment(spark, sf_dir), cfg, state_by_rule=True)
 
     @property
     def pacing(self) -> Pacing:
@@ -113,10 +104,11 @@ class Review:
         return finish_scoring(self.open_core, self.deal_sentiment, self.cfg)
 
     def sentiment_for(self, deals: DataFrame) -> DataFrame:
-        """A10 restricted to a bounded set of deals (e.g. a top-N): the deal ids are
-        broadcast into a semi-join before the aggregation, so only their calls are read."""
-        from pyspark.sql import functions as F
-        ids = F.broadcast(deals.select(F.col("deal_id").cast("string").alias("deal_id")))
+        """A10 restricted to some deals (e.g. a top-N, whose known size makes Spark broadcast the
+        ids): a semi-join before the aggregation, so only their calls are aggregated."""
+        if self.sentiment is None:
+            return self.deal_sentiment
+        ids = deals.select(F.col("deal_id").cast("string").alias("deal_id"))
         return readers.deal_sentiment(self.sentiment.join(ids, "deal_id", "left_semi"), self.spark)
 
     @cached_property
@@ -124,15 +116,16 @@ class Review:
         from dealflow.operators.wins import closed_won
         return closed_won(readers.closed_won_scan(self.deals, self.cfg), self.owner_dim)
 
+    # ---- state tables (stored, else empty, else by rule for the test tables) ------------
+    def _state(self, name: str, kind: T.StructType, by_rule) -> DataFrame:
+        if self._stored[name] is not None:
+            return self._stored[name]
+        return by_rule() if self._state_by_rule else self.spark.createDataFrame([], kind)
 
-    # ---- state tables (derived by rule from the deals; see sources/state_fixtures.py) -----
     @cached_property
     def goals(self) -> DataFrame:
-        """Stored goals (a state table): derived once, then read from the checkpoint folder."""
-        if self._stored["goals"] is not None:
-            return self._stored["goals"]
         from dealflow.sources.state_fixtures import derived_goals
-        return materialize(derived_goals(self.clean))
+        return self._state("goals", schema.GOALS, lambda: derived_goals(self.clean))
 
     @cached_property
     def hist(self) -> DataFrame:
@@ -142,25 +135,21 @@ class Review:
 
     @cached_property
     def snapshot_seed(self) -> DataFrame:
+        """The stored weekly snapshots before this run."""
         from dealflow.sources.state_fixtures import snapshot_seed
-        return snapshot_seed(self.open_core, self.cfg)
+        return self._state("snapshots", schema.SNAPSHOTS, lambda: snapshot_seed(self.open_core, self.cfg))
 
     @cached_property
     def snapshot_store(self) -> DataFrame:
-        """The stored weekly snapshots (a state table) after this run's sync."""
+        """The weekly snapshots after this run's sync (reconstructed Fridays are added only if
+        one of their dates is missing)."""
         from dealflow.operators.state import sync
-        if self._stored["snapshots"] is not None:
-            # this run's gate: backfill the reconstructed Fridays only if a date is missing
-            return materialize(sync(self._stored["snapshots"], self.hist))
-        return materialize(sync(self.snapshot_seed, self.hist))
+        return sync(self.snapshot_seed, self.hist)
 
     @cached_property
     def actions(self) -> DataFrame:
-        """The stored actions log (a state table)."""
-        if self._stored["actions"] is not None:
-            return self._stored["actions"]
         from dealflow.sources.state_fixtures import derived_actions
-        return materialize(derived_actions(self.open_core))
+        return self._state("actions", schema.ACTIONS, lambda: derived_actions(self.open_core))
 
 
 def to_output(df: DataFrame) -> DataFrame:

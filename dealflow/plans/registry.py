@@ -20,7 +20,6 @@ from dealflow.operators import forecast, funnel, pods, scoring, state, trends, w
 from dealflow.operators.hygiene import hygiene
 from dealflow.plans import reports
 from dealflow.plans.context import Review, to_output
-from dealflow.session import materialize
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -233,8 +232,9 @@ def _deal_recommendations(r: Review) -> DataFrame:
 
 @query("open_pipeline_full")
 def _open_pipeline_full(r: Review) -> DataFrame:
-    """The full open pipeline with the 15 review columns."""
-    return r.open_core.select("deal_id", "dealname", "stage", "forecast_cat", "rec_category", "market",
+    """The full open pipeline with the 15 review columns, largest ACV first (NULL ACV last,
+    ties by deal id)."""
+    return r.open_core.orderBy(F.col("acv").desc_nulls_last(), "deal_id").select("deal_id", "dealname", "stage", "forecast_cat", "rec_category", "market",
                                 "product", "gtm", "acv", "owner_name", "pod", "meddpicc", "rag",
                                 "confidence", "days_since_contact", "action")
 
@@ -247,10 +247,10 @@ def _top_deals(scored: DataFrame, n: int) -> DataFrame:
 @query("watchlist")
 def _watchlist(r: Review) -> DataFrame:
     """T3 + F29: top 12 Red/Yellow deals by ACV with the 16 display columns."""
-    # top-N first (the order needs no sentiment), written once (<= 40 rows), then sentiment
-    # aggregated for those N deals only instead of for every deal
-    top = materialize(_top_deals(r.open_core.where(F.col("rag").isin("Red", "Yellow")), r.cfg.watchlist_n))
-    top = scoring.with_sentiment(top, r.sentiment_for(top))
+    # top-N first (the order needs no sentiment), then sentiment aggregated for those N deals
+    # only instead of for every deal
+    top = _top_deals(r.open_core.where(F.col("rag").isin("Red", "Yellow")), r.cfg.watchlist_n)
+    top = scoring.with_sentiment(top, r.sentiment_for(top)).orderBy(F.col("acv").desc_nulls_last(), "deal_id")
     url = F.replace(F.lit(r.cfg.deal_url_template), F.lit("{deal_id}"), F.col("deal_id").cast("string"))
     return top.select(
         "deal_id", F.col("dealname").alias("deal"), F.col("owner_name").alias("owner"), "acv",
@@ -421,6 +421,14 @@ def _goals_for_quarter(r: Review) -> DataFrame:
     return state.goals_for_quarter(r.goals, r.pacing.quarter_key)
 
 
+@query("goal_for")
+def _goal_for(r: Review) -> DataFrame:
+    """One goal, beside one that is not set."""
+    q = r.pacing.quarter_key
+    return r.spark.range(1).select(state.goal_for(r.goals, q, "Sage", "bookings_arr").alias("sage_bookings_arr"),
+                                   state.goal_for(r.goals, q, "Dynamics", "sql_held").alias("dynamics_sql_held"))
+
+
 def _qtd_goal_rows(r: Review, metrics, factor: int) -> DataFrame:
     """Goal rows for the current quarter set to ``factor`` x the QTD actual per market."""
     m = funnel.market_spine_funnel(r.enriched)
@@ -492,7 +500,7 @@ def _snapshot_latest_before(r: Review) -> DataFrame:
 @query("actions_list")
 def _actions_list(r: Review) -> DataFrame:
     """The Booking list of the current quarter."""
-    return state.actions_list(r.actions, r.pacing.quarter_key, "Booking")
+    return state.actions_list(r.actions, r.pacing.quarter_key, "Booking", r.cfg.today)
 
 
 @query("actions_add")
@@ -500,7 +508,7 @@ def _actions_add(r: Review) -> DataFrame:
     """Add a follow-up for the largest Red deal to the current quarter's Booking list."""
     top = r.open_core.where(F.col("rag") == "Red") \
                        .orderBy(F.col("acv").desc_nulls_last(), F.col("deal_id")).limit(1)
-    items = top.select(F.concat(F.lit("Review "), F.col("dealname")).alias("text"),
+    items = top.select(F.lit(1).alias("seq"), F.concat(F.lit("Review "), F.col("dealname")).alias("text"),
                        F.col("owner_name").alias("owner"))
     return state.actions_add(r.actions, r.pacing.quarter_key, "Booking", items, r.cfg.today)
 
@@ -508,9 +516,9 @@ def _actions_add(r: Review) -> DataFrame:
 @query("actions_replace")
 def _actions_replace(r: Review) -> DataFrame:
     """U8 + U9: replace the current quarter's Booking list by one item per pod review card
-    (a pod with nothing to ask gives a blank item, which the save rule drops)."""
-    from dealflow.operators.pods import pod_detail
-    pd_ = pod_detail(r.open_core)
+    (a pod with nothing to ask gives a blank item, which the save rule drops). The positions come
+    from a window over the cards, which are limited to ``cfg.pod_cards``."""
+    pd_ = pods.pod_reviews(r.open_core, r.cfg)
     items = pd_.select(
         F.dense_rank().over(Window.orderBy("pod")).cast("bigint").alias("pos"),
         F.when(F.col("exec_support") == C.SUPPORT_NONE, F.lit(""))

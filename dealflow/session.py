@@ -6,6 +6,7 @@ checkpoint folder when the cluster has not named one in ``spark.checkpoint.dir``
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -15,9 +16,6 @@ from pyspark.sql import SparkSession
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
-    # Generated methods above 8000 bytes are never JIT-compiled by HotSpot and run
-    # interpreted; at this limit Spark splits such stages instead (documented advice).
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # Scale settings: AQE re-plans joins from runtime sizes (an owner or spine side becomes a
@@ -29,15 +27,20 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # Generated methods above 8000 bytes are never JIT-compiled by HotSpot and run
+    # interpreted; at this limit Spark splits such stages instead (documented advice).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
-def cluster_conf(input_bytes: int, executor_cores: int, executors: int) -> dict[str, str]:
+def cluster_conf(input_bytes: int, executor_cores: int, executors: int,
+                 shuffle_partitions: int | None = None) -> dict[str, str]:
     """Settings for a cluster run over ``input_bytes`` of deal / event data.
 
     * Scan splits of 256 MiB: a 100 TB input gives ~400k tasks (several waves per core).
-    * Shuffles start at one partition per 256 MiB of input (capped at 100k): the only large
-      shuffles are the per-deal call aggregate and its join, which scale with the deals;
+    * Shuffles start at ``shuffle_partitions``, by default one partition per 256 MiB of input
+      and one per core at least: the only large shuffles are the per-deal call aggregate and its
+      join, which scale with the deals;
       AQE then coalesces the small ones toward 128 MiB and splits skewed ones, so no task
       holds more than its share in memory and sorts spill instead of failing.
     * Broadcasts stay bounded by the 32 MiB threshold (AQE decides from measured sizes)."""
@@ -45,7 +48,7 @@ def cluster_conf(input_bytes: int, executor_cores: int, executors: int) -> dict[
     return {
         **REQUIRED_CONF, **SCALE_CONF,
         "spark.sql.files.maxPartitionBytes": str(split),
-        "spark.sql.shuffle.partitions": str(max(executor_cores * executors, min(100_000, input_bytes // split))),
+        "spark.sql.shuffle.partitions": str(shuffle_partitions or max(executor_cores * executors, input_bytes // split)),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
@@ -75,14 +78,16 @@ def apply_required_conf(spark: SparkSession) -> None:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder: the one already set on the context, else the cluster's shared
-    ``spark.checkpoint.dir``; only when neither is set (local runs and tests) a fresh
-    scratch folder."""
+    ``spark.checkpoint.dir``. Where neither is set a single-process session (``local[...]``) gets a
+    scratch folder; on a cluster a folder of one machine would lose data, so that fails."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     current = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="dealflow-ckpt-")
     sc.setCheckpointDir(current)
     return current

@@ -21,19 +21,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Input parallelism guard: a scan with fewer splits than the cluster has task slots
-    (one small file, one row group) would run every per-row rule in a single task. Such a
-    scan is round-robin repartitioned to the default parallelism; a scan of a large table
-    already has at least that many splits and is returned unchanged (no extra shuffle)."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # a session without a SparkContext handle (e.g. a remote client)
-        return df
-    return df.repartition(slots) if parts < slots else df
-
-
 def _pick(key: Column, values: list) -> Column:
     """values[key] for key in 0..len-1, NULL for a None entry or any other key."""
     out = None
@@ -46,8 +33,8 @@ def _pick(key: Column, values: list) -> Column:
 
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One CRM-like deal per order (FIXTURES.md §1 schema)."""
-    o = spread(_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+    o = _table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     c = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     k = F.col("o_orderkey")
     anchor = F.lit(FIXTURE_ANCHOR)
@@ -131,7 +118,7 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-call sentiment rows, several per deal, keyed by the deal id as text."""
-    e = spread(_table(spark, sf_dir, "events").select("event_id", "value", "user_id"))
+    e = _table(spark, sf_dir, "events").select("event_id", "value", "user_id")
     eid = F.col("event_id")
     return e.select(
         (eid - eid % 3).cast("string").alias("deal_id"),

@@ -2,7 +2,8 @@
 owner dimension and per-deal sentiment.
 
 Lenient numbers use ``try_cast`` (Spark 4 runs ANSI mode, where ``cast`` would throw).
-Money is carried as DECIMAL(18,2) so sums are exact and independent of row order.
+Money is carried as DECIMAL(18,2) so sums are exact and independent of row order; text that is
+no number is NULL, an amount of 10^16 or more fails the query.
 """
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from dealflow import schema
 from dealflow.config import ReviewConfig
 from dealflow.functions import dims
 from dealflow.functions.pacing import pacing
+from dealflow.functions.rules import number
 from dealflow.functions.text import strip
 from dealflow.operators.hygiene import hygiene, is_open, touches_quarter, won_between
 
@@ -20,7 +22,7 @@ MONEY = "decimal(18,2)"
 
 
 def money_col(name: str):
-    return F.col(name).try_cast(MONEY)
+    return number(F.col(name), MONEY)
 
 
 def qtd_base(deals: DataFrame, cfg: ReviewConfig, with_wow_window: bool = False) -> DataFrame:

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from dealflow import config as C
 from dealflow.config import ReviewConfig
 from dealflow.functions import dims
-from dealflow.functions.pacing import pacing
+from dealflow.functions.pacing import FRIDAY, pacing, weekday_from
 from dealflow.functions.quarters import quarter_key
+from dealflow.functions.rules import number
 from dealflow.operators import state
 from dealflow.operators.funnel import happened
 
@@ -31,7 +32,7 @@ MONEY = "decimal(18,2)"
 
 def derived_goals(clean: DataFrame) -> DataFrame:
     one = F.lit(1).cast(MONEY)
-    arr = F.col("arr_raw").try_cast(MONEY)
+    arr = number(F.col("arr_raw"), MONEY)
     won = F.coalesce(F.col("is_won"), F.lit(False))
     ev = [("sql_booked", F.col("create_d"), one),
           ("sql_held", F.when(happened(F.col("meeting_happened")), F.col("disco_d")), one),
@@ -63,7 +64,7 @@ def booking_snapshot_metrics(scored: DataFrame, cfg: ReviewConfig) -> DataFrame:
 
 
 def last_friday_before(day: dt.date) -> dt.date:
-    return day - dt.timedelta(days=(day.weekday() - 4) % 7 or 7)
+    return dt.date.fromordinal(weekday_from(day.toordinal() - 7, FRIDAY))
 
 
 def snapshot_seed(scored: DataFrame, cfg: ReviewConfig) -> DataFrame:

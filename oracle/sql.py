@@ -363,19 +363,19 @@ SCORED = f"""
          WHEN fcat = 'COMMIT' THEN 'Commit' WHEN fcat = 'BEST_CASE' THEN 'Best Case'
          WHEN fcat = 'PIPELINE' THEN 'Pipeline' WHEN fcat = 'OMIT' THEN 'Not Forecasted'
          ELSE {_title("fcat")} END AS fcat_disp,
-    coalesce(TRY_CAST(prob_raw AS DECIMAL(12,6)), 0) AS prob0,
+    coalesce(TRY_CAST(prob_raw AS DECIMAL(26,12)), 0) AS prob0,
     date_diff('day', last_contact_d, {TODAY}) AS days_since_contact,
     {_has("m_metrics")} AS has_M, {_yes("e_buyer")} AS has_E, {_has("d_process")} AS has_D,
     {_has("i_pain")} AS has_I, {_has("c_compet")} AS has_C, {_yes("champion")} AS has_Champ
   FROM open_scan o)
 , sc2 AS (
   SELECT *,
-    CAST(CASE WHEN prob0 <= 1 THEN prob0 ELSE prob0 / 100 END AS DECIMAL(12,6)) AS prob,
+    CAST(CASE WHEN prob0 <= 1 THEN prob0 ELSE prob0 / 100 END AS DECIMAL(16,12)) AS prob,
     CAST(has_M AS INTEGER) + CAST(has_E AS INTEGER) + CAST(has_D AS INTEGER) + CAST(has_I AS INTEGER)
       + CAST(has_C AS INTEGER) AS meddpicc
   FROM sc1)
 , sc3 AS (
-  SELECT *, acv * prob AS weighted_acv,
+  SELECT *, CAST(acv AS DECIMAL(22,2)) * prob AS weighted_acv,
     list_filter([
       CASE WHEN days_since_contact IS NULL OR days_since_contact > 14 THEN 'No activity 14d+' END,
       CASE WHEN n_contacts IS NULL OR n_contacts <= 1 THEN 'Single-threaded' END,
@@ -767,7 +767,8 @@ ORACLE_SQL["trend_weekly"] = f"""{STATE}
          max(value) FILTER (WHERE metric = 'tof_sql_held') AS sql_held,
          max(value) FILTER (WHERE metric = 'tof_sal') AS sal,
          max(value) FILTER (WHERE metric = 'tof_bookings_arr') AS bookings_arr
-  FROM store GROUP BY snapshot_date)
+  FROM (SELECT * FROM store WHERE snapshot_date <> {TODAY} OR NOT starts_with(metric, 'tof_')
+        UNION ALL SELECT {TODAY}, 'tof_' || metric, value FROM tot_long) GROUP BY snapshot_date)
 SELECT *, lag(sql_booked) OVER (ORDER BY snapshot_date) AS prev_sql_booked
 FROM wide WHERE sql_booked IS NOT NULL"""
 
@@ -829,7 +830,13 @@ ORACLE_SQL["snapshot_latest_before"] = f"""{STATE}
 SELECT * FROM prior"""
 
 ORACLE_SQL["actions_list"] = f"""{STATE}
-SELECT * FROM actions WHERE quarter = '1998Q3' AND meeting = 'Booking'"""
+, l AS (SELECT * FROM actions WHERE quarter = '1998Q3' AND meeting = 'Booking')
+SELECT * FROM l
+UNION ALL SELECT '1998Q3', 'Booking', CAST(1 AS BIGINT), '', '', 'Open', {TODAY} WHERE NOT EXISTS (SELECT 1 FROM l)"""
+
+ORACLE_SQL["goal_for"] = f"""{STATE}
+SELECT (SELECT max(value) FROM gq WHERE market = 'Sage' AND metric = 'bookings_arr') AS sage_bookings_arr,
+       (SELECT max(value) FROM gq WHERE market = 'Dynamics' AND metric = 'sql_held') AS dynamics_sql_held"""
 
 ORACLE_SQL["actions_add"] = f"""{STATE}
 , top AS (SELECT dealname, owner_name FROM scored WHERE rag = 'Red' ORDER BY acv DESC NULLS LAST, deal_id LIMIT 1)
@@ -845,7 +852,8 @@ ORACLE_SQL["actions_replace"] = f"""{_POD_BASE.replace(PRELUDE + SCORED, STATE,
   SELECT CAST(dense_rank() OVER (ORDER BY pod) AS BIGINT) AS pos,
          CASE WHEN exec_support = 'None this week' THEN '' ELSE pod || ': ' || exec_support END AS text,
          pod AS owner, 'Open' AS status, {TODAY} AS added
-  FROM detail)
+  FROM (SELECT * FROM detail WHERE deals >= 3 OR NOT EXISTS (SELECT 1 FROM detail d2 WHERE d2.deals >= 3)
+        ORDER BY acv DESC, pod LIMIT 8))
 SELECT * FROM actions WHERE NOT (quarter = '1998Q3' AND meeting = 'Booking')
 UNION ALL
 SELECT '1998Q3', 'Booking', pos, text, owner, status, added FROM items
@@ -1023,50 +1031,37 @@ ORACLE_SQL["decisions"] = f"""{_COV.replace(STATE, _MS + SPINE_GTM, 1)}
   SELECT c.*, bk.bk_commit, bk.bk_best, round(100 * bk.bk_commit / nullif(c.plan, 0.0), 6) AS q_att,
          hy.n_open, hy.categorized
   FROM cov c, bk, hy)
-SELECT 'tof_summary' AS section, 0 AS ord, 'Will we create enough future revenue?' AS question,
-       'SQL-Booked ' || {_grouped("sql_booked")} || ', projecting ' || {_grouped("proj")} || ' by quarter-end'
-         || CASE WHEN plan_s <> 0 THEN ' vs ' || {_grouped("plan_s")} || ' plan' ELSE '' END
-         || '; Bookings ' || {_money("bk")}
-         || CASE WHEN bk_att IS NOT NULL THEN ' = ' || {_fixed0("bk_att")} || '% of plan at 53% elapsed' ELSE '' END
-         || '.' AS read,
-       CASE WHEN plan_s <> 0 AND proj < plan_s
-            THEN 'Pipeline creation is behind pace — increase BDR/Channel investment or intervene.'
-            ELSE 'Top-of-funnel is on/above pace — hold investment and protect conversion.' END AS decision
+SELECT 'tof_summary' AS section, 0 AS ord,
+       'sql_booked=' || {_grouped("sql_booked")} || ' projected=' || {_grouped("proj")} || ' plan=' || {_grouped("plan_s")}
+         || ' bookings=' || {_money("bk")} || ' plan_pct=' || coalesce({_fixed0("bk_att")}, '—') || ' elapsed_pct=53' AS figures,
+       CASE WHEN plan_s <> 0 AND proj < plan_s THEN 'creation_behind_pace' ELSE 'creation_on_pace' END AS decision
 FROM tof2
 UNION ALL
-SELECT 'market', 1, 'Where is growth coming from, and where is it slowing?',
-       lead.market || ' leads bookings (' || {_money("lead.bookings_arr")} || '); ' || lag.market
-         || ' is the softest strategic market (' || {_money("lag.bookings_arr")} || ').',
-       'Direct review time to ' || lag.market || '; confirm whether it''s a pipeline-creation or conversion problem.'
+SELECT 'market', 1, 'lead=' || lead.market || ' ' || {_money("lead.bookings_arr")}
+         || ' lag=' || lag.market || ' ' || {_money("lag.bookings_arr")}, 'review_market:' || lag.market
 FROM lead, lag
 UNION ALL
-SELECT 'gtm', 2, 'Which acquisition engine is producing repeatable pipeline?',
-       top_e.gtm || ' creates the most SQL-Booked; Channel contributes '
-         || CAST((SELECT sql_booked FROM gspine WHERE gtm = 'Channels') AS VARCHAR)
-         || ' (our highest-priority growth lever).',
-       'If Channel is under-indexing, prioritize partner enablement; otherwise double down on the leading engine.'
+SELECT 'gtm', 2, 'top=' || top_e.gtm || ' channel_sql_booked='
+         || CAST((SELECT sql_booked FROM gspine WHERE gtm = 'Channels') AS VARCHAR), 'back_engine:' || top_e.gtm
 FROM top_e
 UNION ALL
-SELECT 'booking_forecast', 3, 'Will we hit the number?',
-       'Commit ' || {_money("bk_commit")}
-         || CASE WHEN q_att IS NOT NULL THEN ' = ' || {_fixed0("q_att")} || '% of plan' ELSE '' END
-         || '; Commit+Best ' || {_money("bk_commit + bk_best")} || '; coverage '
-         || CASE WHEN coverage IS NULL THEN '—' ELSE printf('%.1f', coverage) || '×' END
-         || ' of the ' || {_money("gap")} || ' gap; ' || CAST(categorized AS VARCHAR) || '/' || CAST(n_open AS VARCHAR)
-         || ' open deals carry a rep forecast category.',
-       CASE WHEN q_att IS NULL OR q_att < 53.3
-            THEN 'Pressure-test Commit deals flagged for downgrade and pull Best Case upside forward.'
-            ELSE 'On pace — protect Commit and convert Best Case.' END
-         || CASE WHEN coverage IS NULL OR coverage >= 3 THEN '' ELSE ' Coverage is thin — accelerate pipeline creation / channel.' END
+SELECT 'booking_forecast', 3,
+       'commit=' || {_money("bk_commit")} || ' plan_pct=' || coalesce({_fixed0("q_att")}, '—')
+         || ' commit_best=' || {_money("bk_commit + bk_best")} || ' coverage=' || coalesce(printf('%.1f', coverage), '—')
+         || ' gap=' || {_money("gap")} || ' categorized=' || CAST(categorized AS VARCHAR) || '/' || CAST(n_open AS VARCHAR),
+       CASE WHEN q_att IS NULL OR q_att < 53.3 THEN 'commit_short' ELSE 'commit_on_pace' END
+         || CASE WHEN coverage IS NULL OR coverage >= 3 THEN '' ELSE '+coverage_thin' END
 FROM bf
 UNION ALL
-SELECT 'market_forecast', 4, 'Which markets carry the forecast — and the risk?',
-       coalesce((SELECT market FROM cm), '—') || ' holds the most Commit ACV'
-         || coalesce(' (' || (SELECT {_money("acv")} FROM cm) || ')', '')
-         || '; ' || coalesce((SELECT market FROM rm), '—') || ' carries the most at-risk (Red) open ACV'
-         || coalesce(' (' || (SELECT {_money("acv")} FROM rm) || ')', '') || '.',
-       'Inspect Red-heavy ' || coalesce((SELECT market FROM rm), '—') || ' deals this week; confirm '
-         || coalesce((SELECT market FROM cm), '—') || ' Commit isn''t single-deal dependent.'"""
+SELECT 'market_forecast', 4,
+       'commit_market=' || coalesce((SELECT market FROM cm), '—') || ' ' || coalesce((SELECT {_money("coalesce(acv, 0)")} FROM cm), '—')
+         || ' red_market=' || coalesce((SELECT market FROM rm), '—') || ' ' || coalesce((SELECT {_money("coalesce(acv, 0)")} FROM rm), '—'),
+       'inspect_market:' || coalesce((SELECT market FROM rm), '—')
+UNION ALL
+SELECT 'trends', 5, 'weeks=' || CAST(n + 1 AS VARCHAR) || ' latest=' || {_grouped("sql_booked")} || ' previous=' || {_grouped("prev")},
+       CASE WHEN sql_booked < prev THEN 'creation_fell' ELSE 'creation_rose_or_held' END
+FROM totals, (SELECT count(value) AS n, arg_max(value, snapshot_date) AS prev FROM store
+              WHERE metric = 'tof_sql_booked' AND snapshot_date < {TODAY}) WHERE n >= 1"""
 
 _SP_BOOKING = ORACLE_SQL["strategic_priorities"] \
     .replace("'Are we winning the NetSuite install base?'", "'Is the NetSuite install-base strategy producing bookings?'") \
@@ -1079,17 +1074,3 @@ ORACLE_SQL["pod_reviews"] = ORACLE_SQL["pod_reviews"].replace(
     "SELECT * FROM kept ORDER BY acv DESC, pod LIMIT 8",
     "SELECT *, CASE WHEN EXISTS (SELECT 1 FROM prior) THEN 'see Movement' ELSE 'WoW from snapshots (next week)' END"
     " AS what_changed FROM kept ORDER BY acv DESC, pod LIMIT 8").replace(BOOKING, STATE, 1)
-
-ORACLE_SQL["decisions"] = ORACLE_SQL["decisions"] + """
-UNION ALL
-SELECT 'trends', 5, 'Is the funnel accelerating or stalling week over week?',
-       CAST(weeks AS VARCHAR) || ' weeks of reconstructed history; latest SQL-Booked ' || """ + _grouped("latest") + """
-         || ' (was ' || """ + _grouped("prev") + """ || ' prior week).',
-       'If weekly creation is flattening below pace, intervene on top-of-funnel now — not at quarter-end.'
-FROM (
-  SELECT count(*) AS weeks, arg_max(sql_booked, snapshot_date) AS latest, arg_max(prev, snapshot_date) AS prev
-  FROM (SELECT snapshot_date, sql_booked, lag(sql_booked) OVER (ORDER BY snapshot_date) AS prev
-        FROM (SELECT snapshot_date, max(value) FILTER (WHERE metric = 'tof_sql_booked') AS sql_booked
-              FROM store GROUP BY snapshot_date) w
-        WHERE sql_booked IS NOT NULL) t) x
-WHERE weeks >= 2"""

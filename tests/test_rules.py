@@ -69,6 +69,20 @@ def test_probability(spark):
     vals = ["0.2", "60", "1", "1.0", "1.01", "100", "bad", "nan", None]
     got = [float(x) for x in col_values(spark, vals, rules.probability)]
     assert got == [0.2, 0.6, 1.0, 1.0, 0.0101, 1.0, 0.0, 0.0, 0.0]
+    vals = ["33.33333333", "0.123456789", "5000000", "99999999999999"]
+    assert [float(x) for x in col_values(spark, vals, rules.probability)] == [
+        0.3333333333, 0.123456789, 50000.0, 999999999999.99]
+
+
+def test_numbers_that_do_not_fit_fail(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    amounts = ["9999999999999999.99", "n/a", "", None, "nan"]
+    assert [None if x is None else str(x) for x in col_values(spark, amounts, lambda c: rules.number(c, "decimal(18,2)"))] == [
+        "9999999999999999.99", None, None, None, None]
+    for raw, kind in (("1e16", "decimal(18,2)"), ("1e30", "decimal(26,12)"), ("-1e20", "decimal(18,2)")):
+        with pytest.raises(PySparkException, match="number outside"):
+            col_values(spark, [raw], lambda c: rules.number(c, kind))
 
 
 def test_strip_is_python_strip(spark):
@@ -78,7 +92,7 @@ def test_strip_is_python_strip(spark):
 
 def test_money_and_number_text(spark):
     vals = [0.0, 499.0, 500.0, 1500.0, 2500.0, 999_499.0, 1_234_567.0, 1_005_000.0, -5000.0, 2.5e9]
-    expect = [f"${v/1e6:.2f}M" if abs(v) >= 1e6 else f"${v/1e3:.0f}K" for v in vals]
+    expect = ["$0K", "$0K", "$0K", "$2K", "$2K", "$999K", "$1.23M", "$1.00M", "$-5K", "$2500.00M"]
     assert col_values(spark, vals, text.money, "double") == expect
     signed_vals = [12.5, -0.4, 0.5, 1.5, -69.04, 0.0]
     assert col_values(spark, signed_vals, lambda c: text.signed(c, 0), "double") == [f"{v:+.0f}" for v in signed_vals]

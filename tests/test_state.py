@@ -3,6 +3,8 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from dealflow import schema
@@ -48,7 +50,7 @@ def test_latest_before_is_strict_and_metric_sparse(spark):
     got = state.latest_before(store, D3)
     assert rows(got, "snapshot_date", "metric", "value") == [(D2, "a", 3.0)]
     # a metric missing on the newest prior date is absent, even though an older date has it
-    assert spark.range(1).select(state.prior_value(store, D3, "b")).first()[0] is None
+    assert got.where("metric = 'b'").count() == 0
     assert rows(state.latest_before(store, D1), "metric") == []
 
 
@@ -68,18 +70,63 @@ def test_goal_upsert_and_replace(spark):
 def test_actions_add_and_replace(spark):
     acts = spark.createDataFrame([("Q", "TOF", 3, "x", "o", "Open", D1), ("Q", "TOF", 7, "y", "o", "Done", D1),
                                   ("Q", "Booking", 1, "z", "o", "Open", D1)], schema.ACTIONS)
-    items = spark.createDataFrame([("new", "me"), ("newer", "me")], "text string, owner string")
+    items = spark.createDataFrame([(2, "newer", "me"), (1, "newest last by name", "me")], "seq int, text string, owner string")
+    with pytest.raises(ValueError):
+        state.actions_add(acts, "Q", "TOF", items.drop("seq"), D3)
     added = state.actions_add(acts, "Q", "TOF", items, D3)
     got = rows(added.where("text like 'new%'"), "quarter", "pos", "status", "added")
     assert got == [("Q", 8, "Open", D3), ("Q", 9, "Open", D3)]
-    first = state.actions_add(acts, "P", "TOF", items.limit(1), D3)
-    assert rows(first.where("quarter = 'P'"), "pos", "text") == [(1, "new")]
-    assert [r.text for r in state.actions_list(added, "Q", "TOF").collect()] == ["x", "y", "new", "newer"]
+    first = state.actions_add(acts, "P", "TOF", items.where("seq = 1"), D3)
+    assert rows(first.where("quarter = 'P'"), "pos", "text") == [(1, "newest last by name")]
+    assert [r.text for r in state.actions_list(added, "Q", "TOF", D3).collect()] == ["x", "y", "newest last by name", "newer"]
+    assert rows(state.actions_list(added, "Q2", "TOF", D3), "pos", "text", "owner", "status", "added") == [(1, "", "", "Open", D3)]
     new = spark.createDataFrame([(1, "keep", "a", "Open", D3), (2, "  ", "b", "Open", D3),
-                                 (3, "bad status", "c", "Later", D3)],
+                                 (3, "bad status", "c", "Later", D3), (4, "no status", "d", None, D3)],
                                 "pos long, text string, owner string, status string, added date")
     rep = state.actions_replace(acts, "Q", "TOF", new)
-    assert rows(rep, "meeting", "text") == [("Booking", "z"), ("TOF", "keep")]
+    assert rows(rep, "meeting", "text", "status") == [("Booking", "z", "Open"), ("TOF", "keep", "Open"), ("TOF", "no status", "Open")]
+    assert rows(state.rejected_items(new), "text") == [("bad status",)]
+
+
+def test_last_row_of_a_batch_wins(spark):
+    goals = spark.createDataFrame([("Q", "Sage", "sal", 1.0)], schema.GOALS)
+    batch = [("Q", "Sage", "sal", 2.0, 1), ("Q", "Sage", "sal", 3.0, 3), ("Q", "Sage", "sal", 9.0, 2), ("Q", "Other", "sal", 5.0, 4)]
+    df = spark.createDataFrame(batch, "quarter string, market string, metric string, value double, seq int")
+    assert rows(state.set_goals(goals, df), "market", "value") == [("Other", 5.0), ("Sage", 3.0)]
+    assert rows(state.replace_quarter_goals(goals, "Q", df), "market", "value") == [("Other", 5.0), ("Sage", 3.0)]
+    with pytest.raises(PySparkException, match="comes twice"):
+        state.set_goals(goals, df.drop("seq")).collect()
+    with pytest.raises(PySparkException, match="outside P"):
+        state.replace_quarter_goals(goals, "P", df).collect()
+    got = spark.range(1).select(state.goal_for(goals, "Q", "Sage", "sal").alias("a"), state.goal_for(goals, "Q", "X", "sal").alias("b")).first()
+    assert (got.a, got.b) == (1.0, None)
+
+
+def test_sinks_rewrite_only_touched_partitions_and_are_idempotent(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    for _ in range(2):
+        state.save_snapshots(spark, path, snaps(spark, [(D1, "a", 1.0), (D2, "a", 2.0)]))
+    kept = sorted((tmp_path / "snapshots" / f"snapshot_date={D1}").iterdir())
+    for _ in range(2):
+        state.save_snapshots(spark, path, snaps(spark, [(D2, "b", 5.0), (D3, "a", 7.0)]))
+        assert rows(state.stored(spark, path, schema.SNAPSHOTS), "snapshot_date", "metric", "value") == [
+            (D1, "a", 1.0), (D2, "a", 2.0), (D2, "b", 5.0), (D3, "a", 7.0)]
+    assert sorted((tmp_path / "snapshots" / f"snapshot_date={D1}").iterdir()) == kept
+    state.sync_snapshots(spark, path, snaps(spark, [(D1, "a", 99.0)]))  # no date is missing: nothing changes
+    assert (D1, "a", 1.0) in rows(state.stored(spark, path, schema.SNAPSHOTS), "snapshot_date", "metric", "value")
+    goals = str(tmp_path / "goals")
+    for _ in range(2):
+        state.save_goals(spark, goals, spark.createDataFrame([("Q1", "Sage", "sal", 1.0), ("Q2", "Sage", "sal", 2.0)], schema.GOALS))
+        state.save_goals(spark, goals, spark.createDataFrame([("Q2", "Other", "sal", 3.0)], schema.GOALS))
+        state.save_quarter_goals(spark, goals, "Q3", spark.createDataFrame([("Q3", "Other", "sal", 4.0)], schema.GOALS))
+        assert rows(state.stored(spark, goals, schema.GOALS), "quarter", "market", "value") == [
+            ("Q1", "Sage", 1.0), ("Q2", "Other", 3.0), ("Q2", "Sage", 2.0), ("Q3", "Other", 4.0)]
+    acts = str(tmp_path / "actions")
+    one = spark.createDataFrame([(1, "x", "o")], "seq int, text string, owner string")
+    for n in (1, 2):
+        merged = state.actions_add(state.stored(spark, acts, schema.ACTIONS), "Q1", "TOF", one, D3)
+        state.save_actions(spark, acts, "Q1", merged)
+        assert rows(state.stored(spark, acts, schema.ACTIONS), "pos", "text") == [(i + 1, "x") for i in range(n)]
 
 
 def test_partition_overwrite_writer(spark):
