@@ -4,10 +4,11 @@ Texts become sets of hashed word n-grams; equal sets are one node (a 128-bit sig
 a threshold t, similar sets of size n share a gram among the first n - ceil(t n) + 1 in any one
 global order. The order is rare first: by level of a hashed document-frequency table that is
 counted over all sets and has a fixed size, then by hash. Candidates that share a prefix gram
-pass the length filter, the positional filter (grams still to come on both sides) and, once per
-pair, the suffix filter: both sets are split into cells by hash, and the smaller count of each
-cell bounds the overlap. Only pairs that pass all three have their texts compared, once per
-pair. ``links`` keeps groups of near copies from pairing all with all.
+pass, inside the join, the length filter, the positional filter (grams still to come on both
+sides) and a bitmap filter: each set has a bitmap of the parity of its grams per hash cell, and
+bits that differ are grams of one set alone. Once per pair comes the suffix filter: both sets
+are split into cells by hash, and the smaller count of each cell bounds the overlap. Only pairs
+that pass all four have their texts compared, once per pair. ``links`` keeps groups of near copies from pairing all with all.
 
 Null texts, and texts without words, have the empty set and are linked with nothing; with fewer
 words than n the whole sequence is the one gram. Null ids are allowed: a component's id is its
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dealflow.llm.common import cut, restrict, same_doc, text_key, uncut
 from dealflow.llm.links import link
@@ -31,6 +33,8 @@ NGRAM, PERCENT = 3, 90
 DF_BITS, DF_BLOCKS = 20, 64
 #: Cells of the suffix filter: grams are counted by the top bits of a mixed hash.
 CELL_BITS = 5
+#: Longs of a set's parity bitmap.
+BITMAP = [f"bits{i}" for i in range(4)]
 
 
 def gram_sets(buf: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +69,14 @@ def signatures(doc: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     return sign
 
 
+def bitmaps(doc: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    """Per set, the parity of its gram count in each of 64 * len(BITMAP) hash cells, as longs."""
+    width = 64 * len(BITMAP)
+    cell = (mix(value ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(width)).astype(np.int64)
+    odd = (np.bincount(doc * width + cell, minlength=rows * width) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(rows, len(BITMAP))
+
+
 def _as_binary(sign: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(
         pa.binary(16), len(sign), [None, pa.py_buffer(sign.tobytes())]).cast(pa.binary())
@@ -79,9 +91,11 @@ def _signatures(ngram: int):
             cell = doc * width + (mix(value) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
             cells = np.bincount(cell, minlength=rows.num_rows * width).astype(np.int32)
             ends = pa.array(np.arange(0, len(cells) + 1, width, dtype=np.int32))
+            bits = bitmaps(doc, value, rows.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("_th"), _as_binary(sign), signed(sign[:, 0].copy()), pa.array(n),
-                 pa.ListArray.from_arrays(ends, pa.array(cells))], names=["doc_id", "_th", "node", "mark", "n", "cells"])
+                 pa.ListArray.from_arrays(ends, pa.array(cells)), *(pa.array(b) for b in bits.T)],
+                names=["doc_id", "_th", "node", "mark", "n", "cells", *BITMAP])
     return run
 
 
@@ -148,10 +162,18 @@ def _fits(percent: int):
         n1, n2, p1, p2 = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
         length = (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1)
         # before this gram at most min(p1, p2) are shared, after it what is left of either
-        return length & (F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= needed(n1, n2, percent))
+        place = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= needed(n1, n2, percent)
+        # a bit that differs stands for at least one gram that only one of the sets has
+        apart = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITMAP)
+        return length & place & (apart <= n1 + n2 - 2 * needed(n1, n2, percent))
     return fits
 
 
+def _first_shared(x: str, y: str):
+    """Not true where the gram before this one is shared too: the pair is met there already."""
+    return ~F.coalesce(F.col(f"{x}.earlier") == F.col(f"{y}.earlier"), F.lit(False))
+
+
 def _similar(ngram: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +235,8 @@ def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataF
     (verified links of its set to other sets that the component was built from)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("_th"), "text")
-    slim = cut(keyed.mapInArrow(_signatures(ngram), f"doc_id {id_type}, _th long, node binary, mark long, n long, cells array<int>"))
+    slim = cut(keyed.mapInArrow(_signatures(ngram), f"doc_id {id_type}, _th long, node binary, mark long, n long, cells array<int>, "
+                                + ", ".join(f"{b} long" for b in BITMAP)))
     # prefix grams that different sets share
     table = docs.sparkSession.sparkContext.broadcast(rarity(docs, ngram))  # 2^DF_BITS bytes, whatever the input
     keys = cut(docs.select("text").mapInArrow(_prefixes(ngram, percent, table), "key long, mark long, pos int, n int"))
@@ -223,14 +246,17 @@ def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataF
     # one row for each set that shares a gram, with a document to read it from
     who = slim.where("n > 0").join(met.select("mark").distinct(), "mark")
     sets = cut(who.groupBy("node", "mark", "n").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_th")).alias("r"), F.any_value("cells").alias("cells"))
-        .select("node", "mark", "n", "cells", "r.doc_id", "r._th"))
-    chosen = cut(met.drop("n").join(sets.select("mark", "node", "n"), "mark").select("key", "node", "pos", "n"))
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_th")).alias("r"), F.any_value("cells").alias("cells"),
+        *(F.any_value(b).alias(b) for b in BITMAP))
+        .select("node", "mark", "n", "cells", *BITMAP, "r.doc_id", "r._th"))
+    earlier = F.lag("key").over(Window.partitionBy("mark", "node").orderBy("pos", "key"))
+    chosen = cut(met.drop("n").join(sets.select("mark", "node", "n", *BITMAP), "mark")
+                 .select("key", "node", "pos", "n", *BITMAP, earlier.alias("earlier")))
     uncut(met)
     # rows equal in id and text hold one set: its text is read once
     once = keyed.dropDuplicates(["doc_id", "_th"]) if repeated(slim) else keyed
     verify = Verifier(once, sets, ngram, percent)
-    edges, roots = link(chosen, _fits(percent), verify)
+    edges, roots = link(chosen, _fits(percent), verify, _first_shared)
     uncut(chosen, sets, *verify.texts)
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
     roots = cut(roots.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links")), "node", "left"))

@@ -49,11 +49,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(keys: DataFrame, fits: Callable[[str, str], Column],
-         verify: Callable[[DataFrame], DataFrame], star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame, DataFrame]:
+         verify: Callable[[DataFrame], DataFrame], once: Callable[[str, str], Column] | None = None,
+         star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Links among nodes that share a key.
 
     ``keys``: (key, node, ...), written already; ``fits(x, y)``: condition on two rows of a key, by
-    alias, that a similar pair always meets; ``verify(pairs)``: the rows (a, b) of similar pairs.
+    alias, that a similar pair always meets; ``verify(pairs)``: the rows (a, b) of similar pairs;
+    ``once(x, y)``: condition that holds at one common key of a similar pair at least, and spares the
+    last round most repeats of a pair.
     Returns (edges (a, b), roots (node, root))."""
     edges = roots = tested = None
     for turn in range(star_rounds + 1):
@@ -68,6 +71,8 @@ def link(keys: DataFrame, fits: Callable[[str, str], Column],
         open_rows = cut(rows.join(split, "key"))
         other = open_rows if turn == star_rounds else cut(open_rows.where("_p = _least"))
         differ = F.col("x._c") < F.col("y._c") if turn == star_rounds else F.col("x._c") != F.col("y._c")
+        if turn == star_rounds and once is not None:
+            differ = differ & once("x", "y")
         pairs = open_rows.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & differ & fits("x", "y")).select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if tested is not None:
