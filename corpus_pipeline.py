@@ -5,7 +5,8 @@ DataFrame, which is written as Parquet and read again as the next one's ``docs``
 on all rows the one before it kept. All stages but the last return the columns of ``documents``:
 
 1. quality rules: documents that fail the base rules or lie far from every language go;
-2. n-gram Jaccard join: of each component of near-duplicates one document stays;
+2. n-gram Jaccard join: of each component of near-duplicates (``NEAR``: runs of five words, 80 % of
+   them shared) one document stays;
 3. benchmark decontamination: contaminated documents go;
 4. mixing: each document comes as often as the mix takes it (possibly not at all);
 5. sharding: each row gets its place on the Hilbert curve, its shard and its slot.
@@ -23,6 +24,9 @@ from dealflow.llm.common import cut, read_table, ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: What counts as a near-duplicate in a corpus; the query op8 has values of its own.
+NEAR = {"ngram": 5, "percent": 80}
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.passing(docs)
@@ -30,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, **NEAR)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
