@@ -5,6 +5,12 @@ histograms of whole languages, summed over the corpus itself, by Jensen-Shannon
 square root of the divergence in bits, 0 to 1). A document far from every language is
 rejected. Short documents are not judged by a histogram they cannot fill.
 
+In the histogram over all words the other words hold most of the mass, so a text without one
+common word is not far by it. The common words are therefore judged once more alone: by their
+share of the words, and by the distance of their distribution among themselves. Both bounds come
+from the spread over all documents (quartiles and ``FENCE``). The query op7 goes by the two
+distances of its SQL only (``common=False``).
+
 The texts are read once: counts of every document are written as a slim table, from which the
 language references are summed and the verdicts taken.
 
@@ -34,6 +40,10 @@ MIN_WORDS = 50
 MIN_CHARS, MIN_LISTED = 200, 50
 #: Distances above these are rejected.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.65
+#: Common words alone: rejected so many quartile distances below the first quartile of their share or
+#: above the third of their distance. The bound of the share stays between these parts of the least
+#: share of a language, that of the distance above what fifty words are apart by chance.
+FENCE, LEAST_SHARE, MOST_SHARE, LEAST_DISTANCE = 3, 0.1, 0.5, 0.3
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -125,10 +135,42 @@ def distance(counts: Column, total: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(bits / 2, F.lit(0.0)))
 
 
+def quartiles(df: DataFrame, name: str) -> tuple[float, float] | None:
+    """First and third quartile of a column from 0 to 1, to three places; None if it is all null."""
+    rows = df.where(F.col(name).isNotNull()).groupBy(F.round(name, 3).alias("x")).agg(
+        F.count(F.lit(1)).alias("n")).orderBy("x").collect()  # at most 1001 rows
+    total, seen, out = sum(r["n"] for r in rows), 0, []
+    for r in rows:
+        seen += r["n"]
+        out += [r["x"]] * (sum(4 * seen >= k * total for k in (1, 3)) - len(out))
+    return (out[0], out[1]) if out else None
+
+
+def common_words(df: DataFrame, refs: list[tuple[list[float], list[float]]]) -> tuple[DataFrame, Column]:
+    """``df`` (counts) with common_share and common_distance (null where not judged), and the
+    condition that either is out of its bound."""
+    known = F.col("n_words") - F.element_at("listed", -1)
+    own = [[x / sum(w[:-1]) for x in w[:-1]] for _, w in refs if sum(w[:-1]) > 0]
+    ds = [distance(F.slice("listed", 1, len(COMMON_WORDS)), F.greatest(known, F.lit(1)), w) for w in own]
+    far = F.least(*ds) if len(ds) > 1 else ds[0] if ds else F.lit(None).cast("double")
+    share = F.round(F.when(F.col("n_words") >= MIN_LISTED, known / F.col("n_words")), 6)
+    df = df.withColumns({"common_share": share, "common_distance": F.round(F.when(known >= MIN_LISTED, far), 6)})
+    out = F.lit(False)
+    if own and (spread := quartiles(df, "common_share")):
+        least = min(sum(w[:-1]) for _, w in refs)
+        low = spread[0] - FENCE * (spread[1] - spread[0])
+        out = out | (F.col("common_share") < min(max(low, LEAST_SHARE * least), MOST_SHARE * least))
+    if own and (spread := quartiles(df, "common_distance")):
+        out = out | (F.col("common_distance") > max(spread[1] + FENCE * (spread[1] - spread[0]), LEAST_DISTANCE))
+    return df, F.coalesce(out, F.lit(False))
+
+
 def verdicts(docs: DataFrame, languages: tuple[str, ...] = tuple(COMMON),
-             max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+             max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE,
+             common: bool = True) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang): doc_id, _th, the base counts, base_failed,
-    char_distance and word_distance (to the nearest language; null where not judged), kept."""
+    char_distance and word_distance (to the nearest language; null where not judged), with
+    ``common`` also common_share and common_distance, kept."""
     table = cut(counts(docs))
     refs = references(table, languages)
     near = lambda ds: F.least(*ds) if len(ds) > 1 else ds[0] if ds else F.lit(None).cast("double")
@@ -141,6 +183,9 @@ def verdicts(docs: DataFrame, languages: tuple[str, ...] = tuple(COMMON),
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))})
     far = (F.coalesce(F.col("char_distance") > max_char_distance, F.lit(False))
            | F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False)))
+    if common:
+        df, odd = common_words(df, refs)
+        far = far | odd
     return df.withColumn("kept", ~F.col("base_failed") & ~far).drop("lang", "chars", "listed", "_total")
 
 

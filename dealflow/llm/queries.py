@@ -63,7 +63,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.verdicts(read_table(spark, sf_dir, "documents")).select(
+    return quality_rules.verdicts(read_table(spark, sf_dir, "documents"), common=False).select(
         "doc_id", *quality_rules.BASE, "base_failed", "char_distance", "word_distance", "kept")
 
 
