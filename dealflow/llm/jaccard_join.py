@@ -229,10 +229,14 @@ class Verifier:
         return out
 
 
-def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, every_link: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, _th, n_shingles, node (signature of its set),
-    root (signature that stands for its component), component_id (least doc_id of it), n_links
-    (verified links of its set to other sets that the component was built from)."""
+    root (signature that stands for its component), component_id (least doc_id of it).
+
+    With ``every_link`` also n_links: how many other texts are similar to the row's, each counted
+    once however many rows hold it. Every candidate pair is then verified, also inside components,
+    so a group of m near copies costs up to m(m-1)/2 pairs; without it, pairs that are already in
+    one component are not met, which is enough for the components only."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("_th"), "text")
     slim = cut(keyed.mapInArrow(_signatures(ngram), f"doc_id {id_type}, _th long, node binary, mark long, n long, cells array<int>, "
@@ -256,16 +260,30 @@ def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataF
     # rows equal in id and text hold one set: its text is read once
     once = keyed.dropDuplicates(["doc_id", "_th"]) if repeated(slim) else keyed
     verify = Verifier(once, sets, ngram, percent)
-    edges, roots = link(chosen, _fits(percent), verify, _first_shared)
+    rounds = {"star_rounds": 0} if every_link else {}  # without star rounds all pairs are met at once
+    edges, roots = link(chosen, _fits(percent), verify, _first_shared, **rounds)
     uncut(chosen, sets, *verify.texts)
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
-    roots = cut(roots.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links")), "node", "left"))
+    roots = cut(roots)
     rooted = slim.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counted = []
+    if every_link:
+        rooted = rooted.join(link_counts(slim, edges), "node", "left")
+        counted = [F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0).cast("long")).alias("n_links")]
     least = cut(rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return rooted.join(least, "root", "left").select(
         "doc_id", "_th", F.col("n").alias("n_shingles"), "node", "root",
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *counted)
+
+
+def link_counts(slim: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, n_links) of every set with grams: the texts of the sets linked with it, and the other
+    texts of its own set."""
+    texts = cut(slim.where("n > 0").select("node", "_th").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("texts")))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = texts.select(F.col("node").alias("b"), "texts")
+    far = both.join(other, "b").groupBy(F.col("a").alias("node")).agg(F.sum("texts").alias("far"))
+    return cut(texts.join(far, "node", "left").select(
+        "node", (F.col("texts") - 1 + F.coalesce("far", F.lit(0).cast("long"))).alias("n_links")))
 
 
 def repeated(slim: DataFrame) -> bool:
