@@ -26,6 +26,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Length of an account number by country; others may have any.
+IBAN_LENGTH = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "AE BG BH CR DE GB GE IE ME RS VA", 23: "GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 WORD = re.compile(r"[a-z]+")
 
@@ -66,6 +72,24 @@ def _emails(text: str) -> Iterator[tuple[str, int, int]]:
         at = text.find("@", since)
 
 
+def _accounts(text: str) -> Iterator[tuple[str, int, int]]:
+    # the pattern may take in upper-case words that follow: of the group ends that pass the check
+    # the one at the country's length counts, else the last
+    m = IBAN.search(text)
+    while m:
+        start, end = m.span()
+        ends = []
+        while end > start:
+            account = text[start:end].replace(" ", "")
+            if 15 <= len(account) <= 34 and mod97(account):
+                ends.append((len(account) != IBAN_LENGTH.get(account[:2]), -end))
+            end = text.rfind(" ", start, end)
+        end = -min(ends)[1] if ends else start + 1
+        if ends:
+            yield "iban", start, end
+        m = IBAN.search(text, end)
+
+
 def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) < 256 for p in m[0].split(".")):
@@ -78,10 +102,7 @@ def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 8 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                 yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account):
-            yield "iban", *m.span()
+    yield from _accounts(text)
     for m in SSN.finditer(text):
         if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             yield "ssn", *m.span()
