@@ -2,14 +2,14 @@
 
 ``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next one's ``docs``. Every stage works
-on all rows the one before it kept. All stages but the last return the columns of ``documents``:
+on all rows the one before it kept. All stages but the last return the columns of ``documents``, the last one adds to them:
 
 1. quality rules: documents that fail the base rules or lie far from every language go;
 2. n-gram Jaccard join: of each component of near-duplicates (``NEAR``: runs of five words, 80 % of
    them shared) one document stays;
 3. benchmark decontamination: contaminated documents go;
 4. mixing: each document comes as often as the mix takes it (possibly not at all);
-5. sharding: each row gets its place on the Hilbert curve, its shard and its slot.
+5. sharding: each row, text included, gets its place on the Hilbert curve, its shard and its slot.
 
 Columns beyond those of ``documents`` are handed on. An empty table stays empty.
 """
@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs)
+    return sharding.sharded(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

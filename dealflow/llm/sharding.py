@@ -2,8 +2,9 @@
 
 Several metadata dimensions are quantised to small integers, the rows are sorted by their
 index on the Hilbert curve through that grid, and the sorted sequence is cut into runs of
-equal row counts. Rows of a run lie close together in every dimension, so files written per
-shard have narrow ranges in all of them and a filter on any dimension skips most files.
+equal row counts. Rows of a run lie close together in every dimension, so the files that
+``write_shards`` makes per shard have narrow ranges in all of them and a filter on any dimension
+skips most files. ``shard`` gives the placement alone, ``sharded`` the whole rows with it.
 
 Null, empty and very long texts, null sources and languages are values like any other; equal
 rows lie next to each other; the law is ``rows``: shard counts differ by one at most.
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from dealflow.llm.common import cut, ranked, text_key
 
 BITS = 8
+#: What the placement says of a row besides its id.
+PLACEMENT = ("_th", "size", "text_crc32", "hilbert", "law", "shard", "slot", "grown_shard")
 
 
 def size_level(size: Column, bits: int = BITS) -> Column:
@@ -60,23 +63,49 @@ def with_hilbert(df: DataFrame, dims: list[Column], bits: int = BITS, name: str
 
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """Place every row of ``docs`` (doc_id, text, lang, source).
+    """Place every row of ``docs`` (doc_id, text, lang, source), without its text.
 
     Returns doc_id, _th (text hash), size, text_crc32, hilbert, law, shard, slot, grown_shard;
     ``slot`` numbers a shard's rows from 0 along the curve."""
+    slim = cut(_on_curve(docs).drop("lang", "source"))
+    return _dealt(slim, shards).select("doc_id", *PLACEMENT)
+
+
+def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """The whole rows of ``docs`` with their placement: the columns of ``shard``, named ``placed_...``
+    where ``docs`` has a column of that name.
+
+    The rows themselves go through the sort by rank, so equal rows need no key to get their places back."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    taken = {c.lower() for c in docs.columns}
+    names = [F.col(c).alias(f"placed_{c}" if c.lower() in taken else c) for c in PLACEMENT]
+    return _dealt(_on_curve(docs, row).drop("lang", "source"), shards).select("_row.*", *names)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
+    """Write ``sharded`` as Parquet, a folder per shard (``shard=0``, ...), each file a run of slots
+    sorted along the curve."""
+    placed = sharded(docs, shards)
+    shard_, slot = ("placed_" + c if c in {x.lower() for x in docs.columns} else c for c in ("shard", "slot"))
+    placed.repartitionByRange(shard_, slot).sortWithinPartitions(shard_, slot).write.partitionBy(shard_).parquet(path)
+
+
+def _on_curve(docs: DataFrame, *more: Column) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", text_key(F.col("text")).alias("_th"),
                        (F.octet_length(text) + 1).cast("long").alias("size"),
                        F.crc32(text.cast("binary")).alias("text_crc32"),
-                       "lang", "source")
-    slim = with_hilbert(slim, [size_level(F.col("size")), label_level(F.col("source")), label_level(F.col("lang"))])
+                       "lang", "source", *more)
+    return with_hilbert(slim, [size_level(F.col("size")), label_level(F.col("source")), label_level(F.col("lang"))])
+
+
+def _dealt(slim: DataFrame, shards: int) -> DataFrame:
     order = ["hilbert", "size", "_th", "doc_id"]
-    placed = ranked(cut(slim.drop("lang", "source")), *map(F.col, order))
+    placed = ranked(slim, *map(F.col, order))
     total = placed.agg(F.count(F.lit(1)).alias("n")).scalar()
     # shard k holds the ranks from ceil(k * total / shards) on, so counts differ by one at most
     at = F.expr(f"(_rank * {shards}L) div n_total")
     return (placed.withColumn("n_total", total).withColumn("_shard", at)
             .withColumn("_from", F.expr(f"(_shard * n_total + {shards - 1}L) div {shards}L"))
-            .select("doc_id", "_th", "size", "text_crc32", "hilbert", F.lit("rows").alias("law"),
-                    F.col("_shard").cast("int").alias("shard"), (F.col("_rank") - F.col("_from")).alias("slot"),
-                    F.lit(None).cast("int").alias("grown_shard")))
+            .withColumns({"law": F.lit("rows"), "shard": F.col("_shard").cast("int"),
+                          "slot": F.col("_rank") - F.col("_from"), "grown_shard": F.lit(None).cast("int")}))
