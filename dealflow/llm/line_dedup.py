@@ -4,7 +4,7 @@ Lines that hold a word are compared by their sets of character n-grams (bytes of
 line, gaps at both ends taken off). Equal lines are one node. A one-permutation MinHash signature (one
 hash per gram, the least of each bin, empty bins filled from a seeded other bin) is cut into
 bands; lines with an equal band are candidates. At similarity 0.8 the bands find a pair with
-probability 0.995, at 0.1 with one in 50,000, so unrelated lines of one language hardly meet.
+probability 0.999, at 0.1 with one in 40,000, so unrelated lines of one language hardly meet.
 Candidates whose gram counts by hash cell allow the similarity are verified by exact Jaccard
 similarity, linked lines are united by distributed union-find, and of every component the first
 line in (doc_id, line number) order stays.
@@ -28,7 +28,7 @@ from dealflow.llm.links import link
 from dealflow.llm.tokens import SECOND, SPACES, Words, mix, signed, slices
 
 GRAM, PERCENT = 5, 80
-BANDS, ROWS = 18, 6
+BANDS, ROWS = 24, 6
 #: Cells in which a line's grams are counted, by the top bits of their hash.
 CELL_BITS = 5
 
