@@ -1,19 +1,19 @@
-"""Substring dedup by relative Lempel-Ziv parsing (operator 1).
+"""Substring dedup by anchor-grouped window matching (operator 1).
 
-The corpus is parsed against itself as reference. Anchors cut every document into phrases:
+This replaces a relative Lempel-Ziv parse: no document is parsed into longest matches, since the
+spans wanted are exactly the windows that occur again, and those need no greedy parse. Anchors cut every document into phrases:
 among the 8-word grams of each window of ``window`` words the one with the least hash is the
 window's anchor, so equal windows have equal anchors at equal places, wherever they stand. All
 windows with one anchor form a run, a phrase of consecutive words around it. The index of the
 reference is dealt by anchor into hash partitions (the blocks); each document's phrases are
 looked up in every block that can hold them:
 
-* an anchor that occurs once matches nothing: a literal;
-* an anchor whose phrases are all equal is copied whole: neighbouring copied phrases make up
-  one long factor, extended greedily as far as the phrases match;
-* where the phrases of an anchor differ, a factor begins or ends inside. There the single
-  windows are checked: each is looked up by a second, independent hash, 128 bits in all.
+* an anchor that occurs once matches nothing;
+* where the phrases of an anchor are all equal, all their windows occur again;
+* where they differ, the single windows are checked: each is looked up by a second, independent
+  hash, 128 bits in all.
 
-Words covered by a factor of at least ``window`` words are duplicate spans. Nothing is capped;
+Words covered by a window that occurs again are duplicate spans, merged where windows overlap. Nothing is capped;
 work and shuffle are proportional to the words (about one phrase per 14 words).
 
 Null texts have no words. Repeated rows are repeats of each other. A text of fewer words than a
