@@ -32,7 +32,7 @@ def test_stages(spark, tmp_path):
     failed = {r[0] for r in B.op7_base(pairs(before)) if r[6]}
     assert {i for i, _ in pairs(after)} == kept and not kept & failed
     before, after = seen[1]
-    assert {i for i, _ in pairs(after)} == {c for _, n, c in B.op8(pairs(before)) if n}
+    assert {i for i, _ in pairs(after)} == {c for _, n, c in B.op8(pairs(before), 5, 80) if n}
     before, after = seen[2]
     assert {i for i, _ in pairs(after)} == {r[0] for r in B.op3(pairs(before), items) if not r[5]}
     before, after = seen[3]
