@@ -1,7 +1,7 @@
 """Operators for preparing training text at scale.
 
-Ten operators, one module each; ``queries`` registers one query per operator and the
-pipeline (``corpus_pipeline.py`` at the repository top chains five of them). Nothing else in
+Thirteen operators, one module each; ``queries`` registers one query per operator
+(``corpus_pipeline.py`` at the repository top chains five of them). Nothing else in
 the library imports this package.
 
 Conventions shared by all modules:

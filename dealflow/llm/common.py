@@ -4,6 +4,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,5 +97,17 @@ def ship(spark: SparkSession) -> None:
     context._dealflow_shipped = True
 
 
+def groups(sizes: Iterable[int], most: int) -> Iterator[slice]:
+    """Consecutive runs whose sizes add up to ``most`` at most (or one larger size alone)."""
+    first = total = stop = 0
+    for k, size in enumerate(sizes):
+        if k > first and total + size > most:
+            yield slice(first, k)
+            first, total = k, 0
+        total, stop = total + size, k + 1
+    if stop > first:
+        yield slice(first, stop)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,8 +1,8 @@
 """DuckDB SQL for the operators that SQL can express, over the whole tables.
 
 Absent: source mixing (draws by a seeded hash), fuzzy line dedup (MinHash), the classifier,
-token counts (byte-pair encoding), personal data (checksums over match positions) and Hilbert
-sharding (CRC-32); tests/llm compares those with brute-force versions.
+token counts and token files (byte-pair encoding), personal data (checksums over match positions)
+and Hilbert sharding; tests/llm compares those with brute-force versions.
 """
 from __future__ import annotations
 
@@ -94,9 +94,55 @@ SELECT *, NOT base_failed AND coalesce(char_distance <= {rules.MAX_CHAR_DISTANCE
           AND coalesce(word_distance <= {rules.MAX_WORD_DISTANCE}, true) AS kept FROM o
 """
 
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+             sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+               OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+             WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle,
+        array_to_string(u[greatest(a, b) + 1:], '') AS suffix FROM k)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+"""
+
+# CRC-32 of a word byte by byte, over the table of the reflected polynomial
+OP13 = rf"""
+WITH RECURSIVE step AS (SELECT range AS b, 0 AS k, range::BIGINT AS v FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE k < 8),
+tab AS (SELECT list(v ORDER BY b) AS tab FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT r, unnest(w) AS x FROM d),
+bw AS (SELECT unnest(w) AS x FROM b),
+words AS (SELECT x, [('0x' || hex(x)[2 * i + 1 : 2 * i + 2])::BIGINT FOR i IN range(0, strlen(x))] AS bytes
+          FROM (SELECT x FROM dw UNION SELECT x FROM bw)),
+crc AS (SELECT x, xor(list_reduce(bytes, lambda c, y: xor(c >> 8, tab[xor(c, y) % 256 + 1]), 4294967295), 4294967295) % 10000 AS k
+        FROM words, tab),
+s AS (SELECT k, count(*) AS s FROM dw JOIN crc USING (x) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM bw JOIN crc USING (x) GROUP BY k),
+gain AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE
+           / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS g
+         FROM s FULL JOIN t USING (k)),
+f AS (SELECT r, count(*) AS n, sum(g) AS g FROM dw JOIN crc USING (x) JOIN gain USING (k) GROUP BY r),
+o AS (SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(floor(g::DOUBLE / n), 0)::BIGINT AS weight,
+        ('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h FROM d LEFT JOIN f USING (r)),
+z AS (SELECT r, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM o),
+p AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS p FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN p <= (SELECT 10 * count(*) // 100 FROM p) THEN p END::BIGINT AS rank FROM z LEFT JOIN p USING (r)
+"""
+
 ORACLE_SQL = {
     "op1_substring_dedup": OP1,
     "op3_benchmark_decontamination": OP3,
     "op7_quality_rules": OP7,
     "op8_ngram_jaccard_join": OP8,
+    "op12_fill_in_middle": OP12,
+    "op13_importance_resampling": OP13,
 }

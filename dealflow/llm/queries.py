@@ -2,15 +2,17 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflow.llm import (decontamination, jaccard_join, line_dedup, mixing, pii, quality_classifier, quality_rules,
-                          sharding, substring_dedup, token_counts)
+from dealflow.llm import (decontamination, fill_in_middle, importance_resampling, jaccard_join, line_dedup, mixing, pii,
+                          quality_classifier, quality_rules, sharding, substring_dedup, token_counts, token_files)
 from dealflow.llm.common import read_table, ship
 from dealflow.llm.oracle import ORACLE_SQL  # noqa: F401  read by __spark_entry__
+from dealflow.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -89,3 +91,27 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert")
+
+
+@_query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    path = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(docs, path)
+    shards = token_files.read(spark, path, docs.schema["doc_id"].dataType.simpleString())
+    return token_files.documents(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    again = fill_in_middle.restored(F.col("form"), F.col("output"))
+    sha = lambda c, name: F.sha2(c.cast("binary"), 256).alias(name)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output"), "output_sha256"),
+                       sha(again, "restored_sha256"))
+
+
+@_query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return importance_resampling.scored(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
