@@ -22,7 +22,9 @@ table gives no files and empty results. No other column is read.
 """
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,8 +41,19 @@ from dealflow.llm.wavelet import WaveletMatrix
 
 #: The id that ends every document, and the most tokens of a shard of several documents.
 END, SHARD_TOKENS = 2, 1 << 23
-#: An encoder remembers the ids of so many pieces of at most so many bytes, then starts anew.
-REMEMBERED, PIECE_BYTES = 400_000, 64
+# Fixed value: how the published vocabulary splits a lower-cased text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+GAPS, LETTERS = " \t\n\r\x0b\x0c", "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Printable ASCII and the letters and marks of western European languages: lower case is letter by
+#: letter here, and nothing combines.
+PLAIN = LETTERS + "!-@[-`{-~¡«»¿"
+#: What the pattern makes of text of such characters, in either case.
+UNITS = re.compile(f"'(?:[sStTmMdD]|[rRvV][eE]|[lL][lL])|[{LETTERS}]+|[0-9]|[^{GAPS}{LETTERS}0-9]+")
+#: The same, with every run between white space that holds other characters left whole.
+UNITS_AND_PIECES = re.compile(f"[{PLAIN}]*[^{GAPS}{PLAIN}][^{GAPS}]*|" + UNITS.pattern)
+ALL_PLAIN = re.compile(f"[{PLAIN}]+")
+#: An encoder remembers the ids of so many units of at most so many characters, then starts anew.
+REMEMBERED, UNIT_CHARS = 500_000, 40
 #: Decoded documents leave a task in batches of about so many tokens.
 BATCH_TOKENS = 1 << 20
 
@@ -56,39 +69,70 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class Encoder:
-    """Ids of texts as little-endian bytes of ``dtype``.
+class Known(dict):
+    """Ids by unit, found by ``fresh`` on first use; long units are not kept."""
+
+    def __init__(self, fresh):
+        self.fresh = fresh
 
-    With ``by_piece`` a text is taken apart at ASCII white space and equal pieces are encoded
-    once. That is exact for vocabularies that drop white space (such as the default); any other
-    needs ``by_piece=False``."""
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.fresh(unit)
+        if len(unit) <= UNIT_CHARS:
+            self[unit] = ids
+        return ids
 
-    def __init__(self, path: str, dtype: str, by_piece: bool):
-        self.tokenizer, self.dtype, self.by_piece, self.known = _tokenizer(path), dtype, by_piece, {}
 
-    def _fresh(self, texts: list[bytes]) -> list[bytes]:
-        out = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in out]
+class Encoder:
+    """Ids of texts as little-endian bytes of ``dtype``.
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_piece:
-            return self._fresh(texts)
-        pieces = [t.split() for t in texts]
+    Where the vocabulary lowers case, drops white space and splits by ``PATTERN``, a text of ``PLAIN``
+    characters is taken apart into its units, and one with others into units and the pieces between
+    white space that hold the others. Equal ones are encoded once: units by the vocabulary's model,
+    pieces by the whole tokenizer. Other vocabularies, and texts with the string of a special token,
+    are encoded as they are."""
+
+    def __init__(self, path: str, dtype: str):
+        from tokenizers import pre_tokenizers
+
+        self.tokenizer, self.dtype, self.known = _tokenizer(path), dtype, Known(self._fresh)
+        self.model, self.byte_letters = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        lowers = [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+        self.by_unit = "Lowercase" in lowers and [s["type"] for s in steps] == ["Split", "ByteLevel"] \
+            and steps[0]["pattern"] == {"Regex": PATTERN}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _fresh(self, unit: str) -> bytes:
+        if not ALL_PLAIN.fullmatch(unit):
+            return self._whole(unit)
+        unit = unit.lower()
+        if not unit.isascii():
+            unit = self.byte_letters.pre_tokenize_str(unit)[0][0]
+        return self._bytes([t.id for t in self.model.tokenize(unit)])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_unit:
+            return [self._whole(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({p for ps in pieces for p in ps if p not in self.known})
-        ids = dict(zip(new, self._fresh(new), strict=True))
-        out = [b"".join([self.known[p] if p in self.known else ids[p] for p in ps]) for ps in pieces]
-        self.known.update((p, i) for p, i in ids.items() if len(p) <= PIECE_BYTES)
-        return out
+        return [self._whole(t) if any(s in t for s in self.special) else
+                b"".join(map(self.known.__getitem__, (UNITS if t.isascii() else UNITS_AND_PIECES).findall(t))) for t in texts]
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, dtype: str, by_piece: bool) -> Encoder:
-    return Encoder(path, dtype, by_piece)
+def _encoder(path: str, dtype: str) -> Encoder:
+    return Encoder(path, dtype)
 
 
-def encoded(docs: DataFrame, vocabulary: str | None = None, end_id: int = END, by_piece: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str | None = None, end_id: int = END) -> DataFrame:
     """Per row of ``docs``: doc_id, _th (text hash), ids (with the end id, little-endian, 2 bytes an id
     if the vocabulary fits, else 4). The vocabulary file travels with the job."""
     vocabulary = vocabulary or default_vocabulary()
@@ -97,17 +141,17 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, end_id: int = END, b
     tail = np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(SparkFiles.get(name), dtype, by_piece)
+        encode = _encoder(SparkFiles.get(name), dtype)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            for part in groups(map(len, texts), 1 << 22):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for part in groups(map(len, texts), 1 << 21):
                 ids = [i + tail for i in encode(texts[part])]
                 rows = batch.slice(part.start, len(ids))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("_th"), pa.array(ids, pa.binary())],
                                                  names=["doc_id", "_th", "ids"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key(F.col("text")).alias("_th"), F.col("text").cast("binary").alias("text")) \
+    return docs.select("doc_id", text_key(F.col("text")).alias("_th"), "text") \
                .mapInArrow(run, f"doc_id {id_type}, _th long, ids binary")
 
 
@@ -122,13 +166,13 @@ def _schema(id_type: str) -> str:
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END,
-          shard_tokens: int = SHARD_TOKENS, by_piece: bool = True) -> None:
+          shard_tokens: int = SHARD_TOKENS) -> None:
     """Write the token files of ``docs`` (doc_id, text) under ``path``, a shard a file."""
     vocabulary = vocabulary or default_vocabulary()
     bits = bits_of(vocabulary, end_id)
     dtype = np.dtype("<u2" if bits <= 16 else "<u4")
     # written once: the range partitioner reads its input twice, and texts are to be encoded once
-    table = cut(encoded(docs, vocabulary, end_id, by_piece).withColumn("_mid", F.monotonically_increasing_id()))
+    table = cut(encoded(docs, vocabulary, end_id).withColumn("_mid", F.monotonically_increasing_id()))
     order = ["doc_id", "_th", "_mid"]  # the last deals out rows that repeat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,25 +32,35 @@ def test_query_over_the_whole_table(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
-def test_pieces_give_the_ids_of_whole_texts():
-    marks = ["don't", "<|endoftext|>", "<|startoftext|>x", "é", "́", "ǅ", "İ", "ΣΑΣ", "a b", " ", "\x1c", "\x85",
-             "\x00", "각", "ᄀ", "ᅡ", "12,5%", "'s", "😀‍😀", "﻿", "_", "ﬁ", "̧́", "x" * 300]
+def test_units_give_the_ids_of_whole_texts():
+    marks = ["don't", "<|endoftext|>", "<|startoftext|>x", "<|EndOfText|>", "<|", "é", "\u0301", "ǅ", "İ", "ΣΑΣ", "a\u2003b", "\u00a0", "\x1c", "\x85",
+             "\x00", "각", "\u1100", "\u1161", "12,5%", "'s", "😀\u200d😀", "\ufeff", "_", "ﬁ", "\u0327\u0301", "x" * 300, "O'REILLY'LL", "''d", "a'", "\x7f",
+             "Word.Word,word!", "x1y22z", "'ſ", "K", "e\u0301a", "(\u0301)", "#$%", "Über", "STRAßE", "ÀÉÎ", "Ÿ", "¿Qué?", "«mot»", "ª", "µ", "×÷", "œuvre", "e\u0301té", "ü\u0308", "ÿŸ", "it'S", "I'Ve", "ø'Re"]
     rng = random.Random(5)
     texts = [rng.choice(["", " ", "\n"]).join(w + rng.choice(["", " ", "\t", "\n\n", "\r\n", "\x0b", " \x0c "])
-                                              for w in rng.choices(marks, k=rng.randint(1, 25))) for _ in range(400)]
-    for by_piece in (True, False):
-        encode = T.Encoder(T.default_vocabulary(), "<u4", by_piece)
-        for part in (texts[:100], texts):
-            got = encode([t.encode() for t in part])
-            assert got == [np.array(PLAIN.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+                                              for w in rng.choices(marks, k=rng.randint(1, 25))) for _ in range(600)]
+    encode = T.Encoder(T.default_vocabulary(), "<u4")
+    assert encode.by_unit
+    for part in (texts[:100], texts):
+        got = encode(part)
+        assert got == [np.array(PLAIN.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
 
 
 def test_encoder_forgets_and_stays_right(monkeypatch):
     monkeypatch.setattr(T, "REMEMBERED", 3)
-    encode = T.Encoder(T.default_vocabulary(), "<u4", True)
+    encode = T.Encoder(T.default_vocabulary(), "<u4")
     for text in ("one two three four five", "two six", "one seven " + "long" * 40, "five five"):
-        assert encode([text.encode()]) == [np.array(ids_of(text)[:-1], "<u4").tobytes()]
-        assert all(len(p) <= T.PIECE_BYTES for p in encode.known)
+        assert encode([text]) == [np.array(ids_of(text)[:-1], "<u4").tobytes()]
+        assert all(len(p) <= T.UNIT_CHARS for p in encode.known)
+
+
+def test_other_vocabularies_are_left_to_the_library():
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, plain = T.Encoder(path, "<u4"), Tokenizer.from_file(path)
+    texts = ["Two  words\n and 'more'", "", " é <|endoftext|>"]
+    assert not encode.by_unit
+    assert encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 @pytest.fixture(scope="module")
@@ -99,8 +109,8 @@ def test_no_documents_and_string_ids(spark, tmp_path):
 
 
 def test_wider_vocabularies_take_more_planes(spark, tmp_path):
-    """An end id beyond 16 bits, without taking texts apart."""
+    """An end id beyond 16 bits."""
     df = spark.createDataFrame([(1, "some words, more words"), (2, "")], "doc_id long, text string")
-    T.write(df, f"{tmp_path}/w", end_id=70_000, by_piece=False)
+    T.write(df, f"{tmp_path}/w", end_id=70_000)
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in T.documents(T.read(spark, f"{tmp_path}/w")).collect()}
     assert got == {1: ids_of("some words, more words")[:-1] + [70_000], 2: [70_000]}
