@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,7 +54,7 @@ UNITS = re.compile(f"'(?:[sStTmMdD]|[rRvV][eE]|[lL][lL])|[{LETTERS}]+|[0-9]|[^{G
 UNITS_AND_PIECES = re.compile(f"[{PLAIN}]*[^{GAPS}{PLAIN}][^{GAPS}]*|" + UNITS.pattern)
 ALL_PLAIN = re.compile(f"[{PLAIN}]+")
 #: An encoder remembers the ids of so many units of at most so many characters, then starts anew.
-REMEMBERED, UNIT_CHARS = 500_000, 40
+REMEMBERED, UNIT_CHARS = 600_000, 40
 #: Decoded documents leave a task in batches of about so many tokens.
 BATCH_TOKENS = 1 << 20
 
@@ -94,8 +95,11 @@ class Encoder:
     def __init__(self, path: str, dtype: str):
         from tokenizers import pre_tokenizers
 
-        self.tokenizer, self.dtype, self.known = _tokenizer(path), dtype, Known(self._fresh)
-        self.model, self.byte_letters = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer, self.known = _tokenizer(path), Known(self._fresh)
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]
+        self.model, byte_level = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # the model's letter for each byte beyond ASCII that these characters have in UTF-8
+        self.letters = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in map(chr, range(128, 256))}
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
         steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -105,7 +109,7 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
@@ -113,10 +117,7 @@ class Encoder:
     def _fresh(self, unit: str) -> bytes:
         if not ALL_PLAIN.fullmatch(unit):
             return self._whole(unit)
-        unit = unit.lower()
-        if not unit.isascii():
-            unit = self.byte_letters.pre_tokenize_str(unit)[0][0]
-        return self._bytes([t.id for t in self.model.tokenize(unit)])
+        return self._bytes([t.id for t in self.model.tokenize(unit.lower().translate(self.letters))])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
@@ -246,7 +247,8 @@ def documents(shards: DataFrame) -> DataFrame:
     kind = to_arrow_type(id_type)
 
     def fn(row: dict) -> Iterator[pa.RecordBatch]:
-        raw = _matrix(row).values().astype("<u4", copy=False).tobytes()
+        matrix = _matrix(row)
+        raw = matrix.values(np.uint16 if matrix.bits <= 16 else np.uint32).astype("<u4", copy=False).tobytes()
         ends = np.array(row["ends"], np.int64)
         begins = np.concatenate([[0], ends[:-1]])
         for part in groups(ends - begins, BATCH_TOKENS):

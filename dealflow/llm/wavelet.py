@@ -17,6 +17,11 @@ BLOCK, WORDS = 512, 8
 CHUNK = 4096
 
 
+def _zeros_first(bit: np.ndarray) -> np.ndarray:
+    """The positions in the order of a stable partition by ``bit``."""
+    return np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])
+
+
 @dataclass(frozen=True)
 class WaveletMatrix:
     """``planes[j]``, ``ranks[j]`` and ``zeros[j]`` belong to bit ``bits - 1 - j``."""
@@ -31,7 +36,7 @@ class WaveletMatrix:
         planes, ranks, zeros = [], [], []
         words = (len(values) // BLOCK + 1) * WORDS
         for b in range(bits - 1, -1, -1):
-            bit = (values >> b) & 1 != 0
+            bit = (values & values.dtype.type(1 << b)).astype(bool)
             plane = np.zeros(words * 8, np.uint8)
             packed = np.packbits(bit, bitorder="little")
             plane[:len(packed)] = packed
@@ -39,7 +44,7 @@ class WaveletMatrix:
             ones = np.bitwise_count(planes[-1]).reshape(-1, WORDS).sum(axis=1, dtype=np.int64)
             ranks.append((np.cumsum(ones) - ones).astype(np.uint32))
             zeros.append(int(len(values) - ones.sum()))
-            values = np.concatenate([values[~bit], values[bit]])
+            values = values.take(_zeros_first(bit))
         return cls(len(values), planes, ranks, zeros)
 
     @property
@@ -111,9 +116,9 @@ class WaveletMatrix:
         """The whole sequence: the planes from the lowest up, each undoing its partition."""
         out = np.zeros(self.n, dtype)
         for j in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[j].view(np.uint8), count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.planes[j].view(np.uint8), count=self.n, bitorder="little").view(bool)
+            out[self.zeros[j]:] |= dtype(1 << (self.bits - 1 - j))
             above = np.empty_like(out)
-            above[~bit] = out[:self.zeros[j]]
-            above[bit] = out[self.zeros[j]:] | dtype(1 << (self.bits - 1 - j))
+            above[_zeros_first(bit)] = out
             out = above
         return out
