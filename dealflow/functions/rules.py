@@ -9,6 +9,9 @@ from dealflow import config as C
 from dealflow.functions.text import strip, title_case
 
 
+PROBABILITY = "decimal(26,12)"
+
+
 def yes(v: Column) -> Column:
     """trimmed lower-case text in the yes-words; NULL is false."""
     return F.coalesce(F.lower(strip(v)).isin(*C.YES_WORDS), F.lit(False))
@@ -48,19 +51,26 @@ def fcat_display(fcat: Column) -> Column:
 
 
 def number(raw: Column, kind: str) -> Column:
-    """Lenient decimal: text that is no number is NULL; a number that ``kind`` cannot hold fails
-    the query instead of vanishing."""
-    value, any_number = raw.try_cast(kind), raw.try_cast("double")
-    lost = value.isNull() & any_number.isNotNull() & ~F.isnan(any_number)
-    return F.when(lost, F.raise_error(F.concat(F.lit(f"number outside {kind}: "), raw.cast("string"))).cast(kind)) \
-            .otherwise(value)
+    """Lenient number: text that is no number, and a number that ``kind`` cannot hold, is NULL; for a
+    double that is an infinite one. ``reject_reason`` tells the two apart."""
+    value = raw.try_cast(kind)
+    return F.when(F.abs(value) < float("inf"), value) if kind == "double" else value
+
+
+def reject_reason(raw: Column, kind: str) -> Column:
+    """Why ``number`` drops a value: 'no_number' or 'does_not_fit' ``kind``; NULL for a value that it keeps and
+    for an absent or blank one."""
+    size = F.abs(raw.try_cast("double"))
+    text = raw.cast("string")
+    kept = number(raw, kind).isNotNull() | text.isNull() | (strip(text) == "")
+    return F.when(~kept, F.when(size <= float("inf"), "does_not_fit").otherwise("no_number"))
 
 
 def probability(prob_raw: Column) -> Column:
     """F8: lenient number; bad/NULL -> 0; values above 1 are percentages. Exact decimal of 12
-    places, up to 10^14."""
-    p = F.coalesce(number(prob_raw, "decimal(26,12)"), F.lit(0).cast("decimal(26,12)"))
-    return F.when(p <= 1, p).otherwise((p / 100).cast("decimal(26,12)"))
+    places; 10^14 and more counts as bad."""
+    p = F.coalesce(number(prob_raw, PROBABILITY), F.lit(0).cast(PROBABILITY))
+    return F.when(p <= 1, p).otherwise((p / 100).cast(PROBABILITY))
 
 
 def days_since(last_contact_d: Column, today) -> Column:

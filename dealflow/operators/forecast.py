@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from dealflow import config as C
 from dealflow.config import ReviewConfig
 from dealflow.functions.pacing import pacing
+from dealflow.functions.weights import mean, tally
 from dealflow.operators.funnel import spine
 
 
@@ -24,7 +25,7 @@ def _zsum(c: Column) -> Column:
 def forecast_rollup(scored: DataFrame) -> DataFrame:
     """Deals, ACV and weighted ACV per forecast category, in fixed category order."""
     g = scored.groupBy("forecast_cat").agg(
-        F.count("deal_id").alias("deals"), _zsum(F.col("acv")).alias("acv"),
+        tally(scored).alias("deals"), _zsum(F.col("acv")).alias("acv"),
         _zsum(F.col("weighted_acv")).alias("weighted_acv"))
     sp = spine(scored.sparkSession, "forecast_cat", C.FORECAST_ORDER)
     return g.join(F.broadcast(sp), "forecast_cat", "inner") \
@@ -41,7 +42,7 @@ def forecast_windows(scored: DataFrame, cfg: ReviewConfig) -> DataFrame:
     aggs = []
     for i, (_, end) in enumerate(ends):
         inside = F.col("close_d") <= F.lit(end)
-        aggs += [F.count_if(inside).alias(f"deals{i}"),
+        aggs += [tally(scored, inside).alias(f"deals{i}"),
                  _zsum(F.when(inside, F.col("acv"))).alias(f"total{i}"),
                  _zsum(F.when(inside & (F.col("forecast_cat") == "Commit"), F.col("acv"))).alias(f"commit{i}"),
                  _zsum(F.when(inside & (F.col("forecast_cat") == "Best Case"), F.col("acv"))).alias(f"best{i}"),
@@ -59,9 +60,9 @@ def forecast_windows(scored: DataFrame, cfg: ReviewConfig) -> DataFrame:
 def forecast_hygiene(scored: DataFrame, cfg: ReviewConfig) -> DataFrame:
     """How many open deals carry a rep category; ACV left uncategorised; discipline %."""
     one = scored.agg(
-        F.count(F.lit(1)).alias("open_deals"),
-        F.count_if("is_forecasted").alias("categorized"),
-        F.count_if(F.col("forecast_cat").isin("Commit", "Best Case")).alias("commit_best_deals"),
+        tally(scored).alias("open_deals"),
+        tally(scored, "is_forecasted").alias("categorized"),
+        tally(scored, F.col("forecast_cat").isin("Commit", "Best Case")).alias("commit_best_deals"),
         _zsum(F.when(~F.col("is_forecasted"), F.col("acv"))).alias("uncategorized_acv"))
     pct = F.when(F.col("open_deals") > 0, 100 * F.col("categorized") / F.col("open_deals")).otherwise(F.lit(0.0))
     return one.withColumn("discipline_pct", F.round(pct, 6)).withColumn(
@@ -81,14 +82,14 @@ def category_by(scored: DataFrame, dim: str) -> DataFrame:
 
 def open_by_market(scored: DataFrame) -> DataFrame:
     """Open ACV and deals by market in fixed order; markets without deals are dropped."""
-    g = scored.groupBy("market").agg(_zsum(F.col("acv")).alias("acv"), F.count("deal_id").alias("deals"))
+    g = scored.groupBy("market").agg(_zsum(F.col("acv")).alias("acv"), tally(scored).alias("deals"))
     sp = spine(scored.sparkSession, "market", C.MARKET_ORDER)
     return g.join(F.broadcast(sp), "market", "inner").select("market", "ord", "acv", "deals").orderBy("ord")
 
 
 def open_by_gtm(scored: DataFrame) -> DataFrame:
     """Open ACV and deals by engine, largest ACV first (ties by name)."""
-    return scored.groupBy("gtm").agg(_zsum(F.col("acv")).alias("acv"), F.count("deal_id").alias("deals")) \
+    return scored.groupBy("gtm").agg(_zsum(F.col("acv")).alias("acv"), tally(scored).alias("deals")) \
                  .orderBy(F.col("acv").desc(), "gtm")
 
 
@@ -123,11 +124,12 @@ def market_commit_vs_risk(scored: DataFrame) -> DataFrame:
 
 def rag_distribution(scored: DataFrame) -> DataFrame:
     """A28."""
-    return scored.groupBy("rag").agg(F.count(F.lit(1)).alias("deals"))
+    return scored.groupBy("rag").agg(tally(scored).alias("deals"))
 
 
 def open_quality_stats(scored: DataFrame) -> DataFrame:
     """Open deals, mean MEDDPICC score, deals with call sentiment."""
-    return scored.agg(F.count(F.lit(1)).alias("open_deals"),
-                      F.round(F.avg("meddpicc"), 6).alias("avg_meddpicc"),
-                      F.count("call_sentiment").alias("sentiment_coverage"))
+    heard = F.col("has_sentiment") if "has_sentiment" in scored.columns else F.col("call_sentiment").isNotNull()
+    return scored.agg(tally(scored).alias("open_deals"),
+                      F.round(mean(scored, "meddpicc"), 6).alias("avg_meddpicc"),
+                      tally(scored, heard).alias("sentiment_coverage"))

@@ -17,6 +17,7 @@ from dealflow.functions import dims
 from dealflow.functions.pacing import pacing
 from dealflow.functions.rules import number
 from dealflow.functions.text import strip
+from dealflow.functions.weights import tally
 from dealflow.operators.hygiene import in_range
 
 def zero() -> Column:
@@ -41,14 +42,14 @@ def enrich_qtd(base: DataFrame, cfg: ReviewConfig) -> DataFrame:
     })
 
 
-def funnel_aggs() -> list[Column]:
+def funnel_aggs(enriched: DataFrame) -> list[Column]:
     """The seven QTD funnel metrics as conditional aggregates over enriched rows."""
     def msum(flag: str, money: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col(flag), F.col(money))), zero())
     return [
-        F.count_if("is_sql").alias("sql_booked"),
-        F.count_if("is_held").alias("sql_held"),
-        F.count_if("is_sal").alias("sal"),
+        tally(enriched, "is_sql").alias("sql_booked"),
+        tally(enriched, "is_held").alias("sql_held"),
+        tally(enriched, "is_sal").alias("sal"),
         msum("is_sql", "arr").alias("pipeline_arr"),
         msum("is_sql", "acv").alias("pipeline_acv"),
         msum("is_book", "arr").alias("bookings_arr"),
@@ -58,18 +59,18 @@ def funnel_aggs() -> list[Column]:
 
 def dim_funnel(enriched: DataFrame, dim: str) -> DataFrame:
     """A3: the seven metrics per value of one dimension (only values present in the base)."""
-    return enriched.groupBy(dim).agg(*funnel_aggs())
+    return enriched.groupBy(dim).agg(*funnel_aggs(enriched))
 
 
 def company_totals(enriched: DataFrame) -> DataFrame:
     """A4: one row of company totals."""
-    return enriched.agg(*funnel_aggs())
+    return enriched.agg(*funnel_aggs(enriched))
 
 
 def funnel_grouping_sets(enriched: DataFrame) -> DataFrame:
     """A3 x 3 + A4 in one pass: GROUPING SETS ((market), (gtm), (product), ())."""
     g = enriched.groupingSets([["market"], ["gtm"], ["product"], []], "market", "gtm", "product") \
-                .agg(F.grouping_id().alias("gid"), *funnel_aggs())
+                .agg(F.grouping_id().alias("gid"), *funnel_aggs(enriched))
     # grouping_id bits (market, gtm, product): 0b011 market set, 0b101 gtm, 0b110 product, 0b111 total
     dim = (F.when(F.col("gid") == 3, "market").when(F.col("gid") == 5, "gtm")
            .when(F.col("gid") == 6, "product").otherwise("total"))
@@ -146,8 +147,7 @@ def market_lead_lag(enriched: DataFrame) -> DataFrame:
 
 def funnel_steps(enriched: DataFrame) -> DataFrame:
     """SQL-Booked -> SQL-Held -> SAL -> Won with % of the first step."""
-    t = enriched.agg(F.count_if("is_sql").alias("s0"), F.count_if("is_held").alias("s1"),
-                     F.count_if("is_sal").alias("s2"), F.count_if("is_book").alias("s3"))
+    t = enriched.agg(*[tally(enriched, flag).alias(f"s{i}") for i, flag in enumerate(("is_sql", "is_held", "is_sal", "is_book"))])
     st = t.select(F.col("s0").alias("first"), F.inline(F.array(
         *[F.struct(F.lit(lab).alias("step"), F.lit(i).alias("ord"), F.col(f"s{i}").alias("value"))
           for i, lab in enumerate(["SQL-Booked", "SQL-Held", "SAL", "Won"])])))
@@ -182,52 +182,53 @@ def product_market_matrix(enriched: DataFrame, value: str) -> DataFrame:
     return pv.select("product", *[F.coalesce(F.col(m), zero()).alias(m) for m in C.MARKET_ORDER])
 
 
-def tof_funnel(clean: DataFrame, cfg: ReviewConfig) -> DataFrame:
-    """A1: funnel straight from all clean deals by ERP label, money rounded to whole units
-    per ERP (half away from zero) before the market re-sum; the meeting flag is lower-cased
-    but not stripped; zero-activity groups stay."""
+def held_as_stored(meeting: Column) -> Column:
+    """A1's meeting test: lower-cased but not stripped."""
+    return F.coalesce(F.lower(meeting) == "yes", F.lit(False))
+
+
+def tof_rows(clean: DataFrame, cfg: ReviewConfig) -> DataFrame:
+    """The rows that A1 and A2 add up: ERP label, create date, event flags and amounts of all clean deals."""
     qs, td = pacing(cfg.today).quarter_start, cfg.today
-    d = clean.select(dims.eco_label(F.col("erp_raw")).alias("erp"),
-                     number(F.col("arr_raw"), "decimal(18,2)").alias("arr"),
-                     number(F.col("acv_raw"), "decimal(18,2)").alias("acv"),
-                     "create_d", "disco_d", "meeting_happened", "sal_d", "close_d",
-                     F.col("is_won").alias("won"))
-    sql = in_range(F.col("create_d"), qs, td)
-    book = F.coalesce(F.col("won") & in_range(F.col("close_d"), qs, td), F.lit(False))
-
-    def rsum(cond, money):
-        return F.coalesce(F.round(F.sum(F.when(cond, F.col(money)).otherwise(zero())), 0), F.lit(0))
-    per_erp = d.groupBy("erp").agg(
-        F.count_if(sql).alias("sql_booked"),
-        F.count_if(in_range(F.col("disco_d"), qs, td)
-                   & F.coalesce(F.lower(F.col("meeting_happened")) == "yes", F.lit(False))).alias("sql_held"),
-        F.count_if(in_range(F.col("sal_d"), qs, td)).alias("sal"),
-        rsum(sql, "arr").alias("pipeline_arr"), rsum(sql, "acv").alias("pipeline_acv"),
-        rsum(book, "arr").alias("bookings_arr"), rsum(book, "acv").alias("bookings_acv"))
+    return clean.select(
+        dims.eco_label(F.col("erp_raw")).alias("erp"), "create_d",
+        in_range(F.col("create_d"), qs, td).alias("is_sql"),
+        (in_range(F.col("disco_d"), qs, td) & held_as_stored(F.col("meeting_happened"))).alias("is_held"),
+        in_range(F.col("sal_d"), qs, td).alias("is_sal"),
+        F.coalesce(F.col("is_won") & in_range(F.col("close_d"), qs, td), F.lit(False)).alias("is_book"),
+        number(F.col("arr_raw"), "decimal(18,2)").alias("arr"), number(F.col("acv_raw"), "decimal(18,2)").alias("acv"))
+
+
+def tof_funnel(rows: DataFrame) -> DataFrame:
+    """A1: funnel straight from all clean deals by ERP label, money rounded to whole units
+    per ERP (half away from zero) before the market re-sum; zero-activity groups stay."""
+    def rsum(flag: str, money: str) -> Column:
+        return F.coalesce(F.round(F.sum(F.when(F.col(flag), F.col(money)).otherwise(zero())), 0), F.lit(0))
+    per_erp = rows.groupBy("erp").agg(
+        tally(rows, "is_sql").alias("sql_booked"), tally(rows, "is_held").alias("sql_held"), tally(rows, "is_sal").alias("sal"),
+        rsum("is_sql", "arr").alias("pipeline_arr"), rsum("is_sql", "acv").alias("pipeline_acv"),
+        rsum("is_book", "arr").alias("bookings_arr"), rsum("is_book", "acv").alias("bookings_acv"))
     return (per_erp.groupBy(dims.market_of_eco(F.col("erp")).alias("market"))
             .agg(*[F.sum(m).alias(m) for m in C.FUNNEL_METRICS]))
 
 
-def wow_by_market(clean: DataFrame, cfg: ReviewConfig) -> DataFrame:
+def wow_by_market(rows: DataFrame, cfg: ReviewConfig) -> DataFrame:
     """A2: SQL-Booked this week (Monday..today) vs last full week (Monday..Sunday) by market,
     with WoW % (NULL when last week is 0). A partial week is compared with a full one.
 
     Every market with a clean deal appears (zero counts included), which needs the whole table."""
-    p = pacing(cfg.today)
-    per_erp = clean.groupBy(dims.eco_label(F.col("erp_raw")).alias("erp")).agg(
-        F.count_if(in_range(F.col("create_d"), p.week_start, cfg.today)).alias("this_week"),
-        F.count_if(in_range(F.col("create_d"), p.last_week_start, p.last_week_end)).alias("last_week"))
+    per_erp = rows.groupBy("erp").agg(*wow_aggs(rows, cfg))
     m = (per_erp.groupBy(dims.market_of_eco(F.col("erp")).alias("market"))
          .agg(F.sum("this_week").alias("this_week"), F.sum("last_week").alias("last_week")))
     return m.withColumn("wow_pct", wow(F.col("this_week"), F.col("last_week")))
 
 
-def wow_aggs(cfg: ReviewConfig) -> list[Column]:
+def wow_aggs(rows: DataFrame, cfg: ReviewConfig) -> list[Column]:
     """SQL-Booked this week and last full week as conditional counts (to sit beside the
     funnel aggregates in one pass)."""
     p = pacing(cfg.today)
-    return [F.count_if(in_range(F.col("create_d"), p.week_start, cfg.today)).alias("this_week"),
-            F.count_if(in_range(F.col("create_d"), p.last_week_start, p.last_week_end)).alias("last_week")]
+    return [tally(rows, in_range(F.col("create_d"), p.week_start, cfg.today)).alias("this_week"),
+            tally(rows, in_range(F.col("create_d"), p.last_week_start, p.last_week_end)).alias("last_week")]
 
 
 def wow(this_week: Column, last_week: Column) -> Column:

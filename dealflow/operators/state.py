@@ -1,5 +1,5 @@
 """Goals, weekly snapshots and the actions log as keyed DataFrame
-merges, plus sinks that rewrite only the touched partitions of a stored table.
+merges, plus sinks that rewrite only the touched groups of a stored table.
 
 A merge is "existing rows whose key is not in the update" ∪ "the update": a left-anti
 join on the key plus ``unionByName`` (no per-row Python). Inside one batch the row with the
@@ -11,12 +11,12 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from dealflow import config as C
 from dealflow import schema
 from dealflow.functions.text import strip
-from dealflow.session import materialize
+from dealflow.operators.store import rewrite, stored
 
 GOAL_KEY = ["quarter", "market", "metric"]
 SNAPSHOT_KEY = ["snapshot_date", "metric"]
@@ -127,6 +127,22 @@ def latest_before(store: DataFrame, day: dt.date) -> DataFrame:
     return before.where(F.col("snapshot_date") == newest)
 
 
+def movement(store: DataFrame) -> DataFrame:
+    """K6/F25 for every stored date at once: each metric beside its value on the newest date stored
+    before (NULL if the metric is absent there, even if an older date has it), the difference and
+    the difference in per cent (NULL for a prior of 0).
+
+    The dates are put in order once and each carries the one before it; the window runs over
+    one row per stored date, the values are joined by date and metric."""
+    dates = store.select("snapshot_date").distinct() \
+                 .withColumn("prior_date", F.lag("snapshot_date").over(Window.orderBy("snapshot_date")))
+    prior = store.select(F.col("snapshot_date").alias("prior_date"), "metric", F.col("value").alias("prior"))
+    delta = F.col("value") - F.col("prior")
+    return store.join(dates, "snapshot_date").join(prior, ["prior_date", "metric"], "left").select(
+        "snapshot_date", "metric", "value", "prior_date", "prior", F.round(delta, 2).alias("delta"),
+        F.round(100 * delta / F.nullif(F.col("prior"), F.lit(0.0)), 6).alias("delta_pct"))
+
+
 def history(store: DataFrame) -> DataFrame:
     """All snapshot rows ordered by date."""
     return store.orderBy("snapshot_date", "metric")
@@ -185,40 +201,26 @@ def actions_replace(actions: DataFrame, quarter: str, meeting: str, items: DataF
     return keep.unionByName(new.select(*actions.columns))
 
 
-# ---- sinks (stored tables; only the touched partitions are rewritten) ------------------
-
-def stored(spark: SparkSession, path: str, kind: T.StructType) -> DataFrame:
-    """A stored state table; a path that does not exist yet is an empty table."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], kind)
-    return spark.read.schema(kind).parquet(path).select(*kind.names)
-
+# ---- sinks (stored tables; only the touched groups are rewritten, see ``store``) ----------
 
-def write_partitioned(df: DataFrame, path: str, partition_col: str) -> None:
-    """Overwrite only the partitions present in ``df`` under ``path``. The rows are written to the
-    checkpoint folder first, since they may come from the table they replace."""
-    (materialize(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(partition_col).parquet(path))
+def groups_of(df: DataFrame, column: str) -> list:
+    """The groups that a batch touches (quarters or dates of one write)."""
+    return [r[0] for r in df.select(column).distinct().collect()]
 
 
 def save_goals(spark: SparkSession, path: str, updates: DataFrame) -> None:
     """U1 on a stored table: only the quarters of ``updates`` are rewritten."""
-    goals = stored(spark, path, schema.GOALS)
-    touched = goals.join(updates.select("quarter").distinct(), "quarter", "left_semi").select(*goals.columns)
-    write_partitioned(set_goals(touched, updates), path, "quarter")
+    rewrite(spark, path, schema.GOALS, "quarter", groups_of(updates, "quarter"), lambda goals: set_goals(goals, updates))
 
 
 def save_quarter_goals(spark: SparkSession, path: str, quarter: str, new_goals: DataFrame) -> None:
-    """U2 on a stored table: only this quarter is rewritten (``new_goals`` must not be empty)."""
-    write_partitioned(replace_quarter_goals(stored(spark, path, schema.GOALS).limit(0), quarter, new_goals), path, "quarter")
+    """U2 on a stored table: only this quarter is rewritten; without new goals it has none."""
+    rewrite(spark, path, schema.GOALS, "quarter", [quarter], lambda goals: replace_quarter_goals(goals, quarter, new_goals))
 
 
 def save_snapshots(spark: SparkSession, path: str, rows: DataFrame) -> None:
     """U3/U4 on a stored table: only the dates of ``rows`` are rewritten."""
-    store = stored(spark, path, schema.SNAPSHOTS)
-    touched = store.join(rows.select("snapshot_date").distinct(), "snapshot_date", "left_semi").select(*store.columns)
-    write_partitioned(backfill(touched, rows), path, "snapshot_date")
+    rewrite(spark, path, schema.SNAPSHOTS, "snapshot_date", groups_of(rows, "snapshot_date"), lambda store: backfill(store, rows))
 
 
 def sync_snapshots(spark: SparkSession, path: str, batch: DataFrame) -> None:
@@ -226,7 +228,18 @@ def sync_snapshots(spark: SparkSession, path: str, batch: DataFrame) -> None:
     save_snapshots(spark, path, batch.where(missing_dates(stored(spark, path, schema.SNAPSHOTS), batch).exists()))
 
 
+def save_added_actions(spark: SparkSession, path: str, quarter: str, meeting: str, items: DataFrame, added: dt.date) -> None:
+    """U7 on a stored table: the items follow whatever the list holds when the write begins."""
+    rewrite(spark, path, schema.ACTIONS, "quarter", [quarter], lambda actions: actions_add(actions, quarter, meeting, items, added))
+
+
+def save_replaced_actions(spark: SparkSession, path: str, quarter: str, meeting: str, items: DataFrame) -> None:
+    """U8 on a stored table: the list holds the saved items alone, none if there are none."""
+    rewrite(spark, path, schema.ACTIONS, "quarter", [quarter], lambda actions: actions_replace(actions, quarter, meeting, items))
+
+
 def save_actions(spark: SparkSession, path: str, quarter: str, merged: DataFrame) -> None:
-    """U7/U8 on a stored table: ``merged`` is the result of ``actions_add`` or ``actions_replace``; only
-    this quarter is rewritten."""
-    write_partitioned(merged.where(F.col("quarter") == quarter), path, "quarter")
+    """U7/U8 with a result of ``actions_add`` or ``actions_replace`` made before: this quarter's rows
+    of ``merged`` replace the stored ones. Read and merge happen outside the lock; two writers of one
+    quarter use ``save_added_actions`` and ``save_replaced_actions`` instead."""
+    rewrite(spark, path, schema.ACTIONS, "quarter", [quarter], lambda _: merged.where(F.col("quarter") == quarter))

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from dealflow import config as C
 from dealflow.config import ReviewConfig
 from dealflow.functions.pacing import pacing
+from dealflow.functions.weights import tally
 from dealflow.operators.funnel import happened
 
 MONEY = "decimal(18,2)"
@@ -32,9 +33,9 @@ def friday_on_or_after(d: Column) -> Column:
     return F.next_day(F.date_sub(d, 1), "Fri")
 
 
-def _events(enriched: DataFrame) -> DataFrame:
-    """(metric, d, value) per deal and dated funnel event (money already NULL -> 0)."""
-    one = F.lit(1).cast(MONEY)
+def funnel_events(enriched: DataFrame, *more: str) -> DataFrame:
+    """(metric, d, value, more columns) per deal and dated funnel event (money already NULL -> 0)."""
+    one = (F.col("n") if "n" in enriched.columns else F.lit(1)).cast(MONEY)
     won = F.coalesce(F.col("won"), F.lit(False))
     held_d = F.when(happened(F.col("meeting_happened")), F.col("disco_d"))
     book_d = F.when(won, F.col("close_d"))
@@ -45,23 +46,26 @@ def _events(enriched: DataFrame) -> DataFrame:
           ("tof_pipeline_acv", F.col("create_d"), F.col("acv")),
           ("tof_bookings_arr", book_d, F.col("arr")),
           ("tof_bookings_acv", book_d, F.col("acv"))]
-    return enriched.select(F.inline(F.array(*[
+    return enriched.select(*more, F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), d.alias("d"), v.cast(MONEY).alias("value")) for m, d, v in ev])))
 
 
 def historical_snapshots(enriched: DataFrame, cfg: ReviewConfig) -> DataFrame:
     """Long (snapshot_date, metric, value) for every Friday of the quarter to date;
     each value is the QTD metric capped at that Friday (counts and money)."""
-    p = pacing(cfg.today)
-    fr = fridays(cfg)
-    spark = enriched.sparkSession
-    if not fr:
+    return as_of(funnel_events(enriched), cfg, fridays(cfg))
+
+
+def as_of(events: DataFrame, cfg: ReviewConfig, days: list[dt.date]) -> DataFrame:
+    """The running value of every funnel metric on each Friday of ``days``, from events (metric, d, value)."""
+    spark = events.sparkSession
+    if not days:
         return spark.createDataFrame([], "snapshot_date date, metric string, value decimal(38,2)")
-    buckets = (_events(enriched)
-               .where(F.col("d").between(F.lit(p.quarter_start), F.lit(fr[-1])))
+    buckets = (events
+               .where(F.col("d").between(F.lit(pacing(cfg.today).quarter_start), F.lit(days[-1])))
                .groupBy(friday_on_or_after(F.col("d")).alias("snapshot_date"), "metric")
                .agg(F.sum("value").alias("v")))
-    spine = spark.createDataFrame([(f, m) for f in fr for m in _TOF_METRICS],
+    spine = spark.createDataFrame([(f, m) for f in days for m in _TOF_METRICS],
                                   "snapshot_date date, metric string")
     w = (Window.partitionBy("metric").orderBy("snapshot_date")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -91,7 +95,7 @@ def pace_cumulative(enriched: DataFrame, goal: Column, metric: str, cfg: ReviewC
                  .agg(F.sum("arr").alias("v")))
     else:
         daily = (enriched.where("is_sql").groupBy(F.col("create_d").alias("day"))
-                 .agg(F.count(F.lit(1)).cast(MONEY).alias("v")))
+                 .agg(tally(enriched).cast(MONEY).alias("v")))
     spark = enriched.sparkSession
     days = day_spine(spark, p.quarter_start, p.quarter_end)
     total_days = (p.quarter_end - p.quarter_start).days or 1

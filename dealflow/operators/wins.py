@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dealflow.config import ReviewConfig
 from dealflow.functions import dims, rules
+from dealflow.functions.weights import tally
 from dealflow.operators.forecast import with_share
 
 
@@ -23,12 +24,17 @@ def closed_won(won_scan: DataFrame, owner_dim: DataFrame) -> DataFrame:
 
 def wins_kpis(won: DataFrame) -> DataFrame:
     """Count, total ACV and ARR, mean ACV, mean days to close ignoring NULL and 0."""
+    days = F.nullif(F.col("days_to_close"), F.lit(0.0))
+    if "n" in won.columns:  # cells: the days and the number of deals that have any
+        cycle = F.sum("days_to_close") / F.nullif(F.sum("n_days"), F.lit(0))
+    else:
+        cycle = F.avg(days)
     return won.agg(
-        F.count(F.lit(1)).alias("wins"),
+        tally(won).alias("wins"),
         F.coalesce(F.sum("acv"), F.lit(0)).alias("total_acv"),
         F.coalesce(F.sum("arr"), F.lit(0)).alias("total_arr"),
-        F.round(F.sum("acv").cast("double") / F.count(F.lit(1)), 6).alias("avg_acv"),
-        F.round(F.avg(F.nullif(F.col("days_to_close"), F.lit(0.0))), 6).alias("avg_cycle_days"))
+        F.round(F.sum("acv").cast("double") / F.nullif(tally(won), F.lit(0)), 6).alias("avg_acv"),
+        F.round(cycle, 6).alias("avg_cycle_days"))
 
 
 def wins_by(won: DataFrame, dim: str) -> DataFrame:

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dealflow import schema
 from dealflow.config import DEFAULT_CONFIG, ReviewConfig
 from dealflow.functions.pacing import Pacing, pacing
+from dealflow.operators import pods
+from dealflow.operators.trends import fridays
+from dealflow.session import written
 from dealflow.sources import fixtures, readers
 
 
@@ -25,14 +28,17 @@ class Review:
     def __init__(self, spark: SparkSession, deals: DataFrame, owners: DataFrame | None,
                  sentiment: DataFrame | None, cfg: ReviewConfig = DEFAULT_CONFIG,
                  goals: DataFrame | None = None, snapshots: DataFrame | None = None,
-                 actions: DataFrame | None = None, state_by_rule: bool = False):
+                 actions: DataFrame | None = None, state_by_rule: bool = False,
+                 observations: dict[str, Observation] | None = None):
         self.spark = spark
         self.deals = deals
         self.owners = owners
         self.sentiment = sentiment
         self.cfg = cfg
-        self._stored = {"goals": goals, "snapshots": snapshots, "actions": actions}
-        self._state_by_rule = state_by_rule
+        self.state = {"goals": goals, "snapshots": snapshots, "actions": actions}
+        self.state_by_rule = state_by_rule
+        #: Counters of rejected numbers for the scans "qtd", "open" and "won" (see readers.counting_rejects).
+        self.observations = observations or {}
 
     @classmethod
     def from_tables(cls, spark: SparkSession, deals: str, owners: str | None = None,
@@ -63,7 +69,7 @@ class Review:
     # ---- top of funnel -------------------------------------------------------------
     @cached_property
     def qtd_base(self) -> DataFrame:
-        return readers.qtd_base(self.deals, self.cfg)
+        return readers.qtd_base(self.deals, self.cfg, seen=self.observations.get("qtd"))
 
     @cached_property
     def enriched(self) -> DataFrame:
@@ -94,7 +100,7 @@ class Review:
     def open_core(self) -> DataFrame:
         """Scored open deals without the call-sentiment columns."""
         from dealflow.operators.scoring import score_open_deals
-        return score_open_deals(readers.open_deals_scan(self.deals, self.cfg), self.owner_dim, self.cfg)
+        return score_open_deals(readers.open_deals_scan(self.deals, self.cfg, self.observations.get("open")), self.owner_dim, self.cfg)
 
     @cached_property
     def open_scored(self) -> DataFrame:
@@ -103,6 +109,33 @@ class Review:
         from dealflow.operators.scoring import finish_scoring
         return finish_scoring(self.open_core, self.deal_sentiment, self.cfg)
 
+    @cached_property
+    def pod_rows(self) -> DataFrame:
+        """What the pod views read of the scored open deals, written once: they read it twice."""
+        return written(self.open_core.select(*pods.COLUMNS))
+
+    # What the aggregates read: rows here, cells in plans/whole.py.
+    @property
+    def open_cells(self) -> DataFrame:
+        return self.open_core
+
+    @property
+    def quality_cells(self) -> DataFrame:
+        return self.open_scored
+
+    @property
+    def won_cells(self) -> DataFrame:
+        return self.won
+
+    @cached_property
+    def tof_rows(self) -> DataFrame:
+        from dealflow.operators.funnel import tof_rows
+        return tof_rows(self.clean, self.cfg)
+
+    @cached_property
+    def pod_detail(self) -> DataFrame:
+        return pods.pod_detail(self.pod_rows)
+
     def sentiment_for(self, deals: DataFrame) -> DataFrame:
         """A10 restricted to some deals (e.g. a top-N, whose known size makes Spark broadcast the
         ids): a semi-join before the aggregation, so only their calls are aggregated."""
@@ -114,13 +147,13 @@ class Review:
     @cached_property
     def won(self) -> DataFrame:
         from dealflow.operators.wins import closed_won
-        return closed_won(readers.closed_won_scan(self.deals, self.cfg), self.owner_dim)
+        return closed_won(readers.closed_won_scan(self.deals, self.cfg, self.observations.get("won")), self.owner_dim)
 
     # ---- state tables (stored, else empty, else by rule for the test tables) ------------
     def _state(self, name: str, kind: T.StructType, by_rule) -> DataFrame:
-        if self._stored[name] is not None:
-            return self._stored[name]
-        return by_rule() if self._state_by_rule else self.spark.createDataFrame([], kind)
+        if self.state[name] is not None:
+            return self.state[name]
+        return by_rule() if self.state_by_rule else self.spark.createDataFrame([], kind)
 
     @cached_property
     def goals(self) -> DataFrame:
@@ -146,6 +179,14 @@ class Review:
         from dealflow.operators.state import sync
         return sync(self.snapshot_seed, self.hist)
 
+    @property
+    def has_prior_snapshot(self) -> Column:
+        """Whether a snapshot from before the as-of date is stored: one that was there, or a Friday
+        that this run's sync adds. Friday rows are all of the quarter's so far, whatever the deals are,
+        so the dates decide."""
+        past = any(day < self.cfg.today for day in fridays(self.cfg))
+        return F.lit(True) if past else self.snapshot_seed.where(F.col("snapshot_date") < F.lit(self.cfg.today)).exists()
+
     @cached_property
     def actions(self) -> DataFrame:
         from dealflow.sources.state_fixtures import derived_actions

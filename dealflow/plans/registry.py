@@ -5,6 +5,7 @@ tables under ``sf_dir`` and returns the operator's result (money as DOUBLE).
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dealflow import config as C
+from dealflow import schema
 from dealflow.config import DEFAULT_CONFIG, ReviewConfig
 from dealflow.functions import dims
 from dealflow.functions.quarters import pacing_columns
+from dealflow.functions.rules import reject_reason
 from dealflow.functions.text import money_or_dash, signed
-from dealflow.operators import forecast, funnel, pods, scoring, state, trends, wins
+from dealflow.operators import forecast, funnel, history, paging, pods, scoring, state, store, trends, wins
 from dealflow.operators.hygiene import hygiene
-from dealflow.plans import reports
+from dealflow.plans import reports, whole
 from dealflow.plans.context import Review, to_output
+from dealflow.session import ensure_checkpoint_dir
+from dealflow.sources import readers
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -62,6 +67,22 @@ def _qtd_base(r: Review) -> DataFrame:
     return r.qtd_base
 
 
+@query("numeric_rejects")
+def _numeric_rejects(r: Review) -> DataFrame:
+    """Every value of a number column of the clean deals that is read as NULL (or 0)."""
+    return readers.rejects(r.clean)
+
+
+@query("numeric_reject_counts")
+def _numeric_reject_counts(r: Review) -> DataFrame:
+    """Rejected values by column and reason, with the deals they belong to in each market."""
+    named = r.clean.select("deal_id", dims.market(F.col("erp_raw")).alias("market"), *readers.NUMBERS)
+    values = F.array(*[F.struct(F.lit(c).alias("column"), reject_reason(F.col(c), kind).alias("reason"))
+                       for c, kind in readers.NUMBERS.items()])
+    long = named.select("market", F.inline(values)).where(F.col("reason").isNotNull())
+    return long.groupBy("column", "reason", "market").agg(F.count(F.lit(1)).alias("values"))
+
+
 @query("enrich_qtd")
 def _enrich_qtd(r: Review) -> DataFrame:
     """P8."""
@@ -112,12 +133,12 @@ def _funnel_grouping_sets(r: Review) -> DataFrame:
 
 @query("tof_funnel")
 def _tof_funnel(r: Review) -> DataFrame:
-    return funnel.tof_funnel(r.clean, r.cfg)
+    return funnel.tof_funnel(r.tof_rows)
 
 
 @query("wow_by_market")
 def _wow_by_market(r: Review) -> DataFrame:
-    return funnel.wow_by_market(r.clean, r.cfg)
+    return funnel.wow_by_market(r.tof_rows, r.cfg)
 
 
 for _value in funnel.MATRIX_VALUES:
@@ -276,84 +297,88 @@ def _top_red(r: Review) -> DataFrame:
 
 @query("forecast_rollup")
 def _forecast_rollup(r: Review) -> DataFrame:
-    return forecast.forecast_rollup(r.open_core)
+    return forecast.forecast_rollup(r.open_cells)
 
 
 @query("forecast_windows")
 def _forecast_windows(r: Review) -> DataFrame:
-    return forecast.forecast_windows(r.open_core, r.cfg)
+    return forecast.forecast_windows(r.open_cells, r.cfg)
 
 
 @query("forecast_hygiene")
 def _forecast_hygiene(r: Review) -> DataFrame:
-    return forecast.forecast_hygiene(r.open_core, r.cfg)
+    return forecast.forecast_hygiene(r.open_cells, r.cfg)
 
 
 @query("market_forecast")
 def _market_forecast(r: Review) -> DataFrame:
-    return forecast.category_by(r.open_core, "market")
+    return forecast.category_by(r.open_cells, "market")
 
 
 @query("product_forecast")
 def _product_forecast(r: Review) -> DataFrame:
-    return forecast.category_by(r.open_core, "product")
+    return forecast.category_by(r.open_cells, "product")
 
 
 @query("open_by_market")
 def _open_by_market(r: Review) -> DataFrame:
-    return forecast.open_by_market(r.open_core)
+    return forecast.open_by_market(r.open_cells)
 
 
 @query("open_by_gtm")
 def _open_by_gtm(r: Review) -> DataFrame:
-    return forecast.open_by_gtm(r.open_core)
+    return forecast.open_by_gtm(r.open_cells)
 
 
 @query("open_mix_product")
 def _open_mix_product(r: Review) -> DataFrame:
-    return forecast.open_mix_product(r.open_core)
+    return forecast.open_mix_product(r.open_cells)
 
 
 @query("open_matrix")
 def _open_matrix(r: Review) -> DataFrame:
-    return forecast.open_matrix(r.open_core)
+    return forecast.open_matrix(r.open_cells)
 
 
 @query("market_commit_vs_risk")
 def _market_commit_vs_risk(r: Review) -> DataFrame:
-    return forecast.market_commit_vs_risk(r.open_core)
+    return forecast.market_commit_vs_risk(r.open_cells)
 
 
 @query("rag_distribution")
 def _rag_distribution(r: Review) -> DataFrame:
-    return forecast.rag_distribution(r.open_core)
+    return forecast.rag_distribution(r.open_cells)
 
 
 @query("open_quality_stats")
 def _open_quality_stats(r: Review) -> DataFrame:
-    return forecast.open_quality_stats(r.open_scored)
+    return forecast.open_quality_stats(r.quality_cells)
 
 
 # ---- Pods (A8, A9, K8) ---------------------------------------------------------------
 
 @query("pod_summary")
 def _pod_summary(r: Review) -> DataFrame:
-    return pods.pod_summary(r.open_core)
+    return pods.pod_summary(r.open_cells)
 
 
 @query("pod_detail")
 def _pod_detail(r: Review) -> DataFrame:
-    return pods.pod_detail(r.open_core)
+    return r.pod_detail
+
+
+@query("pod_top_deals")
+def _pod_top_deals(r: Review) -> DataFrame:
+    """The three largest deals of every pod, of its Commit-or-Green ones and of its Red ones."""
+    return pods.top_deals(r.open_core, 3)
 
 
 @query("pod_reviews")
 def _pod_reviews(r: Review) -> DataFrame:
     """K8: the pod cards, with 'what changed' pointing at the movement table once a prior
     weekly snapshot exists."""
-    from dealflow.operators.state import latest_before
-    has_prior = latest_before(r.snapshot_store, r.cfg.today).exists()
-    return pods.pod_reviews(r.open_core, r.cfg).withColumn(
-        "what_changed", F.when(has_prior, F.lit("see Movement")).otherwise(F.lit("WoW from snapshots (next week)")))
+    return pods.first_cards(r.pod_detail, r.cfg).withColumn(
+        "what_changed", F.when(r.has_prior_snapshot, F.lit("see Movement")).otherwise(F.lit("WoW from snapshots (next week)")))
 
 
 # ---- Wins (S3, A20-A23) --------------------------------------------------------------
@@ -366,22 +391,22 @@ def _closed_won(r: Review) -> DataFrame:
 
 @query("wins_kpis")
 def _wins_kpis(r: Review) -> DataFrame:
-    return wins.wins_kpis(r.won)
+    return wins.wins_kpis(r.won_cells)
 
 
 @query("wins_by_market")
 def _wins_by_market(r: Review) -> DataFrame:
-    return wins.wins_by(r.won, "market")
+    return wins.wins_by(r.won_cells, "market")
 
 
 @query("wins_by_product")
 def _wins_by_product(r: Review) -> DataFrame:
-    return wins.wins_by_product(r.won)
+    return wins.wins_by_product(r.won_cells)
 
 
 @query("wins_by_partner")
 def _wins_by_partner(r: Review) -> DataFrame:
-    return wins.wins_by_partner(r.won, r.cfg)
+    return wins.wins_by_partner(r.won_cells, r.cfg)
 
 
 # ---- Time: as-of snapshots, pace, trend (J7/A11, W1, W2) ------------------------------
@@ -518,7 +543,7 @@ def _actions_replace(r: Review) -> DataFrame:
     """U8 + U9: replace the current quarter's Booking list by one item per pod review card
     (a pod with nothing to ask gives a blank item, which the save rule drops). The positions come
     from a window over the cards, which are limited to ``cfg.pod_cards``."""
-    pd_ = pods.pod_reviews(r.open_core, r.cfg)
+    pd_ = pods.first_cards(r.pod_detail, r.cfg)
     items = pd_.select(
         F.dense_rank().over(Window.orderBy("pod")).cast("bigint").alias("pos"),
         F.when(F.col("exec_support") == C.SUPPORT_NONE, F.lit(""))
@@ -527,6 +552,95 @@ def _actions_replace(r: Review) -> DataFrame:
     return state.actions_replace(r.actions, r.pacing.quarter_key, "Booking", items)
 
 
+def _scratch(r: Review, name: str) -> str:
+    """A new folder for a stored table, in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(r.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("stored_goals_emptied")
+def _stored_goals_emptied(r: Review) -> DataFrame:
+    """U1 + U2 on a stored table: all goals are saved, then the current quarter is replaced by no
+    goals; the rows that the table holds afterwards."""
+    path = _scratch(r, "goals")
+    state.save_goals(r.spark, path, r.goals)
+    state.save_quarter_goals(r.spark, path, r.pacing.quarter_key, r.goals.limit(0))
+    return state.stored(r.spark, path, schema.GOALS)
+
+
+@query("stored_actions_emptied")
+def _stored_actions_emptied(r: Review) -> DataFrame:
+    """U8 + U9 on a stored table: all actions are saved, then the current Booking list is replaced by
+    one blank item; the rows that the table holds afterwards."""
+    path = _scratch(r, "actions")
+    store.rewrite(r.spark, path, schema.ACTIONS, "quarter", state.groups_of(r.actions, "quarter"), lambda _: r.actions)
+    blank = r.spark.range(1).select(F.lit(1).cast("bigint").alias("pos"), F.lit(" ").alias("text"), F.lit("").alias("owner"),
+                                    F.lit("Open").alias("status"), F.lit(r.cfg.today).alias("added"))
+    state.save_replaced_actions(r.spark, path, r.pacing.quarter_key, "Booking", blank)
+    return state.stored(r.spark, path, schema.ACTIONS)
+
+
+@query("stored_snapshots_captured")
+def _stored_snapshots_captured(r: Review) -> DataFrame:
+    """U3 + U6 on a stored table: the seed snapshots are saved, the reconstructed Fridays synced, today's
+    totals captured; the rows that the table holds afterwards."""
+    path = _scratch(r, "snapshots")
+    state.save_snapshots(r.spark, path, r.snapshot_seed)
+    state.sync_snapshots(r.spark, path, r.hist)
+    state.save_snapshots(r.spark, path, reports.tof_snapshot(r))
+    return state.stored(r.spark, path, schema.SNAPSHOTS)
+
+
+@query("snapshot_movement")
+def _snapshot_movement(r: Review) -> DataFrame:
+    """J8 + K6 for every stored date beside the one before."""
+    return state.movement(r.snapshot_store)
+
+
+@query("history_after_changes")
+def _history_after_changes(r: Review) -> DataFrame:
+    """J7/A11/U6 from kept sums: the sums of an earlier state of the deals are stored, a feed brings
+    them to the present state, and the Fridays are read off. The earlier state, by rule: deals with
+    an id of 5 modulo 11 are not there yet, those of 2 modulo 7 have other dates, amounts and outcomes,
+    and every deal of 1 modulo 13 has a twin that is deleted since."""
+    new, other, twin = F.col("deal_id") % 11 == 5, F.col("deal_id") % 7 == 2, F.col("deal_id") % 13 == 1
+    mark = lambda df, name: df.withColumn("change", F.lit(name))
+    was = {"create_d": F.date_sub("create_d", 9), "sal_d": F.coalesce(F.date_add("sal_d", 4), F.col("create_d")),
+           "close_d": F.date_sub("close_d", 30), "arr_raw": F.lit("77"), "is_won": ~F.col("is_won"),
+           "meeting_happened": F.lit("yes"), "pipeline_id": F.when(F.col("deal_id") % 3 == 0, F.lit("renewals")).otherwise("default")}
+    before = r.deals.where(other & ~new).withColumns(was)
+    twins = r.deals.where(twin).withColumn("deal_id", -F.col("deal_id"))
+    earlier = r.deals.where(~new & ~other).unionByName(before).unionByName(twins)
+    feed = mark(before, "update_before").unionByName(mark(r.deals.where(other & ~new), "update_after")) \
+        .unionByName(mark(r.deals.where(new), "insert")).unionByName(mark(twins, "delete"))
+    path = _scratch(r, "events")
+    history.save_events(r.spark, path, history.event_sums(earlier, r.cfg))
+    history.apply_changes(r.spark, path, feed, r.cfg)
+    kept = state.stored(r.spark, path, history.SUMS).where(F.col("quarter") == r.pacing.quarter_key)
+    return history.as_of_fridays(kept, r.cfg)
+
+
+@query("open_pipeline_page")
+def _open_pipeline_page(r: Review) -> DataFrame:
+    """The full open pipeline written in its order; the third page of 50 rows."""
+    path = _scratch(r, "pages")
+    paging.write_ordered(to_output(_open_pipeline_full(r)), path, [F.col("acv").desc_nulls_last(), F.col("deal_id")])
+    return paging.page(r.spark, path, 2, 50)
+
+
+# ---- The whole review from two passes over the deals (plans/whole.py) --------------------
+
+@query("whole_tof_review")
+def _whole_tof_review(r: Review) -> DataFrame:
+    """The top-of-funnel and wins figures in one long table."""
+    return whole.sheet(whole.WholeReview(r), whole.TOF_SHEET, OPERATORS)
+
+
+@query("whole_booking_review")
+def _whole_booking_review(r: Review) -> DataFrame:
+    """The booking figures in one long table."""
+    return whole.sheet(whole.WholeReview(r), whole.BOOKING_SHEET, OPERATORS)
+
+
 # ---- Composite reports (A13, F26, K1-K9) -----------------------------------------------
 
 for _name in ("exec_summary_tof", "run_rate", "quarter_health", "market_scorecard", "strategic_priorities",

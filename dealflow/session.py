@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +19,11 @@ REQUIRED_CONF = {
     "spark.sql.ansi.enabled": "true",
 }
 
+# PySpark records the call site of every Column it makes, with several round trips to the JVM each;
+# a report is made of thousands. Errors then name the expression but not the Python line. Static:
+# to be set when the session is made.
+DRIVER_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 # Scale settings: AQE re-plans joins from runtime sizes (an owner or spine side becomes a
 # broadcast only when its measured size is under the threshold), coalesces small shuffle
 # partitions and splits skewed ones.
@@ -46,7 +52,7 @@ def cluster_conf(input_bytes: int, executor_cores: int, executors: int,
     * Broadcasts stay bounded by the 32 MiB threshold (AQE decides from measured sizes)."""
     split = 256 * 1024 * 1024
     return {
-        **REQUIRED_CONF, **SCALE_CONF,
+        **REQUIRED_CONF, **SCALE_CONF, **DRIVER_CONF,
         "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(shuffle_partitions or max(executor_cores * executors, input_bytes // split)),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
@@ -63,7 +69,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
                .config("spark.driver.memory", os.environ.get("DEALFLOW_DRIVER_MEMORY", "8g"))
                .config("spark.driver.extraJavaOptions",
                        os.environ.get("DEALFLOW_JAVA_OPTS", "-XX:-DontCompileHugeMethods")))
-    for k, v in {**REQUIRED_CONF, **SCALE_CONF}.items():
+    for k, v in {**REQUIRED_CONF, **SCALE_CONF, **DRIVER_CONF}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -93,6 +99,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def written(df):
+    """``df`` written once as Parquet in the shared checkpoint folder and read back: the files survive
+    lost executors, and readers take only the columns they use."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Cut lineage: write ``df`` once to the shared checkpoint folder and read it back
     (a reliable checkpoint survives executor loss; never a node-local cache)."""

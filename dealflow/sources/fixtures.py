@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed anchor of the synthetic dates (the default as-of date of the review).
@@ -21,86 +21,58 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(key: Column, values: list) -> Column:
+def _pick(key: str, *values: str | None) -> str:
     """values[key] for key in 0..len-1, NULL for a None entry or any other key."""
-    out = None
-    for i, v in enumerate(values):
-        if v is None:
-            continue
-        out = (F.when(key == i, F.lit(v)) if out is None else out.when(key == i, F.lit(v)))
-    return out.otherwise(F.lit(None).cast("string"))
+    return f"CASE {key} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None) + " END"
 
 
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One CRM-like deal per order (FIXTURES.md §1 schema)."""
-    o = _table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    """One CRM-like deal per order (FIXTURES.md §1 schema); k is the order key. The columns are SQL
+    text, which the driver hands over in one call instead of one per operator."""
+    o = _table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS k", "o_custkey", "o_orderstatus = 'F' AS f", "o_totalprice AS price", "to_date(o_orderdate) AS create_d",
+        "o_orderpriority")
     c = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    k = F.col("o_orderkey")
-    anchor = F.lit(FIXTURE_ANCHOR)
-    create_d = F.to_date("o_orderdate")
-    price = F.col("o_totalprice")
-    arr_text = F.floor(price / 10).cast("bigint").cast("string")
-    status_f = F.col("o_orderstatus") == "F"
-    m37 = k % 37
-    return (o.join(c, o.o_custkey == c.c_custkey, "inner")
-            .select(
-        k.alias("deal_id"),
-        F.when(k % 1009 == 0, F.lit("Test Deal A"))
-         .otherwise(F.concat(F.lit("Deal "), k.cast("string"))).alias("dealname"),
-        F.when(k % 41 == 0, F.lit("renewals")).otherwise(F.lit("default")).alias("pipeline_id"),
-        _pick(k % 59, ["LegacyApp sync", "Bulk Data load", "Web form"]).alias("source_detail"),
-        F.when(k % 53 < 6, "IMPORT").when(k % 53 < 9, "INTEGRATION")
-         .when(k % 53 < 45, "CRM_UI").alias("source_label"),
-        F.when(k % 67 == 0, F.lit(None).cast("string"))
-         .otherwise((F.col("o_custkey") % 31).cast("string")).alias("owner_id"),
-        F.when(F.col("c_mktsegment") == "MACHINERY", "Netsuite")
-         .when(F.col("c_mktsegment") == "BUILDING", "Sage Intacct")
-         .when(F.col("c_mktsegment") == "AUTOMOBILE", "Microsoft Dynamics 365")
-         .when(F.col("c_mktsegment") == "FURNITURE", "Acumatica").alias("erp_raw"),
-        _pick(F.substring("o_orderpriority", 1, 1).try_cast("int") - 1,
-              ["Channel Partner", "Inbound Web", "SDR Outbound", "Account Exec"]).alias("gtm_raw"),
-        _pick(k % 9, ["AR", "AP", "AR;AP", "Expense Management", "Corporate Cards, ar", "FX",
-                      "  ", "nan", None]).alias("use_case"),
-        F.when(k % 47 == 0, F.lit("n/a")).when(k % 47 == 1, F.lit(None).cast("string"))
-         .otherwise(arr_text).alias("arr_raw"),
-        F.when(k % 71 == 0, F.lit(None).cast("string"))
-         .otherwise(price.cast("decimal(18,2)").cast("string")).alias("acv_raw"),
-        (F.floor(price / 10).cast("bigint") + k % 100).cast("string").alias("total_arr_raw"),
-        create_d.alias("create_d"),
-        F.when(k % 5 == 0, F.lit(None).cast("date"))
-         .otherwise(F.date_add(create_d, (k % 20).cast("int"))).alias("disco_d"),
-        F.when(k % 61 < 30, "Yes").when(k % 61 < 35, " YES ").when(k % 61 < 50, "No")
-         .alias("meeting_happened"),
-        F.when(k % 3 == 0, F.lit(None).cast("date"))
-         .otherwise(F.date_add(create_d, (20 + k % 30).cast("int"))).alias("sal_d"),
-        F.when(status_f, F.date_add(create_d, (45 + k % 45).cast("int")))
-         .when(k % 73 == 0, F.lit(None).cast("date"))
-         .otherwise(F.date_add(anchor, (k % 120 - 20).cast("int"))).alias("close_d"),
-        F.when(k % 79 == 0, F.lit(None).cast("boolean")).otherwise(status_f).alias("is_closed"),
-        F.when(k % 83 == 0, F.lit(None).cast("boolean"))
-         .otherwise(status_f & (k % 2 == 0)).alias("is_won"),
-        _pick(k % 4, ["s_sql", "s_sal", "s_prop", "s_neg"]).alias("stage_id"),
-        _pick(k % 7, ["COMMIT", "BEST_CASE", "PIPELINE", "OMIT", "", "CLOSED_WON", None]).alias("fcat"),
-        _pick((k % 43) % 5, [None, "0.2", "60", "1", "bad"]).alias("prob_raw"),
-        F.when(k % 13 == 12, F.lit(None).cast("bigint"))
-         .otherwise((k % 13) % 4).cast("bigint").alias("n_contacts"),
-        F.when(k % 11 < 8, "Send quote").when(k % 11 == 8, "No").when(k % 11 == 9, "")
-         .alias("next_step"),
-        F.when(m37 == 0, F.lit(None).cast("date"))
-         .otherwise(F.date_sub(anchor, ((m37 % 30) * (m37 % 3)).cast("int"))).alias("last_contact_d"),
-        _pick((k % 31) % 4, ["Partner A", "Partner B", "No"]).alias("partner"),
-        F.when(k % 17 < 12, "ROI").alias("m_metrics"),
-        F.when(k % 19 < 13, "Board").alias("d_process"),
-        F.when(k % 23 < 16, "Manual").alias("i_pain"),
-        F.when(k % 29 < 15, "Rival").alias("c_compet"),
-        _pick(k % 3, ["Yes", "identified"]).alias("e_buyer"),
-        F.lit(None).cast("string").alias("champion"),
-        F.when(k % 89 == 0, F.lit(None).cast("string"))
-         .otherwise(((k % 89) % 60).cast("string")).alias("days_to_close_raw"),
-        F.lit(None).cast("string").alias("rev_range"),
-        F.lit(None).cast("string").alias("win_reason"),
-    ))
+    anchor = f"DATE '{FIXTURE_ANCHOR}'"
+    return o.join(c, o.o_custkey == c.c_custkey, "inner").selectExpr(
+        "k AS deal_id",
+        "IF(k % 1009 = 0, 'Test Deal A', concat('Deal ', string(k))) AS dealname",
+        "IF(k % 41 = 0, 'renewals', 'default') AS pipeline_id",
+        _pick("k % 59", "LegacyApp sync", "Bulk Data load", "Web form") + " AS source_detail",
+        "CASE WHEN k % 53 < 6 THEN 'IMPORT' WHEN k % 53 < 9 THEN 'INTEGRATION' WHEN k % 53 < 45 THEN 'CRM_UI' END AS source_label",
+        "IF(k % 67 = 0, NULL, string(o_custkey % 31)) AS owner_id",
+        "CASE c_mktsegment WHEN 'MACHINERY' THEN 'Netsuite' WHEN 'BUILDING' THEN 'Sage Intacct' "
+        "WHEN 'AUTOMOBILE' THEN 'Microsoft Dynamics 365' WHEN 'FURNITURE' THEN 'Acumatica' END AS erp_raw",
+        _pick("try_cast(substring(o_orderpriority, 1, 1) AS int) - 1", "Channel Partner", "Inbound Web", "SDR Outbound", "Account Exec")
+        + " AS gtm_raw",
+        _pick("k % 9", "AR", "AP", "AR;AP", "Expense Management", "Corporate Cards, ar", "FX", "  ", "nan") + " AS use_case",
+        "CASE WHEN k % 47 = 0 THEN 'n/a' WHEN k % 47 = 1 THEN NULL ELSE string(bigint(floor(price / 10))) END AS arr_raw",
+        "IF(k % 71 = 0, NULL, string(CAST(price AS decimal(18,2)))) AS acv_raw",
+        "string(bigint(floor(price / 10)) + k % 100) AS total_arr_raw",
+        "create_d",
+        "IF(k % 5 = 0, NULL, date_add(create_d, int(k % 20))) AS disco_d",
+        "CASE WHEN k % 61 < 30 THEN 'Yes' WHEN k % 61 < 35 THEN ' YES ' WHEN k % 61 < 50 THEN 'No' END AS meeting_happened",
+        "IF(k % 3 = 0, NULL, date_add(create_d, int(20 + k % 30))) AS sal_d",
+        f"CASE WHEN f THEN date_add(create_d, int(45 + k % 45)) WHEN k % 73 = 0 THEN NULL "
+        f"ELSE date_add({anchor}, int(k % 120 - 20)) END AS close_d",
+        "IF(k % 79 = 0, NULL, f) AS is_closed",
+        "IF(k % 83 = 0, NULL, f AND k % 2 = 0) AS is_won",
+        _pick("k % 4", "s_sql", "s_sal", "s_prop", "s_neg") + " AS stage_id",
+        _pick("k % 7", "COMMIT", "BEST_CASE", "PIPELINE", "OMIT", "", "CLOSED_WON") + " AS fcat",
+        _pick("(k % 43) % 5", None, "0.2", "60", "1", "bad") + " AS prob_raw",
+        "IF(k % 13 = 12, NULL, bigint((k % 13) % 4)) AS n_contacts",
+        "CASE WHEN k % 11 < 8 THEN 'Send quote' WHEN k % 11 = 8 THEN 'No' WHEN k % 11 = 9 THEN '' END AS next_step",
+        f"IF(k % 37 = 0, NULL, date_sub({anchor}, int(((k % 37) % 30) * ((k % 37) % 3)))) AS last_contact_d",
+        _pick("(k % 31) % 4", "Partner A", "Partner B", "No") + " AS partner",
+        "IF(k % 17 < 12, 'ROI', NULL) AS m_metrics",
+        "IF(k % 19 < 13, 'Board', NULL) AS d_process",
+        "IF(k % 23 < 16, 'Manual', NULL) AS i_pain",
+        "IF(k % 29 < 15, 'Rival', NULL) AS c_compet",
+        _pick("k % 3", "Yes", "identified") + " AS e_buyer",
+        "string(NULL) AS champion",
+        "IF(k % 89 = 0, NULL, string((k % 89) % 60)) AS days_to_close_raw",
+        "string(NULL) AS rev_range",
+        "string(NULL) AS win_reason")
 
 
 def owners(spark: SparkSession, sf_dir: str) -> DataFrame:

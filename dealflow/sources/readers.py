@@ -3,29 +3,52 @@ owner dimension and per-deal sentiment.
 
 Lenient numbers use ``try_cast`` (Spark 4 runs ANSI mode, where ``cast`` would throw).
 Money is carried as DECIMAL(18,2) so sums are exact and independent of row order; text that is
-no number is NULL, an amount of 10^16 or more fails the query.
+no number and an amount of 10^16 or more are NULL. ``rejects`` lists these values, and a scan that
+is given an ``Observation`` counts those of its own rows in the same pass.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dealflow import schema
 from dealflow.config import ReviewConfig
 from dealflow.functions import dims
 from dealflow.functions.pacing import pacing
-from dealflow.functions.rules import number
+from dealflow.functions.rules import PROBABILITY, number, reject_reason
 from dealflow.functions.text import strip
 from dealflow.operators.hygiene import hygiene, is_open, touches_quarter, won_between
 
 MONEY = "decimal(18,2)"
+#: What the lenient columns are read as, and those that each scan reads.
+NUMBERS = {"arr_raw": MONEY, "acv_raw": MONEY, "total_arr_raw": MONEY, "prob_raw": PROBABILITY, "n_contacts": "bigint",
+           "days_to_close_raw": "double"}
+QTD_NUMBERS = ("arr_raw", "acv_raw")
+OPEN_NUMBERS = ("arr_raw", "acv_raw", "prob_raw", "n_contacts")
+WON_NUMBERS = ("total_arr_raw", "acv_raw", "days_to_close_raw")
 
 
 def money_col(name: str):
     return number(F.col(name), MONEY)
 
 
-def qtd_base(deals: DataFrame, cfg: ReviewConfig, with_wow_window: bool = False) -> DataFrame:
+def rejects(deals: DataFrame, columns: tuple[str, ...] = tuple(NUMBERS)) -> DataFrame:
+    """deal_id, column, raw, reason of every value of the lenient ``columns`` that is read as NULL
+    although it holds something; one row a value, in one pass over the deals."""
+    values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("raw"),
+                                reject_reason(F.col(c), NUMBERS[c]).alias("reason")) for c in columns])
+    return deals.select("deal_id", F.inline(values)).where(F.col("reason").isNotNull())
+
+
+def counting_rejects(deals: DataFrame, seen: Observation | None, columns: tuple[str, ...]) -> DataFrame:
+    """``deals`` as they are; once they have been read, ``seen`` holds the number of rejected values
+    of each of the ``columns``."""
+    if seen is None:
+        return deals
+    return deals.observe(seen, *[F.count(reject_reason(F.col(c), NUMBERS[c])).alias(c) for c in columns])
+
+
+def qtd_base(deals: DataFrame, cfg: ReviewConfig, with_wow_window: bool = False, seen: Observation | None = None) -> DataFrame:
     """S1 + P1 + P2: deals touching the quarter to date, with the funnel columns.
 
     ``with_wow_window`` also keeps deals created in the last two weeks (this week and the
@@ -35,7 +58,7 @@ def qtd_base(deals: DataFrame, cfg: ReviewConfig, with_wow_window: bool = False)
     keep = touches_quarter(p.quarter_start, cfg.today)
     if with_wow_window:
         keep = keep | F.col("create_d").between(F.lit(p.last_week_start), F.lit(cfg.today))
-    return (deals.where(hygiene(cfg) & keep)
+    return (counting_rejects(deals.where(hygiene(cfg) & keep), seen, QTD_NUMBERS)
             .select("deal_id",
                     dims.eco_label(F.col("erp_raw")).alias("erp"),
                     "gtm_raw", "use_case",
@@ -54,9 +77,9 @@ def clean_deals(deals: DataFrame, cfg: ReviewConfig) -> DataFrame:
     return deals.where(hygiene(cfg))
 
 
-def open_deals_scan(deals: DataFrame, cfg: ReviewConfig) -> DataFrame:
+def open_deals_scan(deals: DataFrame, cfg: ReviewConfig, seen: Observation | None = None) -> DataFrame:
     """S2 + P1 + P3: the open pipeline columns."""
-    return (deals.where(hygiene(cfg) & is_open(cfg))
+    return (counting_rejects(deals.where(hygiene(cfg) & is_open(cfg)), seen, OPEN_NUMBERS)
             .select("deal_id", "dealname", "owner_id", "gtm_raw", "use_case", "erp_raw",
                     money_col("arr_raw").alias("arr"),
                     money_col("acv_raw").alias("acv"),
@@ -64,20 +87,20 @@ def open_deals_scan(deals: DataFrame, cfg: ReviewConfig) -> DataFrame:
                     F.to_date("create_d").alias("create_d"),
                     F.to_date("close_d").alias("close_d"),
                     "fcat", "prob_raw",
-                    F.col("n_contacts").try_cast("bigint").alias("n_contacts"),
+                    number(F.col("n_contacts"), NUMBERS["n_contacts"]).alias("n_contacts"),
                     "next_step",
                     F.to_date("last_contact_d").alias("last_contact_d"),
                     "partner", "m_metrics", "e_buyer", "d_process", "i_pain", "c_compet", "champion"))
 
 
-def closed_won_scan(deals: DataFrame, cfg: ReviewConfig) -> DataFrame:
+def closed_won_scan(deals: DataFrame, cfg: ReviewConfig, seen: Observation | None = None) -> DataFrame:
     """S3 + P1 + P4: the quarter's closed-won cohort; ARR is the *total* ARR field."""
     p = pacing(cfg.today)
-    return (deals.where(hygiene(cfg) & won_between(p.quarter_start, cfg.today))
+    return (counting_rejects(deals.where(hygiene(cfg) & won_between(p.quarter_start, cfg.today)), seen, WON_NUMBERS)
             .select("deal_id", "dealname", "owner_id", "erp_raw", "use_case",
                     money_col("total_arr_raw").alias("arr"),
                     money_col("acv_raw").alias("acv"),
-                    F.col("days_to_close_raw").try_cast("double").alias("days_to_close"),
+                    number(F.col("days_to_close_raw"), "double").alias("days_to_close"),
                     "partner", "rev_range", "win_reason",
                     F.to_date("close_d").alias("close_d")))
 

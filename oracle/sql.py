@@ -3,6 +3,8 @@
 week end Sunday 1998-08-23, month end 1998-08-31, quarter key 1998Q3."""
 from __future__ import annotations
 
+from dealflow.plans.whole import BOOKING_SHEET, TOF_SHEET
+
 TODAY = "DATE '1998-08-19'"
 QS = "DATE '1998-07-01'"
 QE = "DATE '1998-09-30'"
@@ -171,6 +173,24 @@ ORACLE_SQL["qtd_base"] = f"""{PRELUDE}
 SELECT deal_id, erp, gtm_raw, use_case, CAST(arr AS DOUBLE) AS arr, CAST(acv AS DOUBLE) AS acv,
        create_d, disco_d, meeting_happened, sal_d, close_d, won FROM qtd"""
 
+# Values that no number column takes: the test tables hold text such as 'n/a' and 'bad'.
+REJECTS = f"""{PRELUDE}
+, raws AS (
+  SELECT deal_id, market, unnest(['arr_raw', 'acv_raw', 'total_arr_raw', 'prob_raw', 'n_contacts', 'days_to_close_raw']) AS "column",
+         unnest([arr_raw, acv_raw, total_arr_raw, prob_raw, CAST(n_contacts AS VARCHAR), days_to_close_raw]) AS raw
+  FROM clean)
+, rejected AS (
+  SELECT deal_id, market, "column", raw, CASE WHEN isnan(d) OR d IS NULL THEN 'no_number' ELSE 'does_not_fit' END AS reason
+  FROM (SELECT *, TRY_CAST(raw AS DOUBLE) AS d FROM raws)
+  WHERE trim(raw) <> '' AND (d IS NULL OR isnan(d) OR isinf(d)
+        OR abs(d) >= CASE WHEN "column" = 'prob_raw' THEN 1e14 WHEN "column" IN ('n_contacts', 'days_to_close_raw') THEN 9.2e18 ELSE 1e16 END))"""
+
+ORACLE_SQL["numeric_rejects"] = f"""{REJECTS}
+SELECT deal_id, "column", raw, reason FROM rejected"""
+
+ORACLE_SQL["numeric_reject_counts"] = f"""{REJECTS}
+SELECT "column", reason, market, count(*) AS "values" FROM rejected GROUP BY "column", reason, market"""
+
 ORACLE_SQL["enrich_qtd"] = f"""{PRELUDE}
 SELECT deal_id, market, gtm, product, CAST(arr AS DOUBLE) AS arr, CAST(acv AS DOUBLE) AS acv,
        is_sql, is_held, is_sal, is_book FROM enriched"""
@@ -602,6 +622,15 @@ _POD_BASE = f"""{BOOKING}
 ORACLE_SQL["pod_detail"] = f"""{_POD_BASE}
 SELECT * FROM detail"""
 
+ORACLE_SQL["pod_top_deals"] = f"""{_POD_BASE}
+, laned AS (
+  SELECT *, 'any' AS lane FROM scored
+  UNION ALL SELECT *, 'winner' FROM scored WHERE forecast_cat = 'Commit' OR rag = 'Green'
+  UNION ALL SELECT *, 'risk' FROM scored WHERE rag = 'Red')
+, placed AS (SELECT *, row_number() OVER (PARTITION BY pod, lane ORDER BY acv DESC NULLS LAST, deal_id) AS place FROM laned)
+SELECT pod, lane, CAST(place AS INTEGER) AS place, deal_id, dealname, CAST(acv AS DOUBLE) AS acv, flags[1] AS first_flag
+FROM placed WHERE place <= 3"""
+
 ORACLE_SQL["pod_reviews"] = f"""{_POD_BASE}
 , kept AS (SELECT * FROM detail
            WHERE deals >= 3 OR NOT EXISTS (SELECT 1 FROM detail d2 WHERE d2.deals >= 3))
@@ -691,7 +720,7 @@ STATE = f"""{BOOKING}
   SELECT create_d, disco_d, sal_d, close_d, coalesce(arr, 0) AS arr0, coalesce(acv, 0) AS acv0,
          {_HAPPENED} AS hap, coalesce(won, false) AS w
   FROM qtd)
-, hagg AS (
+, hagg AS MATERIALIZED (
   SELECT fr.snapshot_date,
     count(qb.create_d) FILTER (WHERE qb.create_d BETWEEN {QS} AND fr.snapshot_date) AS sql_booked,
     count(qb.disco_d) FILTER (WHERE qb.hap AND qb.disco_d BETWEEN {QS} AND fr.snapshot_date) AS sql_held,
@@ -701,27 +730,29 @@ STATE = f"""{BOOKING}
     coalesce(sum(qb.arr0) FILTER (WHERE qb.w AND qb.close_d BETWEEN {QS} AND fr.snapshot_date), 0) AS bookings_arr,
     coalesce(sum(qb.acv0) FILTER (WHERE qb.w AND qb.close_d BETWEEN {QS} AND fr.snapshot_date), 0) AS bookings_acv
   FROM fr, qb GROUP BY fr.snapshot_date)
-, hist AS (
+, hist AS MATERIALIZED (
   {" UNION ALL ".join(f"SELECT snapshot_date, 'tof_{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM hagg" for m in _TOF)})
-, bk AS (
+, bk AS MATERIALIZED (
   SELECT CAST(coalesce(sum(acv), 0) AS DOUBLE) AS bk_open_acv,
          CAST(coalesce(sum(acv) FILTER (WHERE forecast_cat = 'Commit'), 0) AS DOUBLE) AS bk_commit,
          CAST(coalesce(sum(acv) FILTER (WHERE forecast_cat = 'Best Case'), 0) AS DOUBLE) AS bk_best,
          CAST(round(coalesce(sum(weighted_acv), 0), 2) AS DOUBLE) AS bk_weighted,
          CAST(coalesce(sum(acv) FILTER (WHERE close_d <= {QE}), 0) AS DOUBLE) AS bk_q_total
   FROM scored)
-, bk_long AS (
+, bk_long AS MATERIALIZED (
   SELECT 'bk_open_acv' AS metric, bk_open_acv AS value FROM bk UNION ALL SELECT 'bk_commit', bk_commit FROM bk
   UNION ALL SELECT 'bk_best', bk_best FROM bk UNION ALL SELECT 'bk_weighted', bk_weighted FROM bk
   UNION ALL SELECT 'bk_q_total', bk_q_total FROM bk)
-, seed AS (
+, seed AS MATERIALIZED (
   SELECT DATE '1998-08-14' AS snapshot_date, metric, value FROM bk_long
   UNION ALL SELECT DATE '1998-06-30', metric, value FROM bk_long)
-, missing AS (SELECT DISTINCT snapshot_date FROM hist WHERE snapshot_date NOT IN (SELECT snapshot_date FROM seed))
-, store AS (
-  SELECT * FROM seed s WHERE NOT EXISTS (SELECT 1 FROM missing) OR NOT EXISTS (
-      SELECT 1 FROM hist h WHERE h.snapshot_date = s.snapshot_date AND h.metric = s.metric)
-  UNION ALL SELECT * FROM hist WHERE EXISTS (SELECT 1 FROM missing))
+, missing AS MATERIALIZED (SELECT DISTINCT h.snapshot_date FROM hist h ANTI JOIN seed s ON s.snapshot_date = h.snapshot_date)
+, gate AS MATERIALIZED (SELECT count(*) > 0 AS open FROM missing)
+, store AS MATERIALIZED (
+  SELECT s.snapshot_date, s.metric, s.value
+  FROM seed s LEFT JOIN hist h ON h.snapshot_date = s.snapshot_date AND h.metric = s.metric CROSS JOIN gate
+  WHERE NOT gate.open OR h.metric IS NULL
+  UNION ALL SELECT hist.snapshot_date, hist.metric, hist.value FROM hist CROSS JOIN gate WHERE gate.open)
 , prior AS (SELECT * FROM store WHERE snapshot_date = (SELECT max(snapshot_date) FROM store WHERE snapshot_date < {TODAY}))
 , totals AS (SELECT {FUNNEL_COLS} FROM enriched)
 , tot_long AS (
@@ -810,10 +841,18 @@ ORACLE_SQL["snapshot_history"] = f"""{STATE}
 SELECT * FROM store"""
 
 ORACLE_SQL["snapshot_capture"] = f"""{STATE}
-, cap AS (SELECT {TODAY} AS snapshot_date, 'tof_' || metric AS metric, value FROM tot_long)
-SELECT * FROM store s WHERE NOT EXISTS (
-  SELECT 1 FROM cap c WHERE c.snapshot_date = s.snapshot_date AND c.metric = s.metric)
-UNION ALL SELECT * FROM cap"""
+, cap AS MATERIALIZED (SELECT {TODAY} AS snapshot_date, 'tof_' || metric AS metric, value FROM tot_long)
+SELECT s.snapshot_date, s.metric, s.value FROM store s
+ANTI JOIN cap c ON c.snapshot_date = s.snapshot_date AND c.metric = s.metric
+UNION ALL SELECT snapshot_date, metric, value FROM cap"""
+
+ORACLE_SQL["stored_snapshots_captured"] = ORACLE_SQL["snapshot_capture"]
+
+ORACLE_SQL["stored_goals_emptied"] = f"""{STATE}
+SELECT * FROM goals WHERE quarter <> '1998Q3'"""
+
+ORACLE_SQL["stored_actions_emptied"] = f"""{STATE}
+SELECT * FROM actions WHERE NOT (quarter = '1998Q3' AND meeting = 'Booking')"""
 
 ORACLE_SQL["snapshot_backfill"] = f"""{STATE}
 SELECT * FROM seed s WHERE NOT EXISTS (
@@ -826,6 +865,18 @@ SELECT snapshot_date FROM missing"""
 ORACLE_SQL["snapshot_sync"] = f"""{STATE}
 SELECT * FROM store"""
 
+ORACLE_SQL["snapshot_movement"] = f"""{STATE}
+, dates AS (SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS prior_date
+            FROM (SELECT DISTINCT snapshot_date FROM store))
+SELECT s.snapshot_date, s.metric, s.value, d.prior_date, p.value AS prior, round(s.value - p.value, 2) AS delta,
+       round(100 * (s.value - p.value) / nullif(p.value, 0.0), 6) AS delta_pct
+FROM store s JOIN dates d USING (snapshot_date)
+LEFT JOIN store p ON p.snapshot_date = d.prior_date AND p.metric = s.metric"""
+
+ORACLE_SQL["history_after_changes"] = ORACLE_SQL["historical_snapshots"]
+
+ORACLE_SQL["open_pipeline_page"] = ORACLE_SQL["open_pipeline_full"].rstrip() + " ORDER BY acv DESC NULLS LAST, deal_id LIMIT 50 OFFSET 100"
+
 ORACLE_SQL["snapshot_latest_before"] = f"""{STATE}
 SELECT * FROM prior"""
 
@@ -1074,3 +1125,22 @@ ORACLE_SQL["pod_reviews"] = ORACLE_SQL["pod_reviews"].replace(
     "SELECT * FROM kept ORDER BY acv DESC, pod LIMIT 8",
     "SELECT *, CASE WHEN EXISTS (SELECT 1 FROM prior) THEN 'see Movement' ELSE 'WoW from snapshots (next week)' END"
     " AS what_changed FROM kept ORDER BY acv DESC, pod LIMIT 8").replace(BOOKING, STATE, 1)
+
+# ---------------------------------------------------------------------------------------
+# Whole review: the figures of many reports in one long table
+# ---------------------------------------------------------------------------------------
+
+
+def _sheet(spec) -> str:
+    parts = []
+    for name, (labels, metrics) in spec.items():
+        label = f"concat_ws('|', {', '.join(labels)})" if labels else "''"
+        names = ", ".join(f"'{m}'" for m in metrics)
+        values = ", ".join(f'CAST("{m}" AS DOUBLE)' for m in metrics)
+        parts.append(f"SELECT '{name}' AS report, {label} AS label, unnest([{names}]) AS metric, unnest([{values}]) AS value\n"
+                     f"FROM ({ORACLE_SQL[name]})")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE_SQL["whole_tof_review"] = _sheet(TOF_SHEET)
+ORACLE_SQL["whole_booking_review"] = _sheet(BOOKING_SHEET)

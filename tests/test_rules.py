@@ -74,15 +74,21 @@ def test_probability(spark):
         0.3333333333, 0.123456789, 50000.0, 999999999999.99]
 
 
-def test_numbers_that_do_not_fit_fail(spark):
-    import pytest
-    from pyspark.errors import PySparkException
-    amounts = ["9999999999999999.99", "n/a", "", None, "nan"]
-    assert [None if x is None else str(x) for x in col_values(spark, amounts, lambda c: rules.number(c, "decimal(18,2)"))] == [
-        "9999999999999999.99", None, None, None, None]
-    for raw, kind in (("1e16", "decimal(18,2)"), ("1e30", "decimal(26,12)"), ("-1e20", "decimal(18,2)")):
-        with pytest.raises(PySparkException, match="number outside"):
-            col_values(spark, [raw], lambda c: rules.number(c, kind))
+def test_numbers_that_do_not_fit_are_null_and_named(spark):
+    fit, text_, none = "does_not_fit", "no_number", None
+    cases = {
+        "decimal(18,2)": [("9999999999999999.99", none), ("n/a", text_), ("", none), (None, none), (" \t", none), ("nan", text_),
+                          ("1e16", fit), ("-1e20", fit), ("Infinity", fit), ("-inf", fit), ("12", none), ("1,5", text_)],
+        "decimal(26,12)": [("1e30", fit), ("0.5", none), ("99999999999999", none), ("100000000000000", fit)],
+        "double": [("1e308", none), ("Infinity", fit), ("1e999", fit), ("NaN", text_), ("x", text_), ("7", none)],
+        "bigint": [("3", none), ("99999999999999999999", fit), ("many", text_)]}
+    for kind, values in cases.items():
+        raws = [v for v, _ in values]
+        reasons = col_values(spark, raws, lambda c: rules.reject_reason(c, kind))
+        assert reasons == [r for _, r in values], kind
+        kept = col_values(spark, raws, lambda c: rules.number(c, kind))
+        for raw, reason, value in zip(raws, reasons, kept, strict=True):
+            assert (value is not None) == (reason is None and bool((raw or "").strip())), (kind, raw)
 
 
 def test_strip_is_python_strip(spark):

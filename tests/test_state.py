@@ -1,7 +1,5 @@
-"""State merges (goals, snapshots, actions) and the partition-overwrite writer."""
+"""State merges (goals, snapshots, actions) and the writer of single groups."""
 import datetime as dt
-import os
-import tempfile
 
 import pytest
 from pyspark.errors import PySparkException
@@ -9,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dealflow import schema
 from dealflow.operators import state
+from dealflow.operators.store import rewrite
 
 D1, D2, D3 = dt.date(1998, 8, 7), dt.date(1998, 8, 14), dt.date(1998, 8, 19)
 
@@ -129,9 +128,10 @@ def test_sinks_rewrite_only_touched_partitions_and_are_idempotent(spark, tmp_pat
         assert rows(state.stored(spark, acts, schema.ACTIONS), "pos", "text") == [(i + 1, "x") for i in range(n)]
 
 
-def test_partition_overwrite_writer(spark):
-    path = os.path.join(tempfile.mkdtemp(prefix="dealflow-writer-"), "snapshots")
-    state.write_partitioned(snaps(spark, [(D1, "a", 1.0), (D2, "a", 2.0)]), path, "snapshot_date")
-    state.write_partitioned(snaps(spark, [(D2, "a", 5.0)]), path, "snapshot_date")
+def test_partition_overwrite_writer(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    write = lambda df, *dates: rewrite(spark, path, schema.SNAPSHOTS, "snapshot_date", dates, lambda _: df)
+    write(snaps(spark, [(D1, "a", 1.0), (D2, "a", 2.0)]), D1, D2)
+    write(snaps(spark, [(D2, "a", 5.0)]), D2)
     back = spark.read.parquet(path).select(F.col("snapshot_date").cast("date"), "metric", "value")
     assert rows(back, "snapshot_date", "metric", "value") == [(D1, "a", 1.0), (D2, "a", 5.0)]
