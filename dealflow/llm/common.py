@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from dealflow.session import ensure_checkpoint_dir
 
+#: Buckets of text hashes that tell rows worth a join from the rest.
+BUCKETS = 1 << 20
 GAPS = " \t\n\x0b\x0c\r"
 GAP = f"[{GAPS}]+"
 
@@ -33,11 +35,25 @@ def same_doc(left: DataFrame, right: DataFrame) -> Column:
 
 
 def restrict(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """The rows of ``docs`` with (``left_semi``) or without (``left_anti``) their key in ``keys``, as
-    they came, whatever their columns are called."""
+    """The rows of ``docs`` with (``left_semi``) or without (``left_anti``) their key in ``keys`` (written
+    already), as they came, whatever their columns are called.
+
+    Only rows that share a bucket with some key are joined: the texts of the others are not shuffled."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id",
                        text_key(F.col("text")).alias("_th"))
-    return rows.join(keys, same_doc(rows, keys), how).select("_row.*")
+    near = in_buckets(rows, keys)
+    kept = near.join(keys, same_doc(near, keys), how).select("_row")
+    if how == "left_anti":
+        kept = kept.union(in_buckets(rows, keys, "left_anti").select("_row"))
+    return kept.select("_row.*")
+
+
+def in_buckets(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose text hash falls into the bucket of some key (or, ``left_anti``, of none). However many
+    keys there are, at most ``BUCKETS`` numbers are broadcast."""
+    bucket = lambda df: F.pmod(df["_th"], F.lit(BUCKETS)).cast("int")
+    held = F.broadcast(keys.select(bucket(keys).alias("_bucket")).distinct())
+    return rows.join(held, bucket(rows) == held["_bucket"], how)
 
 
 # ---- written intermediate tables -------------------------------------------------------

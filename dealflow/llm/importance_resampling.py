@@ -206,4 +206,5 @@ def scored(docs: DataFrame, target: DataFrame, ngram: int = NGRAM, buckets: int
 
 def resampled(docs: DataFrame, target: DataFrame, **parameters) -> DataFrame:
     """The whole rows of ``docs`` that ``scored`` draws; rows equal in id and text come together."""
-    return restrict(docs, scored(docs, target, **parameters).where("rank is not null").select("doc_id", "_th").distinct(), "left_semi")
+    drawn = cut(scored(docs, target, **parameters).where("rank is not null").select("doc_id", "_th").distinct())
+    return restrict(docs, drawn, "left_semi")

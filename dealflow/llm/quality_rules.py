@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.llm.common import cut, restrict, text_key, words
+from dealflow.llm.common import cut, text_key, words
 
 # The most frequent words of each reference language.
 COMMON = {
@@ -83,12 +83,14 @@ def repeats(df: DataFrame) -> DataFrame:
              .drop("_tri", "_low", "_sorted", "_twins")
 
 
-def counts(docs: DataFrame) -> DataFrame:
+def counts(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, _th, lang, the five base counts, and the counts by character class (``chars``, in
-    the order of CLASSES) and by common word (``listed``, all other words last)."""
+    the order of CLASSES) and by common word (``listed``, all other words last); further columns
+    ``more`` are handed on."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("doc_id", text_key(F.col("text")).alias("_th"), "lang", words(F.col("text")).alias("_words"),
-                     F.split(text, "\n").alias("_lines"), F.length(text).alias("_all"))
+                     F.split(text, "\n").alias("_lines"), F.length(text).alias("_all"), *more)
+    names = df.columns[6:]
     df = df.withColumns({"_solid": F.concat_ws("", "_words"),
                          "_lines": F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
                          "_known": F.filter("_words", lambda w: w.isin(*COMMON_WORDS))})
@@ -108,7 +110,7 @@ def counts(docs: DataFrame) -> DataFrame:
         "n_repeat_words",
         F.array(F.col("_len") - F.col("_left"), "_upper", "_digit", "_mark", other,
                 F.col("_all") - F.col("_len")).alias("chars"),
-        F.array(*listed, F.size("_words") - known).alias("listed"))
+        F.array(*listed, F.size("_words") - known).alias("listed"), *names)
 
 
 def references(table: DataFrame, languages: tuple[str, ...] = tuple(COMMON)) -> list[tuple[list[float], list[float]]]:
@@ -171,7 +173,11 @@ def verdicts(docs: DataFrame, languages: tuple[str, ...] = tuple(COMMON),
     """Per row of ``docs`` (doc_id, text, lang): doc_id, _th, the base counts, base_failed,
     char_distance and word_distance (to the nearest language; null where not judged), with
     ``common`` also common_share and common_distance, kept."""
-    table = cut(counts(docs))
+    return judged(cut(counts(docs)), languages, max_char_distance, max_word_distance, common).drop("lang", "chars", "listed", "_total")
+
+
+def judged(table: DataFrame, languages: tuple[str, ...], max_char_distance: float, max_word_distance: float, common: bool) -> DataFrame:
+    """A written table of ``counts`` with base_failed, the distances and kept."""
     refs = references(table, languages)
     near = lambda ds: F.least(*ds) if len(ds) > 1 else ds[0] if ds else F.lit(None).cast("double")
     df = table.withColumn("_total", F.aggregate("chars", F.lit(0), lambda a, b: a + b))
@@ -186,10 +192,12 @@ def verdicts(docs: DataFrame, languages: tuple[str, ...] = tuple(COMMON),
     if common:
         df, odd = common_words(df, refs)
         far = far | odd
-    return df.withColumn("kept", ~F.col("base_failed") & ~far).drop("lang", "chars", "listed", "_total")
+    return df.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def passing(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that are kept, as they came."""
-    rejected = cut(verdicts(docs, **settings).where(~F.col("kept")).select("doc_id", "_th").distinct())
-    return restrict(docs, rejected, "left_anti")
+def passing(docs: DataFrame, languages: tuple[str, ...] = tuple(COMMON), max_char_distance: float = MAX_CHAR_DISTANCE,
+            max_word_distance: float = MAX_WORD_DISTANCE, common: bool = True) -> DataFrame:
+    """The rows of ``docs`` that are kept, as they came. Each row is written beside its counts once, so
+    its verdict needs no join and no text is shuffled."""
+    table = cut(counts(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
+    return judged(table, languages, max_char_distance, max_word_distance, common).where("kept").select("_row.*")
