@@ -22,6 +22,7 @@ table gives no files and empty results. No other column is read.
 """
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -143,13 +144,17 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, end_id: int = END) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(SparkFiles.get(name), dtype)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for part in groups(map(len, texts), 1 << 21):
-                ids = [i + tail for i in encode(texts[part])]
-                rows = batch.slice(part.start, len(ids))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("_th"), pa.array(ids, pa.binary())],
-                                                 names=["doc_id", "_th", "ids"])
+        gc.disable()  # nothing here makes cycles, and collections would walk all that is remembered
+        try:
+            for batch in batches:
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                for part in groups(map(len, texts), 1 << 21):
+                    ids = [i + tail for i in encode(texts[part])]
+                    rows = batch.slice(part.start, len(ids))
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("_th"), pa.array(ids, pa.binary())],
+                                                     names=["doc_id", "_th", "ids"])
+        finally:
+            gc.enable()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_key(F.col("text")).alias("_th"), "text") \

@@ -7,6 +7,7 @@ touch one block a plane and take arrays of arguments.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,11 +16,22 @@ import numpy as np
 BLOCK, WORDS = 512, 8
 #: So many answers of ``select`` are unpacked at a time.
 CHUNK = 4096
+#: So many values are partitioned at a time.
+PIECE = 1 << 15
 
 
-def _zeros_first(bit: np.ndarray) -> np.ndarray:
-    """The positions in the order of a stable partition by ``bit``."""
-    return np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])
+def _sides(bit: np.ndarray) -> Iterator[tuple[slice, np.ndarray, slice]]:
+    """Where a stable partition by ``bit`` (zeros first) takes values from and to: a piece of the
+    sequence, positions in it, and the run that they make. Pieces are small enough for the cache."""
+    zero, one = 0, len(bit) - int(np.count_nonzero(bit))
+    for i in range(0, len(bit), PIECE):
+        piece = slice(i, i + PIECE)
+        at = np.flatnonzero(~bit[piece])
+        yield piece, at, slice(zero, zero + len(at))
+        zero += len(at)
+        at = np.flatnonzero(bit[piece])
+        yield piece, at, slice(one, one + len(at))
+        one += len(at)
 
 
 @dataclass(frozen=True)
@@ -44,7 +56,10 @@ class WaveletMatrix:
             ones = np.bitwise_count(planes[-1]).reshape(-1, WORDS).sum(axis=1, dtype=np.int64)
             ranks.append((np.cumsum(ones) - ones).astype(np.uint32))
             zeros.append(int(len(values) - ones.sum()))
-            values = values.take(_zeros_first(bit))
+            below = np.empty_like(values)
+            for piece, at, run in _sides(bit):
+                below[run] = values[piece][at]
+            values = below
         return cls(len(values), planes, ranks, zeros)
 
     @property
@@ -74,7 +89,7 @@ class WaveletMatrix:
             out = out << 1 | bit
         return out
 
-    def _sides(self, value: int):
+    def _bits_of(self, value: int) -> list[tuple[int, int]]:
         return [(j, value >> (self.bits - 1 - j) & 1) for j in range(self.bits)]
 
     def rank(self, value: int, at: np.ndarray) -> np.ndarray:
@@ -83,7 +98,7 @@ class WaveletMatrix:
         if value >> self.bits:
             return np.zeros_like(hi)
         lo = np.zeros(1, np.int64)
-        for j, side in self._sides(value):
+        for j, side in self._bits_of(value):
             lo, hi = ((self.zeros[j] + self._rank1(j, x)) if side else x - self._rank1(j, x) for x in (lo, hi))
         return hi - lo
 
@@ -101,13 +116,13 @@ class WaveletMatrix:
     def select(self, value: int, k: np.ndarray) -> np.ndarray:
         """Positions of the ``k``-th (from 0) occurrences of ``value``, which must exist."""
         start = np.zeros(1, np.int64)
-        for j, side in self._sides(value):
+        for j, side in self._bits_of(value):
             ones = self._rank1(j, start)
             start = self.zeros[j] + ones if side else start - ones
         out = []
         for i in range(0, len(k), CHUNK):
             at = start[0] + np.asarray(k[i:i + CHUNK], np.int64)
-            for j, side in reversed(self._sides(value)):
+            for j, side in reversed(self._bits_of(value)):
                 at = self._select(j, side, at - self.zeros[j] if side else at)
             out.append(at)
         return np.concatenate(out) if out else np.zeros(0, np.int64)
@@ -119,6 +134,7 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[j].view(np.uint8), count=self.n, bitorder="little").view(bool)
             out[self.zeros[j]:] |= dtype(1 << (self.bits - 1 - j))
             above = np.empty_like(out)
-            above[_zeros_first(bit)] = out
+            for piece, at, run in _sides(bit):
+                above[piece][at] = out[run]
             out = above
         return out
