@@ -24,7 +24,7 @@ from dealflow.operators.hygiene import hygiene
 from dealflow.plans import reports, whole
 from dealflow.plans.context import Review, to_output
 from dealflow.session import ensure_checkpoint_dir
-from dealflow.sources import readers
+from dealflow.sources import by_quarter, readers
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -67,6 +67,14 @@ def _qtd_base(r: Review) -> DataFrame:
     return r.qtd_base
 
 
+@query("qtd_base_by_quarter")
+def _qtd_base_by_quarter(r: Review) -> DataFrame:
+    """S1 + P2 from deals laid out by the quarters they touch: one folder is read."""
+    path = _scratch(r, "by-quarter")
+    by_quarter.write(r.deals, path)
+    return by_quarter.qtd_base(r.spark, path, r.cfg)
+
+
 @query("numeric_rejects")
 def _numeric_rejects(r: Review) -> DataFrame:
     """Every value of a number column of the clean deals that is read as NULL (or 0)."""

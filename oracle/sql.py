@@ -185,6 +185,8 @@ REJECTS = f"""{PRELUDE}
   WHERE trim(raw) <> '' AND (d IS NULL OR isnan(d) OR isinf(d)
         OR abs(d) >= CASE WHEN "column" = 'prob_raw' THEN 1e14 WHEN "column" IN ('n_contacts', 'days_to_close_raw') THEN 9.2e18 ELSE 1e16 END))"""
 
+ORACLE_SQL["qtd_base_by_quarter"] = ORACLE_SQL["qtd_base"]
+
 ORACLE_SQL["numeric_rejects"] = f"""{REJECTS}
 SELECT deal_id, "column", raw, reason FROM rejected"""
 
