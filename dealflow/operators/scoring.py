@@ -8,7 +8,7 @@ partial-aggregated by deal id, and the join reuses that hash partitioning.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealflow import config as C
@@ -35,10 +35,12 @@ def with_owner(df: DataFrame, owner_dim: DataFrame, missing_pod: str = "Unassign
     })
 
 
-def with_sentiment(df: DataFrame, deal_sentiment: DataFrame) -> DataFrame:
-    """Sentiment, trend and call count; a deal without calls gets (NULL, NULL, 0)."""
-    s = deal_sentiment.withColumnRenamed("deal_id", "deal_key")
-    j = df.join(s, F.col("deal_id").cast("string") == F.col("deal_key"), "left").drop("deal_key")
+def with_sentiment(df: DataFrame, deal_sentiment: DataFrame, key: Column | None = None) -> DataFrame:
+    """Sentiment, trend and call count; a deal without calls gets (NULL, NULL, 0). ``key`` is the
+    deal's id as text, if a column has it already."""
+    s = deal_sentiment.withColumnRenamed("deal_id", "_spoken_of")
+    key = F.col("deal_id").cast("string") if key is None else key
+    j = df.join(s, key == F.col("_spoken_of"), "left").drop("_spoken_of")
     return j.withColumn("calls", F.coalesce(F.col("calls"), F.lit(0).cast("bigint")))
 
 

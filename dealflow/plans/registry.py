@@ -24,7 +24,7 @@ from dealflow.operators.hygiene import hygiene
 from dealflow.plans import reports, whole
 from dealflow.plans.context import Review, to_output
 from dealflow.session import ensure_checkpoint_dir
-from dealflow.sources import by_quarter, readers
+from dealflow.sources import bucketed, by_quarter, readers
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -236,6 +236,19 @@ def _deals_with_sentiment(r: Review) -> DataFrame:
                                 F.round("call_trend", 6).alias("call_trend"), "calls")
 
 
+@query("deals_with_sentiment_bucketed")
+def _deals_with_sentiment_bucketed(r: Review) -> DataFrame:
+    """J2 over deals and calls stored in buckets of the deal key."""
+    names = {}
+    for kind, df in (("deals", r.deals), ("calls", r.sentiment)):
+        path = _scratch(r, kind)
+        names[kind] = path.rsplit("/", 1)[1].replace("-", "_")
+        bucketed.save(df, names[kind], path, buckets=16)
+    spoken = bucketed.open_deals_with_sentiment(r.spark, names["deals"], names["calls"], r.cfg)
+    return spoken.select("deal_id", F.round("call_sentiment", 6).alias("call_sentiment"),
+                         F.round("call_trend", 6).alias("call_trend"), "calls")
+
+
 @query("forecast_fields")
 def _forecast_fields(r: Review) -> DataFrame:
     """F5-F8."""

@@ -77,8 +77,8 @@ def clean_deals(deals: DataFrame, cfg: ReviewConfig) -> DataFrame:
     return deals.where(hygiene(cfg))
 
 
-def open_deals_scan(deals: DataFrame, cfg: ReviewConfig, seen: Observation | None = None) -> DataFrame:
-    """S2 + P1 + P3: the open pipeline columns."""
+def open_deals_scan(deals: DataFrame, cfg: ReviewConfig, seen: Observation | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """S2 + P1 + P3: the open pipeline columns, and ``more``."""
     return (counting_rejects(deals.where(hygiene(cfg) & is_open(cfg)), seen, OPEN_NUMBERS)
             .select("deal_id", "dealname", "owner_id", "gtm_raw", "use_case", "erp_raw",
                     money_col("arr_raw").alias("arr"),
@@ -90,7 +90,7 @@ def open_deals_scan(deals: DataFrame, cfg: ReviewConfig, seen: Observation | Non
                     number(F.col("n_contacts"), NUMBERS["n_contacts"]).alias("n_contacts"),
                     "next_step",
                     F.to_date("last_contact_d").alias("last_contact_d"),
-                    "partner", "m_metrics", "e_buyer", "d_process", "i_pain", "c_compet", "champion"))
+                    "partner", "m_metrics", "e_buyer", "d_process", "i_pain", "c_compet", "champion", *more))
 
 
 def closed_won_scan(deals: DataFrame, cfg: ReviewConfig, seen: Observation | None = None) -> DataFrame:

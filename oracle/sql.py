@@ -490,6 +490,8 @@ SELECT deal_id, dealname, stage, forecast_cat, rec_category, market, product, gt
        owner_name, pod, meddpicc, rag, confidence, CAST(days_since_contact AS INTEGER) AS days_since_contact, action
 FROM scored"""
 
+ORACLE_SQL["deals_with_sentiment_bucketed"] = ORACLE_SQL["deals_with_sentiment"]
+
 ORACLE_SQL["watchlist"] = f"""{BOOKING}
 , top AS (SELECT * FROM scored WHERE rag IN ('Red', 'Yellow') ORDER BY acv DESC NULLS LAST, deal_id LIMIT 12)
 SELECT deal_id, dealname AS deal, owner_name AS owner, CAST(acv AS DOUBLE) AS acv,
