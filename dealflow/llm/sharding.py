@@ -71,22 +71,33 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     return _dealt(slim, shards).select("doc_id", *PLACEMENT)
 
 
+def placement_names(columns: list[str]) -> dict[str, str]:
+    """The names of the placement columns beside ``columns``: their own, with ``placed_`` before them as
+    often as it takes to be new."""
+    taken, out = {c.lower() for c in columns}, {}
+    for c in PLACEMENT:
+        out[c] = c
+        while out[c].lower() in taken:
+            out[c] = "placed_" + out[c]
+        taken.add(out[c].lower())
+    return out
+
+
 def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """The whole rows of ``docs`` with their placement: the columns of ``shard``, named ``placed_...``
-    where ``docs`` has a column of that name.
+    """The whole rows of ``docs`` with their placement: the columns of ``shard``, named by
+    ``placement_names``.
 
     The rows themselves go through the sort by rank, so equal rows need no key to get their places back."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    taken = {c.lower() for c in docs.columns}
-    names = [F.col(c).alias(f"placed_{c}" if c.lower() in taken else c) for c in PLACEMENT]
+    names = [F.col(c).alias(name) for c, name in placement_names(docs.columns).items()]
     return _dealt(_on_curve(docs, row).drop("lang", "source"), shards).select("_row.*", *names)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
     """Write ``sharded`` as Parquet, a folder per shard (``shard=0``, ...), each file a run of slots
     sorted along the curve."""
-    placed = sharded(docs, shards)
-    shard_, slot = ("placed_" + c if c in {x.lower() for x in docs.columns} else c for c in ("shard", "slot"))
+    placed, names = sharded(docs, shards), placement_names(docs.columns)
+    shard_, slot = names["shard"], names["slot"]
     placed.repartitionByRange(shard_, slot).sortWithinPartitions(shard_, slot).write.partitionBy(shard_).parquet(path)
 
 

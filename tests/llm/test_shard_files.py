@@ -45,3 +45,18 @@ def test_columns_of_the_same_name_stay(spark):
     assert bag(got.select(*docs.columns).collect()) == bag(docs.collect())
     assert {r.placed_shard for r in got.collect()} == {0, 1} and all(r.placed_size > 0 for r in got.collect())
     assert sharding.sharded(docs.limit(0)).count() == 0
+
+
+def test_placing_again_and_again_finds_free_names(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}" * (i % 5), "en", "s", i) for i in range(20)],
+                                 "doc_id long, text string, lang string, source string, Placed_Size long")
+    for k in range(3):
+        columns = rows.columns
+        placed = sharding.sharded(rows)
+        assert placed.columns[:len(columns)] == columns and len({c.lower() for c in placed.columns}) == len(placed.columns)
+        placed.write.parquet(f"{tmp_path}/{k}")
+        rows = spark.read.parquet(f"{tmp_path}/{k}")
+        assert rows.count() == 20
+    assert {"size", "placed_placed_size", "placed_placed_placed_size"} <= {c.lower() for c in rows.columns}
+    sharding.write_shards(rows, f"{tmp_path}/again")
+    assert spark.read.parquet(f"{tmp_path}/again").count() == 20
