@@ -5,10 +5,11 @@ a threshold t, similar sets of size n share a gram among the first n - ceil(t n)
 global order. The order is rare first: by level of a hashed document-frequency table that is
 counted over all sets and has a fixed size, then by hash. Candidates that share a prefix gram
 pass, inside the join, the length filter, the positional filter (grams still to come on both
-sides) and a bitmap filter: each set has a bitmap of the parity of its grams per hash cell, and
-bits that differ are grams of one set alone. Once per pair comes the suffix filter: both sets
-are split into cells by hash, and the smaller count of each cell bounds the overlap. Only pairs
-that pass all four have their texts compared, once per pair. ``links`` keeps groups of near copies from pairing all with all.
+sides). Then come a bitmap filter (each set has a bitmap of the parity of its grams per hash cell,
+and bits that differ are grams of one set alone; inside the join for grams of many sets, once per
+pair for the others) and the suffix filter: both sets are split into cells by hash, and the smaller
+count of each cell bounds the overlap. Only pairs that pass all four have their texts compared,
+once per pair. ``links`` keeps groups of near copies from pairing all with all.
 
 Null texts, and texts without words, have the empty set and are linked with nothing; with fewer
 words than n the whole sequence is the one gram. Null ids are allowed: a component's id is its
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dealflow.llm.common import cut, restrict, same_doc, text_key, uncut
-from dealflow.llm.links import link
+from dealflow.llm.common import cut, in_buckets, restrict, same_doc, text_key, uncut
+from dealflow.llm.links import FEW, few_pairs, link
 from dealflow.llm.tokens import FIRST, LOWER, Grams, Words, mix, signed, slices
 
 NGRAM, PERCENT = 3, 90
@@ -157,16 +158,25 @@ def needed(n1, n2, percent: int):
     return F.floor((percent * (n1 + n2) + 99 + percent) / (100 + percent))
 
 
-def _fits(percent: int):
-    def fits(x: str, y: str):
+def _near(percent: int):
+    def near(x: str, y: str):
         n1, n2, p1, p2 = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
         length = (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1)
         # before this gram at most min(p1, p2) are shared, after it what is left of either
-        place = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= needed(n1, n2, percent)
-        # a bit that differs stands for at least one gram that only one of the sets has
-        apart = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITMAP)
-        return length & place & (apart <= n1 + n2 - 2 * needed(n1, n2, percent))
-    return fits
+        return length & (F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= needed(n1, n2, percent))
+    return near
+
+
+def _close(percent: int, x: str, y: str):
+    """A bit that differs stands for at least one gram that only one of the sets has."""
+    n1, n2 = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITMAP)
+    return apart <= n1 + n2 - 2 * needed(n1, n2, percent)
+
+
+def _fits(percent: int):
+    near = _near(percent)
+    return lambda x, y: near(x, y) & _close(percent, x, y)
 
 
 def _first_shared(x: str, y: str):
@@ -201,27 +211,38 @@ class Verifier:
 
     def __init__(self, keyed: DataFrame, sets: DataFrame, ngram: int, percent: int):
         self.keyed, self.sets, self.ngram, self.percent = keyed, sets, ngram, percent
-        self.texts: list[DataFrame] = []
+        self.repeated, self.texts = repeated(keyed), []
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        one = self.sets.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("cells").alias("c1"))
-        two = self.sets.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("cells").alias("c2"))
-        shared = F.aggregate(F.zip_with("c1", "c2", lambda i, j: F.least(i, j)), F.lit(0), lambda s, i: s + i)
-        left = cut(pairs.join(one, "a").join(two, "b")
-                   .where(shared >= needed(F.col("n1"), F.col("n2"), self.percent)).select("a", "b"))
-        texts = self.fetch(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        return self.similar(self.allowed(pairs, "node"))
+
+    def allowed(self, pairs: DataFrame, by: str) -> DataFrame:
+        """Nodes (a, b) of the pairs, given by the column ``by`` of the sets, that bitmaps and cells allow."""
+        what = ["node", "n", "cells", *BITMAP]
+        one = self.sets.select(F.col(by).alias("a"), F.struct(*what).alias("x"))
+        two = self.sets.select(F.col(by).alias("b"), F.struct(*what).alias("y"))
+        shared = F.aggregate(F.zip_with("x.cells", "y.cells", lambda i, j: F.least(i, j)), F.lit(0), lambda s, i: s + i)
+        node = F.col("x.node"), F.col("y.node")
+        return cut(pairs.join(one, "a").join(two, "b")
+                   .where(_close(self.percent, "x", "y") & (shared >= needed(F.col("x.n"), F.col("y.n"), self.percent)))
+                   .select(F.least(*node).alias("a"), F.greatest(*node).alias("b")))
+
+    def similar(self, left: DataFrame) -> DataFrame:
+        texts = self.fetch(left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct())
         one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return left.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b") \
                    .mapInArrow(_similar(self.ngram, self.percent), "a binary, b binary")
 
     def fetch(self, nodes: DataFrame) -> DataFrame:
-        """(node, text) of at least these sets."""
+        """(node, text) of at least these sets. Only rows that share a bucket with one of them are joined."""
         for have in self.texts:
             nodes = nodes.join(have.select("node"), "node", "left_anti")
         asked = cut(self.sets.join(nodes, "node").select("node", "doc_id", "_th"))
-        rows = self.keyed.join(asked, same_doc(self.keyed, asked)).select("node", "text")
-        self.texts.append(cut(rows))
+        near = in_buckets(self.keyed, asked)
+        rows = near.join(asked, same_doc(near, asked)).select("node", "text")
+        # rows equal in id and text hold one set: its text is read once
+        self.texts.append(cut(rows.dropDuplicates(["node"]) if self.repeated else rows))
         uncut(asked)
         out = self.texts[0]
         for more in self.texts[1:]:
@@ -244,7 +265,8 @@ def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, every_li
     # prefix grams that different sets share
     table = docs.sparkSession.sparkContext.broadcast(rarity(docs, ngram))  # 2^DF_BITS bytes, whatever the input
     keys = cut(docs.select("text").mapInArrow(_prefixes(ngram, percent, table), "key long, mark long, pos int, n int"))
-    shared = cut(keys.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo != hi").select("key"))
+    shared = cut(keys.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.count(F.lit(1)).alias("size"))
+                 .where("lo != hi").select("key", F.least("size", F.lit(FEW + 1)).cast("int").alias("size")))
     met = cut(keys.join(shared, "key").distinct())
     uncut(keys, shared)
     # one row for each set that shares a gram, with a document to read it from
@@ -253,15 +275,17 @@ def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, every_li
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_th")).alias("r"), F.any_value("cells").alias("cells"),
         *(F.any_value(b).alias(b) for b in BITMAP))
         .select("node", "mark", "n", "cells", *BITMAP, "r.doc_id", "r._th"))
+    verify = Verifier(keyed, sets, ngram, percent)
+    # grams of a few sets: all their pairs, by marks; a mark stands for every set that has it
+    tested = verify.allowed(few_pairs(met, "mark", _near(percent)), "mark")
+    edges = cut(verify.similar(tested))
+    # grams of many sets
     earlier = F.lag("key").over(Window.partitionBy("mark", "node").orderBy("pos", "key"))
-    chosen = cut(met.drop("n").join(sets.select("mark", "node", "n", *BITMAP), "mark")
+    chosen = cut(met.where(F.col("size") > FEW).drop("n", "size").join(sets.select("mark", "node", "n", *BITMAP), "mark")
                  .select("key", "node", "pos", "n", *BITMAP, earlier.alias("earlier")))
     uncut(met)
-    # rows equal in id and text hold one set: its text is read once
-    once = keyed.dropDuplicates(["doc_id", "_th"]) if repeated(slim) else keyed
-    verify = Verifier(once, sets, ngram, percent)
     rounds = {"star_rounds": 0} if every_link else {}  # without star rounds all pairs are met at once
-    edges, roots = link(chosen, _fits(percent), verify, _first_shared, **rounds)
+    edges, roots = link(chosen, _fits(percent), verify, _first_shared, tested=tested, edges=edges, **rounds)
     uncut(chosen, sets, *verify.texts)
     roots = cut(roots)
     rooted = slim.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

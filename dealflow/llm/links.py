@@ -1,12 +1,13 @@
 """Distributed linking of near-duplicates: candidate pairs from shared keys without all pairs
 of a group, and union-find over the links.
 
-Candidates come as a table (key, node): nodes under one key may be similar. In a star round
-every node of a key is paired with one centre of that key; verified pairs become links. Later
-rounds look only at keys whose nodes are still in different components, and the last round
-pairs all nodes of a key that lie in different components. Two nodes in one component need no
-pair, so a group of thousands of near copies costs pairs in proportion to its size, while no
-link that could join two components is missed.
+Candidates come as a table (key, node): nodes under one key may be similar. Keys of a few nodes
+(``FEW``) are settled first and once for all: every pair of such a key is met. The others go
+through star rounds, in which every node of a key is paired with some centres of that key;
+verified pairs become links. Later rounds look only at keys whose nodes are still in different
+components, and the last round pairs all nodes of a key that lie in different components. Two
+nodes in one component need no pair, so a group of thousands of near copies costs pairs in
+proportion to its size, while no link that could join two components is missed.
 """
 from __future__ import annotations
 
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from dealflow.llm.common import cut, is_empty, uncut
 
-#: Star rounds before the round over all remaining pairs.
-STAR_ROUNDS = 2
+#: Star rounds before the round over all remaining pairs, and the centres of a key in each.
+STAR_ROUNDS, CENTRES = 2, (1, 16)
+#: A key of at most so many rows has all its pairs met at once.
+FEW = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -48,28 +51,43 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def few_pairs(keys: DataFrame, node: str, fits: Callable[[str, str], Column]) -> DataFrame:
+    """(a, b) of all pairs that fit under the keys of a few rows; ``keys``: (key, ``node``, size, ...), written
+    already, ``size`` at least the number of nodes under the key."""
+    few = keys.where(F.col("size") <= FEW)
+    return few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col(f"x.{node}") < F.col(f"y.{node}"))
+                               & fits("x", "y")).select(F.col(f"x.{node}").alias("a"), F.col(f"y.{node}").alias("b")).distinct()
+
+
 def link(keys: DataFrame, fits: Callable[[str, str], Column],
          verify: Callable[[DataFrame], DataFrame], once: Callable[[str, str], Column] | None = None,
-         star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame, DataFrame]:
+         star_rounds: int = STAR_ROUNDS, tested: DataFrame | None = None,
+         edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links among nodes that share a key.
 
     ``keys``: (key, node, ...), written already; ``fits(x, y)``: condition on two rows of a key, by
     alias, that a similar pair always meets; ``verify(pairs)``: the rows (a, b) of similar pairs;
     ``once(x, y)``: condition that holds at one common key of a similar pair at least, and spares the
-    last round most repeats of a pair.
+    last round most repeats of a pair; ``tested`` and ``edges``: pairs (a, b) that were verified
+    before, and those of them that are similar (both written already).
+    Without star rounds all pairs are met, also those inside a component.
     Returns (edges (a, b), roots (node, root))."""
-    edges = roots = tested = None
+    roots = None if edges is None or is_empty(edges) else components(edges)
     for turn in range(star_rounds + 1):
-        rows = keys.withColumn("comp", F.col("node")) if roots is None else \
+        rows = keys.withColumn("comp", F.col("node")) if roots is None or not star_rounds else \
             keys.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         rows = rows.withColumns({"_c": F.xxhash64("comp"), "_p": F.xxhash64("node", F.lit(turn))})
-        # keys whose nodes lie in different components, and the centre of each
-        split = cut(rows.groupBy("key").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"), F.min("_p").alias("_least"))
-                    .where("lo != hi").select("key", "_least"))
+        # keys whose nodes lie in different components
+        split = cut(rows.groupBy("key").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"))
+                    .where("lo != hi").select("key"))
         if is_empty(split):
             break
         open_rows = cut(rows.join(split, "key"))
-        other = open_rows if turn == star_rounds else cut(open_rows.where("_p = _least"))
+        other = open_rows
+        if turn < star_rounds:  # the centres of each key: the least of each of so many parts of its nodes
+            slot = F.pmod(F.xxhash64("node", F.lit(-1 - turn)), F.lit(CENTRES[min(turn, len(CENTRES) - 1)]))
+            least = open_rows.groupBy("key", slot.alias("_slot")).agg(F.min("_p").alias("_p")).drop("_slot")
+            other = cut(open_rows.join(least, ["key", "_p"]).select(open_rows.columns))
         differ = F.col("x._c") < F.col("y._c") if turn == star_rounds else F.col("x._c") != F.col("y._c")
         if turn == star_rounds and once is not None:
             differ = differ & once("x", "y")
