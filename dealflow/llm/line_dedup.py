@@ -5,6 +5,7 @@ line, gaps at both ends taken off). Equal lines are one node. A one-permutation
 hash per gram, the least of each bin, empty bins filled from a seeded other bin) is cut into
 bands; lines with an equal band are candidates. At similarity 0.8 the bands find a pair with
 probability 0.999, at 0.1 with one in 40,000, so unrelated lines of one language hardly meet.
+Signatures are computed once; band keys travel packed, a row for each bucket of a batch.
 Candidates whose gram counts by hash cell allow the similarity are verified by exact Jaccard
 similarity, linked lines are united by distributed union-find, and of every component the first
 line in (doc_id, line number) order stays.
@@ -23,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.llm.common import cut, same_doc, text_key, uncut
-from dealflow.llm.links import link
+from dealflow.llm.common import cut, in_buckets, same_doc, text_key, uncut
+from dealflow.llm.links import FEW, few_pairs, link
 from dealflow.llm.tokens import SECOND, SPACES, Words, mix, signed, slices
 
 GRAM, PERCENT = 5, 80
 BANDS, ROWS = 24, 6
 #: Cells in which a line's grams are counted, by the top bits of their hash.
 CELL_BITS = 5
+#: Buckets of band keys per shuffle partition, and the (key, line) pairs that a task packs at once. A key is its
+#: bucket and so many bytes more.
+SPREAD, PACKED, KEY_BYTES = 8, 1 << 21, 5
 
 
 def _bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +57,7 @@ def _line_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     for k, (base, salt) in enumerate(((SECOND.base, 1), (SECOND.gram, 2))):
         up, down = SECOND.powers(base, len(buf) + 1)
         sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(mix(SECOND.codes[buf] + np.uint64(salt)) * up[:-1], out=sums[1:])
+        np.cumsum(mix(SECOND.codes + np.uint64(salt))[buf] * up[:-1], out=sums[1:])
         out[:, k] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
     return out
 
@@ -85,46 +89,105 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signature(line: np.ndarray, value: np.ndarray, lines: int, bins: int) -> np.ndarray:
     """One-permutation MinHash: least hash of each bin; an empty bin takes over another one's by a
     fixed sequence of places, so similar sets fill their empty bins alike."""
-    bin_ = (value % np.uint64(bins)).astype(np.int64)
     none = np.uint64(2**64 - 1)
     least = np.full(lines * bins, none)
-    cell = line * bins + bin_
-    order = np.argsort(cell, kind="stable")
-    cell, value = cell[order], value[order]
-    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-    if len(first):
-        least[cell[first]] = np.minimum.reduceat(value, first)
-    least = least.reshape(lines, bins)
-    filled, have = least.copy(), least != none
-    todo = ~have & have.any(axis=1, keepdims=True)
-    places = np.arange(bins)
+    np.minimum.at(least, line * bins + (value % np.uint64(bins)).astype(np.int64), value)
+    filled = least.copy()
+    have = (least != none).reshape(lines, bins)
+    todo = np.flatnonzero(~have & have.any(axis=1, keepdims=True))
+    first, place = todo - todo % bins, todo % bins
     turn = 0
-    while todo.any():
+    while len(todo):
         turn += 1
-        source = (mix((places + turn * bins).astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
-        take = todo & have[:, source]
-        filled = np.where(take, mix(least[:, source] + places.astype(np.uint64)), filled)
-        todo &= ~take
-    return filled
+        source = (mix((np.arange(bins) + turn * bins).astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
+        value = least[first + source[place]]
+        take = value != none
+        filled[todo[take]] = mix(value[take] + place[take].astype(np.uint64))
+        todo, first, place = todo[~take], first[~take], place[~take]
+    return filled.reshape(lines, bins)
 
 
-def _bands(gram: int):
+def band_keys(sign: np.ndarray) -> np.ndarray:
+    """The key of each band of each signature: (lines, BANDS)."""
+    sign = sign.reshape(len(sign), BANDS, ROWS)
+    key = np.full((len(sign), BANDS), np.uint64(0)) + np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sign[:, :, r])
+    return key
+
+
+def _bands(gram: int, buckets: int):
+    """Band keys and marks (half a node) of the lines, a row for each bucket of keys."""
+    def packed(keys: list[np.ndarray], marks: list[np.ndarray]) -> pa.RecordBatch:
+        key, mark = np.concatenate(keys), np.concatenate(marks)
+        bucket = ((key >> np.uint64(8 * KEY_BYTES)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        ends = np.append(first, len(bucket))
+        low = np.ascontiguousarray(key[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+        column = lambda data, width: pa.Array.from_buffers(
+            pa.binary(), len(first), [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[first]), column(low, KEY_BYTES), column(mark[order].astype("<u8"), 8)], names=["bucket", "keys", "marks"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offsets in slices(batches, "text", 500_000):
-            doc, _, start, end = _bounds(buf, offsets)
-            if not len(doc):
+        keys, marks, held = [], [], 0
+        for _, buf, offsets in slices(batches, "text", 500_000):
+            _, _, start, end = _bounds(buf, offsets)
+            if not len(start):
                 continue
-            line, value = _grams(buf, start, end, gram)
-            sign = signature(line, value, len(doc), BANDS * ROWS).reshape(len(doc), BANDS, ROWS)
-            key = np.full((len(doc), BANDS), np.uint64(0)) + np.arange(BANDS, dtype=np.uint64)
-            for r in range(ROWS):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sign[:, :, r])
-            node = _line_hash(buf, start, end)
-            yield pa.RecordBatch.from_arrays([signed(key.reshape(-1)), signed(np.repeat(node[:, 0], BANDS))],
-                                             names=["key", "mark"])
+            mark, one = np.unique(_line_hash(buf, start, end)[:, 0], return_index=True)  # equal lines have equal keys
+            line, value = _grams(buf, start[one], end[one], gram)
+            key = band_keys(signature(line, value, len(one), BANDS * ROWS))
+            keys.append(key.reshape(-1))
+            marks.append(np.repeat(mark, BANDS))
+            held += key.size
+            if held >= PACKED:
+                yield packed(keys, marks)
+                keys, marks, held = [], [], 0
+        if held:
+            yield packed(keys, marks)
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, mark, number of marks, at most FEW + 1) of the keys with several marks; rows come sorted by bucket."""
+    def met(bucket: int, keys: list[bytes], marks: list[bytes]) -> pa.RecordBatch:
+        low = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY_BYTES)
+        key = np.zeros((len(low), 8), np.uint8)
+        key[:, :KEY_BYTES] = low
+        key = key.view("<u8").reshape(-1)
+        mark = np.frombuffer(b"".join(marks), "<u8")
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        twice = np.append(same, False) | np.append(False, same)[:len(key)]  # most keys are one line's alone
+        key, mark = key[twice], mark[order][twice]
+        order = np.lexsort((mark, key))
+        key, mark = key[order], mark[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]))[:len(key)]
+        key, mark = key[new], mark[new]
+        _, at, size = np.unique(key, return_inverse=True, return_counts=True)
+        size = size[at]
+        some = size > 1
+        full = key[some] | np.uint64(bucket << 8 * KEY_BYTES)
+        return pa.RecordBatch.from_arrays(
+            [signed(full), signed(mark[some]), pa.array(np.minimum(size[some], FEW + 1).astype(np.int32))], names=["key", "mark", "size"])
+
+    now, keys, marks = None, [], []
+    for batch in batches:
+        for bucket, key, mark in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "marks")), strict=True):
+            if bucket != now and keys:
+                yield met(now, keys, marks)
+                keys, marks = [], []
+            now = bucket
+            keys.append(key)
+            marks.append(mark)
+    if keys:
+        yield met(now, keys, marks)
+
+
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The asked lines of each text (column ``lines``) with their nodes."""
     for rows, buf, offsets in slices(batches):
@@ -201,17 +264,18 @@ def dedup(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFram
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "_th", "line")
     nodes = cut(lines.groupBy("node", "mark").agg(F.min(place).alias("first")))
     # candidate bands shared by different lines; the mark is half of a node
-    bands = docs.select("text").mapInArrow(_bands(gram), "key long, mark long")
-    shared = cut(bands.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo != hi").select("key"))
-    met = cut(bands.join(shared, "key").distinct())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bands = docs.select("text").mapInArrow(_bands(gram, parts * SPREAD), "bucket int, keys binary, marks binary")
+    met = cut(bands.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "key long, mark long, size int"))
     asked = nodes.join(met.select("mark").distinct(), "mark", "left_semi")
-    keys = cut(met.join(asked.select("mark", "node"), "mark").select("key", "node"))
+    keys = cut(met.join(asked.select("mark", "node"), "mark").select("key", "node", "size"))
     # the lines themselves, each from its first place
     per_doc = cut(asked.groupBy("first.doc_id", "first._th").agg(F.collect_list("first.line").alias("lines")))
-    texts = cut(keyed.join(per_doc, same_doc(keyed, per_doc)).select("text", "lines")
+    near = in_buckets(keyed, per_doc)
+    texts = cut(near.join(per_doc, same_doc(near, per_doc)).select("text", "lines")
                 .mapInArrow(_line_texts, "node binary, text string").dropDuplicates(["node"]))
     sets = cut(texts.mapInArrow(_cells(gram), "node binary, n long, cells array<int>"))
-    uncut(shared, met, per_doc)
+    uncut(met, per_doc)
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("cells").alias("c1"))
@@ -224,7 +288,11 @@ def dedup(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFram
         return left.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b") \
                    .mapInArrow(_similar(gram, percent), "a binary, b binary")
 
-    _, roots = link(keys, lambda x, y: F.lit(True), verify)
+    any_pair = lambda x, y: F.lit(True)
+    tested = cut(few_pairs(keys, "node", any_pair))
+    edges = cut(verify(tested))
+    _, roots = link(keys.where(F.col("size") > FEW).drop("size"), any_pair, verify, tested=tested, edges=edges)
+    uncut(sets)
     rooted = nodes.join(cut(roots), "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "first")
     stays = cut(rooted.groupBy("root").agg(F.min("first").alias("stay")))
     per_node = cut(rooted.join(stays, "root").select("node", "stay"))
