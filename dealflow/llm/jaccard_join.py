@@ -8,8 +8,8 @@ pass, inside the join, the length filter, the positional filter (grams still to
 sides). Then come a bitmap filter (each set has a bitmap of the parity of its grams per hash cell,
 and bits that differ are grams of one set alone; inside the join for grams of many sets, once per
 pair for the others) and the suffix filter: both sets are split into cells by hash, and the smaller
-count of each cell bounds the overlap. Only pairs that pass all four have their texts compared,
-once per pair. ``links`` keeps groups of near copies from pairing all with all.
+count of each cell bounds the overlap. Large sets that pass have a second bitmap compared, as large
+as they are. Only pairs that pass all have their texts compared, once per pair. ``links`` keeps groups of near copies from pairing all with all.
 
 Null texts, and texts without words, have the empty set and are linked with nothing; with fewer
 words than n the whole sequence is the one gram. Null ids are allowed: a component's id is its
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dealflow.llm.common import cut, in_buckets, restrict, same_doc, text_key, uncut
+from dealflow.llm.common import BUCKETS, cut, in_buckets, is_empty, restrict, text_key, uncut
 from dealflow.llm.links import FEW, few_pairs, link
 from dealflow.llm.tokens import FIRST, LOWER, Grams, Words, mix, signed, slices
 
@@ -36,6 +36,8 @@ DF_BITS, DF_BLOCKS = 20, 64
 CELL_BITS = 5
 #: Longs of a set's parity bitmap.
 BITMAP = [f"bits{i}" for i in range(4)]
+#: What ``_signatures`` says of a row besides its id.
+SIGNED = ", ".join(["_th long, node binary, mark long, n long, cells array<int>, wide array<long>", *(f"{b} long" for b in BITMAP)])
 
 
 def gram_sets(buf: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +80,19 @@ def bitmaps(doc: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(rows, len(BITMAP))
 
 
+def wide_bitmaps(doc: np.ndarray, value: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The parity bitmaps of sets too large for the fixed one, as longs: a cell for each gram at least, their number a
+    power of two, so that a bitmap folds to half its size. Smaller sets have none."""
+    size = np.where(n > 64 * len(BITMAP), 1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).astype(np.int64), 0)
+    ends = np.cumsum(size)
+    large = size[doc] > 0
+    doc, value = doc[large], value[large]
+    cell = (mix(value ^ np.uint64(0xE7037ED1A0B428DB)) & (64 * size[doc] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(64 * (ends - size)[doc] + cell, minlength=64 * int(size.sum())) & 1).astype(np.uint8)
+    longs = np.packbits(odd, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(longs))
+
+
 def _as_binary(sign: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(
         pa.binary(16), len(sign), [None, pa.py_buffer(sign.tobytes())]).cast(pa.binary())
@@ -95,8 +110,8 @@ def _signatures(ngram: int):
             bits = bitmaps(doc, value, rows.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("_th"), _as_binary(sign), signed(sign[:, 0].copy()), pa.array(n),
-                 pa.ListArray.from_arrays(ends, pa.array(cells)), *(pa.array(b) for b in bits.T)],
-                names=["doc_id", "_th", "node", "mark", "n", "cells", *BITMAP])
+                 pa.ListArray.from_arrays(ends, pa.array(cells)), wide_bitmaps(doc, value, n), *(pa.array(b) for b in bits.T)],
+                names=["doc_id", "_th", "node", "mark", "n", "cells", "wide", *BITMAP])
     return run
 
 
@@ -174,6 +189,19 @@ def _close(percent: int, x: str, y: str):
     return apart <= n1 + n2 - 2 * needed(n1, n2, percent)
 
 
+def _wide_apart(x: str, y: str):
+    """Bits that differ between the wide bitmaps, the larger one folded to the other's size; 0 where a set has none
+    or one fold is not enough."""
+    def fold(c):
+        half = (F.size(c) / 2).cast("int")
+        return F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda i, j: i.bitwiseXOR(j))
+    one, two = F.col(f"{x}.wide"), F.col(f"{y}.wide")
+    p = F.when(F.size(one) == 2 * F.size(two), fold(one)).otherwise(one)
+    q = F.when(F.size(two) == 2 * F.size(one), fold(two)).otherwise(two)
+    count = F.aggregate(F.zip_with(p, q, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, i: s + i)
+    return F.when((F.least(F.size(one), F.size(two)) > 0) & (F.size(p) == F.size(q)), count).otherwise(F.lit(0))
+
+
 def _fits(percent: int):
     near = _near(percent)
     return lambda x, y: near(x, y) & _close(percent, x, y)
@@ -207,47 +235,51 @@ def _by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 class Verifier:
-    """Exact check of candidate pairs; fetches the text of a set once, when a pair first needs it."""
+    """Exact check of candidate pairs. Only the texts of pairs that the filters allow are shuffled, those of
+    one call, and from ``keyed`` itself: no round moves a text that an earlier one has asked for."""
 
     def __init__(self, keyed: DataFrame, sets: DataFrame, ngram: int, percent: int):
         self.keyed, self.sets, self.ngram, self.percent = keyed, sets, ngram, percent
-        self.repeated, self.texts = repeated(keyed), []
+        self.repeated = repeated(keyed)
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        return self.similar(self.allowed(pairs, "node"))
+        left = self.allowed(pairs, "node")
+        out = cut(self.similar(left))
+        uncut(left)
+        return out
 
     def allowed(self, pairs: DataFrame, by: str) -> DataFrame:
-        """Nodes (a, b) of the pairs, given by the column ``by`` of the sets, that bitmaps and cells allow."""
+        """Nodes (a, b) of the pairs, given by the column ``by`` of the sets, that bitmaps and cells allow, with
+        a document of each (x, y)."""
         what = ["node", "n", "cells", *BITMAP]
         one = self.sets.select(F.col(by).alias("a"), F.struct(*what).alias("x"))
         two = self.sets.select(F.col(by).alias("b"), F.struct(*what).alias("y"))
         shared = F.aggregate(F.zip_with("x.cells", "y.cells", lambda i, j: F.least(i, j)), F.lit(0), lambda s, i: s + i)
-        node = F.col("x.node"), F.col("y.node")
-        return cut(pairs.join(one, "a").join(two, "b")
-                   .where(_close(self.percent, "x", "y") & (shared >= needed(F.col("x.n"), F.col("y.n"), self.percent)))
-                   .select(F.least(*node).alias("a"), F.greatest(*node).alias("b")))
+        close = cut(pairs.join(one, "a").join(two, "b")
+                    .where(_close(self.percent, "x", "y") & (shared >= needed(F.col("x.n"), F.col("y.n"), self.percent)))
+                    .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+        # long sets fill the fixed bitmap and the cells: theirs are compared where both allow the pair
+        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+        held = F.broadcast(close.select(F.explode(F.array(bucket("a"), bucket("b"))).alias("_bucket")).distinct())
+        asked = self.sets.join(held, bucket("node") == F.col("_bucket"), "left_semi")
+        x, y = (asked.select(F.col("node").alias(k), F.struct("n", "doc_id", "_th", "wide").alias(s)) for k, s in ("ax", "by"))
+        far = _wide_apart("x", "y") > F.col("x.n") + F.col("y.n") - 2 * needed(F.col("x.n"), F.col("y.n"), self.percent)
+        out = cut(close.join(x, "a").join(y, "b").where(~far)
+                  .select("a", "b", *[F.struct(f"{k}.doc_id", f"{k}._th").alias(k) for k in "xy"]))
+        uncut(close)
+        return out
 
     def similar(self, left: DataFrame) -> DataFrame:
-        texts = self.fetch(left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct())
-        one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return left.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b") \
-                   .mapInArrow(_similar(self.ngram, self.percent), "a binary, b binary")
-
-    def fetch(self, nodes: DataFrame) -> DataFrame:
-        """(node, text) of at least these sets. Only rows that share a bucket with one of them are joined."""
-        for have in self.texts:
-            nodes = nodes.join(have.select("node"), "node", "left_anti")
-        asked = cut(self.sets.join(nodes, "node").select("node", "doc_id", "_th"))
-        near = in_buckets(self.keyed, asked)
-        rows = near.join(asked, same_doc(near, asked)).select("node", "text")
+        """(a, b) of the pairs from ``allowed`` whose sets are similar."""
+        if is_empty(left):
+            return left.select("a", "b")
+        near = in_buckets(self.keyed, left.select("x._th").unionByName(left.select("y._th")))
         # rows equal in id and text hold one set: its text is read once
-        self.texts.append(cut(rows.dropDuplicates(["node"]) if self.repeated else rows))
-        uncut(asked)
-        out = self.texts[0]
-        for more in self.texts[1:]:
-            out = out.unionByName(more)
-        return out
+        near = (near.dropDuplicates(["doc_id", "_th"]) if self.repeated else near).select("doc_id", "_th", "text")
+        one, two = (near.select(*[F.col(c).alias(f"{c}_{s}") for c in near.columns]) for s in "ab")
+        here = lambda at, s: (F.col(f"{at}._th") == F.col(f"_th_{s}")) & F.col(f"{at}.doc_id").eqNullSafe(F.col(f"doc_id_{s}"))
+        return left.join(one, here("x", "a")).drop("doc_id_a", "_th_a", "x").join(two, here("y", "b")) \
+                   .select("a", "b", "text_a", "text_b").mapInArrow(_similar(self.ngram, self.percent), "a binary, b binary")
 
 
 def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, every_link: bool = False) -> DataFrame:
@@ -260,8 +292,7 @@ def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, every_li
     one component are not met, which is enough for the components only."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("_th"), "text")
-    slim = cut(keyed.mapInArrow(_signatures(ngram), f"doc_id {id_type}, _th long, node binary, mark long, n long, cells array<int>, "
-                                + ", ".join(f"{b} long" for b in BITMAP)))
+    slim = cut(keyed.mapInArrow(_signatures(ngram), f"doc_id {id_type}, {SIGNED}"))
     # prefix grams that different sets share
     table = docs.sparkSession.sparkContext.broadcast(rarity(docs, ngram))  # 2^DF_BITS bytes, whatever the input
     keys = cut(docs.select("text").mapInArrow(_prefixes(ngram, percent, table), "key long, mark long, pos int, n int"))
@@ -272,13 +303,14 @@ def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, every_li
     # one row for each set that shares a gram, with a document to read it from
     who = slim.where("n > 0").join(met.select("mark").distinct(), "mark")
     sets = cut(who.groupBy("node", "mark", "n").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_th")).alias("r"), F.any_value("cells").alias("cells"),
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_th")).alias("r"), *(F.any_value(c).alias(c) for c in ("cells", "wide")),
         *(F.any_value(b).alias(b) for b in BITMAP))
-        .select("node", "mark", "n", "cells", *BITMAP, "r.doc_id", "r._th"))
+        .select("node", "mark", "n", "cells", "wide", *BITMAP, "r.doc_id", "r._th"))
     verify = Verifier(keyed, sets, ngram, percent)
     # grams of a few sets: all their pairs, by marks; a mark stands for every set that has it
     tested = verify.allowed(few_pairs(met, "mark", _near(percent)), "mark")
     edges = cut(verify.similar(tested))
+    tested = tested.select("a", "b")
     # grams of many sets
     earlier = F.lag("key").over(Window.partitionBy("mark", "node").orderBy("pos", "key"))
     chosen = cut(met.where(F.col("size") > FEW).drop("n", "size").join(sets.select("mark", "node", "n", *BITMAP), "mark")
@@ -286,7 +318,7 @@ def linked(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, every_li
     uncut(met)
     rounds = {"star_rounds": 0} if every_link else {}  # without star rounds all pairs are met at once
     edges, roots = link(chosen, _fits(percent), verify, _first_shared, tested=tested, edges=edges, **rounds)
-    uncut(chosen, sets, *verify.texts)
+    uncut(chosen, sets)
     roots = cut(roots)
     rooted = slim.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     counted = []
