@@ -56,6 +56,14 @@ def in_buckets(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> Data
     return rows.join(held, bucket(rows) == held["_bucket"], how)
 
 
+def of_pairs(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``table`` (node, ...) whose node falls into the bucket of a node of ``pairs`` (a, b; written
+    already). However many pairs there are, at most ``BUCKETS`` numbers are broadcast."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    held = F.broadcast(pairs.select(F.explode(F.array(bucket("a"), bucket("b"))).alias("_bucket")).distinct())
+    return table.join(held, bucket(table["node"]) == held["_bucket"], "left_semi")
+
+
 # ---- written intermediate tables -------------------------------------------------------
 
 def cut(df: DataFrame) -> DataFrame:

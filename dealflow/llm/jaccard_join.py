@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dealflow.llm.common import BUCKETS, cut, in_buckets, is_empty, restrict, text_key, uncut
+from dealflow.llm.common import cut, in_buckets, is_empty, of_pairs, restrict, text_key, uncut
 from dealflow.llm.links import FEW, few_pairs, link
 from dealflow.llm.tokens import FIRST, LOWER, Grams, Words, mix, signed, slices
 
@@ -182,7 +182,7 @@ def _near(percent: int):
     return near
 
 
-def _close(percent: int, x: str, y: str):
+def bits_allow(percent: int, x: str, y: str) -> Column:
     """A bit that differs stands for at least one gram that only one of the sets has."""
     n1, n2 = F.col(f"{x}.n"), F.col(f"{y}.n")
     apart = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITMAP)
@@ -204,7 +204,7 @@ def _wide_apart(x: str, y: str):
 
 def _fits(percent: int):
     near = _near(percent)
-    return lambda x, y: near(x, y) & _close(percent, x, y)
+    return lambda x, y: near(x, y) & bits_allow(percent, x, y)
 
 
 def _first_shared(x: str, y: str):
@@ -256,12 +256,10 @@ class Verifier:
         two = self.sets.select(F.col(by).alias("b"), F.struct(*what).alias("y"))
         shared = F.aggregate(F.zip_with("x.cells", "y.cells", lambda i, j: F.least(i, j)), F.lit(0), lambda s, i: s + i)
         close = cut(pairs.join(one, "a").join(two, "b")
-                    .where(_close(self.percent, "x", "y") & (shared >= needed(F.col("x.n"), F.col("y.n"), self.percent)))
+                    .where(bits_allow(self.percent, "x", "y") & (shared >= needed(F.col("x.n"), F.col("y.n"), self.percent)))
                     .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
         # long sets fill the fixed bitmap and the cells: theirs are compared where both allow the pair
-        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
-        held = F.broadcast(close.select(F.explode(F.array(bucket("a"), bucket("b"))).alias("_bucket")).distinct())
-        asked = self.sets.join(held, bucket("node") == F.col("_bucket"), "left_semi")
+        asked = of_pairs(self.sets, close)
         x, y = (asked.select(F.col("node").alias(k), F.struct("n", "doc_id", "_th", "wide").alias(s)) for k, s in ("ax", "by"))
         far = _wide_apart("x", "y") > F.col("x.n") + F.col("y.n") - 2 * needed(F.col("x.n"), F.col("y.n"), self.percent)
         out = cut(close.join(x, "a").join(y, "b").where(~far)

@@ -6,7 +6,7 @@ hash per gram, the least of each bin, empty bins filled from a seeded other bin)
 bands; lines with an equal band are candidates. At similarity 0.8 the bands find a pair with
 probability 0.999, at 0.1 with one in 40,000, so unrelated lines of one language hardly meet.
 Signatures are computed once; band keys travel packed, a row for each bucket of a batch.
-Candidates whose gram counts by hash cell allow the similarity are verified by exact Jaccard
+Candidates whose gram counts and parity bitmaps (inside the join) and counts by hash cell allow the similarity are verified by exact Jaccard
 similarity, linked lines are united by distributed union-find, and of every component the first
 line in (doc_id, line number) order stays.
 
@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.llm.common import cut, in_buckets, same_doc, text_key, uncut
+from dealflow.llm.common import cut, in_buckets, of_pairs, same_doc, text_key, uncut
+from dealflow.llm.jaccard_join import BITMAP, bitmaps, bits_allow
 from dealflow.llm.links import FEW, few_pairs, link
 from dealflow.llm.tokens import SECOND, SPACES, Words, mix, signed, slices
 
@@ -205,7 +206,7 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(gram: int):
-    """Distinct grams of each line (one per row): how many, and how many in each cell."""
+    """Distinct grams of each line (one per row): how many, how many in each cell, and the parity bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 1 << CELL_BITS
         for rows, buf, offsets in slices(batches, "text", 500_000):
@@ -219,11 +220,19 @@ def _cells(gram: int):
             count = np.bincount(cell, minlength=rows.num_rows * width).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("node"), pa.array(np.bincount(line, minlength=rows.num_rows)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(count) + 1, width, dtype=np.int32)), pa.array(count))],
-                names=["node", "n", "cells"])
+                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(count) + 1, width, dtype=np.int32)), pa.array(count)),
+                 *(pa.array(b) for b in bitmaps(line, value, rows.num_rows).T)], names=["node", "n", "cells", *BITMAP])
     return run
 
 
+def _fits(percent: int):
+    """Gram counts and bitmaps, compared inside the join: lines that share a band by chance make no pair."""
+    def fits(x: str, y: str) -> Column:
+        n1, n2 = F.col(f"{x}.n"), F.col(f"{y}.n")
+        return (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1) & bits_allow(percent, x, y)
+    return fits
+
+
 def _similar(gram: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,41 +271,49 @@ def dedup(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFram
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("_th"), "text")
     lines = cut(keyed.mapInArrow(_lines, f"doc_id {id_type}, _th long, line int, node binary, mark long").distinct())
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "_th", "line")
-    nodes = cut(lines.groupBy("node", "mark").agg(F.min(place).alias("first")))
+    nodes = cut(lines.groupBy("node", "mark").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")))
     # candidate bands shared by different lines; the mark is half of a node
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bands = docs.select("text").mapInArrow(_bands(gram, parts * SPREAD), "bucket int, keys binary, marks binary")
     met = cut(bands.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "key long, mark long, size int"))
     asked = nodes.join(met.select("mark").distinct(), "mark", "left_semi")
-    keys = cut(met.join(asked.select("mark", "node"), "mark").select("key", "node", "size"))
     # the lines themselves, each from its first place
     per_doc = cut(asked.groupBy("first.doc_id", "first._th").agg(F.collect_list("first.line").alias("lines")))
     near = in_buckets(keyed, per_doc)
     texts = cut(near.join(per_doc, same_doc(near, per_doc)).select("text", "lines")
                 .mapInArrow(_line_texts, "node binary, text string").dropDuplicates(["node"]))
-    sets = cut(texts.mapInArrow(_cells(gram), "node binary, n long, cells array<int>"))
+    sets = cut(texts.mapInArrow(_cells(gram), "node binary, n long, cells array<int>, " + ", ".join(f"{b} long" for b in BITMAP)))
+    measured = asked.select("mark", "node").join(sets.select("node", "n", *BITMAP), "node")
+    keys = cut(met.join(measured, "mark").select("key", "node", "size", "n", *BITMAP))
     uncut(met, per_doc)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("cells").alias("c1"))
-        two = sets.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("cells").alias("c2"))
+        asked = of_pairs(sets, pairs)
+        one = asked.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("cells").alias("c1"))
+        two = asked.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("cells").alias("c2"))
         common = F.aggregate(F.zip_with("c1", "c2", lambda i, j: F.least(i, j)), F.lit(0), lambda s, i: s + i)
         left = cut(pairs.join(one, "a").join(two, "b")
                    .where((100 + percent) * common >= percent * (F.col("n1") + F.col("n2"))).select("a", "b"))
-        one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        asked = of_pairs(texts, left)
+        one = asked.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        two = asked.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return left.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b") \
                    .mapInArrow(_similar(gram, percent), "a binary, b binary")
 
-    any_pair = lambda x, y: F.lit(True)
-    tested = cut(few_pairs(keys, "node", any_pair))
+    fits = _fits(percent)
+    tested = cut(few_pairs(keys, "node", fits))
     edges = cut(verify(tested))
-    _, roots = link(keys.where(F.col("size") > FEW).drop("size"), any_pair, verify, tested=tested, edges=edges)
+    _, roots = link(keys.where(F.col("size") > FEW).drop("size"), fits, verify, tested=tested, edges=edges)
     uncut(sets)
-    rooted = nodes.join(cut(roots), "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "first")
+    # of a linked line the first line of its component stays, of another one its own first place
+    roots = cut(roots)
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()  # a root is no node of its own
+    rooted = nodes.join(members, "node").select("root", "node", "first")
     stays = cut(rooted.groupBy("root").agg(F.min("first").alias("stay")))
-    per_node = cut(rooted.join(stays, "root").select("node", "stay"))
-    gone = lines.join(per_node, "node").where(place != F.col("stay"))
+    linked = cut(rooted.join(stays, "root").select("node", "stay"))
+    several = nodes.join(linked, "node", "left").where((F.col("size") > 1) | F.col("stay").isNotNull()) \
+                   .select("node", F.coalesce("stay", "first").alias("stay"))
+    gone = lines.join(several, "node").where(place != F.col("stay"))
     per_doc = cut(gone.groupBy("doc_id", "_th").agg(F.sort_array(F.collect_list("line")).alias("gone")))
     return keyed.join(per_doc, same_doc(keyed, per_doc), "left").select(keyed["doc_id"], "text", "gone").mapInArrow(
         _kept, f"doc_id {id_type}, n_lines long, n_removed long, removed_lines array<int>, kept_text string, kept_sha256 string")
