@@ -189,7 +189,7 @@ def bits_allow(percent: int, x: str, y: str) -> Column:
     return apart <= n1 + n2 - 2 * needed(n1, n2, percent)
 
 
-def _wide_apart(x: str, y: str):
+def wide_apart(x: str, y: str):
     """Bits that differ between the wide bitmaps, the larger one folded to the other's size; 0 where a set has none
     or one fold is not enough."""
     def fold(c):
@@ -261,7 +261,7 @@ class Verifier:
         # long sets fill the fixed bitmap and the cells: theirs are compared where both allow the pair
         asked = of_pairs(self.sets, close)
         x, y = (asked.select(F.col("node").alias(k), F.struct("n", "doc_id", "_th", "wide").alias(s)) for k, s in ("ax", "by"))
-        far = _wide_apart("x", "y") > F.col("x.n") + F.col("y.n") - 2 * needed(F.col("x.n"), F.col("y.n"), self.percent)
+        far = wide_apart("x", "y") > F.col("x.n") + F.col("y.n") - 2 * needed(F.col("x.n"), F.col("y.n"), self.percent)
         out = cut(close.join(x, "a").join(y, "b").where(~far)
                   .select("a", "b", *[F.struct(f"{k}.doc_id", f"{k}._th").alias(k) for k in "xy"]))
         uncut(close)

@@ -5,10 +5,11 @@ line, gaps at both ends taken off). Equal lines are one node. A one-permutation
 hash per gram, the least of each bin, empty bins filled from a seeded other bin) is cut into
 bands; lines with an equal band are candidates. At similarity 0.8 the bands find a pair with
 probability 0.999, at 0.1 with one in 40,000, so unrelated lines of one language hardly meet.
-Signatures are computed once; band keys travel packed, a row for each bucket of a batch.
-Candidates whose gram counts and parity bitmaps (inside the join) and counts by hash cell allow the similarity are verified by exact Jaccard
-similarity, linked lines are united by distributed union-find, and of every component the first
-line in (doc_id, line number) order stays.
+Signatures are computed once; band keys travel packed, a row for each bucket of a batch. Keys of a
+few lines give their pairs at once. Only lines that share a key have their text shuffled, each once.
+Candidates whose gram counts and parity bitmaps (as large as the line, inside the join) allow the
+similarity are verified by exact Jaccard similarity, linked lines are united by distributed union-find,
+and of every component the first line in (doc_id, line number) order stays.
 
 Null texts have no lines. Lines without a word always stay and are compared with nothing. A
 line shorter than a gram is one gram. Repeated rows (equal id and text) count as one document:
@@ -24,15 +25,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.llm.common import cut, in_buckets, of_pairs, same_doc, text_key, uncut
-from dealflow.llm.jaccard_join import BITMAP, bitmaps, bits_allow
-from dealflow.llm.links import FEW, few_pairs, link
-from dealflow.llm.tokens import SECOND, SPACES, Words, mix, signed, slices
+from dealflow.llm.common import cut, of_pairs, same_doc, text_key, uncut
+from dealflow.llm.jaccard_join import wide_apart
+from dealflow.llm.links import FEW, link
+from dealflow.llm.tokens import SECOND, SPACES, mix, signed, slices
 
 GRAM, PERCENT = 5, 80
 BANDS, ROWS = 24, 6
-#: Cells in which a line's grams are counted, by the top bits of their hash.
-CELL_BITS = 5
+#: Grams of so many bytes at most are held as they are, in CODE_BITS bits with the length of a shorter line.
+PACK, CODE_BITS = 5, 43
+#: Longs of a line's parity bitmap, at least and at most (powers of two); between them two cells a gram.
+LONGS = 4, 64
+#: Slots, by hash, that say which lines share a key: 8 MB of bits however many lines there are.
+SLOT_BITS = 26
+#: Bytes handled at once, so that the arrays stay in the cache, and the lines that a task remembers as done.
+CHUNK, SEEN = 1 << 17, 300_000
 #: Buckets of band keys per shuffle partition, and the (key, line) pairs that a task packs at once. A key is its
 #: bucket and so many bytes more.
 SPREAD, PACKED, KEY_BYTES = 8, 1 << 21, 5
@@ -40,51 +47,124 @@ SPREAD, PACKED, KEY_BYTES = 8, 1 << 21, 5
 
 def _bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines with a word, gaps at both ends taken off: (text number, line number, start, end)."""
-    words = Words(buf, offsets)
     ends = np.flatnonzero(buf == 10)
-    # line of a position: newlines before it, counted from the text's start
-    line = np.searchsorted(ends, words.start)
-    doc = words.doc()
-    line = line - np.searchsorted(ends, offsets[:-1])[doc]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
-    last = np.append(new[1:], True)[:len(new)]
-    return doc[new], line[new], words.start[new], words.end[last]
+    count = 1 + np.diff(np.searchsorted(ends, offsets))
+    doc = np.repeat(np.arange(len(count)), count)
+    line = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    start = np.sort(np.concatenate([offsets[:-1], ends + 1]))
+    end = np.sort(np.concatenate([offsets[1:], ends]))
+    some = np.flatnonzero(start < end)
+    doc, line, start, end = doc[some], line[some], start[some], end[some]
+    if SPACES[buf[start]].any() or SPACES[buf[end - 1]].any():
+        inside = np.flatnonzero(~SPACES[buf])
+        first, last = np.searchsorted(inside, start), np.searchsorted(inside, end)
+        some = np.flatnonzero(first < last)
+        doc, line, start, end = doc[some], line[some], inside[first[some]], inside[last[some] - 1] + 1
+    return doc, line, start, end
 
 
 def _line_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Two independent hashes of each line's bytes."""
-    out = np.empty((len(start), 2), np.uint64)
-    for k, (base, salt) in enumerate(((SECOND.base, 1), (SECOND.gram, 2))):
-        up, down = SECOND.powers(base, len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(mix(SECOND.codes + np.uint64(salt))[buf] * up[:-1], out=sums[1:])
-        out[:, k] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return out
+    """128 bits of a hash of each line's bytes, in two numbers."""
+    raw = buf.tobytes()
+    digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+
+
+def _within(start: np.ndarray, end: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, position) of every gram, and the bytes of a gram of each line."""
+    size = np.minimum(end - start, gram)
+    count = end - start - size + 1
+    ends = np.cumsum(count)
+    at = np.arange(ends[-1] if len(ends) else 0)
+    at += np.repeat(start - ends + count, count)
+    return np.repeat(np.arange(len(start)), count), at, size
+
+
+def _codes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, bytes as a number) of every gram of PACK bytes at most, repeats included."""
+    line, at, size = _within(start, end, gram)
+    padded = np.append(buf, np.zeros(8, np.uint8))
+    window = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,)) & np.uint64(256**gram - 1)
+    code = window[at]
+    short = np.flatnonzero(size < gram)
+    if len(short):  # one gram each
+        where, width = np.searchsorted(line, short), size[short].astype(np.uint64)
+        code[where] &= (np.uint64(1) << np.uint64(8) * width) - np.uint64(1)
+        code[where] |= width << np.uint64(8 * PACK)
+    return line, code
 
 
 def _grams(buf: np.ndarray, start: np.ndarray, end: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(line, hash) of every character n-gram, repeats included."""
+    if gram <= PACK:
+        line, code = _codes(buf, start, end, gram)
+        code += np.uint64(0x9E3779B97F4A7C15)
+        code *= np.uint64(0xBF58476D1CE4E5B9)
+        code ^= code >> np.uint64(32)
+        code *= np.uint64(0x94D049BB133111EB)
+        code ^= code >> np.uint64(29)
+        return line, code
+    line, at, size = _within(start, end, gram)
     up, down = SECOND.powers(SECOND.base, len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(SECOND.codes[buf] * up[:-1], out=sums[1:])
-    size = np.minimum(end - start, gram)
-    count = end - start - size + 1
-    ends = np.cumsum(count)
-    line = np.repeat(np.arange(len(start)), count)
-    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count - start, count)
     return line, mix((sums[at + size[line]] - sums[at]) * down[at] + size[line].astype(np.uint64))
 
 
+def _distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, gram) of the distinct grams of each line, sorted."""
+    if gram <= PACK:
+        key = _packed(buf, start, end, gram)
+        return (key >> np.uint64(CODE_BITS)).astype(np.int64), key & np.uint64(2**CODE_BITS - 1)
+    line, value = _grams(buf, start, end, gram)
+    order = np.lexsort((value, line))
+    line, value = line[order], value[order]
+    new = np.append(True, (line[1:] != line[:-1]) | (value[1:] != value[:-1]))[:len(line)]
+    return line[new], value[new]
+
+
+def _packed(buf: np.ndarray, start: np.ndarray, end: np.ndarray, gram: int) -> np.ndarray:
+    """Line and gram of the distinct grams as one number each (under 2^21 lines), sorted."""
+    line, code = _codes(buf, start, end, gram)
+    code |= line.astype(np.uint64) << np.uint64(CODE_BITS)
+    code.sort()
+    return code[np.append(True, code[1:] != code[:-1])[:len(code)]]
+
+
+def _as_binary(value: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(value), [None, pa.py_buffer(value.tobytes())]).cast(pa.binary())
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, buf, offsets in slices(batches):
+    for rows, buf, offsets in slices(batches, "text", CHUNK):
         doc, line, start, end = _bounds(buf, offsets)
-        value = _line_hash(buf, start, end)
         who = pa.array(doc)
-        node = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(doc), [None, pa.py_buffer(value.tobytes())])
         yield pa.RecordBatch.from_arrays(
             [rows.column("doc_id").take(who), rows.column("_th").take(who), pa.array(line.astype(np.int32)),
-             node.cast(pa.binary()), signed(value[:, 0].copy())], names=["doc_id", "_th", "line", "node", "mark"])
+             _as_binary(_line_hash(buf, start, end))], names=["doc_id", "_th", "line", "hash"])
+
+
+def _fresh(mark: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Places of the marks that are not in ``seen``, the first of each, in order; they are added to it."""
+    if len(seen) > SEEN:
+        seen.clear()
+    mark, one = np.unique(mark, return_index=True)
+    known = mark.tolist()
+    one = one[np.fromiter((m not in seen for m in known), bool, len(known))]
+    seen.update(known)
+    return np.sort(one)
+
+
+_SOURCES: dict[int, np.ndarray] = {}
+
+
+def _sources(bins: int, turns: int) -> np.ndarray:
+    """The places at which each bin looks, by turn."""
+    have = _SOURCES.get(bins)
+    if have is None or len(have) < turns:
+        seeds = np.arange(bins, bins * (2 * turns + 64 + 1), dtype=np.uint64)
+        have = _SOURCES[bins] = (mix(seeds) % np.uint64(bins)).astype(np.int64).reshape(-1, bins)
+    return have
 
 
 def signature(line: np.ndarray, value: np.ndarray, lines: int, bins: int) -> np.ndarray:
@@ -92,19 +172,27 @@ def signature(line: np.ndarray, value: np.ndarray, lines: int, bins: int) -> np.
     fixed sequence of places, so similar sets fill their empty bins alike."""
     none = np.uint64(2**64 - 1)
     least = np.full(lines * bins, none)
-    np.minimum.at(least, line * bins + (value % np.uint64(bins)).astype(np.int64), value)
+    place = value - value // np.uint64(bins) * np.uint64(bins)
+    np.minimum.at(least, line * bins + place.view(np.int64), value)
     filled = least.copy()
     have = (least != none).reshape(lines, bins)
-    todo = np.flatnonzero(~have & have.any(axis=1, keepdims=True))
-    first, place = todo - todo % bins, todo % bins
-    turn = 0
+    empty = todo = np.flatnonzero(~have & have.any(axis=1, keepdims=True))
+    place = todo % bins
+    first, at, turn = todo - place, place, 0
     while len(todo):
-        turn += 1
-        source = (mix((np.arange(bins) + turn * bins).astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
-        value = least[first + source[place]]
-        take = value != none
-        filled[todo[take]] = mix(value[take] + place[take].astype(np.uint64))
-        todo, first, place = todo[~take], first[~take], place[~take]
+        # one turn, or for the last bins many turns at once: the first filled place counts
+        turns = max(1, min(64, 16_000 // len(todo)))
+        sources = _sources(bins, turn + turns)[turn:turn + turns]
+        if turns == 1:
+            value = least[first + sources[0][at]]
+        else:
+            values = least[first + sources[:, at]]
+            value = values[(values != none).argmax(axis=0), np.arange(len(todo))]
+        filled[todo] = value
+        left = np.flatnonzero(value == none)
+        todo, first, at = todo[left], first[left], at[left]
+        turn += turns
+    filled[empty] = mix(filled[empty] + place.astype(np.uint64))
     return filled.reshape(lines, bins)
 
 
@@ -118,12 +206,12 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
 
 
 def _bands(gram: int, buckets: int):
-    """Band keys and marks (half a node) of the lines, a row for each bucket of keys."""
+    """Band keys and marks (half a hash) of the lines, a row for each bucket of keys."""
     def packed(keys: list[np.ndarray], marks: list[np.ndarray]) -> pa.RecordBatch:
         key, mark = np.concatenate(keys), np.concatenate(marks)
-        bucket = ((key >> np.uint64(8 * KEY_BYTES)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
+        bucket = ((key >> np.uint64(8 * KEY_BYTES)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)
+        order = np.argsort(bucket, kind="stable")  # 16 bits are sorted by radix
+        bucket = bucket[order].astype(np.int32)
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         ends = np.append(first, len(bucket))
         low = np.ascontiguousarray(key[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
@@ -133,12 +221,16 @@ def _bands(gram: int, buckets: int):
             [pa.array(bucket[first]), column(low, KEY_BYTES), column(mark[order].astype("<u8"), 8)], names=["bucket", "keys", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, marks, held = [], [], 0
-        for _, buf, offsets in slices(batches, "text", 500_000):
+        keys, marks, held, seen = [], [], 0, set()
+        for _, buf, offsets in slices(batches, "text", CHUNK):
             _, _, start, end = _bounds(buf, offsets)
             if not len(start):
                 continue
-            mark, one = np.unique(_line_hash(buf, start, end)[:, 0], return_index=True)  # equal lines have equal keys
+            mark = _line_hash(buf, start, end)[:, 0]
+            one = _fresh(mark, seen)  # equal lines have equal keys
+            if not len(one):
+                continue
+            mark = mark[one]
             line, value = _grams(buf, start[one], end[one], gram)
             key = band_keys(signature(line, value, len(one), BANDS * ROWS))
             keys.append(key.reshape(-1))
@@ -152,9 +244,9 @@ def _bands(gram: int, buckets: int):
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, mark, number of marks, at most FEW + 1) of the keys with several marks; rows come sorted by bucket."""
-    def met(bucket: int, keys: list[bytes], marks: list[bytes]) -> pa.RecordBatch:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each bucket (key, mark, number of marks) of the keys with several marks, sorted; rows come sorted by bucket."""
+    def shared(bucket: int, keys: list[bytes], marks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY_BYTES)
         key = np.zeros((len(low), 8), np.uint8)
         key[:, :KEY_BYTES] = low
@@ -172,78 +264,145 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, at, size = np.unique(key, return_inverse=True, return_counts=True)
         size = size[at]
         some = size > 1
-        full = key[some] | np.uint64(bucket << 8 * KEY_BYTES)
-        return pa.RecordBatch.from_arrays(
-            [signed(full), signed(mark[some]), pa.array(np.minimum(size[some], FEW + 1).astype(np.int32))], names=["key", "mark", "size"])
+        return key[some] | np.uint64(bucket << 8 * KEY_BYTES), mark[some], size[some]
 
     now, keys, marks = None, [], []
     for batch in batches:
         for bucket, key, mark in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "marks")), strict=True):
             if bucket != now and keys:
-                yield met(now, keys, marks)
+                yield shared(now, keys, marks)
                 keys, marks = [], []
             now = bucket
             keys.append(key)
             marks.append(mark)
     if keys:
-        yield met(now, keys, marks)
+        yield shared(now, keys, marks)
 
 
-def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The asked lines of each text (column ``lines``) with their nodes."""
-    for rows, buf, offsets in slices(batches):
-        doc, line, start, end = _bounds(buf, offsets)
-        asked = rows.column("lines")
-        counts = np.diff(asked.offsets.to_numpy())
-        want = np.repeat(np.arange(rows.num_rows), counts).astype(np.int64) << 32 | asked.flatten().to_numpy()
-        pick = np.flatnonzero(np.isin(doc.astype(np.int64) << 32 | line, want))
-        value = _line_hash(buf, start[pick], end[pick])
-        node = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(pick), [None, pa.py_buffer(value.tobytes())])
-        raw = buf.tobytes()
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, mark, number of marks, at most FEW + 1) of the keys with several marks."""
+    for key, mark, size in _shared(batches):
         yield pa.RecordBatch.from_arrays(
-            [node.cast(pa.binary()), pa.array([raw[a:b].decode() for a, b in zip(start[pick], end[pick], strict=True)], pa.string())],
-            names=["node", "text"])
+            [signed(key), signed(mark), pa.array(np.minimum(size, FEW + 1).astype(np.int32))], names=["key", "mark", "size"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows as ``_met`` gives them, those of one key in one batch: (null, mark, other) of all pairs under the
+    keys of a few marks, (key, mark, null) of the others."""
+    for batch in batches:
+        key, mark, size = (batch.column(c).to_numpy() for c in ("key", "mark", "size"))
+        few = size <= FEW
+        k, m = key[few], mark[few]
+        ahead = [(m[:-d][same], m[d:][same]) for d in range(1, FEW) if (same := k[:-d] == k[d:]).any()]
+        for a, b in ahead:
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(a), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "mark", "other"])
+        if not few.all():
+            k, m = key[~few], mark[~few]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(m), pa.nulls(len(k), pa.int64())], names=["key", "mark", "other"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _pairs(_met(batches))
 
 
-def _cells(gram: int):
-    """Distinct grams of each line (one per row): how many, how many in each cell, and the parity bitmap."""
+def _slots(met: DataFrame) -> np.ndarray:
+    """Bits of the slots of all marks in ``met``. The driver gets 2^SLOT_BITS bits at most."""
+    slot = met.select(F.explode(F.array("mark", "other")).alias("mark")).where("mark is not null") \
+              .select(F.expr(f"mark & {2**SLOT_BITS - 1}").alias("slot"))
+    words = slot.groupBy(F.shiftright("slot", 6).cast("int").alias("word")) \
+                .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << SLOT_BITS - 6, np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bits.view(np.uint64)
+
+
+def _line_texts(slots):
+    """The lines whose slot is set (broadcast), with their hashes; a line that comes again soon is left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 1 << CELL_BITS
-        for rows, buf, offsets in slices(batches, "text", 500_000):
-            line, value = _grams(buf, offsets[:-1], offsets[1:], gram)
-            order = np.lexsort((value, line))
-            line, value = line[order], value[order]
-            new = np.ones(len(line), bool)
-            new[1:] = (line[1:] != line[:-1]) | (value[1:] != value[:-1])
-            line, value = line[new], value[new]
-            cell = line * width + (mix(value) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-            count = np.bincount(cell, minlength=rows.num_rows * width).astype(np.int32)
+        bits, seen = slots.value, set()
+        for _, buf, offsets in slices(batches, "text", CHUNK):
+            _, _, start, end = _bounds(buf, offsets)
+            value = _line_hash(buf, start, end)
+            slot = value[:, 0] & np.uint64(2**SLOT_BITS - 1)
+            pick = np.flatnonzero(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+            if not len(pick):
+                continue
+            pick = pick[_fresh(value[pick, 0], seen)]
+            raw = buf.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [rows.column("node"), pa.array(np.bincount(line, minlength=rows.num_rows)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(count) + 1, width, dtype=np.int32)), pa.array(count)),
-                 *(pa.array(b) for b in bitmaps(line, value, rows.num_rows).T)], names=["node", "n", "cells", *BITMAP])
+                [_as_binary(value[pick]), signed(value[pick, 0].copy()),
+                 pa.array([raw[a:b].decode() for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)], pa.string())],
+                names=["hash", "mark", "text"])
+    return run
+
+
+def wide_bitmaps(line: np.ndarray, value: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Per line the parity of its gram count in each hash cell, as longs: about two cells a gram within LONGS, their
+    number a power of two, so that a bitmap folds to half its size."""
+    size = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 32)).clip(0).astype(np.int64), *LONGS)
+    ends = np.cumsum(size)
+    cell = (mix(value ^ np.uint64(0xE7037ED1A0B428DB)) & (64 * size[line] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(64 * (ends - size)[line] + cell, minlength=64 * int(size.sum())) & 1).astype(np.uint8)
+    longs = np.packbits(odd, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(longs))
+
+
+def _sets(gram: int):
+    """Each line once (all rows of a hash come to one task), with its number of distinct grams and its bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            new = []
+            for k, value in enumerate(batch.column("hash").to_pylist()):
+                if value not in seen:
+                    seen.add(value)
+                    new.append(k)
+            for rows, buf, offsets in slices(iter([batch.take(pa.array(new, pa.int64()))]), "text", CHUNK):
+                line, value = _distinct(buf, offsets[:-1], offsets[1:], gram)
+                n = np.bincount(line, minlength=rows.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows.column(c) for c in ("hash", "mark", "text")), pa.array(n), wide_bitmaps(line, value, n)],
+                    names=["hash", "mark", "text", "n", "wide"])
     return run
 
 
 def _fits(percent: int):
-    """Gram counts and bitmaps, compared inside the join: lines that share a band by chance make no pair."""
+    """Gram counts and bitmaps, compared inside the join: lines that share a band by chance make no pair. A bit that
+    differs stands for at least one gram that only one of the lines has."""
     def fits(x: str, y: str) -> Column:
         n1, n2 = F.col(f"{x}.n"), F.col(f"{y}.n")
-        return (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1) & bits_allow(percent, x, y)
+        return (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1) & \
+               ((100 + percent) * wide_apart(x, y) <= (100 - percent) * (n1 + n2))
     return fits
 
 
 def _similar(gram: int, percent: int):
+    def both(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
+        x, y = (_packed(buf, offsets[:-1], offsets[1:], gram) for buf, offsets in (a, b))
+        all_keys = np.concatenate([x, y])
+        all_keys.sort()
+        n, common = (np.bincount((k >> np.uint64(CODE_BITS)).astype(np.int64), minlength=rows)
+                     for k in (all_keys, all_keys[1:][all_keys[1:] == all_keys[:-1]]))
+        return 100 * common >= percent * (n - common)
+
+    def each(a: list[str], b: list[str]) -> np.ndarray:
+        keep = np.zeros(len(a), bool)
+        for i, (s, t) in enumerate(zip(a, b, strict=True)):
+            s, t = s.encode(), t.encode()
+            x = {s[k:k + gram] for k in range(max(1, len(s) - gram + 1))}
+            y = {t[k:k + gram] for k in range(max(1, len(t) - gram + 1))}
+            keep[i] = 100 * len(x & y) >= percent * len(x | y)
+        return keep
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
-                a, b = a.encode(), b.encode()
-                x = {a[k:k + gram] for k in range(max(1, len(a) - gram + 1))}
-                y = {b[k:k + gram] for k in range(max(1, len(b) - gram + 1))}
-                both = len(x & y)
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+        for rows, buf, offsets in slices(batches, "text_a", CHUNK):
+            if gram > PACK:
+                keep = each(rows.column("text_a").to_pylist(), rows.column("text_b").to_pylist())
+            else:
+                _, *other = next(slices(iter([rows]), "text_b", 1 << 62))
+                keep = both((buf, offsets), tuple(other), rows.num_rows)
+            yield rows.select(["a", "b"]).filter(pa.array(keep))
     return run
 
 
@@ -267,53 +426,48 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_lines, n_removed, removed_lines (numbers from
     0, null where none), kept_text and its kept_sha256."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("_th"), "text")
-    lines = cut(keyed.mapInArrow(_lines, f"doc_id {id_type}, _th long, line int, node binary, mark long").distinct())
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_th", "line")
-    nodes = cut(lines.groupBy("node", "mark").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")))
-    # candidate bands shared by different lines; the mark is half of a node
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = cut(keyed.mapInArrow(_lines, f"doc_id {id_type}, _th long, line int, hash binary"))
+    # band keys shared by different lines; the mark is half of a line's hash
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands = docs.select("text").mapInArrow(_bands(gram, parts * SPREAD), "bucket int, keys binary, marks binary")
-    met = cut(bands.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "key long, mark long, size int"))
-    asked = nodes.join(met.select("mark").distinct(), "mark", "left_semi")
-    # the lines themselves, each from its first place
-    per_doc = cut(asked.groupBy("first.doc_id", "first._th").agg(F.collect_list("first.line").alias("lines")))
-    near = in_buckets(keyed, per_doc)
-    texts = cut(near.join(per_doc, same_doc(near, per_doc)).select("text", "lines")
-                .mapInArrow(_line_texts, "node binary, text string").dropDuplicates(["node"]))
-    sets = cut(texts.mapInArrow(_cells(gram), "node binary, n long, cells array<int>, " + ", ".join(f"{b} long" for b in BITMAP)))
-    measured = asked.select("mark", "node").join(sets.select("node", "n", *BITMAP), "node")
-    keys = cut(met.join(measured, "mark").select("key", "node", "size", "n", *BITMAP))
-    uncut(met, per_doc)
+    met = cut(bands.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "key long, mark long, other long"))
+    # the lines themselves, each once
+    slots = spark.sparkContext.broadcast(_slots(met))
+    sets = cut(docs.select("text").mapInArrow(_line_texts(slots), "hash binary, mark long, text string").repartition(parts, "hash")
+               .mapInArrow(_sets(gram), "hash binary, mark long, text string, n long, wide array<long>")
+               .withColumn("node", F.monotonically_increasing_id()))  # short numbers for the rounds of linking
 
     def verify(pairs: DataFrame) -> DataFrame:
         asked = of_pairs(sets, pairs)
-        one = asked.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("cells").alias("c1"))
-        two = asked.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("cells").alias("c2"))
-        common = F.aggregate(F.zip_with("c1", "c2", lambda i, j: F.least(i, j)), F.lit(0), lambda s, i: s + i)
-        left = cut(pairs.join(one, "a").join(two, "b")
-                   .where((100 + percent) * common >= percent * (F.col("n1") + F.col("n2"))).select("a", "b"))
-        asked = of_pairs(texts, left)
         one = asked.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         two = asked.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return left.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b") \
-                   .mapInArrow(_similar(gram, percent), "a binary, b binary")
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b") \
+                    .mapInArrow(_similar(gram, percent), "a long, b long")
 
     fits = _fits(percent)
-    tested = cut(few_pairs(keys, "node", fits))
+    one, two = (sets.select(F.col("mark").alias(c), F.struct("node", "n", "wide").alias(s)) for c, s in (("mark", "x"), ("other", "y")))
+    tested = cut(met.where("other is not null").select("mark", "other").distinct().join(one, "mark").join(two, "other")
+                 .where(fits("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
     edges = cut(verify(tested))
-    _, roots = link(keys.where(F.col("size") > FEW).drop("size"), fits, verify, tested=tested, edges=edges)
-    uncut(sets)
-    # of a linked line the first line of its component stays, of another one its own first place
-    roots = cut(roots)
+    keys = cut(met.where("other is null").join(sets.select("mark", "node", "n", "wide"), "mark").select("key", "node", "n", "wide"))
+    uncut(met)
+    _, roots = link(keys, fits, verify, tested=tested, edges=edges)
+    # of a linked line the first line of its component stays, of a repeated one its own first place
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()  # a root is no node of its own
-    rooted = nodes.join(members, "node").select("root", "node", "first")
-    stays = cut(rooted.groupBy("root").agg(F.min("first").alias("stay")))
-    linked = cut(rooted.join(stays, "root").select("node", "stay"))
-    several = nodes.join(linked, "node", "left").where((F.col("size") > 1) | F.col("stay").isNotNull()) \
-                   .select("node", F.coalesce("stay", "first").alias("stay"))
-    gone = lines.join(several, "node").where(place != F.col("stay"))
-    per_doc = cut(gone.groupBy("doc_id", "_th").agg(F.sort_array(F.collect_list("line")).alias("gone")))
-    return keyed.join(per_doc, same_doc(keyed, per_doc), "left").select(keyed["doc_id"], "text", "gone").mapInArrow(
+    hashes = sets.select("node", "hash")
+    members = cut(members.join(hashes, "node").join(hashes.select(F.col("node").alias("root"), F.col("hash").alias("first")), "root")
+                  .select("hash", "first"))
+    uncut(sets, keys, tested, edges)
+    again = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("hash")
+    rooted = cut(again.join(members, "hash", "full").select("hash", F.coalesce("first", "hash").alias("root")))
+    rows = cut(lines.join(rooted.hint("shuffle_hash"), "hash").select("root", "doc_id", "_th", "line"))
+    uncut(lines, rooted, members)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_th", "line")
+    stays = cut(rows.groupBy("root").agg(F.min(place).alias("stay")))
+    gone = rows.join(stays, "root").where(place != F.col("stay"))  # repeated rows have the same places
+    per_doc = cut(gone.groupBy("doc_id", "_th").agg(F.sort_array(F.collect_set("line")).alias("gone")))
+    uncut(rows, stays)
+    return keyed.join(per_doc.hint("shuffle_hash"), same_doc(keyed, per_doc), "left").select(keyed["doc_id"], "text", "gone").mapInArrow(
         _kept, f"doc_id {id_type}, n_lines long, n_removed long, removed_lines array<int>, kept_text string, kept_sha256 string")

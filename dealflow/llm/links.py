@@ -27,28 +27,29 @@ FEW = 8
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): root is the least node of its component.
 
-    Large-star and small-star steps alternate until nothing changes; the number of rounds grows
-    with the logarithm of the longest path, every step is a shuffle over the edges."""
+    Large-star and small-star steps alternate until every component is a star around its least node; the
+    number of rounds grows with the logarithm of the longest path, every step is a shuffle over the edges."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                 .where("u != v").distinct())
-    if is_empty(edges):
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    before = None
-    while True:
+    while not is_empty(_astray(edges)):
         # large star: each node's larger neighbours move to the least node around it
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         # small star: each node's smaller neighbours and itself move to the least of them
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        uncut(edges, least, low)
+        uncut(edges, least, large, low)
         edges = new
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _astray(edges: DataFrame) -> DataFrame:
+    """The nodes of ``edges`` (u, v), all different, v < u, that have several smaller neighbours, or smaller and larger ones."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down = 1 and up = 1")
 
 
 def few_pairs(keys: DataFrame, node: str, fits: Callable[[str, str], Column]) -> DataFrame:
@@ -100,8 +101,8 @@ def link(keys: DataFrame, fits: Callable[[str, str], Column],
         uncut(split, open_rows, *([other] if other is not open_rows else []))
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
-        if not is_empty(found):
-            roots = components(edges)
+        if not is_empty(found):  # a component that is known already is as well linked by its root
+            roots = components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     if edges is None:
         node = keys.schema["node"].dataType.simpleString()
         edges = keys.sparkSession.createDataFrame([], f"a {node}, b {node}")
