@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealflow.llm.common import cut, of_pairs, same_doc, text_key, uncut
-from dealflow.llm.jaccard_join import wide_apart
+from dealflow.llm.jaccard_join import _wide_apart
 from dealflow.llm.links import FEW, link
 from dealflow.llm.tokens import SECOND, SPACES, mix, signed, slices
 
@@ -373,7 +373,7 @@ def _fits(percent: int):
     def fits(x: str, y: str) -> Column:
         n1, n2 = F.col(f"{x}.n"), F.col(f"{y}.n")
         return (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1) & \
-               ((100 + percent) * wide_apart(x, y) <= (100 - percent) * (n1 + n2))
+               ((100 + percent) * _wide_apart(x, y) <= (100 - percent) * (n1 + n2))
     return fits
 
 
